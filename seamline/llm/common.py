@@ -78,6 +78,12 @@ def flagged_by(df: DataFrame, bitmap: DataFrame, col: str, flag: str) -> DataFra
     return out.withColumn(flag, hit).drop("__h", "__word", "__bits")
 
 
+def flag_keys(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``rows`` (with doc_id and th, the text's hash) flagged ``__named`` by the (doc_id, th) pairs of ``keyed``."""
+    bitmap = key_filter(keyed.select(F.struct("doc_id", "th").alias("k")), "k")
+    return flagged_by(rows.withColumn("__k", F.struct("doc_id", "th")), bitmap, "__k", "__named").drop("__k")
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow column as one byte array, and the n + 1 offsets of the texts in it."""
     a = pc.fill_null(column, "").cast(pa.large_binary())

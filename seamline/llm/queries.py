@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, quality, simhash, tiktoken_codec, wordpiece_count
+from . import decontaminate, exact_dedup, langid, quality, simhash, suffix_dedup, tiktoken_codec, token_shards, warc, wordpiece_count
 from .common import crc_mod
 
 
@@ -45,6 +45,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.fit(docs))
@@ -59,14 +70,26 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiktoken_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return token_shards.read_shards(manifest)
+
+
+def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity_report(*warc.audit(table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_shards": op9_token_shards,
+    "op10_warc_audit": op10_warc_audit,
 }
 
 ORACLE_SQL = {

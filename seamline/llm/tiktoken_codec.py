@@ -86,23 +86,24 @@ def decode_documents(encoded: DataFrame, rank_path: str, pattern: str) -> DataFr
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, then decode the ids again, in one pass: digests of both for every document."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode, then decode the ids again, in one pass: digests of both for every document, and the ids if asked for."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
         decimal = [str(i) for i in range(encoding(rank_path, pattern).n_vocab)]
         for b in batches:
             for doc_ids, texts in _slices(b):
-                n, a, d = [], [], []
+                n, a, d, kept = [], [], [], []
                 for t in texts:
                     ids = encode(t, rank_path, pattern)
                     n.append(len(ids))
                     a.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     d.append(hashlib.sha256(decode(ids, rank_path, pattern)).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(n, pa.int64()), pa.array(a), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                )
+                    kept.append(ids if with_ids else None)
+                arrays = [doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names=names)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
