@@ -12,8 +12,8 @@ bucketed first and refined only where a bucket has more than one:
 3. *Mixed buckets.* Buckets with different segments send one copy of each to be refined. There, each position's bucket of
    ``q`` bytes is refined by sorting on the bucket of the position ``q`` bytes later, and the updated buckets serve
    as later offsets again: ``q`` doubles up to ``LENGTH``. Positions alone in their bucket are left out on the way.
-   Buckets with more than ``HOT`` different segments are spread by the 128-bit hash of each window instead of being sorted
-   in one task.
+   Buckets with more than ``HOT`` different segments are not sorted in one task: they are refined by 128-bit hashes,
+   first of what pieces of ``PIECE`` windows have in common, then of each window in pieces where that repeats.
 4. Spans are merged per document and cut out.
 
 Texts move twice at most, and only those with mixed or repeated segments (a fixed-size key filter lets the
@@ -37,7 +37,9 @@ from .common import flag_keys, flat_bytes, id_and_text, key_filter, flagged_by,
 LENGTH = 400
 GRAM = 128
 #: Different segments in a bucket beyond which its windows are spread by hash.
-HOT = 96
+HOT = 32
+#: Windows of a hot bucket's segment that are told apart by one hash before each is hashed for itself.
+PIECE = 8
 #: Bytes of segments refined at once in a task.
 REFINE_BYTES = 2 << 20
 #: Windows of a long text that are worked on at once.
@@ -195,8 +197,8 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     whole = whole.filter("again").join(twice, same, "left_semi").select("doc_id", "th", F.col("first").alias("lo"), (F.col("first") + F.col("span")).alias("hi"))
 
     mixed = kinds.groupBy("bucket").agg(F.count("*").alias("m"), F.min("n").alias("fewest")).filter("m > 1 AND fewest = 1").select("bucket", "m")
-    asked = kinds.join(mixed, "bucket").select("bucket", "m", "n", "span", "rep.doc_id", "rep.th", "rep.first")
-    by_doc = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("bucket", "m", "n", "span", "first")).alias("asked"))
+    asked = kinds.join(mixed, "bucket").select("bucket", "m", "n", "span", "lead", "rep.doc_id", "rep.th", "rep.first")
+    by_doc = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("bucket", "m", "n", "span", "lead", "first")).alias("asked"))
     by_doc = written(by_doc, "segments-asked")
     texts = flag_keys(rows, by_doc).filter("__named").join(
         by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "asked"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
@@ -209,17 +211,17 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
                 got = b.column(3)[i].as_py()
                 for k in range(0, len(got), 1024):
                     part = got[k : k + 1024]
-                    cols = {c: [x[c] for x in part] for c in ("bucket", "m", "n", "span", "first")}
+                    cols = {c: [x[c] for x in part] for c in ("bucket", "m", "n", "span", "lead", "first")}
                     bytes_of = [text[x["first"] : x["first"] + x["span"] + length] for x in part]
                     n = len(part)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols["bucket"], pa.int64()), pa.array(cols["m"], pa.int64()), pa.array(cols["n"], pa.int64()), pa.array(cols["span"], pa.int32()), pa.array(cols["first"], pa.int64())]
+                        [pa.array(cols["bucket"], pa.int64()), pa.array(cols["m"], pa.int64()), pa.array(cols["n"], pa.int64()), pa.array(cols["span"], pa.int32()), pa.array(cols["lead"], pa.int32()), pa.array(cols["first"], pa.int64())]
                         + [b.column(j).slice(i, 1).take(pa.array([0] * n)) for j in (0, 1)]
                         + [pa.array(bytes_of, pa.binary())],
-                        names=["bucket", "m", "n", "span", "first", "doc_id", "th", "bytes"],
+                        names=["bucket", "m", "n", "span", "lead", "first", "doc_id", "th", "bytes"],
                     )
 
-    slices = texts.select("doc_id", "th", "text", "asked").mapInArrow(fetch, "bucket long, m long, n long, span int, first long, doc_id long, th long, bytes binary")
+    slices = texts.select("doc_id", "th", "text", "asked").mapInArrow(fetch, "bucket long, m long, n long, span int, lead int, first long, doc_id long, th long, bytes binary")
     slices = written(slices, "segment-bytes")
 
     def refine(batches):
@@ -246,24 +248,66 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     cold = slices.filter(F.col("m") <= hot).select("bucket", "n", "span", "first", "doc_id", "th", "bytes")
     cold = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(refine, RANGES)
 
-    def hashes(batches):
-        from xxhash import xxh3_128_intdigest
-
-        for b in batches:
-            for n, span, first, doc, th, data in zip(*(b.column(i).to_pylist() for i in range(6))):
-                h = [xxh3_128_intdigest(data[k : k + length]) for k in range(span + 1)]
-                w = len(h)
-                arrays = [pa.array([doc] * w, pa.int64()), pa.array([th] * w, pa.int64()), pa.array([n] * w, pa.int64()), pa.array(range(first, first + w), pa.int64())]
-                arrays += [pa.array(_signed([x >> 64 for x in h])), pa.array(_signed([x & (1 << 64) - 1 for x in h]))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "n", "at", "w1", "w2"])
-
-    spread = slices.filter(F.col("m") > hot).select("n", "span", "first", "doc_id", "th", "bytes")
-    spread = written(spread.mapInArrow(hashes, "doc_id long, th long, n long, at long, w1 long, w2 long"), "hot-windows")
+    hottest = slices.filter(F.col("m") > hot).select("doc_id", "th", "n", "span", "first", "lead", "bytes")
+    cores = hottest.mapInArrow(_pieces(length, False), "c1 long, c2 long").groupBy("c1", "c2").agg(F.count("*").alias("c")).filter("c > 1")
+    pieces = hottest.mapInArrow(_pieces(length, True), PIECES).withColumn("k", F.struct("c1", "c2"))
+    pieces = flagged_by(pieces, key_filter(cores.select(F.struct("c1", "c2").alias("k")), "k"), "k", "again").filter("again")
+    spread = written(pieces.select("doc_id", "th", "n", "at", "bytes").mapInArrow(_windows(length), WINDOWS), "hot-windows")
     often = spread.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2")
     warm = spread.filter("n = 1").join(often, ["w1", "w2"], "left_semi").select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return whole.unionByName(cold).unionByName(warm)
 
 
+PIECES = "doc_id long, th long, n long, at long, bytes binary, c1 long, c2 long"
+WINDOWS = "doc_id long, th long, n long, at long, w1 long, w2 long"
+
+
+def _pieces(length: int, whole: bool):
+    """Segments to pieces of at most ``PIECE`` windows, on a grid of distances to the anchor, each with the 128-bit hash of its core:
+    the bytes that all windows of its grid cell share, whatever the segment. Equal windows lie in cells with equal cores.
+    """
+
+    def run(batches):
+        from xxhash import xxh3_128_intdigest
+
+        low = (1 << 64) - 1
+        for b in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for doc, th, n, span, first, lead, data in zip(*(b.column(i).to_pylist() for i in range(7))):
+                for j in range((lead - span) // PIECE, lead // PIECE + 1):
+                    last = lead - PIECE * j
+                    h = xxh3_128_intdigest(data[last : last - PIECE + 1 + length], j)
+                    a, z = max(0, last - PIECE + 1), min(span, last)
+                    for column, value in zip(out, (doc, th, n, first + a, data[a : z + length] if whole else None, h >> 64, h & low)):
+                        column.append(value)
+            keys = [pa.array(_signed(np.array(x, np.uint64))) for x in out[5:]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            rows = [pa.array(x, t) for x, t in zip(out, kinds)] if whole else []
+            yield pa.RecordBatch.from_arrays(rows + keys, names=["doc_id", "th", "n", "at", "bytes"][: len(rows)] + ["c1", "c2"])
+
+    return run
+
+
+def _windows(length: int):
+    """The 128-bit hash of each window of a piece."""
+
+    def run(batches):
+        from xxhash import xxh3_128_intdigest
+
+        low = (1 << 64) - 1
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for doc, th, n, at, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+                for k in range(len(data) - length + 1):
+                    h = xxh3_128_intdigest(data[k : k + length])
+                    for column, value in zip(out, (doc, th, n, at + k, h >> 64, h & low)):
+                        column.append(value)
+            arrays = [pa.array(x, pa.int64()) for x in out[:4]] + [pa.array(_signed(np.array(x, np.uint64))) for x in out[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "n", "at", "w1", "w2"])
+
+    return run
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (array of start and stop of each removed run) of every document."""
     rows = id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))

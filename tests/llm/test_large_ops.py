@@ -60,7 +60,7 @@ def test_removed_spans_at_production_length(make, prose):
     edited = [" ".join(x if j % 90 != k else x + "Q" for j, x in enumerate(w)) for k in (10, 11, 50)]
     line = "All rights are reserved by the invented owners of this text. "
     rows = [(1, base), (2, edited[0]), (3, edited[1]), (4, prose(80, 1) + edited[2]), (5, line * 9), (6, line * 7 + "end"), (7, "a" * 900), (8, prose(6000, 5) + base[100:900])]
-    check_removed(make, rows, 400, 128, 96)
+    check_removed(make, rows, 400, 128, 32)
     assert suffix_dedup.removed_spans(make([])).count() == 0
 
 
