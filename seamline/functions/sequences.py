@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .keys import fragment_envelope, fragment_ranges, fragment_start, interaction_key, key_part
 
@@ -15,7 +16,7 @@ GAP = "-"
 LETTERS = np.array(list(string.ascii_letters))
 
 
-@F.pandas_udf("aligned_sequence string, residue_ids array<int>")
+@F.pandas_udf(T.StructType([T.StructField("aligned_sequence", T.StringType()), T.StructField("residue_ids", T.ArrayType(T.IntegerType()))]))
 def masked(sequences: pd.Series, fragments: pd.Series) -> pd.DataFrame:
     """M2: ASCII letters count residues up from the fragment's start, and those outside its ranges become
     gaps without an id. Other characters stay, without an id.

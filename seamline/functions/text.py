@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Three-letter residue codes and their letters.
 RESIDUE_LETTERS = {
@@ -28,7 +29,7 @@ def accession(text: Column) -> Column:
     return F.when(up.rlike(r"^PF\d+$"), up).otherwise(F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """Entities have no built-in; only texts that hold an ampersand pay for it."""
     return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
@@ -137,4 +138,4 @@ def model_text(text: Column) -> Column:
     """Structure text without byte order mark, with plain line ends; null if it holds a NUL or no ATOM line and END."""
     plain = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     usable = ~plain.contains("\x00") & plain.rlike(r"(?m)^ATOM") & plain.rlike(r"(?m)^END")
-    return F.when(usable, F.concat(F.rtrim(plain), F.lit("\n")))
+    return F.when(usable, F.concat(F.regexp_replace(plain, r"\s+$", ""), F.lit("\n")))
