@@ -57,7 +57,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = (
         rows.filter("again").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     ).filter("group_size > 1")
-    return rows, groups
+    # Written, so that joins with it read two plain exchanges, which adaptive execution can split where a group is hot.
+    return rows, written(groups, "dedup-groups")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

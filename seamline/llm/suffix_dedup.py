@@ -253,7 +253,7 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     pieces = hottest.mapInArrow(_pieces(length, True), PIECES).withColumn("k", F.struct("c1", "c2"))
     pieces = flagged_by(pieces, key_filter(cores.select(F.struct("c1", "c2").alias("k")), "k"), "k", "again").filter("again")
     spread = written(pieces.select("doc_id", "th", "n", "at", "bytes").mapInArrow(_windows(length), WINDOWS), "hot-windows")
-    often = spread.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2")
+    often = written(spread.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2"), "often")
     warm = spread.filter("n = 1").join(often, ["w1", "w2"], "left_semi").select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return whole.unionByName(cold).unionByName(warm)
 
