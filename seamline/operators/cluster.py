@@ -31,7 +31,7 @@ def hierarchy(groups: DataFrame, metric: str = "overlap", linkage: str = "averag
     """Merges of each dataset. Leaves are its groups in order of group_index, from 0; one task a dataset."""
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "columns", "member_count"), by or [])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_index")
         d = kernels.distance_matrix([list(c) for c in pdf["columns"]], metric)
         children, heights, counts = kernels.linkage(d, pdf["member_count"].to_numpy(), linkage)
@@ -50,7 +50,7 @@ def leaf_labels(groups: DataFrame, merges: DataFrame, settings: ClusteringSettin
     steps, _ = per_dataset(merges, by or [])
     s = settings
 
-    def run(key, leaves: pd.DataFrame, steps_: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, leaves: pd.DataFrame, steps_: pd.DataFrame) -> pd.DataFrame:
         leaves, steps_ = leaves.sort_values("group_index"), steps_.sort_values("merge_index")
         members = leaves["member_count"].to_numpy()
         children, heights = steps_[["left", "right"]].to_numpy().astype(int), steps_["distance"].to_numpy()
@@ -99,7 +99,7 @@ def density(groups: DataFrame, members: DataFrame, settings: ClusteringSettings,
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "columns", "member_count"), by or [])
     s = settings
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_index")
         times = pdf["member_count"].to_numpy()
         if times.sum() > kernels.MAX_LEAVES:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import percent
 from . import kernels
-from .cluster import _schema
+from .cluster import _schema, union_all
 
 SUPPORT = 0.04
 
@@ -28,6 +28,20 @@ def column_chart(points: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return counts.join(F.broadcast(sizes), "cluster_label").select("cluster_label", "col", "count", "size", (F.col("count") / F.col("size")).alias("relative"))
 
 
+def dense_chart(chart: DataFrame, length: int) -> DataFrame:
+    """The chart with a row for every cluster and column, 0 where no member has it. Clusters are few; the grid is theirs by
+    the alignment's columns."""
+    clusters = chart.select("cluster_label", "size").distinct()
+    grid = clusters.crossJoin(chart.sparkSession.range(length).select(F.col("id").cast("int").alias("col")))
+    out = grid.join(chart.drop("size"), ["cluster_label", "col"], "left")
+    return out.select("cluster_label", "col", F.coalesce("count", F.lit(0)).alias("count"), "size", F.coalesce("relative", F.lit(0.0)).alias("relative"))
+
+
+def merged_counts(parts: list[DataFrame]) -> DataFrame:
+    """Partner counts of several pages added up, and so the partners of all of them."""
+    return union_all(parts).groupBy("partner_domain").agg(F.sum("row_count").alias("row_count")).orderBy("partner_domain")
+
+
 def stack_maximum(chart: DataFrame) -> DataFrame:
     """The largest sum of relative counts over one column."""
     return chart.groupBy("col").agg(F.sum("relative").alias("s")).agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("max_stack_value"))
@@ -113,7 +127,7 @@ def diverse_picks(items: DataFrame, metric: str, limit: int = 9, key: str = "clu
     """
     schema = "row_key string, partner_domain string, selection_rank int, coverage_count long, coverage_fraction double, coverage_percent double, entry_count long, remaining_count long"
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row_key", "partner_domain"], kind="stable").reset_index(drop=True)
         d = kernels.distance_matrix([list(c) for c in pdf["columns"]], metric)
         picks = kernels.farthest_first(d, list(range(len(pdf))), limit)

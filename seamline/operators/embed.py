@@ -20,7 +20,7 @@ def layout(groups: DataFrame, settings: EmbeddingSettings, by: list[str] | None
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "columns"), by or [])
     s = settings
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_index")
         sets = [list(c) for c in pdf["columns"]]
         x = indicator_matrix(sets) if s.distance == "binary" else kernels.distance_matrix(sets, s.distance)

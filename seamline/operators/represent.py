@@ -42,7 +42,8 @@ def balanced(candidates: DataFrame, by: list[str] | None = None, length: int | N
     coverage is off the median. Ties: match share, nearness to the median, more columns, smaller key."""
     by = by or []
     cells = written(encoded(candidates, by, length), "cells")
-    both = cells.join(consensus(cells, by, True), [*by, "col"])
+    # Written, so that the join reads plain exchanges: every row has a cell in each column, and such partitions can be split.
+    both = cells.join(written(consensus(cells, by, True), "consensus"), [*by, "col"])
     hit = F.col("code") == F.col("best")
     rows = both.groupBy(*by, "key", "n_columns", "len").agg(
         F.count(F.when(hit, 1)).alias("matches"), F.count(F.when(hit & (F.col("best") == GAP_CODE), 1)).alias("gap_matches"), F.count(F.when(F.col("code") < GAP_CODE, 1)).alias("coverage")
@@ -59,7 +60,7 @@ def residue_consensus(candidates: DataFrame, by: list[str] | None = None, length
     """The row that matches most letters of the consensus; ties: coverage of consensus columns, smaller key."""
     by = by or []
     cells = written(encoded(candidates, by, length), "cells")
-    best = consensus(cells, by, False)
+    best = written(consensus(cells, by, False), "consensus")
     total = best.groupBy(*by).agg(F.count("*").alias("consensus_columns")) if by else best.agg(F.count("*").alias("consensus_columns"))
     both = cells.join(best, [*by, "col"], "left")
     rows = both.groupBy(*by, "key", "n_columns").agg(F.count(F.when(F.col("code") == F.col("best"), 1)).alias("matches"), F.count(F.when(F.col("best").isNotNull() & (F.col("code") < GAP_CODE), 1)).alias("coverage"))

@@ -485,6 +485,41 @@ def a20_column_chart(spark, sf):
     return compare.column_chart(*_points(spark, sf), 10).withColumn("relative", F.round("relative", 9))
 
 
+@query(
+    "x18_dense_chart",
+    f"""WITH {IFACE}, s AS (SELECT cluster_label, count(*) AS size FROM iface GROUP BY 1), c AS (SELECT cluster_label, unnest(cols) AS col FROM iface), n AS (SELECT cluster_label, col, count(*) AS n FROM c GROUP BY ALL)
+    SELECT s.cluster_label, CAST(i AS INTEGER) AS col, coalesce(n, 0) AS count, size, round(coalesce(n, 0) / size, 9) AS relative FROM s CROSS JOIN range(0, 20) AS r(i) LEFT JOIN n ON n.cluster_label = s.cluster_label AND n.col = i""",
+)
+def x18_dense_chart(spark, sf):
+    return compare.dense_chart(compare.column_chart(*_points(spark, sf), 20), 20).withColumn("relative", F.round("relative", 9))
+
+
+@query("x19_merged_counts", f"WITH {IFACE} SELECT partner_domain, CAST(count(*) + count(*) FILTER (cluster_label = 1) AS BIGINT) AS row_count FROM iface GROUP BY 1")
+def x19_merged_counts(spark, sf):
+    base = iface(spark, sf)
+    return compare.merged_counts([stats.partner_counts(base), stats.partner_counts(base.filter("cluster_label = 1"))])
+
+
+@query(
+    "j13_lens_residues",
+    f"""WITH {IFACE}, sizes AS (SELECT cluster_label, count(*) AS member_count FROM iface WHERE cluster_label >= 0 GROUP BY 1),
+    cc AS (SELECT cluster_label, col, count(*) AS column_count FROM (SELECT cluster_label, unnest(cols) AS col FROM iface WHERE cluster_label >= 0) GROUP BY ALL),
+    s AS (SELECT *, column_count / member_count AS support FROM cc JOIN sizes USING (cluster_label) WHERE column_count / member_count >= 0.04),
+    d AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY support DESC, column_count DESC, cluster_label) AS k FROM s)
+    SELECT CAST(event_id AS INTEGER) AS residue_id, d.col, d.cluster_label, round(d.support, 9) AS support FROM events JOIN d ON d.col = event_id % 40 AND k = 1""",
+)
+def j13_lens_residues(spark, sf):
+    points, base = _points(spark, sf)
+    dominant = compare.dominant_clusters(compare.column_counts(points, base), compare.summaries(points))
+    cells = table(spark, sf, "events").selectExpr("cast(event_id % 40 as int) AS col", "cast(event_id as int) AS residue_id")
+    return compare.lens_residues(cells, dominant).select("residue_id", "col", "cluster_label", F.round("support", 9).alias("support"))
+
+
+@query("k8_nearest_signal", f"WITH {IFACE} SELECT CAST(arg_min(col, (abs(col - 7), col)) AS INTEGER) AS col FROM (SELECT DISTINCT unnest(cols) AS col FROM iface)")
+def k8_nearest_signal(spark, sf):
+    return compare.nearest_signal(compare.column_chart(*_points(spark, sf), 40), 7)
+
+
 @query(
     "a20_stack_maximum",
     f"""WITH {IFACE}, s AS (SELECT cluster_label, count(*) AS size FROM iface GROUP BY 1), c AS (SELECT cluster_label, unnest(cols) AS col FROM iface),
