@@ -68,8 +68,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     side's partition large, which adaptive execution splits.
     """
     rows, groups = duplicate_groups(docs, id_col, text_col, digests)
-    # Rows proven unique must not meet in one partition of nulls: they carry a key of their own.
-    key = F.when(F.col("again"), F.col("full")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+    # Rows proven unique must not meet in one partition of nulls: each carries a key of its own, which matches no digest.
+    key = F.when(F.col("again"), F.col("full")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
     out = rows.withColumn("key", key).join(groups.withColumnRenamed("full", "key"), "key", "left")
     return out.select(
         "doc_id",

@@ -5,7 +5,7 @@ the window, and a softmax layer names the language. A whole text is cut into win
 scored in batches; the text's score is the mean of its windows' probabilities, weighted by their bytes.
 For inference, taps are fused into tables over byte pairs, so a filter of width 4 costs two look-ups.
 
-Training takes a bounded sample: at most ``per_language`` texts of each language by the order of a hash of the
+Training takes a bounded sample: of the ``MAX_LANGUAGES`` most frequent languages, at most ``per_language`` texts of each language by the order of a hash of the
 id, ``windows_a_text`` evenly spaced windows of each. Prediction reads every whole text.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language that sorts
@@ -151,6 +151,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held_out: int = 2
     """Train on documents with a language and crc32(doc_id) mod ``mod`` other than ``held_out``; None without any."""
     known = docs.select("doc_id", F.col(lang_col).alias("lang"), "text").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     known = known.filter(crc_mod("doc_id", mod) != held_out)
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    known = known.join(F.broadcast(common), "lang")
     chosen = _lowest(known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")), per_language)
     texts = known.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
 

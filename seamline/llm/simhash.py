@@ -24,10 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import flagged_by, id_and_text, key_filter, written
+from .decontaminate import shingles
 
 BITS = 64
 
@@ -139,17 +140,104 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one row of each component: the one with the smallest id.
+#: Buckets of at most so many fingerprints have all their pairs compared; larger ones are compared with pivots of their own.
+SMALL_BUCKET = 32
+#: Candidates of a document that are verified in the first round; each round takes twice as many, until none is left.
+VERIFIED_FIRST = 4
 
-    Only rows that a component drops are moved: they are named by id, the rest pass through a
-    key filter of fixed size. Rows that share both an id and a component with the kept row stay together with
-    it; rows with null ids stay.
-    """
-    from .common import flagged_by, key_filter
 
-    drop = near_duplicates(docs, words, radius, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop"))
-    drop = written(drop.distinct(), "near-drop")
+def close_pairs(fps: DataFrame, radius: int) -> DataFrame:
+    """(a, b, distance): distinct fingerprint pairs within ``radius`` bits that share a bucket of a covering mask.
+
+    A bucket of two is its smallest and its largest fingerprint, so most buckets are never listed. Buckets up to
+    ``SMALL_BUCKET`` list all their pairs. In larger ones every fingerprint is compared with two pivots, which differ from
+    table to table: linear in the bucket, and in a large group every member meets dozens of others over the tables.
+    """
+    masks = covering_masks(radius)
+    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)]))
+    keyed = fps.select("fp", table.alias("x")).select("fp", "x.t", "x.key")
+    mixed = F.xxhash64("fp", "t")
+    buckets = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1")
+    buckets = written(buckets, "buckets")
+    more = buckets.filter("n > 2").select("t", "key", "n")
+    inside = flagged_by(keyed.withColumn("k", F.struct("t", "key")), key_filter(more.select(F.struct("t", "key").alias("k")), "k"), "k", "again")
+    inside = written(inside.filter("again").select("fp", "t", "key").join(more, ["t", "key"]), "crowded")
+    small = inside.filter(F.col("n") <= SMALL_BUCKET).groupBy("t", "key").agg(F.collect_set("fp").alias("fps"))
+    small = small.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b"))
+    large = inside.filter(F.col("n") > SMALL_BUCKET)
+    pivots = large.groupBy("t", "key").agg(F.min_by("fp", mixed).alias("p"), F.max_by("fp", mixed).alias("q"))
+    pivots = written(pivots, "pivots")
+    stars = large.join(pivots, ["t", "key"]).select("fp", F.explode(F.array("p", "q")).alias("a")).select("a", F.col("fp").alias("b"))
+    pairs = buckets.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(small).unionByName(stars)
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).filter(F.col("distance") <= radius).distinct()
+
+
+def jaccard_of(a: bytes, b: bytes, words: int) -> float:
+    """Jaccard similarity of the distinct word shingles of two texts; two blank texts are equal."""
+    x, y = shingles(a, words), shingles(b, words)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def redundant(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 2, radius: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and kept_by of documents whose shingles are at least ``similarity`` like those of a document with a smaller id.
+
+    Candidates are pairs of close fingerprints (``fingerprint_words`` words a shingle, since longer ones move the fingerprints of
+    similar texts further apart), and documents with equal fingerprints; exact Jaccard similarity of ``words``-word shingles
+    decides. What is found is a chain of verified links down to a document that stays. Nearest candidates are verified first, and a
+    document that failed goes on with its next ones, twice as many each round, until it has none left.
+    """
+    base = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
+    rows = written(fingerprints(base, fingerprint_words), "fingerprints")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
+    low = classes.select("fp", "low")
+    found = close_pairs(classes.select("fp"), radius)
+    found = found.join(low.toDF("a", "ida"), "a").join(low.toDF("b", "idb"), "b")
+    between = found.select(F.greatest("ida", "idb").alias("b"), F.least("ida", "idb").alias("a"), "distance")
+    within = rows.join(classes.filter("n > 1"), "fp").filter("doc_id > low").select(F.col("doc_id").alias("b"), F.col("low").alias("a"), F.lit(0).alias("distance"))
+    order = Window.partitionBy("b").orderBy("distance", "a")
+    asked = written(between.unionByName(within).filter("a < b").distinct().withColumn("turn", F.floor(F.log2((F.row_number().over(order) - 1) / VERIFIED_FIRST + 1)).cast("int")), "asked")
+
+    def verify(batches):
+        for b in batches:
+            left, right = (b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+            ok = [jaccard_of(x, y, words) >= similarity - 1e-12 for x, y in zip(left, right)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
+        some = flagged_by(base, key_filter(ids, "id"), "doc_id", "named").filter("named").join(ids, F.col("doc_id") == F.col("id"))
+        # Rows with equal ids: the smallest text stands for them.
+        return some.groupBy("id").agg(F.min("text").alias("text"))
+
+    done, turn = None, 0
+    while True:
+        now = asked.filter(F.col("turn") == turn)
+        if done is not None:
+            now = now.join(done.select("b"), "b", "left_anti")
+        now = written(now.select("a", "b"), "asked-now")
+        if now.isEmpty():
+            if asked.filter(F.col("turn") > turn).isEmpty():
+                break
+            turn += 1
+            continue
+        texts = written(texts_of(now), "texts")
+        both = now.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        good = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+        good = written(good.groupBy("b").agg(F.min("a").alias("a")), "verified")
+        done = good if done is None else written(done.unionByName(good), "verified")
+        turn += 1
+    done = done if done is not None else asked.select("b", "a").filter("false")
+    return done.select(F.col("b").alias("doc_id"), F.col("a").alias("kept_by"))
+
+
+def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each group of near duplicates: the one with the smallest id.
+
+    Only dropped rows are moved: they are named by id, the rest pass through a key filter of fixed size. Rows with
+    null ids stay; rows with the same id stay or go together.
+    """
+    drop = written(redundant(docs, words, similarity, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__drop")), "near-drop")
     cols = docs.columns
     tagged = docs.withColumn("__id", F.col(id_col).cast("long"))
     tagged = flagged_by(tagged, key_filter(drop, "__drop"), "__id", "__named")

@@ -1,0 +1,22 @@
+"""The queries of this subpackage that SQL can express, against DuckDB."""
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from oracle import connect, same  # noqa: E402
+
+from seamline.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    same(QUERIES[name](spark, sf), connect(sf), ORACLE_SQL[name])
+
+
+def test_there_is_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

@@ -247,11 +247,28 @@ def test_simhash_documents_and_components(make, prose):
     want = sorted((d, f"{f:016x}", c) for (d, _), f, c in zip(rows, fps, brute_components(rows, fps)))
     docs = make(rows)
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()) == want
-    kept = simhash.keep_representatives(docs)
-    assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want} and kept.columns == docs.columns
     assert simhash.near_duplicates(docs.filter("false")).count() == 0
 
 
+def test_verified_near_duplicates(make, prose, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", 6)
+    monkeypatch.setattr(simhash, "VERIFIED_FIRST", 1)
+    rows = [(1000, None), (1001, ""), (1002, " "), (1003, "one two"), (1004, "One  two"), (None, prose(200, 0)), (None, prose(200, 0))]
+    for k in range(6):
+        w = prose(400, k).split()
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join([*w[:200], "changed", *w[201:]])), (10 * k + 2, " ".join(w) + " a tail of words"), (10 * k + 3, " ".join(x + "z" * (j % 7 == 0) for j, x in enumerate(w)))]
+    hot = prose(300, 77).split()
+    rows += [(2000 + k, " ".join([*hot[:k], f"edit{k}", *hot[k + 1 :]])) for k in range(60)]
+    docs = make(rows)
+    got = {r.doc_id: r.kept_by for r in simhash.redundant(docs).collect()}
+    text = {i: (t or "").encode() for i, t in rows}
+    assert all(a < b and simhash.jaccard_of(text[a], text[b], 5) >= 0.8 for b, a in got.items())
+    assert set(got) == {1001, 1002, 1004} | {10 * k + j for k in range(6) for j in (1, 2)} | set(range(2001, 2060))
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in got)
+    assert simhash.redundant(docs.filter("false")).count() == 0
+
+
 def test_simhash_links_find_every_close_pair(spark):
     r = np.random.default_rng(3)
     fps = set()
