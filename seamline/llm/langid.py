@@ -196,27 +196,29 @@ def predict(docs: DataFrame, net: ByteCnn | None, id_col: str = "doc_id", text_c
 
         letter, model = regex.compile(r"\p{L}"), shared.value
         tables = model.fused() if model else None
-        for b in batches:
-            names, scores = [], []
-            data, offsets = flat_bytes(b.column(1))
-            for i, j in text_blocks(offsets):
-                n = j - i
-                texts = b.column(1).slice(i, n).to_pylist()
-                lettered = np.array([bool(t and letter.search(t)) for t in texts], bool)
-                if model is None:
-                    names += ["und"] * n
-                    scores += [0.0] * n
-                    continue
-                x, owner, size = windows_of(data, offsets[i : j + 1])
-                mean = np.zeros((n, len(model.languages)))
-                p = model.window_probabilities(x, tables) * size[:, None]
-                for c in range(p.shape[1]):
-                    mean[:, c] = np.bincount(owner, p[:, c], minlength=n)
-                mean /= np.maximum(1, np.diff(offsets[i : j + 1]))[:, None]
-                best = mean.argmax(axis=1)
-                names += [model.languages[c] if ok else "und" for c, ok in zip(best, lettered)]
-                scores += np.where(lettered, np.clip(mean.max(axis=1), 0, 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):  # a batch may be large; its parts are not
+                yield scored(whole.slice(k, 512), model, tables, letter)
+
+    def scored(b, model, tables, letter):
+        names, scores = [], []
+        data, offsets = flat_bytes(b.column(1))
+        for i, j in text_blocks(offsets):
+            n = j - i
+            if model is None:
+                names += ["und"] * n
+                scores += [0.0] * n
+                continue
+            lettered = np.array([bool(t and letter.search(t)) for t in b.column(1).slice(i, n).to_pylist()], bool)
+            x, owner, size = windows_of(data, offsets[i : j + 1])
+            mean = np.zeros((n, len(model.languages)))
+            p = model.window_probabilities(x, tables) * size[:, None]
+            for c in range(p.shape[1]):
+                mean[:, c] = np.bincount(owner, p[:, c], minlength=n)
+            mean /= np.maximum(1, np.diff(offsets[i : j + 1]))[:, None]
+            names += [model.languages[c] if ok else "und" for c, ok in zip(mean.argmax(axis=1), lettered)]
+            scores += np.where(lettered, np.clip(mean.max(axis=1), 0, 1), 0.0).tolist()
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
