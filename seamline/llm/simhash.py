@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flagged_by, id_and_text, key_filter, written
+from .common import flag_keys, flagged_by, id_and_text, key_filter, written
 from .decontaminate import shingles
 
 BITS = 64
@@ -140,37 +140,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Buckets of at most so many fingerprints have all their pairs compared; larger ones are compared with pivots of their own.
+#: Shingle buckets of at most so many texts have all their pairs compared at once; larger ones first meet two pivots, and then all pairs that are still apart.
 SMALL_BUCKET = 32
-#: Candidates of a document that are verified in the first round; each round takes twice as many, until none is left.
+#: Candidates of a text that are verified before components are formed for the first time; of the others, all that are still apart follow.
 VERIFIED_FIRST = 4
-
-
-def close_pairs(fps: DataFrame, radius: int) -> DataFrame:
-    """(a, b, distance): distinct fingerprint pairs within ``radius`` bits that share a bucket of a covering mask.
-
-    A bucket of two is its smallest and its largest fingerprint, so most buckets are never listed. Buckets up to
-    ``SMALL_BUCKET`` list all their pairs. In larger ones every fingerprint is compared with two pivots, which differ from
-    table to table: linear in the bucket, and in a large group every member meets dozens of others over the tables.
-    """
-    masks = covering_masks(radius)
-    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)]))
-    keyed = fps.select("fp", table.alias("x")).select("fp", "x.t", "x.key")
-    mixed = F.xxhash64("fp", "t")
-    buckets = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1")
-    buckets = written(buckets, "buckets")
-    more = buckets.filter("n > 2").select("t", "key", "n")
-    inside = flagged_by(keyed.withColumn("k", F.struct("t", "key")), key_filter(more.select(F.struct("t", "key").alias("k")), "k"), "k", "again")
-    inside = written(inside.filter("again").select("fp", "t", "key").join(more, ["t", "key"]), "crowded")
-    small = inside.filter(F.col("n") <= SMALL_BUCKET).groupBy("t", "key").agg(F.collect_set("fp").alias("fps"))
-    small = small.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b"))
-    large = inside.filter(F.col("n") > SMALL_BUCKET)
-    pivots = large.groupBy("t", "key").agg(F.min_by("fp", mixed).alias("p"), F.max_by("fp", mixed).alias("q"))
-    pivots = written(pivots, "pivots")
-    stars = large.join(pivots, ["t", "key"]).select("fp", F.explode(F.array("p", "q")).alias("a")).select("a", F.col("fp").alias("b"))
-    pairs = buckets.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(small).unionByName(stars)
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).filter(F.col("distance") <= radius).distinct()
+#: Counters of the shingle frequency sketch; it only orders shingles, so its size has no influence on the result.
+SKETCH_BITS = 18
+#: Allowance for rounding, in filters and in the comparison itself.
+SLACK = 1e-12
 
 
 def jaccard_of(a: bytes, b: bytes, words: int) -> float:
@@ -179,67 +156,170 @@ def jaccard_of(a: bytes, b: bytes, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def redundant(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 2, radius: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and kept_by of documents whose shingles are at least ``similarity`` like those of a document with a smaller id.
+def _hashes(found: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(s) for s in found], np.uint64)
+
+
+def shingle_counts(base: DataFrame, words: int) -> np.ndarray:
+    """How many texts have a shingle of each slot of hashes: ``2 ** SKETCH_BITS`` numbers, whatever the input."""
+    size, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                for t in b.column(0).slice(k, 256).cast(pa.binary()).to_pylist():
+                    np.add.at(total, (_hashes(list(shingles(t, words))) >> shift).astype(np.int64), 1)
+        (slots,) = np.nonzero(total)
+        for k in range(0, len(slots), 1 << 14):
+            some = slots[k : k + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    got = base.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return counts
 
-    Candidates are pairs of close fingerprints (``fingerprint_words`` words a shingle, since longer ones move the fingerprints of
-    similar texts further apart), and documents with equal fingerprints; exact Jaccard similarity of ``words``-word shingles
-    decides. What is found is a chain of verified links down to a document that stays. Nearest candidates are verified first, and a
-    document that failed goes on with its next ones, twice as many each round, until it has none left.
+
+def prefixes(base: DataFrame, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """doc_id, th, ``sig`` (digest of the set of shingles), ``n`` (its size) and ``prefix`` of every text.
+
+    The prefix is the ``n - ceil(similarity * n) + 1`` hashes that come first in one order of all shingles, rare ones first.
+    A text that shares none of them misses too many of the text's shingles to be ``similarity`` like it.
+    """
+    from hashlib import blake2b
+
+    shift = np.uint64(64 - SKETCH_BITS)
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sigs, sizes, firsts = [], [], []
+                for t in part.column(2).cast(pa.binary()).to_pylist():
+                    found = sorted(shingles(t, words))
+                    h = _hashes(found)
+                    h = h[np.lexsort((h, counts[(h >> shift).astype(np.int64)]))]
+                    sigs.append(blake2b(b"\n".join(found), digest_size=16).digest())
+                    sizes.append(len(h))
+                    firsts.append(h[: len(h) - int(np.ceil((similarity - SLACK) * len(h))) + 1])
+                ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), lists],
+                    names=["doc_id", "th", "sig", "n", "prefix"],
+                )
+
+    return base.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, sig binary, n int, prefix array<long>")
+
+
+def _meeting(left: DataFrame, right: DataFrame, similarity: float, more) -> DataFrame:
+    """(a, b) of the members x of ``left`` and y of ``right`` in one bucket that can be similar, and where ``more`` holds.
+
+    Sizes must not differ too much, and enough shingles must follow in both prefixes: where two similar texts share their first
+    shingle, those before it are in one of them only, so the pair passes there, if not in every bucket that they share.
     """
-    base = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    rows = written(fingerprints(base, fingerprint_words), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
-    low = classes.select("fp", "low")
-    found = close_pairs(classes.select("fp"), radius)
-    found = found.join(low.toDF("a", "ida"), "a").join(low.toDF("b", "idb"), "b")
-    between = found.select(F.greatest("ida", "idb").alias("b"), F.least("ida", "idb").alias("a"), "distance")
-    within = rows.join(classes.filter("n > 1"), "fp").filter("doc_id > low").select(F.col("doc_id").alias("b"), F.col("low").alias("a"), F.lit(0).alias("distance"))
-    order = Window.partitionBy("b").orderBy("distance", "a")
-    asked = written(between.unionByName(within).filter("a < b").distinct().withColumn("turn", F.floor(F.log2((F.row_number().over(order) - 1) / VERIFIED_FIRST + 1)).cast("int")), "asked")
+    s = similarity - SLACK
+    could = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * s - SLACK) & (
+        F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= (F.col("x.n") + F.col("y.n")) * (s / (1 + s)) - 1e-6
+    )
+    both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & more & could)
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) -> DataFrame | None:
+    """Links (a, b) of ``nodes`` whose components are those of all pairs that are ``similarity`` alike; every link is such a pair.
+
+    Every similar pair meets in the bucket of a prefix shingle. Small buckets list all their pairs; in larger ones each
+    member first meets two pivots, and once components of the links so far are known, every member of another component.
+    A large group of copies is one component by then, so its pairs are never listed. None if no two nodes meet.
+    """
+    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    crowded = tokens.groupBy("h").agg(F.min_by("node", F.xxhash64("node", "h")).alias("p"), F.max_by("node", F.xxhash64("node", "h")).alias("q"), F.count("*").alias("m"))
+    crowded = written(crowded.filter("m > 1"), "buckets")
+    shared = flagged_by(tokens, key_filter(crowded.select("h"), "h"), "h", "again").filter("again").drop("again")
+    shared = written(shared.join(crowded, "h"), "shared")
+    small, large = shared.filter(F.col("m") <= SMALL_BUCKET), shared.filter(F.col("m") > SMALL_BUCKET)
+    near = _meeting(small, small, similarity, F.col("x.node") < F.col("y.node"))
+    stars = large.select(F.explode(F.array("p", "q")).alias("a"), F.col("node").alias("b")).filter("a <> b")
+    asked = near.unionByName(stars).groupBy("a", "b").count()
+    order = Window.partitionBy("b").orderBy(F.desc("count"), "a")
+    asked = written(asked.withColumn("turn", F.row_number().over(order)), "asked")
 
     def verify(batches):
         for b in batches:
-            left, right = (b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-            ok = [jaccard_of(x, y, words) >= similarity - 1e-12 for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
-        some = flagged_by(base, key_filter(ids, "id"), "doc_id", "named").filter("named").join(ids, F.col("doc_id") == F.col("id"))
-        # Rows with equal ids: the smallest text stands for them.
-        return some.groupBy("id").agg(F.min("text").alias("text"))
-
-    done, turn = None, 0
-    while True:
-        now = asked.filter(F.col("turn") == turn)
-        if done is not None:
-            now = now.join(done.select("b"), "b", "left_anti")
-        now = written(now.select("a", "b"), "asked-now")
-        if now.isEmpty():
-            if asked.filter(F.col("turn") > turn).isEmpty():
-                break
-            turn += 1
-            continue
-        texts = written(texts_of(now), "texts")
-        both = now.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        good = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
-        good = written(good.groupBy("b").agg(F.min("a").alias("a")), "verified")
-        done = good if done is None else written(done.unionByName(good), "verified")
-        turn += 1
-    done = done if done is not None else asked.select("b", "a").filter("false")
-    return done.select(F.col("b").alias("doc_id"), F.col("a").alias("kept_by"))
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                left, right = (part.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+                ok = [jaccard_of(x, y, words) >= similarity - SLACK for x, y in zip(left, right)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "asked-now")
+        texts = written(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "texts")
+        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "verified")
+
+    if asked.isEmpty():
+        return None
+    links = verified(asked.filter(F.col("turn") <= VERIFIED_FIRST).select("a", "b"))
+    roots = written(components(links), "roots")
+    named = lambda side: roots.toDF(side, f"root_{side}")
+    rest = asked.filter(F.col("turn") > VERIFIED_FIRST).select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
+    rest = rest.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    placed = large.select("node", "n", "pos", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(placed, "placed")
+    mixed = written(placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h"), "mixed")
+    placed = placed.join(mixed, "h", "left_semi")
+    apart = _meeting(placed, placed, similarity, (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+    tried = asked.filter(F.col("turn") <= VERIFIED_FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.unionByName(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti")))
+
+
+def redundant(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (the text's hash) and kept_by of the documents that go: all but the smallest id of each group of near duplicates.
+
+    Groups are the components of all pairs of documents whose sets of ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. Documents with equal sets are one node of the search. Rows are known by id and text:
+    null ids come after all others, of equal ids the smallest text hash stays, and rows equal in both are one document.
+    """
+    base = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
+    rows = written(prefixes(base, words, similarity, shingle_counts(base, words)), "prefixes")
+    nodes = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = written(nodes.select("sig", "r.doc_id", "r.th", "n", "prefix", F.monotonically_increasing_id().alias("node")), "nodes")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        keys = written(nodes.select("node", F.col("doc_id").alias("i"), F.col("th").alias("t")).join(wanted, "node"), "wanted")
+        some = flag_keys(base, keys.select(F.col("i").alias("doc_id"), F.col("t").alias("th"))).filter("__named")
+        some = some.join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
+        return some.select("node", "text").dropDuplicates(["node"])
+
+    links = similar_links(nodes.select("node", "n", "prefix"), texts_of, words, similarity)
+    rooted = nodes.select("sig", "node")
+    if links is not None:
+        rooted = rooted.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        rooted = rooted.withColumn("root", F.col("node"))
+    members = rows.select("doc_id", "th", "sig").distinct().join(rooted.select("sig", "root"), "sig")
+    members = written(members.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("who")), "members")
+    stays = members.groupBy("root").agg(F.min("who").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    gone = members.join(written(stays, "stays"), "root").filter(~F.col("who").eqNullSafe(F.col("first")))
+    return gone.select("who.doc_id", "who.th", F.col("first.doc_id").alias("kept_by"))
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one document of each group of near duplicates: the one with the smallest id.
 
-    Only dropped rows are moved: they are named by id, the rest pass through a key filter of fixed size. Rows with
-    null ids stay; rows with the same id stay or go together.
+    Only dropped rows are moved: they are named by id and text hash, the rest pass through a key filter of fixed size.
+    Rows equal in id and text stay or go together.
     """
-    drop = written(redundant(docs, words, similarity, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__drop")), "near-drop")
+    drop = written(redundant(docs, words, similarity, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__di"), F.col("th").alias("__dt")), "near-drop")
     cols = docs.columns
-    tagged = docs.withColumn("__id", F.col(id_col).cast("long"))
-    tagged = flagged_by(tagged, key_filter(drop, "__drop"), "__id", "__named")
-    stay = tagged.filter("__named").join(drop, F.col("__id") == F.col("__drop"), "left_anti")
+    tagged = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    tagged = tagged.withColumn("__k", F.struct(F.col("__id").alias("doc_id"), F.col("__th").alias("th")))
+    tagged = flagged_by(tagged, key_filter(drop.select(F.struct(F.col("__di").alias("doc_id"), F.col("__dt").alias("th")).alias("k")), "k"), "__k", "__named")
+    stay = tagged.filter("__named").join(drop, F.col("__id").eqNullSafe(F.col("__di")) & (F.col("__th") == F.col("__dt")), "left_anti")
     return tagged.filter("NOT __named").select(*cols).unionByName(stay.select(*cols))
