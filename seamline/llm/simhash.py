@@ -145,7 +145,9 @@ SMALL_BUCKET = 32
 #: Candidates of a text that are verified before components are formed for the first time; of the others, all that are still apart follow.
 VERIFIED_FIRST = 4
 #: Counters of the shingle frequency sketch; it only orders shingles, so its size has no influence on the result.
-SKETCH_BITS = 18
+SKETCH_BITS = 16
+#: Words of 64 bits of a parity bitmap.
+PARITY = [f"parity{k}" for k in range(4)]
 #: Allowance for rounding, in filters and in the comparison itself.
 SLACK = 1e-12
 
@@ -184,10 +186,11 @@ def shingle_counts(base: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(base: DataFrame, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
-    """doc_id, th, ``sig`` (digest of the set of shingles), ``n`` (its size) and ``prefix`` of every text.
+    """doc_id, th, ``sig`` (digest of the set of shingles), ``n`` (its size) and ``prefix`` of every text, and its parity bitmap.
 
     The prefix is the ``n - ceil(similarity * n) + 1`` hashes that come first in one order of all shingles, rare ones first.
     A text that shares none of them misses too many of the text's shingles to be ``similarity`` like it.
+    Every shingle flips one bit of the parity bitmap, so two bitmaps differ in at most as many bits as the sets in shingles.
     """
     from hashlib import blake2b
 
@@ -197,32 +200,43 @@ def prefixes(base: DataFrame, words: int, similarity: float, counts: np.ndarray)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                sigs, sizes, firsts = [], [], []
+                sigs, sizes, firsts, parities = [], [], [], []
                 for t in part.column(2).cast(pa.binary()).to_pylist():
                     found = sorted(shingles(t, words))
                     h = _hashes(found)
                     h = h[np.lexsort((h, counts[(h >> shift).astype(np.int64)]))]
                     sigs.append(blake2b(b"\n".join(found), digest_size=16).digest())
                     sizes.append(len(h))
+                    bits = np.bincount((h & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+                    parities.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                     firsts.append(h[: len(h) - int(np.ceil((similarity - SLACK) * len(h))) + 1])
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
+                words_of = np.array(parities).T
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), lists],
-                    names=["doc_id", "th", "sig", "n", "prefix"],
+                    [part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), lists, *map(pa.array, words_of)],
+                    names=["doc_id", "th", "sig", "n", "prefix", *PARITY],
                 )
 
-    return base.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, sig binary, n int, prefix array<long>")
+    return base.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, sig binary, n int, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITY))
+
+
+def _could_match(x: str, y: str, similarity: float):
+    """False only where sizes or parity bitmaps prove that ``x`` and ``y`` are not similar."""
+    s = similarity - SLACK
+    differ = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY)
+    sizes = F.least(f"{x}.n", f"{y}.n") >= F.greatest(f"{x}.n", f"{y}.n") * s - 1e-6
+    return sizes & (differ <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - s) / (1 + s)) + 1e-6)
 
 
 def _meeting(left: DataFrame, right: DataFrame, similarity: float, more) -> DataFrame:
     """(a, b) of the members x of ``left`` and y of ``right`` in one bucket that can be similar, and where ``more`` holds.
 
-    Sizes must not differ too much, and enough shingles must follow in both prefixes: where two similar texts share their first
+    Neither sizes nor parity bitmaps may differ too much, and enough shingles must follow in both prefixes: where two similar texts share their first
     shingle, those before it are in one of them only, so the pair passes there, if not in every bucket that they share.
     """
     s = similarity - SLACK
-    could = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * s - SLACK) & (
+    could = _could_match("x", "y", similarity) & (
         F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= (F.col("x.n") + F.col("y.n")) * (s / (1 + s)) - 1e-6
     )
     both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & more & could)
@@ -236,14 +250,16 @@ def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) ->
     member first meets two pivots, and once components of the links so far are known, every member of another component.
     A large group of copies is one component by then, so its pairs are never listed. None if no two nodes meet.
     """
-    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    crowded = tokens.groupBy("h").agg(F.min_by("node", F.xxhash64("node", "h")).alias("p"), F.max_by("node", F.xxhash64("node", "h")).alias("q"), F.count("*").alias("m"))
-    crowded = written(crowded.filter("m > 1"), "buckets")
+    crowded = written(nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    tokens = nodes.select("node", "n", *PARITY, F.posexplode("prefix").alias("pos", "h"))
     shared = flagged_by(tokens, key_filter(crowded.select("h"), "h"), "h", "again").filter("again").drop("again")
     shared = written(shared.join(crowded, "h"), "shared")
     small, large = shared.filter(F.col("m") <= SMALL_BUCKET), shared.filter(F.col("m") > SMALL_BUCKET)
     near = _meeting(small, small, similarity, F.col("x.node") < F.col("y.node"))
-    stars = large.select(F.explode(F.array("p", "q")).alias("a"), F.col("node").alias("b")).filter("a <> b")
+    whole, mixed = F.struct("node", "n", *PARITY), F.xxhash64("node", "h")
+    pivots = written(large.groupBy("h").agg(F.min_by(whole, mixed).alias("p"), F.max_by(whole, mixed).alias("q")), "pivots")
+    stars = large.alias("y").join(pivots, "h").select("y.*", F.explode(F.array("p", "q")).alias("x")).select("x", F.struct("node", "n", *PARITY).alias("y"))
+    stars = stars.filter((F.col("x.node") != F.col("y.node")) & _could_match("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     asked = near.unionByName(stars).groupBy("a", "b").count()
     order = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     asked = written(asked.withColumn("turn", F.row_number().over(order)), "asked")
@@ -269,7 +285,7 @@ def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) ->
     named = lambda side: roots.toDF(side, f"root_{side}")
     rest = asked.filter(F.col("turn") > VERIFIED_FIRST).select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
     rest = rest.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    placed = large.select("node", "n", "pos", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = large.select("node", "n", *PARITY, "pos", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h"), "mixed")
     placed = placed.join(mixed, "h", "left_semi")
@@ -288,8 +304,8 @@ def redundant(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     """
     base = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
     rows = written(prefixes(base, words, similarity, shingle_counts(base, words)), "prefixes")
-    nodes = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = written(nodes.select("sig", "r.doc_id", "r.th", "n", "prefix", F.monotonically_increasing_id().alias("node")), "nodes")
+    nodes = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in PARITY])
+    nodes = written(nodes.select("sig", "r.doc_id", "r.th", "n", "prefix", *PARITY, F.monotonically_increasing_id().alias("node")), "nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         keys = written(nodes.select("node", F.col("doc_id").alias("i"), F.col("th").alias("t")).join(wanted, "node"), "wanted")
@@ -297,7 +313,7 @@ def redundant(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
         some = some.join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
         return some.select("node", "text").dropDuplicates(["node"])
 
-    links = similar_links(nodes.select("node", "n", "prefix"), texts_of, words, similarity)
+    links = similar_links(nodes.select("node", "n", "prefix", *PARITY), texts_of, words, similarity)
     rooted = nodes.select("sig", "node")
     if links is not None:
         rooted = rooted.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
