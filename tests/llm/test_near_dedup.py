@@ -58,3 +58,11 @@ def test_members_of_a_fingerprint_class_are_compared_with_each_other(make, prose
     rows = [(1, f"{line} {prose(150, 2)}"), (2, f"{line} {body}"), (3, f"{line} {edited(body, [149])}")]
     assert len({simhash.fingerprint(t.encode(), 2) for _, t in rows}) == 1
     assert [i for i, _ in kept(make(rows))] == [1, 2] and kept(make(rows)) == kept_by_brute_force(rows)
+
+
+def test_one_document_of_a_chain_stays(make, prose):
+    text = prose(200, 4)
+    rows = [(1, edited(text, [20, 60])), (2, edited(text, [100, 140, 180])), (3, text)]
+    sets = {i: t.encode() for i, t in rows}
+    assert simhash.jaccard_of(sets[1], sets[2], 5) < 0.8 <= min(simhash.jaccard_of(sets[k], sets[3], 5) for k in (1, 2))
+    assert [i for i, _ in kept(make(rows))] == [1] and kept(make(rows)) == kept_by_brute_force(rows)
