@@ -66,3 +66,10 @@ def test_one_document_of_a_chain_stays(make, prose):
     sets = {i: t.encode() for i, t in rows}
     assert simhash.jaccard_of(sets[1], sets[2], 5) < 0.8 <= min(simhash.jaccard_of(sets[k], sets[3], 5) for k in (1, 2))
     assert [i for i, _ in kept(make(rows))] == [1] and kept(make(rows)) == kept_by_brute_force(rows)
+
+
+def test_null_and_repeated_ids(make, prose):
+    a, b, c = prose(80, 5), prose(80, 6), prose(80, 8)
+    rows = [(None, a), (None, edited(a, [79])), (4, b), (9, edited(b, [79])), (9, c), (None, edited(c, [79]))]
+    got = kept(make(rows))
+    assert (4, b) in got and (9, c) in got and len(got) == 3
