@@ -1,21 +1,22 @@
 """The service's requests as functions (S21, S22): settings in as texts, one DataFrame of JSON out.
 
 Each function takes a ``Store`` and the request's parameters, and returns a DataFrame with one column ``json`` and one row. Only
-the page or the one dataset that a request names is gathered.
+the page or the one dataset that a request names is gathered, and no more than ``MAX_LISTED`` rows of it; ``as_rows`` gives answers of
+any size as rows: place, part and json, the header's object at place 0.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequences, text
-from .functions.tables import written
+from .functions.tables import numbered, written
 from .operators import cluster, compare, compress, dendrogram, distance, embed, represent, rows, stats, structure
 from .settings import ALL_PARTNERS, ClusteringSettings, EmbeddingSettings, FilterSettings, PageSettings, choice, flag, number, text_of
 from .sources import hierarchies
@@ -23,6 +24,9 @@ from .sources.store import Store, run_summaries
 
 Query = Mapping[str, Any]
 
+#: Most rows that are put into one JSON array.
+MAX_LISTED = 200_000
+
 
 def to_json(df: DataFrame, **constants: Any) -> DataFrame:
     """One JSON object a row, constants first."""
@@ -30,25 +34,45 @@ def to_json(df: DataFrame, **constants: Any) -> DataFrame:
 
 
 def listed(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
-    """All rows of a small result as one array, in order. Only the order's columns are compared: rows may hold maps."""
+    """All rows of a small result - a page, one value a column or a cluster - as one array, in order. Only the order's columns
+    are compared: rows may hold maps."""
     cols = F.struct(F.struct(*(order or [F.lit(0).alias("k")])).alias("key"), F.struct("*").alias("row"))
     compared = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
     return df.agg(F.transform(F.array_sort(F.collect_list(cols), compared), lambda x: x["row"]).alias(name))
 
 
+def with_list(header: DataFrame, rows_: DataFrame, name: str, order: list[str], as_rows: bool, **constants: Any) -> DataFrame:
+    """An answer whose rows ``name`` grow with the data: in one object, or as rows of their own that are never gathered."""
+    if not as_rows:
+        if rows_.limit(MAX_LISTED + 1).count() > MAX_LISTED:
+            raise ValueError(f"more than {MAX_LISTED} {name} for one object; ask for them as rows")
+        return to_json(header.crossJoin(listed(rows_, name, order)), **constants)
+    made = numbered(rows_, order, "place", start=1).withColumn("place", F.col("place").cast("long"))
+    one = F.to_json(F.struct(*rows_.columns), {"ignoreNullFields": "false"}).alias("json")
+    return to_json(header, **constants).select(F.lit(0).cast("long").alias("place"), F.lit("header").alias("part"), "json").unionByName(made.select("place", F.lit(name).alias("part"), one))
+
+
 def _rows(store: Store, query: Query) -> DataFrame:
     """the filtered rows of the file that the request names."""
     name = text_of(query, "file")
-    found = store.sources().filter((F.col("name") == name) & (F.col("status") == "ready")).select("source_id").first()
-    if found is None:
+    return rows.by_size(store.rows().filter(F.col("source_id") == _source(store, query)["source_id"]), FilterSettings.of(query).min_interface_size)
+
+
+def _source(store: Store, query: Query):
+    """The one imported file of the request's name; a name from several folders needs ``path`` as well."""
+    name, path = text_of(query, "file"), text_of(query, "path")
+    ready = store.sources().filter((F.col("name") == name) & (F.col("status") == "ready"))
+    found = (ready.filter(F.col("path") == path) if path else ready).select("source_id", "path", "size_bytes", "modified", "family").orderBy("path").take(2)
+    if not found:
         raise ValueError(f"no imported file {name!r}")
-    return rows.by_size(store.rows().filter(F.col("source_id") == found["source_id"]), FilterSettings.of(query).min_interface_size)
+    if len(found) > 1:
+        raise ValueError(f"{name!r} was imported from {found[0]['path']} and elsewhere; the request must give its path")
+    return found[0]
 
 
 def _signature(store: Store, query: Query) -> str:
-    name = text_of(query, "file")
-    s = store.sources().filter(F.col("name") == name).select("path", "size_bytes", "modified").first()
-    return hashlib.sha1(str(s).encode()).hexdigest()
+    s = _source(store, query)
+    return hashlib.sha1(str((s["path"], s["size_bytes"], s["modified"])).encode()).hexdigest()
 
 
 def files(store: Store, metadata: DataFrame | None = None) -> DataFrame:
@@ -61,7 +85,7 @@ def files(store: Store, metadata: DataFrame | None = None) -> DataFrame:
     return to_json(listed(options, "files", ["family", "name"]))
 
 
-def interface_page(store: Store, query: Query) -> DataFrame:
+def interface_page(store: Store, query: Query, as_rows: bool = False) -> DataFrame:
     """``interface``: summary, partners and a page of alignment rows, with overlay lists and column identity if asked for."""
     base = _rows(store, query)
     page = PageSettings.of(query)
@@ -70,15 +94,15 @@ def interface_page(store: Store, query: Query) -> DataFrame:
     out = rows.completeness(base, page).crossJoin(total)
     out = out.crossJoin(listed(stats.partner_counts(base), "interface_partner_counts", ["partner_domain"]))
     out = out.crossJoin(listed(stats.size_histogram(base), "interface_size_histogram", ["size"]))
-    if flag(query, "include_rows", True):
-        some = rows.page_of_filtered(base, page)
-        out = out.crossJoin(listed(sequences.alignment_rows(some, length), "rows", ["partner_domain", "interface_row_key"]))
     if flag(query, "include_data"):
         data = rows.page_of_filtered(base, PageSettings.of(query, "data")).select("partner_domain", "interface_row_key", "interface_msa_columns_a", "surface_msa_columns_a")
         out = out.crossJoin(listed(data, "data", ["partner_domain", "interface_row_key"]))
     if flag(query, "include_clean_column_identity"):
         out = out.crossJoin(listed(stats.clean_identity(base, length=length), "clean_column_identity", ["col"]))
-    return to_json(out, file=text_of(query, "file"))
+    if not flag(query, "include_rows", True):
+        return to_json(out, file=text_of(query, "file"))
+    some = sequences.alignment_rows(rows.page_of_filtered(base, page), length)
+    return with_list(out, some, "rows", ["partner_domain", "interface_row_key"], as_rows, file=text_of(query, "file"))
 
 
 def _compressed(store: Store, query: Query) -> tuple[DataFrame, DataFrame]:
@@ -88,53 +112,66 @@ def _compressed(store: Store, query: Query) -> tuple[DataFrame, DataFrame]:
     return groups, written(members, "members")
 
 
-def embedding(store: Store, query: Query) -> DataFrame:
+def embedding(store: Store, query: Query, as_rows: bool = False) -> DataFrame:
     """``embedding``: E1-E5."""
     s = EmbeddingSettings.of(query)
     groups, _ = _compressed(store, query)
-    points = store.result("embedding", lambda: embed.embedding_points(embed.layout(groups, s), groups), source=_signature(store, query), filter=asdict(FilterSettings.of(query)), **asdict(s))
-    return to_json(listed(points, "points", ["group_id"]), method=s.method, distance=s.distance, dimensions=3)
+    depends = {"source": _signature(store, query), "filter": asdict(FilterSettings.of(query)), **asdict(s)}
+    laid = store.result("layout", lambda: embed.layout(groups, s), **depends)
+    points = embed.embedding_points(laid, groups)
+    head = laid.agg(F.array(*[F.coalesce(F.max(f"share{k}"), F.lit(0.0)) for k in range(3)]).alias("explained_variance_ratio"))
+    head = head if s.method == "pca" else head.select(F.lit(None).cast("array<double>").alias("explained_variance_ratio"))
+    return with_list(head, points, "points", ["group_id"], as_rows, method=s.method, distance=s.distance, dimensions=3)
 
 
-def _merges(store: Store, query: Query, groups: DataFrame, s: ClusteringSettings, folder: str | None) -> tuple[DataFrame, str]:
-    """The precomputed hierarchy of the file's family if one fits, else the cached or new local one."""
+@dataclass(frozen=True)
+class Hierarchy:
+    """Where the merges of a request come from, and the leaf of every group where leaves are not the groups themselves."""
+
+    merges: DataFrame | None
+    source: str
+    leaves: DataFrame | None = None
+    state: str = "unavailable"
+    reason: str = "no folder of hierarchies is given"
+
+
+def _hierarchy(store: Store, query: Query, groups: DataFrame, members: DataFrame, s: ClusteringSettings, folder: str | None, make: bool = True) -> Hierarchy:
+    """The precomputed hierarchy of the file's family if one fits, else the cached one, else - if it is to be made - a
+    new local one. One that does not fit is named with its reason; one that cannot be read raises."""
+    state, reason = "unavailable", Hierarchy.reason
     if folder:
-        name = text_of(query, "file")
-        family = store.sources().filter(F.col("name") == name).first()["family"]
-        linkage, resolver = hierarchies.paths(folder, s.distance, s.linkage, family)
         try:
-            merges = hierarchies.read_merges(store.spark, linkage, s.distance, s.linkage)
-            leaves = hierarchies.read_resolver(store.spark, resolver)
-            merges.head(1), leaves.head(1)
-            return merges, "precalculated"
-        except Exception:  # noqa: BLE001, S110  none there, or one that does not fit: the local one is used
-            pass
+            found = hierarchies.precomputed(store.spark, folder, s.distance, s.linkage, _source(store, query)["family"], groups, members)
+            if found is not None:
+                return Hierarchy(found[0], "precalculated", written(found[1], "leaves"), "ready", "")
+            reason = "no matching precalculated hierarchy files were found"
+        except hierarchies.HierarchyMismatch as e:
+            state, reason = "mismatch", str(e)
     depends = {"source": _signature(store, query), "filter": asdict(FilterSettings.of(query)), "distance": s.distance, "linkage": s.linkage}
     kept = store.has_result("hierarchy", **depends)
-    return store.result("hierarchy", lambda: cluster.hierarchy(groups, s.distance, s.linkage), **depends), "local_cache" if kept else "local"
+    merges = store.result("hierarchy", lambda: cluster.hierarchy(groups, s.distance, s.linkage), **depends) if kept or make else None
+    return Hierarchy(merges, "local_cache" if kept else "local", None, state, reason)
 
 
 def clustering_points(store: Store, query: Query, folder: str | None = None) -> DataFrame:
-    """Points of the clustering that the request asks for, cached by everything it depends on."""
+    """Points of the clustering that the request asks for, cached by everything it depends on, a precomputed hierarchy included."""
     s = ClusteringSettings.of(query)
     groups, members = _compressed(store, query)
+    depends = {"source": _signature(store, query), "filter": asdict(FilterSettings.of(query)), **asdict(s)}
+    if s.method == "hdbscan":
+        return store.result("clustering", lambda: cluster.density(groups, members, s), **depends)
+    h = _hierarchy(store, query, groups, members, s, folder, make=not store.has_result("clustering", **depends, precalculated=False))
+    return store.result("clustering", lambda: cluster.hierarchical(groups, members, s, merges=h.merges, leaves=h.leaves), **depends, precalculated=h.source == "precalculated")
 
-    def make() -> DataFrame:
-        if s.method == "hdbscan":
-            return cluster.density(groups, members, s)
-        return cluster.hierarchical(groups, members, s, merges=_merges(store, query, groups, s, folder)[0])
 
-    return store.result("clustering", make, source=_signature(store, query), filter=asdict(FilterSettings.of(query)), **asdict(s))
-
-
-def clustering(store: Store, query: Query, folder: str | None = None) -> DataFrame:
+def clustering(store: Store, query: Query, folder: str | None = None, as_rows: bool = False) -> DataFrame:
     """``clustering``: points, counts and the column chart."""
     base = _rows(store, query)
     points = clustering_points(store, query, folder)
     length = stats.summary(base).first()["alignment_length"]
     chart = compare.column_chart(points, base, length)
-    out = cluster.payload(points).crossJoin(listed(points, "points", ["partner_domain", "row_key"])).crossJoin(listed(chart, "columns_chart", ["cluster_label", "col"]))
-    return to_json(out.crossJoin(compare.stack_maximum(chart)), alignment_length=length)
+    out = cluster.payload(points).crossJoin(listed(chart, "columns_chart", ["cluster_label", "col"])).crossJoin(compare.stack_maximum(chart))
+    return with_list(out, points, "points", ["partner_domain", "row_key"], as_rows, alignment_length=length)
 
 
 def dendrogram_nodes(store: Store, query: Query, folder: str | None = None) -> DataFrame:
@@ -143,9 +180,12 @@ def dendrogram_nodes(store: Store, query: Query, folder: str | None = None) -> D
     if s.method != "hierarchical":
         raise ValueError("a dendrogram needs hierarchical clustering")
     groups, members = _compressed(store, query)
-    merges, source = _merges(store, query, groups, s, folder)
-    points = clustering_points(store, query, folder)
-    nodes = written(dendrogram.nodes(groups, merges, dendrogram.leaf_counts(members, points), number(query, "merge_depth", 5, int, above=0), s.distance_threshold), "nodes")
+    h = _hierarchy(store, query, groups, members, s, folder)
+    source, counts = h.source, dendrogram.leaf_counts(members, clustering_points(store, query, folder))
+    if h.leaves is not None:
+        counts = counts.join(h.leaves, "group_index").groupBy(F.col("leaf").alias("group_index"), "cluster_label", "partner_domain").agg(F.sum("n").alias("n"))
+        groups = cluster.as_leaves(groups, h.leaves, h.merges)
+    nodes = written(dendrogram.nodes(groups, h.merges, counts, number(query, "merge_depth", 5, int, above=0), s.distance_threshold), "nodes")
     out = listed(nodes, "nodes", ["node_id"]).crossJoin(listed(dendrogram.edges(nodes), "edges", ["target"]))
     return to_json(out, hierarchy_source=source, linkage=s.linkage, distance=s.distance)
 
@@ -158,17 +198,17 @@ def hierarchy_status(store: Store, query: Query, folder: str | None = None) -> D
         return to_json(spark.range(1).select(F.lit(False).alias("local_calculation_required")), method=s.method)
     groups, members = _compressed(store, query)
     n = groups.count()
-    depends = {"source": _signature(store, query), "filter": asdict(FilterSettings.of(query))}
-    source = "local"
-    if store.has_result("hierarchy", distance=s.distance, linkage=s.linkage, **depends):
-        source = "local_cache"
-    elif store.has_result("clustering", **depends, **asdict(s)):
+    h = _hierarchy(store, query, groups, members, s, folder, make=False)
+    source = h.source
+    if source == "local" and store.has_result("clustering", source=_signature(store, query), filter=asdict(FilterSettings.of(query)), **asdict(s), precalculated=False):
         source = "clustering_cache"
-    out = spark.range(1).select(F.lit(source != "local").alias("cached")).drop("cached")
     out = members.agg(F.count("*").alias("interface_count")).withColumn("leaf_count", F.lit(n))
     if source == "local" and folder:
         out = out.crossJoin(listed(cluster.cost_estimate(run_summaries(spark, folder), s.distance, s.linkage, n), "estimate"))
-    return to_json(out, method=s.method, distance=s.distance, linkage=s.linkage, source=source, local_calculation_required=source == "local")
+    told = {"precomputed_state": h.state, "precomputed_reason": h.reason}
+    if source == "precalculated":
+        told = dict(zip(("linkage_file", "resolver_file"), hierarchies.paths(folder, s.distance, s.linkage, _source(store, query)["family"])))
+    return to_json(out, method=s.method, distance=s.distance, linkage=s.linkage, source=source, local_calculation_required=source == "local", **told)
 
 
 def cluster_compare(store: Store, query: Query, folder: str | None = None) -> DataFrame:
@@ -194,12 +234,9 @@ def representative(store: Store, query: Query, folder: str | None = None) -> Dat
         label = number(query, "cluster_label", None, int, least=0)
         if label is None:
             raise ValueError("cluster_label is missing")
-        keep = clustering_points(store, query, folder).filter(F.col("cluster_label") == label).select(F.col("row_key").alias("interface_row_key"), "partner_domain")
-        base = base.join(keep, ["interface_row_key", "partner_domain"], "left_semi")
+        base = compare.rows_of_cluster(base, clustering_points(store, query, folder), label)
     length = base.agg(F.coalesce(F.max(F.length("aligned_seq")), F.lit(0)).alias("n")).first()["n"]
-    best = represent.select(base, method, length=length)
-    found = sequences.alignment_rows(base, length).withColumnRenamed("row_key", "key")
-    return to_json(best.join(found, "key", "left"), scope=scope, representative_method=method, alignment_length=length)
+    return to_json(represent.rows_of(represent.select(base, method, length=length), base, length), scope=scope, representative_method=method, alignment_length=length)
 
 
 def structure_preview(store: Store, query: Query) -> DataFrame:

@@ -70,6 +70,12 @@ def clean_ints(items: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(whole, lambda x: x.isNotNull())))
 
 
+def number_list(items: Column) -> Column:
+    """Distinct integers of an array of variants in the order of their first appearance; what is no integer is dropped."""
+    whole = F.transform(items, lambda x: F.try_variant_get(x, "$", "int"))
+    return F.array_distinct(F.filter(whole, lambda x: x.isNotNull()))
+
+
 def file_stem(name: Column) -> Column:
     """S3: file name without directory and ``.json`` or ``.json.gz``."""
     return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"(?i)\.json(\.gz)?$", "")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import string
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,35 +11,60 @@ from pyspark.sql import types as T
 from .keys import fragment_envelope, fragment_ranges, fragment_start, interaction_key, key_part
 
 GAP = "-"
-LETTERS = np.array(list(string.ascii_letters))
 
 
-@F.pandas_udf(T.StructType([T.StructField("aligned_sequence", T.StringType()), T.StructField("residue_ids", T.ArrayType(T.IntegerType()))]))
-def masked(sequences: pd.Series, fragments: pd.Series) -> pd.DataFrame:
+def _fragment(text: str | None) -> list[tuple[int, int]]:
+    return [tuple(int(x) for x in p.split("-")) for p in (text or "").split(",") if p.strip()]
+
+
+def _code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of a column as numbers, and the n + 1 offsets of its texts; null counts as empty."""
+    texts = [t or "" for t in texts]
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(list(map(len, texts)), dtype=np.int64)]).astype(np.int64)
+
+
+@F.arrow_udf(T.StructType([T.StructField("aligned_sequence", T.StringType()), T.StructField("residue_ids", T.ArrayType(T.IntegerType()))]))
+def masked(sequences: pa.Array, fragments: pa.Array) -> pa.Array:
     """M2: ASCII letters count residues up from the fragment's start, and those outside its ranges become
     gaps without an id. Other characters stay, without an id.
 
     A running count along a string has no built-in that is linear in the string's length (a fold that
-    appends to an array copies it at every step), so this is one Arrow-batched vector operation per row.
+    appends to an array copies it at every step). Here a whole Arrow batch is one vector: letters are counted through it, and
+    each range of a fragment is one run of the letters of its row.
     """
-    out_seq, out_ids = [], []
-    for sequence, fragment in zip(sequences, fragments):
-        chars = np.array(list(sequence or ""), dtype="<U1")
-        ranges = [tuple(int(x) for x in p.split("-")) for p in (fragment or "").split(",") if p.strip()]
-        letter = np.isin(chars, LETTERS) if len(chars) else np.zeros(0, bool)
-        number = (ranges[0][0] if ranges else 1) - 1 + np.cumsum(letter)
-        inside = np.zeros(len(chars), bool)
-        for s, e in ranges:
-            inside |= (number >= s) & (number <= e)
-        keep = letter & inside
-        out_seq.append("".join(np.where(letter & ~inside, GAP, chars)))
-        out_ids.append([int(n) if k else None for n, k in zip(number, keep)])
-    return pd.DataFrame({"aligned_sequence": out_seq, "residue_ids": out_ids})
+    chars, offsets = _code_points(sequences.to_pylist())
+    low = chars | 32
+    letter = (low >= ord("a")) & (low <= ord("z"))
+    (at,) = np.nonzero(letter)
+    bounds = np.searchsorted(at, offsets)
+    ranges = list(map(_fragment, fragments.to_pylist()))
+    starts = np.array([r[0][0] if r else 1 for r in ranges], np.int64)
+    row = np.repeat(np.arange(len(ranges)), list(map(len, ranges)))
+    s, e = np.array([x for r in ranges for x in r], np.int64).reshape(-1, 2).T
+    first, end = bounds[row], bounds[row + 1]
+    a = np.clip(first + s - starts[row], first, end)
+    z = np.maximum(a, np.clip(first + e - starts[row] + 1, first, end))
+    edge = np.zeros(len(at) + 1, np.int64)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, z, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    chars = chars.copy()
+    chars[at[~inside]] = ord(GAP)
+    owner = np.repeat(np.arange(len(ranges)), np.diff(bounds))
+    number = np.zeros(len(chars), np.int32)
+    number[at] = starts[owner] + np.arange(len(at)) - bounds[owner]
+    none = np.ones(len(chars), bool)
+    none[at[inside]] = False
+    text, cuts = chars.tobytes().decode("utf-32-le"), offsets.tolist()
+    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(number, pa.int32(), mask=none))
+    return pa.StructArray.from_arrays([pa.array([text[x:y] for x, y in zip(cuts, cuts[1:])], pa.string()), ids], names=["aligned_sequence", "residue_ids"])
 
 
 def alignment_rows(rows: DataFrame, alignment_length: int) -> DataFrame:
-    """M3: the eleven fields of an alignment row, padded with gaps and null ids to ``alignment_length``."""
+    """The eleven fields of an alignment row, padded with gaps and null ids to ``alignment_length``. A row has an
+    alignment if it has a sequence, unless its own ``has_alignment`` says that it has none."""
     key = F.col("interface_row_key")
+    said = F.coalesce(F.col("has_alignment"), F.lit(True)) if "has_alignment" in rows.columns else F.lit(True)
     length = F.greatest(F.lit(alignment_length), F.length("aligned_seq"))
     padded = F.rpad(F.coalesce("aligned_seq", F.lit("")), length, GAP)
     out = rows.withColumn("__m", masked(padded, key_part(key, 2)))
@@ -56,7 +79,7 @@ def alignment_rows(rows: DataFrame, alignment_length: int) -> DataFrame:
         F.concat_ws(" | ", key, F.col("partner_domain")).alias("display_row_key"),
         F.col("__m.aligned_sequence").alias("aligned_sequence"),
         F.col("__m.residue_ids").alias("residue_ids"),
-        (F.length(F.coalesce("aligned_seq", F.lit(""))) > 0).alias("has_alignment"),
+        (said & (F.length(F.coalesce("aligned_seq", F.lit(""))) > 0)).alias("has_alignment"),
     )
 
 

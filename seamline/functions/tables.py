@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,23 +13,80 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Names this process's intermediate tables, so that they can be deleted together.
+RUN = f"run-{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all machines see: ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own is fine on one machine, as in tests; on a cluster nobody else would see it, so
+    that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="seamline-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This process's part of the shared folder; deleted when the process ends in order."""
+    path = f"{shared_dir(spark)}/seamline/{RUN}"
+    if path not in _runs:
+        _runs.add(path)
+        atexit.register(_quietly, delete, spark, path)
+    return path
+
+
+_runs: set[str] = set()
+
+
+def _quietly(f, *args) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        f(*args)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, files = _hadoop(spark, path)
+    files.delete(where, True)
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, whole or not at all: written under another name and moved into place."""
+    where, files = _hadoop(spark, path)
+    draft, _ = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    stream = files.create(draft, True)
+    stream.write(bytearray(data))
+    stream.close()
+    files.delete(where, False)
+    if not files.rename(draft, where):
+        raise OSError(f"could not move a file to {path}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back; cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/seamline/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables that nothing reads any more. Only folders of this process are touched."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/seamline/{RUN}/" in folder:
+                delete(df.sparkSession, folder)
+
+
 def numbered(df: DataFrame, keys: list[str], name: str, start: int = 0) -> DataFrame:
     """``df`` with ``name``: the row's place in the order of ``keys``, from ``start``.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import written
+from ..functions.tables import numbered, written
 from ..settings import ClusteringSettings
 from . import kernels
 from .distance import near_pairs
@@ -44,6 +44,14 @@ def hierarchy(groups: DataFrame, metric: str = "overlap", linkage: str = "averag
     return out if by else out.drop("dataset")
 
 
+def as_leaves(groups: DataFrame, leaves: DataFrame, merges: DataFrame) -> DataFrame:
+    """The leaves of one dataset's precomputed hierarchy in the place of its groups: group_index is the leaf's number and
+    member_count the members of all its groups, 0 for a leaf without one."""
+    every = merges.sparkSession.range(merges.count() + 1).select(F.col("id").alias("leaf"))
+    held = leaves.join(groups.select("group_index", "member_count"), "group_index").groupBy("leaf").agg(F.sum("member_count").alias("member_count"))
+    return every.join(held, "leaf", "left").select(F.col("leaf").alias("group_index"), F.coalesce("member_count", F.lit(0)).alias("member_count"))
+
+
 def leaf_labels(groups: DataFrame, merges: DataFrame, settings: ClusteringSettings, by: list[str] | None = None) -> DataFrame:
     """group_index and cluster_label (not yet ranked) of every group."""
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "member_count"), by or [])
@@ -72,13 +80,19 @@ def leaf_labels(groups: DataFrame, merges: DataFrame, settings: ClusteringSettin
 
 
 def rank_labels(points: DataFrame, by: list[str] | None = None, label: str = "cluster_label") -> DataFrame:
-    """Labels renumbered from 0 by size, largest first, ties by label; noise stays -1."""
+    """Labels renumbered from 0 by size, largest first, ties by label; noise stays -1.
+
+    Clusters grow with the data: without ``by`` they are numbered by ranges and not in one window, and the optimizer decides
+    whether the ranks are small enough to broadcast.
+    """
     by = by or []
-    sizes = points.filter(F.col(label) >= 0).groupBy(*by, label).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(*by).orderBy(F.desc("__n"), label)
-    ranks = sizes.withColumn("__rank", (F.row_number().over(order) - 1).cast("int")).drop("__n")
-    out = points.join(F.broadcast(ranks), [*by, label], "left")
-    return out.withColumn(label, F.coalesce("__rank", F.lit(-1))).drop("__rank").select(*points.columns)
+    sizes = points.filter(F.col(label) >= 0).groupBy(*by, label).agg((-F.count("*")).alias("__n"))
+    if by:
+        ranks = sizes.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy("__n", label)) - 1)
+    else:
+        ranks = numbered(sizes, ["__n", label], "__rank")
+    out = points.join(ranks.drop("__n"), [*by, label], "left")
+    return out.withColumn(label, F.coalesce("__rank", F.lit(-1)).cast("int")).select(*points.columns)
 
 
 def points(labels: DataFrame, members: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -88,14 +102,23 @@ def points(labels: DataFrame, members: DataFrame, by: list[str] | None = None) -
     return rank_labels(joined, by)
 
 
-def hierarchical(groups: DataFrame, members: DataFrame, settings: ClusteringSettings, by: list[str] | None = None, merges: DataFrame | None = None) -> DataFrame:
-    """Points of a hierarchical clustering; ``merges`` may be precomputed."""
+def hierarchical(groups: DataFrame, members: DataFrame, settings: ClusteringSettings, by: list[str] | None = None, merges: DataFrame | None = None, leaves: DataFrame | None = None) -> DataFrame:
+    """Points of a hierarchical clustering. ``merges`` may be precomputed; ``leaves`` then names the leaf of every group of
+    the one dataset, and a group gets its leaf's label."""
     merges = merges if merges is not None else hierarchy(groups, settings.distance, settings.linkage, by)
-    return points(leaf_labels(groups, merges, settings, by), members, by)
+    if leaves is None:
+        return points(leaf_labels(groups, merges, settings, by), members, by)
+    if groups.count() == 1:
+        return points(groups.select("group_index", F.lit(0).alias("cluster_label")), members)
+    labels = leaf_labels(as_leaves(groups, leaves, merges), merges, settings).withColumnRenamed("group_index", "leaf")
+    return points(leaves.join(labels, "leaf").select("group_index", "cluster_label"), members)
 
 
 def density(groups: DataFrame, members: DataFrame, settings: ClusteringSettings, by: list[str] | None = None) -> DataFrame:
-    """Points by HDBSCAN on the entries (each group counts as often as it has members)."""
+    """Points by HDBSCAN on the entries (each group counts as often as it has members).
+
+    Equal entries are told apart by nothing but the order of ties, so a group takes the label that most of its copies got.
+    """
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "columns", "member_count"), by or [])
     s = settings
 
@@ -107,9 +130,7 @@ def density(groups: DataFrame, members: DataFrame, settings: ClusteringSettings,
         d = kernels.distance_matrix([list(c) for c in pdf["columns"]], s.distance)
         at = np.repeat(np.arange(len(pdf)), times)
         labels = kernels.hdbscan(d[np.ix_(at, at)], s.min_cluster_size, s.min_samples, s.cluster_selection_epsilon)
-        # Equal entries are at distance 0; the group takes the label of its first one.
-        first = np.concatenate([[0], np.cumsum(times)[:-1]])
-        out = pd.DataFrame({"group_index": pdf["group_index"].to_numpy(), "cluster_label": labels[first]})
+        out = pd.DataFrame({"group_index": pdf["group_index"].to_numpy(), "cluster_label": kernels.voted(labels, at)})
         for k, v in zip(reversed(keys), reversed(key)):
             out.insert(0, k, v)
         return out

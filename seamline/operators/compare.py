@@ -25,7 +25,7 @@ def column_chart(points: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     sizes = points.groupBy("cluster_label").agg(F.count("*").alias("size"))
     counts = joined(points, rows).select("cluster_label", F.explode("interface_msa_columns_a").alias("col")).filter((F.col("col") >= 0) & (F.col("col") < length))
     counts = counts.groupBy("cluster_label", "col").agg(F.count("*").alias("count"))
-    return counts.join(F.broadcast(sizes), "cluster_label").select("cluster_label", "col", "count", "size", (F.col("count") / F.col("size")).alias("relative"))
+    return counts.join(sizes, "cluster_label").select("cluster_label", "col", "count", "size", (F.col("count") / F.col("size")).alias("relative"))
 
 
 def dense_chart(chart: DataFrame, length: int) -> DataFrame:
@@ -84,7 +84,7 @@ def top_clusters(points: DataFrame, n: int = 9) -> DataFrame:
 
 def supported_columns(counts: DataFrame, sizes: DataFrame, least: float = SUPPORT) -> DataFrame:
     """Columns of each cluster that at least this share of its members has."""
-    out = counts.join(F.broadcast(sizes), "cluster_label").withColumn("support", F.col("column_count") / F.col("member_count"))
+    out = counts.join(sizes, "cluster_label").withColumn("support", F.col("column_count") / F.col("member_count"))
     return out.filter(F.col("support") >= least)
 
 
@@ -106,6 +106,12 @@ def members_with_column(points: DataFrame, rows: DataFrame, cluster: int, col: i
     return inside.select("row_key", "partner_domain").distinct().orderBy("row_key", "partner_domain")
 
 
+def rows_of_cluster(rows: DataFrame, points: DataFrame, cluster: int) -> DataFrame:
+    """The rows whose points are in a cluster."""
+    inside = points.filter(F.col("cluster_label") == cluster).select(F.col("row_key").alias("interface_row_key"), "partner_domain")
+    return rows.join(inside, ["interface_row_key", "partner_domain"], "left_semi")
+
+
 def row_clusters(points: DataFrame) -> DataFrame:
     """Of each row key of a partner the label most of its points have: ties prefer clusters to noise, then smaller labels."""
     counts = points.groupBy("row_key", "partner_domain", "cluster_label").agg(F.count("*").alias("n"))
@@ -156,6 +162,11 @@ def nearest_signal(chart: DataFrame, target: int) -> DataFrame:
     return chart.filter("count > 0").agg(F.min_by("col", F.struct(F.abs(F.col("col") - target), "col")).alias("col"))
 
 
+def signal_columns(chart: DataFrame, low: int, high: int) -> DataFrame:
+    """K8: the columns with a signal between ``low`` and ``high``, each once, in order."""
+    return chart.filter((F.col("count") > 0) & F.col("col").between(low, high)).select("col").distinct().orderBy("col")
+
+
 def preload_order(items: DataFrame, active: int, position: str = "pos") -> DataFrame:
     """K9: items after the active one first, then around."""
     n = items.agg(F.count("*").alias("n"))

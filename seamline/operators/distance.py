@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
+from .compress import signature
 
 
 def set_distance(metric: str, common: Column, a: Column, b: Column) -> Column:
@@ -38,16 +39,51 @@ def common_sizes(groups: DataFrame, key: str = "group_index", within: list[str]
     return a.join(b, [*within, "c"]).filter("i < j").groupBy(*within, "i", "j").agg(F.count("*").alias("common"))
 
 
+#: Allowance for rounding in the filters of near pairs; the comparison itself is exact.
+SLACK = 1e-9
+
+
+def least_common(metric: str, threshold: float, a: Column, b: Column) -> Column:
+    """The smallest intersection that sets of ``a`` and ``b`` columns can have and be at most ``threshold`` apart."""
+    share = 1.0 - threshold
+    if metric == "jaccard":
+        need = (a + b) * (share / (1 + share))
+    elif metric == "dice":
+        need = (a + b) * (share / 2)
+    else:
+        need = F.least(a, b) * share
+    return F.greatest(F.lit(1), F.ceil(need - SLACK)).cast("int")
+
+
 def near_pairs(groups: DataFrame, metric: str, threshold: float, key: str = "group_index", within: list[str] | None = None) -> DataFrame:
-    """i, j and distance of pairs at most ``threshold`` (below 1) apart, through the inverted index."""
+    """i, j and distance of pairs at most ``threshold`` (below 1) apart.
+
+    Columns are ordered by how many sets have them, rare ones first. A set shares at least ``need`` columns with a partner of
+    its size or larger, so one of its ``size - need + 1`` rarest, its prefix, is among them. Smaller sets are looked up by their prefix
+    in the prefixes of the others, which for overlap, where the sizes may differ in any way, are the whole sets. So
+    columns that most sets have drop out of the index. A pair is compared where it meets first, if the places of the shared column
+    leave room for enough common ones; the sets come along, so nothing is counted or joined afterwards.
+    """
     if threshold >= 1:
         raise ValueError("pairs without a common column are 1 apart; use all_pairs")
-    sizes = groups.select(F.col(key), F.size("columns").alias("n"))
-    out = common_sizes(groups, key, within)
-    for side, name in (("i", "na"), ("j", "nb")):
-        out = out.join(sizes.select(F.col(key).alias(side), F.col("n").alias(name)), side)
-    out = out.withColumn("distance", set_distance(metric, F.col("common"), F.col("na"), F.col("nb")))
-    return out.filter(F.col("distance") <= threshold).select(*(within or []), "i", "j", "distance")
+    within, share = within or [], 1.0 - threshold
+    sets = groups.select(*within, F.col(key).alias("g"), F.array_distinct("columns").alias("columns")).filter(F.size("columns") > 0)
+    long = sets.select(*within, "g", F.explode("columns").alias("c"))
+    counts = long.groupBy(*within, "c").agg(F.count("*").alias("f"))
+    ranked = long.join(counts, [*within, "c"]).groupBy(*within, "g").agg(F.array_sort(F.collect_list(F.struct("f", "c"))).alias("r"))
+    size = F.col("n")
+    need = {"jaccard": size * share, "dice": size * (share / (2 - share)), "overlap": size * share}[metric]
+    prefix = F.slice("columns", F.lit(1), (size - F.greatest(F.lit(1), F.ceil(need - SLACK)) + 1).cast("int"))
+    sets = ranked.select(*within, "g", F.transform("r", lambda x: x["c"]).alias("columns"), F.size("r").alias("n"))
+    sets = written(sets.withColumn("prefix", prefix), "prefixes")
+    small = sets.select(*within, "g", "n", "columns", "prefix", F.posexplode("prefix").alias("pos", "c"))
+    large = small if metric != "overlap" else sets.select(*within, "g", "n", "columns", F.col("columns").alias("prefix"), F.posexplode("columns").alias("pos", "c"))
+    a, b = (df.select(*within, "c", *[F.col(x).alias(f"{x}_{side}") for x in ("g", "n", "columns", "prefix", "pos")]) for df, side in ((small, "a"), (large, "b")))
+    once = (F.struct("n_a", "g_a") < F.struct("n_b", "g_b")) & (F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("c"))
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    both = a.join(b, [*within, "c"]).filter(once & (room >= least_common(metric, threshold, F.col("n_a"), F.col("n_b"))))
+    both = both.withColumn("distance", set_distance(metric, F.size(F.array_intersect("columns_a", "columns_b")), F.col("n_a"), F.col("n_b")))
+    return both.filter(F.col("distance") <= threshold).select(*within, F.least("g_a", "g_b").alias("i"), F.greatest("g_a", "g_b").alias("j"), "distance")
 
 
 def all_pairs(groups: DataFrame, metrics: list[str], key: str = "group_index", within: list[str] | None = None) -> DataFrame:
@@ -98,9 +134,31 @@ def indicator(groups: DataFrame, key: str = "group_index") -> DataFrame:
     return groups.select(key, F.explode("columns").alias("col"))
 
 
-def stored(spark, store, groups: DataFrame, metric: str, **depends) -> DataFrame:
-    """All pair distances from the result cache, unquantised."""
-    return store.result("distances", lambda: all_pairs(groups, [metric]).withColumnRenamed(metric, "distance"), metric=metric, **depends)
+#: Layout of a stored distance table; a change makes every older one invalid.
+CACHE_VERSION = 1
+
+
+def stored(store, groups: DataFrame, members: DataFrame, metric: str, **depends) -> DataFrame:
+    """All pair distances of the groups from the result cache, unquantised.
+
+    A stored table names its metric, its layout's version, the groups' signature and its numbers of groups and pairs; it is read only if
+    all of them are those of the groups at hand, and made anew otherwise.
+    """
+    n = groups.count()
+    pairs = n * (n - 1) // 2
+    told = signature(groups, members).first()["signature"]
+    depends = {"metric": metric, "version": CACHE_VERSION, "signature": told, "groups": n, **depends}
+
+    def make() -> DataFrame:
+        made = all_pairs(groups, [metric]).withColumnRenamed(metric, "distance")
+        return made.select("*", *[F.lit(v).alias(f"of_{k}") for k, v in {"metric": metric, "version": CACHE_VERSION, "signature": told, "groups": n}.items()])
+
+    got = store.result("distances", make, **depends)
+    fits = (F.col("of_metric") == metric) & (F.col("of_version") == CACHE_VERSION) & (F.col("of_signature") == told) & (F.col("of_groups") == n) & F.col("distance").between(0, 1)
+    whole, good = got.agg(F.count("*"), F.count(F.when(fits, 1))).first()
+    if (whole, good) != (pairs, pairs):
+        got = store.result("distances", make, anew=True, **depends)
+    return got.select("i", "j", "distance")
 
 
 def materialised(pairs: DataFrame) -> DataFrame:

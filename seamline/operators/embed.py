@@ -11,12 +11,12 @@ from ..settings import EmbeddingSettings
 from . import kernels
 from .cluster import _schema, per_dataset
 
-POINTS = "group_index long, x double, y double, z double"
+POINTS = "group_index long, x double, y double, z double, share0 double, share1 double, share2 double"
 
 
 def layout(groups: DataFrame, settings: EmbeddingSettings, by: list[str] | None = None) -> DataFrame:
-    """group_index and coordinates in the unit ball, one task a dataset. PCA and t-SNE over the indicator matrix
-    or, for a set metric, over the distances."""
+    """group_index and coordinates in the unit ball, one task a dataset, and beside them the shares of variance that PCA
+    explains (0 for t-SNE). PCA and t-SNE over the indicator matrix or, for a set metric, over the distances."""
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "columns"), by or [])
     s = settings
 
@@ -25,11 +25,12 @@ def layout(groups: DataFrame, settings: EmbeddingSettings, by: list[str] | None
         sets = [list(c) for c in pdf["columns"]]
         x = indicator_matrix(sets) if s.distance == "binary" else kernels.distance_matrix(sets, s.distance)
         if s.method == "pca":
-            coords = kernels.pca(x)[0]
+            coords, share = kernels.pca(x)
         else:
+            share = np.zeros(3)
             coords = kernels.tsne(x, s.distance != "binary", s.perplexity, s.learning_rate, s.max_iter, s.early_exaggeration_iter, s.early_exaggeration, s.random_state)[0]
         coords = kernels.unit_ball(coords)
-        out = pd.DataFrame({"group_index": pdf["group_index"].to_numpy(), "x": coords[:, 0], "y": coords[:, 1], "z": coords[:, 2]})
+        out = pd.DataFrame({"group_index": pdf["group_index"].to_numpy(), "x": coords[:, 0], "y": coords[:, 1], "z": coords[:, 2], **{f"share{k}": share[k] for k in range(3)}})
         for k, v in zip(reversed(keys), reversed(key)):
             out.insert(0, k, v)
         return out
@@ -65,10 +66,10 @@ def pca_at_scale(groups: DataFrame, most_columns: int = 4096):
     """
     long = groups.select("group_index", F.explode("columns").alias("col"))
     n = groups.count()
-    pairs = gram(long).limit(most_columns * (most_columns + 1) // 2 + 1).toPandas()
-    columns = np.unique(np.concatenate([pairs["a"], pairs["b"]])) if len(pairs) else np.zeros(0, int)
+    columns = np.array(sorted(r["col"] for r in long.select("col").distinct().limit(most_columns + 1).collect()), int)
     if len(columns) > most_columns:
         raise ValueError(f"more than {most_columns} columns")
+    pairs = gram(long).toPandas()
     at = {c: k for k, c in enumerate(columns.tolist())}
     g = np.zeros((len(columns), len(columns)))
     i, j = pairs["a"].map(at).to_numpy(int), pairs["b"].map(at).to_numpy(int)

@@ -151,48 +151,41 @@ def cut_by_persistence(children, heights, members, min_size: int, min_lifetime:
     """Leaf labels of the set of disjoint nodes with the largest total of lifetime**a * share**b; -1 outside it.
 
     ``a = min(1, 2 weight)`` and ``b = min(1, 2 (1 - weight))``. *rectangle* takes a node's own height and size; *integral*
-    follows its single large child downwards and averages the size over the way. Nothing selected means one cluster.
+    goes on into its only large child, as far as there is one, and averages the size over the way. Lifetimes below 0, of
+    merges under their children, count as 0. Nothing selected means one cluster. All nodes are scored at once from the
+    ways that end in them; every way is one addition to its child's.
     """
+    children = np.asarray(children, np.int64).reshape(-1, 2)
     n = len(children) + 1
-    total = 2 * n - 1
+    total, root = 2 * n - 1, 2 * n - 2
     size = np.concatenate([np.asarray(members, np.int64), np.zeros(n - 1, np.int64)])
-    birth = np.concatenate([np.zeros(n), heights])
-    parent = np.full(total, -1)
-    for k, (a, b) in enumerate(children):
-        size[n + k] = size[a] + size[b]
-        parent[a] = parent[b] = n + k
-    root = total - 1
-    end = np.where(parent >= 0, birth[parent], np.nan)
-
-    def factor(x: float, power: float) -> float:
-        return 1.0 if power <= 0 else (x**power if x > 0 else 0.0)
-
-    def lifetime_and_share(v: int) -> tuple[float, float]:
-        if mode == "rectangle":
-            return end[v] - birth[v], size[v] / size[root]
-        duration = area = 0.0
-        high = end[v]
-        while True:
-            low = birth[v]
-            duration += high - low
-            area += (high - low) * size[v] / size[root]
-            big = [c for c in children[v - n] if size[c] >= min_size] if v >= n else []
-            if len(big) != 1:
-                return duration, area / duration if duration > 0 else 0.0
-            v, high = big[0], low
-
+    low = np.concatenate([np.zeros(n), heights])
+    high = np.full(total, np.nan)
+    for k, pair in enumerate(children):
+        size[n + k] = size[pair].sum()
+        high[pair] = low[n + k]
+    length = np.where(np.isnan(high), 0.0, np.maximum(0.0, high - low))
+    whole = max(1, size[root])
+    duration, area = length.copy(), length * size / whole
+    if mode == "integral":
+        for k, pair in enumerate(children):
+            (large,) = np.nonzero(size[pair] >= min_size)
+            if len(large) == 1:
+                duration[n + k] += duration[pair[large[0]]]
+                area[n + k] += area[pair[large[0]]]
+        share = np.divide(area, duration, out=np.zeros(total), where=duration > 0)
+    else:
+        share = size / whole
     a, b = min(1.0, 2 * weight), min(1.0, 2 * (1 - weight))
-    best = np.zeros(total)
-    chosen = np.zeros(total, bool)
-    for v in range(total):
-        score = 0.0
-        if v != root and size[v] >= min_size:
-            lifetime, share = lifetime_and_share(v)
-            if lifetime >= min_lifetime:
-                score = factor(lifetime, a) * factor(share, b)
-        below = best[children[v - n]].sum() if v >= n else 0.0
-        chosen[v] = score > 0 and score >= below
-        best[v] = score if chosen[v] else below
+    raised = lambda x, power: np.ones(total) if power <= 0 else np.where(x > 0, np.maximum(x, 0.0) ** power, 0.0)
+    # The root has no lifetime of its own.
+    fit = (np.arange(total) != root) & (size >= min_size) & (duration >= min_lifetime)
+    score = np.where(fit, raised(duration, a) * raised(share, b), 0.0)
+    best, chosen = score.copy(), score > 0
+    for k, pair in enumerate(children):
+        below = best[pair].sum()
+        if not chosen[n + k] or score[n + k] < below:
+            chosen[n + k], best[n + k] = False, below
     labels = np.full(n, -1)
     label, stack = 0, [(root, -1)]
     while stack:
@@ -212,6 +205,15 @@ def drop_small(labels: np.ndarray, members: np.ndarray, least: int) -> np.ndarra
     return np.where((labels >= 0) & (sums[np.maximum(labels, 0)] < least), -1, labels)
 
 
+def voted(labels: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each owner 0, 1, ... the label that most of its items have; ties go to a cluster before noise, then to the smaller label."""
+    names, place = np.unique(labels, return_inverse=True)
+    votes = np.zeros((owner.max() + 1, len(names)), np.int64)
+    np.add.at(votes, (owner, place), 1)
+    order = np.lexsort((names, names < 0))
+    return names[order][votes[:, order].argmax(axis=1)]
+
+
 def ranked(labels: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """Clusters renumbered by size, largest first, ties by the old label; noise stays."""
     labels = np.asarray(labels)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import cells
 from ..functions.tables import js_round, percent
 
 
@@ -22,7 +23,7 @@ def column_stats(marks_: DataFrame) -> DataFrame:
     everyone = own.select(F.lit("__all__").alias("partner_domain"), "row_key", "col").distinct()
     both = own.unionByName(everyone)
     rows = both.select("partner_domain", "row_key").distinct().groupBy("partner_domain").agg(F.count("*").alias("denominator"))
-    return both.groupBy("partner_domain", "col").agg(F.count("*").alias("count")).join(F.broadcast(rows), "partner_domain")
+    return both.groupBy("partner_domain", "col").agg(F.count("*").alias("count")).join(rows, "partner_domain")
 
 
 def merged(seen: DataFrame, page: DataFrame) -> DataFrame:
@@ -38,21 +39,33 @@ def row_sets(rows: DataFrame) -> DataFrame:
     )
 
 
-def cell_states(cells: DataFrame, marks_: DataFrame) -> DataFrame:
-    """The state of every cell: gap, then interface, then surface, then core. ``cells`` has row_key, partner_domain,
-    col and is_letter."""
+def cell_states(cells_: DataFrame, marks_: DataFrame) -> DataFrame:
+    """The state of every cell: gap, then interface, then surface, then core. ``cells_`` has row_key, partner_domain,
+    col and is_letter; marks may come from elsewhere (for the rows' own, see ``row_states``)."""
     best = marks_.groupBy("row_key", "partner_domain", "col").agg(F.min("kind").alias("kind"))
-    out = cells.join(best, ["row_key", "partner_domain", "col"], "left")
+    out = cells_.join(best, ["row_key", "partner_domain", "col"], "left")
     return out.withColumn("state", F.when(~F.col("is_letter"), "gap").otherwise(F.coalesce("kind", F.lit("core"))))
 
 
-def state_distribution(states: DataFrame, rows: int | Column) -> DataFrame:
-    """Col, state, count and percent of all rows; rows too short for a column are gaps there."""
-    counted = states.filter("state <> 'gap'").groupBy("col", "state").agg(F.count("*").alias("count"))
-    total = F.lit(rows) if isinstance(rows, int) else rows
-    letters = states.groupBy("col").agg(F.count(F.when(F.col("state") != "gap", 1)).alias("n"))
-    gaps = letters.select("col", F.lit("gap").alias("state"), (total - F.col("n")).alias("count"))
-    return counted.unionByName(gaps).filter("count > 0").withColumn("percent", js_round(F.col("count") / total * 100))
+def row_states(rows: DataFrame) -> DataFrame:
+    """A27, X22 for rows with their own overlays: the state of every cell (col from 0) from the row's two column lists. No join: a
+    row carries all that its cells need."""
+    kept = rows.select("aligned_seq", "interface_msa_columns_a", "surface_msa_columns_a")
+    at = cells(kept, ["interface_msa_columns_a", "surface_msa_columns_a"])
+    has = lambda c: F.coalesce(F.array_contains(c, F.col("col")), F.lit(False))
+    state = F.when(~F.col("is_letter"), "gap").when(has("interface_msa_columns_a"), "interface").when(has("surface_msa_columns_a"), "surface").otherwise("core")
+    return at.select("col", state.alias("state"))
+
+
+def state_distribution(states: DataFrame, rows: DataFrame) -> DataFrame:
+    """Col, state, count and percent of all ``rows``; rows too short for a column are gaps there. Cells are aggregated once."""
+    at = lambda s: F.count(F.when(F.col("state") == s, 1))
+    total = rows.agg(F.count("*").alias("total"))
+    wide = states.groupBy("col").agg(*[at(s).alias(s) for s in ("interface", "surface", "core")]).crossJoin(F.broadcast(total))
+    kinds = [F.struct(F.lit(s).alias("state"), F.col(s).alias("count")) for s in ("interface", "surface", "core")]
+    gap = F.struct(F.lit("gap").alias("state"), (F.col("total") - F.col("interface") - F.col("surface") - F.col("core")).alias("count"))
+    long = wide.select("col", "total", F.explode(F.array(*kinds, gap)).alias("s")).select("col", "s.state", "s.count", "total").filter("count > 0")
+    return long.select("col", "state", "count", js_round(F.col("count") / F.col("total") * 100).alias("percent"))
 
 
 def partner_distribution(stats: DataFrame, enabled: list[str] | None = None) -> DataFrame:
@@ -65,17 +78,17 @@ def partner_distribution(stats: DataFrame, enabled: list[str] | None = None) ->
     return use.withColumn("rank", F.row_number().over(order)).withColumn("chart_percent", share)
 
 
-def top_residues(cells: DataFrame, rows: int | Column, selected: str | None = None, n: int = 5) -> DataFrame:
-    """K3: the most frequent letters of each column with their percent; a selected letter that is not among them takes the
-    last place."""
-    counts = cells.filter("is_letter").groupBy("col", F.upper("ch").alias("residue")).agg(F.count("*").alias("count"))
+def top_residues(cells_: DataFrame, rows: DataFrame, selected: str | None = None, n: int = 5) -> DataFrame:
+    """K3: the most frequent letters of each column with their percent of all ``rows``; a selected letter that is not among them
+    takes the last place."""
+    counts = cells_.filter("is_letter").groupBy("col", F.upper("ch").alias("residue")).agg(F.count("*").alias("count"))
     order = Window.partitionBy("col").orderBy(F.desc("count"), "residue")
     ranked = counts.withColumn("rank", F.row_number().over(order))
     chosen = F.lit(False) if not selected else F.col("residue") == selected.upper()
     rescued = F.max(F.when(chosen & (F.col("rank") > n), 1).otherwise(0)).over(Window.partitionBy("col"))
     out = ranked.withColumn("rescued", rescued).filter((F.col("rank") <= n - F.col("rescued")) | (chosen & (F.col("rescued") == 1)))
-    total = F.lit(rows) if isinstance(rows, int) else rows
-    return out.select("col", "residue", "count", js_round(F.col("count") / total * 100).alias("percent"), F.row_number().over(order).alias("rank"), chosen.alias("is_selected"))
+    out = out.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+    return out.select("col", "residue", "count", js_round(F.col("count") / F.col("total") * 100).alias("percent"), F.row_number().over(order).alias("rank"), chosen.alias("is_selected"))
 
 
 def residue_lookup(row: DataFrame, identity: DataFrame) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import interaction_key
+from ..functions.sequences import alignment_rows
 from ..functions.tables import written
 
-GAP_CODE = 26
+GAP = "-"
 
 
 def encoded(candidates: DataFrame, by: list[str], length: int | None = None) -> DataFrame:
-    """``by``, key, n_columns, col and code of candidates that have columns.
+    """``by``, key, n_columns, len and ``code`` of candidates that have columns: one character a column of the alignment.
 
-    Upper-case ASCII letters are 0 to 25 and all else a gap; characters beyond ASCII are dropped first, which moves what follows.
+    Upper-case ASCII letters stay and all else is a gap; characters beyond ASCII are dropped first, which moves what follows.
     Sequences are cut or filled with gaps to the alignment's length: ``length``, or the longest of each ``by``.
     """
     some = candidates.filter(F.size("interface_msa_columns_a") > 0)
@@ -22,34 +23,51 @@ def encoded(candidates: DataFrame, by: list[str], length: int | None = None) ->
     rows = some.select(*by, interaction_key(F.col("interface_row_key"), F.col("partner_domain")).alias("key"), F.size(F.array_distinct("interface_msa_columns_a")).alias("n_columns"), plain.alias("seq"))
     if length is not None:
         rows = rows.withColumn("len", F.lit(length))
+    elif by:
+        rows = rows.join(some.groupBy(*by).agg(F.max(F.length("aligned_seq")).alias("len")), by)
     else:
-        longest = some.groupBy(*by).agg(F.max(F.length("aligned_seq")).alias("len")) if by else some.agg(F.max(F.length("aligned_seq")).alias("len"))
-        rows = rows.join(F.broadcast(longest), by) if by else rows.crossJoin(F.broadcast(longest))
-    chars = F.split(F.substring(F.rpad("seq", F.col("len"), "-"), F.lit(1), F.col("len")), "")
-    out = rows.filter("len > 0").select(*by, "key", "n_columns", "len", F.posexplode(F.filter(chars, lambda c: c != "")).alias("col", "ch"))
-    return out.withColumn("code", F.when(F.col("ch").rlike("^[A-Z]$"), F.ascii("ch") - 65).otherwise(GAP_CODE)).drop("ch")
+        rows = rows.crossJoin(F.broadcast(some.agg(F.max(F.length("aligned_seq")).alias("len"))))
+    code = F.regexp_replace(F.substring(F.rpad("seq", F.col("len"), GAP), F.lit(1), F.col("len")), "[^A-Z]", GAP)
+    return rows.filter("len > 0").select(*by, "key", "n_columns", "len", code.alias("code"))
 
 
-def consensus(cells: DataFrame, by: list[str], with_gaps: bool) -> DataFrame:
-    """Most frequent code of each column; ties go to the lowest code, so letters come before the gap."""
-    use = cells if with_gaps else cells.filter(F.col("code") < GAP_CODE)
-    counts = use.groupBy(*by, "col", "code").agg(F.count("*").alias("n"))
-    return counts.groupBy(*by, "col").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("best"))
+def consensus(rows: DataFrame, by: list[str], with_gaps: bool) -> DataFrame:
+    """``by`` and ``best``, the most frequent character of each column as an array (null for a column without a letter, if gaps do not
+    count); ties go to the first letter, so letters come before the gap.
+
+    Cells are counted where they are; what is gathered is one character a column.
+    """
+    cells = rows.select(*by, F.posexplode(F.split("code", "")).alias("col", "ch")).filter("ch <> ''")
+    counts = cells.groupBy(*by, "col", "ch").agg(F.count("*").alias("n"))
+    counted = F.lit(True) if with_gaps else F.col("ch") != GAP
+    late = F.when(F.col("ch") == GAP, 26).otherwise(F.ascii("ch") - 65)
+    best = counts.groupBy(*by, "col").agg(F.max_by(F.when(counted, F.col("ch")), F.when(counted, F.struct("n", -late))).alias("ch"))
+    whole = F.array_sort(F.collect_list(F.struct("col", "ch")))
+    best = best.groupBy(*by).agg(whole.alias("cells")) if by else best.agg(whole.alias("cells"))
+    return best.select(*by, F.transform("cells", lambda x: x["ch"]).alias("best"))
+
+
+def _scored(rows: DataFrame, by: list[str], with_gaps: bool) -> DataFrame:
+    """Rows beside their consensus as arrays ``own`` and ``best`` of the same length: no cell is ever shuffled."""
+    best = consensus(rows, by, with_gaps)
+    both = rows.join(best, by) if by else rows.crossJoin(F.broadcast(best))
+    return both.withColumn("own", F.filter(F.split("code", ""), lambda c: c != "")).withColumn("coverage", F.length(F.translate("code", GAP, "")).cast("long"))
+
+
+def _agreeing(test) -> Column:
+    """In how many columns ``test(own, best)`` holds."""
+    return F.size(F.filter(F.zip_with("own", "best", test), lambda x: F.coalesce(x, F.lit(False)))).cast("long")
 
 
 def balanced(candidates: DataFrame, by: list[str] | None = None, length: int | None = None) -> DataFrame:
     """R2: the row that matches most of the consensus (gaps included), less 0.05 per share of the alignment that its
     coverage is off the median. Ties: match share, nearness to the median, more columns, smaller key."""
     by = by or []
-    cells = written(encoded(candidates, by, length), "cells")
-    # Written, so that the join reads plain exchanges: every row has a cell in each column, and such partitions can be split.
-    both = cells.join(written(consensus(cells, by, True), "consensus"), [*by, "col"])
-    hit = F.col("code") == F.col("best")
-    rows = both.groupBy(*by, "key", "n_columns", "len").agg(
-        F.count(F.when(hit, 1)).alias("matches"), F.count(F.when(hit & (F.col("best") == GAP_CODE), 1)).alias("gap_matches"), F.count(F.when(F.col("code") < GAP_CODE, 1)).alias("coverage")
-    )
-    median = rows.groupBy(*by).agg(F.median("coverage").alias("median_coverage")) if by else rows.agg(F.median("coverage").alias("median_coverage"))
-    rows = rows.join(F.broadcast(median), by) if by else rows.crossJoin(F.broadcast(median))
+    rows = _scored(written(encoded(candidates, by, length), "encoded"), by, True)
+    gaps = _agreeing(lambda a, b: (a == b) & (b == GAP)).alias("gap_matches")
+    rows = rows.select(*by, "key", "n_columns", "len", "coverage", _agreeing(lambda a, b: a == b).alias("matches"), gaps)
+    middle = F.median("coverage").alias("median_coverage")
+    rows = rows.join(rows.groupBy(*by).agg(middle), by) if by else rows.crossJoin(F.broadcast(rows.agg(middle)))
     rows = rows.withColumn("coverage_distance", F.abs(F.col("coverage") - F.col("median_coverage"))).withColumn("match_fraction", F.col("matches") / F.col("len"))
     rows = rows.withColumn("score", F.col("match_fraction") - 0.05 * (F.col("coverage_distance") / F.greatest(F.lit(1), "len")))
     order = F.struct(-F.col("score"), -F.col("match_fraction"), "coverage_distance", -F.col("n_columns"), "key")
@@ -59,13 +77,10 @@ def balanced(candidates: DataFrame, by: list[str] | None = None, length: int | N
 def residue_consensus(candidates: DataFrame, by: list[str] | None = None, length: int | None = None) -> DataFrame:
     """The row that matches most letters of the consensus; ties: coverage of consensus columns, smaller key."""
     by = by or []
-    cells = written(encoded(candidates, by, length), "cells")
-    best = written(consensus(cells, by, False), "consensus")
-    total = best.groupBy(*by).agg(F.count("*").alias("consensus_columns")) if by else best.agg(F.count("*").alias("consensus_columns"))
-    both = cells.join(best, [*by, "col"], "left")
-    rows = both.groupBy(*by, "key", "n_columns").agg(F.count(F.when(F.col("code") == F.col("best"), 1)).alias("matches"), F.count(F.when(F.col("best").isNotNull() & (F.col("code") < GAP_CODE), 1)).alias("coverage"))
-    rows = rows.join(F.broadcast(total), by, "left") if by else rows.crossJoin(F.broadcast(total))
-    rows = rows.withColumn("consensus_columns", F.coalesce("consensus_columns", F.lit(0)))
+    rows = _scored(written(encoded(candidates, by, length), "encoded"), by, False)
+    total = F.size(F.filter("best", lambda b: b.isNotNull())).cast("long").alias("consensus_columns")
+    covered = _agreeing(lambda a, b: b.isNotNull() & (a != GAP)).alias("coverage")
+    rows = rows.select(*by, "key", "n_columns", _agreeing(lambda a, b: a == b).alias("matches"), covered, total)
     rows = rows.withColumn("score", F.col("matches") / F.greatest(F.lit(1), "consensus_columns"))
     order = F.struct(-F.col("matches"), -F.col("coverage"), "key")
     return _best(rows, by, order, ["key", "score", "matches", "coverage", "consensus_columns", "n_columns"])
@@ -82,3 +97,10 @@ def select(candidates: DataFrame, method: str = "balanced", by: list[str] | None
     if method not in ("balanced", "residue"):
         raise ValueError("the representative method is balanced or residue")
     return (balanced if method == "balanced" else residue_consensus)(candidates, by, length)
+
+
+def rows_of(best: DataFrame, candidates: DataFrame, length: int, by: list[str] | None = None) -> DataFrame:
+    """Representatives beside the alignment rows that they stand for; without a candidate, one row of nulls."""
+    by = by or []
+    found = alignment_rows(candidates, length).withColumnRenamed("row_key", "key")
+    return best.join(found, [*by, "key"], "left")

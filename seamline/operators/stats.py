@@ -53,7 +53,7 @@ def rebinned(histogram: DataFrame, most: int = 24) -> DataFrame:
 def bin_member(rows: DataFrame, start: int, end: int, seed: int = 0) -> DataFrame:
     """One row of a histogram bin, the same for a seed."""
     inside = rows.filter(F.size("interface_msa_columns_a").between(start, end))
-    return inside.orderBy(F.xxhash64(F.lit(seed), "interface_row_key", "partner_domain"), "interface_row_key", "partner_domain").limit(1)
+    return inside.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "interface_row_key", "partner_domain")), "interface_row_key", "partner_domain").limit(1)
 
 
 def selector_stats(rows: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def clean_identity(rows: DataFrame, by: list[str] | None = None, length: int | N
     kept = numbered.filter(F.col("is_letter") & F.exists("ranges", lambda r: F.col("residue").between(r["s"], r["e"])))
     counts = kept.groupBy(*by, "col", F.upper("ch").alias("letter")).agg(F.count("*").alias("n"))
     best = counts.groupBy(*by, "col").agg(F.max("n").alias("best"))
-    shares = best.join(F.broadcast(n), by) if by else best.crossJoin(F.broadcast(n))
+    shares = best.join(n, by) if by else best.crossJoin(F.broadcast(n))
     out = shares.select(*by, "col", F.expr("best * 100 div unique_rows").cast("int").alias("identity"))
     if length is not None:
         grid = rows.sparkSession.range(length).select(F.col("id").cast("int").alias("col"))

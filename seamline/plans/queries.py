@@ -6,9 +6,6 @@ Every query runs over whole tables. Those that are quadratic or sequential by de
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour, keys, sequences, tables, text
@@ -16,22 +13,9 @@ from ..operators import cluster, compare, compress, dendrogram, distance, embed,
 from ..settings import ClusteringSettings, EmbeddingSettings, PageSettings
 from ..sources import interfaces, structures
 from .adapters import BRANDS, IFACE, MSA, OVL, brands, iface, msa, ovl, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import ORACLE_SQL, QUERIES, joined, query
 
 KEY = ["partner_domain", "interface_row_key"]
-joined = lambda c: F.array_join(F.col(c) if isinstance(c, str) else c, ",")
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
 
 
 # ---- ingestion
@@ -277,14 +261,14 @@ def x1_row_keys(spark, sf):
 
 @query(
     "m2_masked_sequences",
-    f"""WITH {MSA}, x AS (SELECT interface_row_key, half, i AS col, substr(aligned_seq, i + 1, 1) AS ch FROM msa, unnest(range(0, length(aligned_seq))) AS r(i)),
+    f"""WITH {MSA}, x AS (SELECT interface_row_key, half, i AS col, substr(aligned_seq, i + 1, 1) AS ch FROM msa LEFT JOIN LATERAL (SELECT unnest(range(0, length(aligned_seq))) AS i) ON true),
     y AS (SELECT *, regexp_matches(ch, '[A-Za-z]') AS letter, 2 + sum(CAST(regexp_matches(ch, '[A-Za-z]') AS INTEGER)) OVER (PARTITION BY interface_row_key ORDER BY col) AS res FROM x),
     z AS (SELECT *, res BETWEEN 3 AND 3 + half OR res BETWEEN 9 + half AND 20 + half AS inside FROM y)
-    SELECT interface_row_key, md5(string_agg(CASE WHEN letter AND NOT inside THEN '-' ELSE ch END, '' ORDER BY col)) AS masked_md5, count(*) FILTER (letter AND inside) AS residues,
+    SELECT interface_row_key, md5(coalesce(string_agg(CASE WHEN letter AND NOT inside THEN '-' ELSE ch END, '' ORDER BY col), '')) AS masked_md5, count(*) FILTER (letter AND inside) AS residues,
            CAST(coalesce(sum(res) FILTER (letter AND inside), 0) AS BIGINT) AS residue_sum FROM z GROUP BY 1""",
 )
 def m2_masked_sequences(spark, sf):
-    out = msa(spark, sf).filter(F.length("aligned_seq") > 0).select("interface_row_key", sequences.masked("aligned_seq", "fragment_key").alias("m"))
+    out = msa(spark, sf).select("interface_row_key", sequences.masked("aligned_seq", "fragment_key").alias("m"))
     ids = F.filter("m.residue_ids", lambda x: x.isNotNull())
     total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("interface_row_key", F.md5("m.aligned_sequence").alias("masked_md5"), F.size(ids).cast("long").alias("residues"), total.alias("residue_sum"))
@@ -306,26 +290,6 @@ def x6_squeezed_names(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", text.squeeze(F.col("s_name")).alias("name"), text.accession(raw).alias("accession"))
 
 
-@query("x7_plain_pages")
-def x7_plain_pages(spark, sf):
-    plain = text.strip_html(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.length(plain).alias("n"), F.md5(plain).alias("md5"))
-
-
-@query(
-    "x14_formats",
-    """SELECT c_custkey, CASE WHEN c_acctbal <= 0 THEN 'unknown time' WHEN c_acctbal < 60 THEN greatest(1, CAST(floor(c_acctbal + 0.5) AS BIGINT)) || ' s'
-    WHEN c_acctbal < 3600 THEN greatest(1, CAST(floor(c_acctbal / 60 + 0.5) AS BIGINT)) || ' min' ELSE 'hours' END AS duration,
-    CASE WHEN c_custkey % 3 = 0 THEN 'Noise' ELSE 'Cluster ' || (c_custkey % 3) END AS cluster_name, replace(c_mktsegment, 'MACHINERY', 'A&lt;B') AS escaped FROM customer""",
-)
-def x14_formats(spark, sf):
-    d = text.duration_text(F.col("c_acctbal"))
-    return table(spark, sf, "customer").select(
-        "c_custkey", F.when(F.col("c_acctbal") < 3600, d).otherwise("hours").alias("duration"), text.cluster_name(F.expr("c_custkey % 3 - 1")).alias("cluster_name"),
-        text.escape_html(F.replace("c_mktsegment", F.lit("MACHINERY"), F.lit("A<B"))).alias("escaped"),
-    )
-
-
 @query(
     "c_display_colours",
     """WITH s AS (SELECT c_custkey, greatest(0, least(100, c_acctbal / 100)) / 100 AS f FROM customer)
@@ -432,27 +396,6 @@ def c6_single_linkage_points(spark, sf):
     return _clustered(spark, sf, linkage="single", distance_threshold="0.5")
 
 
-@query("c1_average_linkage")
-def c1_average_linkage(spark, sf):
-    return _clustered(spark, sf, distance_threshold="0.6")
-
-
-@query("c2_complete_linkage")
-def c2_complete_linkage(spark, sf):
-    return _clustered(spark, sf, linkage="complete", hierarchical_target="n_clusters", n_clusters="8")
-
-
-@query("c5_persistence")
-def c5_persistence(spark, sf):
-    return _clustered(spark, sf, linkage="weighted", hierarchical_target="persistence", hierarchical_min_cluster_size="3")
-
-
-@query("c7_hdbscan")
-def c7_hdbscan(spark, sf):
-    g, members = _brand_groups(spark, sf)
-    return cluster.density(g, members, ClusteringSettings.of({"method": "hdbscan", "distance": "jaccard", "min_cluster_size": "5"}))
-
-
 @query(
     "a17_ranked_labels",
     """WITH k AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS rank FROM embeddings WHERE label > 2 GROUP BY 1)
@@ -617,13 +560,6 @@ def x20_partner_labels(spark, sf):
     return compare.labels_of_partner(_event_points(spark, sf), "error")
 
 
-@query("c14_diverse_picks")
-def c14_diverse_picks(spark, sf):
-    g, _ = _brand_groups(spark, sf)
-    items = g.withColumn("cluster_label", F.expr("cast(group_index % 3 as int)"))
-    return compare.diverse_picks(items, "jaccard", 5).withColumn("coverage_fraction", F.round("coverage_fraction", 9)).withColumn("coverage_percent", F.round("coverage_percent", 9))
-
-
 # ---- representatives
 
 CELLS = f"""{IFACE}, cells AS (
@@ -677,9 +613,8 @@ def a25_column_stats(spark, sf):
     SELECT col, state, count(*) AS count, CAST(floor(count(*) / (SELECT count(*) FROM iface) * 100 + 0.5) AS BIGINT) AS percent FROM x GROUP BY ALL""",
 )
 def a27_column_states(spark, sf):
-    base = iface(spark, sf).withColumn("row_key", F.col("interface_row_key"))
-    states = overlay.cell_states(sequences.cells(base, ["row_key", "partner_domain"]), overlay.marks(base))
-    return overlay.state_distribution(states, base.count())
+    base = iface(spark, sf)
+    return overlay.state_distribution(overlay.row_states(base), base)
 
 
 @query(
@@ -703,7 +638,7 @@ def a28_partner_distribution(spark, sf):
 )
 def k3_top_residues(spark, sf):
     base = iface(spark, sf)
-    return overlay.top_residues(sequences.cells(base, []), base.count(), "s")
+    return overlay.top_residues(sequences.cells(base, []), base, "s")
 
 
 @query(
@@ -738,50 +673,9 @@ def e3_unit_ball(spark, sf):
     return out.select("group_index", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query("e1_pca")
-def e1_pca(spark, sf):
-    g, _ = _brand_groups(spark, sf)
-    out = embed.layout(g, EmbeddingSettings())
-    return out.select("group_index", *[F.round(F.abs(c), 6).alias(c) for c in "xyz"])
-
-
-@query("e2_tsne")
-def e2_tsne(spark, sf):
-    g, _ = _brand_groups(spark, sf)
-    return embed.embedding_points(embed.layout(g, EmbeddingSettings.of({"embedding_method": "tsne", "distance": "jaccard"})), g)
-
-
-@query("t1_dendrogram")
-def t1_dendrogram(spark, sf):
-    g, members = _brand_groups(spark, sf)
-    s = ClusteringSettings.of({"distance": "jaccard", "hierarchical_min_cluster_size": "1"})
-    merges = tables.written(cluster.hierarchy(g, s.distance, s.linkage), "merges")
-    points = cluster.hierarchical(g, members, s, merges=merges)
-    out = dendrogram.nodes(g, merges, dendrogram.leaf_counts(members, points), 5, s.distance_threshold)
-    return out.drop("cluster_counts", "domain_counts").select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.drop("cluster_counts", "domain_counts").dtypes])
-
-
 # ---- structures (A36, J10, J11) and sets
 
 
-@query(
-    "a36_residue_sets",
-    f"""WITH {IFACE} SELECT interface_row_key, array_to_string(list_sort(list_distinct(flatten(list(res_a)))), ',') AS interface_residue_ids, string_agg(partner_domain, ',' ORDER BY partner_domain) AS matched_partners,
-    CAST(10 AS INTEGER) AS partner_fragment_residues, min(partner_fragment_key) AS partner_fragment_ranges FROM iface GROUP BY 1""",
-)
-def a36_residue_sets(spark, sf):
-    none = lambda kind: F.array().cast(kind)
-    base = iface(spark, sf).select(
-        *KEY, "interface_residues_a", "interface_residues_b", none("array<int>").alias("surface_residue_ids_a"), none("array<int>").alias("surface_residue_ids_b"),
-        none("array<struct<a:int,b:int>>").alias("residue_contacts"), none("array<struct<s:int,e:int>>").alias("fragments_b"),
-    )
-    out = structure.residue_sets(base)
-    return out.select(
-        "interface_row_key", joined("interface_residue_ids").alias("interface_residue_ids"), joined("matched_partners").alias("matched_partners"),
-        F.size("partner_fragment_residue_ids").alias("partner_fragment_residues"), joined("partner_fragment_ranges").alias("partner_fragment_ranges"),
-    )
-
-
 @query(
     "j10_contact_lines",
     """WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
@@ -819,3 +713,6 @@ def u_set_algebra(spark, sf):
         "interface_row_key", joined(F.array_sort(F.array_union(a, b))).alias("both"), F.size(F.array_intersect(a, b)).cast("long").alias("common"),
         joined(F.array_sort(F.array_except(a, b))).alias("only_interface"), (F.size(F.array_except(a, b)) == 0).alias("inside"),
     )
+
+
+from . import display_queries, file_queries, tree_queries  # noqa: E402, F401  they register theirs

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_ints, file_family, file_stem, key_part
-from ..functions.tables import numbered
+from ..functions.tables import numbered, written
 
 #: Payload lists that become array columns.
 LISTS = (
@@ -42,9 +42,12 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Path, family and ``doc``, the whole file as a variant. Gzip is read by the file's suffix."""
-    text = spark.read.text(paths, wholetext=True)
-    path = F.col("_metadata.file_path")
-    return text.select(path.alias("path"), file_family(path).alias("family"), F.parse_json("value").alias("doc"))
+    return read_texts(spark, paths).select("path", file_family(F.col("path")).alias("family"), F.parse_json("value").alias("doc"))
+
+
+def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path and value, the whole text of every file."""
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def checked(doc: Column) -> Column:
@@ -109,9 +112,17 @@ def interface_rows(flat: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def numbered_rows(rows: DataFrame) -> DataFrame:
-    """``row_order`` from 0 in the order of partner and row key, over the whole input."""
-    return numbered(rows, ["partner_domain", "interface_row_key"], "row_order")
+def numbered_rows(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``row_order`` from 0 in the order of partner and row key, over the whole input or within each ``by``.
+
+    Sources are numbered on from each other and then shifted to begin at 0, so a large one is no window of one task.
+    """
+    out = numbered(rows, [*(by or []), "partner_domain", "interface_row_key"], "row_order")
+    if not by:
+        return out
+    out = written(out, "numbered")
+    first = out.groupBy(*by).agg(F.min("row_order").alias("__first"))
+    return out.join(first, by).withColumn("row_order", F.col("row_order") - F.col("__first")).select(*rows.columns, "row_order")
 
 
 def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -119,7 +130,8 @@ def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return numbered_rows(interface_rows(flatten(read_documents(spark, paths), ["path", "family"]), ["path", "family"]))
 
 
-def alignment_length(rows: DataFrame) -> DataFrame:
-    """One row, the longest sequence or the largest column plus one, 0 for no rows."""
+def alignment_length(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row, the longest sequence or the largest column plus one, 0 for no rows; or ``by``, with the number of rows ``n``."""
     last = F.greatest(F.length("aligned_seq"), F.array_max(F.concat("interface_msa_columns_a", "surface_msa_columns_a")) + 1)
-    return rows.agg(F.coalesce(F.max(last), F.lit(0)).alias("alignment_length"))
+    longest = F.coalesce(F.max(last), F.lit(0)).alias("alignment_length")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), longest) if by else rows.agg(longest)

@@ -24,6 +24,12 @@ from . import interfaces
 SCHEMA_VERSION = 1
 LOG = "source_id string, path string, name string, family string, size_bytes long, modified timestamp, status string, error string, row_count long, alignment_length long, schema_version int, at double"
 
+NOT_A_DOCUMENT = "not a JSON object with distinct keys"
+
+
+def source_id(path: str) -> str:
+    return hashlib.sha1(path.encode()).hexdigest()[:16]
+
 
 class Store:
     """Imported interface files and cached results below one folder."""
@@ -58,27 +64,52 @@ class Store:
             return empty.withColumn("row_order", F.lit(0).cast("long"))
         return got
 
-    def import_file(self, file) -> dict[str, Any]:
-        """Replace one source's rows and log the outcome; a bad file is logged, not raised."""
-        entry = {k: file[k] for k in ("path", "name", "family", "size_bytes", "modified")}
-        entry |= {"source_id": hashlib.sha1(file["path"].encode()).hexdigest()[:16], "schema_version": SCHEMA_VERSION}
+    def import_files(self, files: list) -> list[dict[str, Any]]:
+        """Replace the rows of these sources and log the outcomes; bad files are logged, not raised.
+
+        All files are read and written together, partitioned by source. Only where one cannot even be read as text is each
+        imported for itself, to find out which.
+        """
+        if not files:
+            return []
+        entries = {f["path"]: {k: f[k] for k in ("path", "name", "family", "size_bytes", "modified")} | {"source_id": source_id(f["path"]), "schema_version": SCHEMA_VERSION} for f in files}
         try:
-            docs = interfaces.read_documents(self.spark, file["path"])
-            rows = interfaces.interface_rows(interfaces.flatten(docs, ["path"]), ["path"]).drop("path")
-            rows = interfaces.numbered_rows(rows).withColumn("source_id", F.lit(entry["source_id"]))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{self.root}/rows")
-            mine = self.rows().filter(F.col("source_id") == entry["source_id"])
-            n, length = mine.crossJoin(interfaces.alignment_length(mine)).agg(F.count("*"), F.max("alignment_length")).first()
-            entry |= {"status": "ready", "error": None, "row_count": n, "alignment_length": length or 0}
+            found = self._replaced(list(entries))
         except Exception as e:  # noqa: BLE001  whatever is wrong with a file is its import error
-            entry |= {"status": "failed", "error": str(e)[:2000], "row_count": None, "alignment_length": None}
-        entry["at"] = time.time()
-        self.spark.createDataFrame([tuple(entry[c.split()[0]] for c in LOG.split(", "))], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/sources")
-        return entry
+            if len(files) > 1:
+                return [x for f in files for x in self.import_files([f])]
+            found = {entries[files[0]["path"]]["source_id"]: str(e)[:2000]}
+        for entry in entries.values():
+            got = found.get(entry["source_id"], (0, 0))
+            bad = got if isinstance(got, str) else None
+            entry |= {"status": "failed" if bad else "ready", "error": bad, "row_count": None if bad else got[0], "alignment_length": None if bad else got[1], "at": time.time()}
+        log = [tuple(e[c.split()[0]] for c in LOG.split(", ")) for e in entries.values()]
+        self.spark.createDataFrame(log, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/sources")
+        return list(entries.values())
+
+    def _replaced(self, paths: list[str]) -> dict[str, tuple[int, int] | str]:
+        """Row count and alignment length of every source with rows, or the error of a source without a document."""
+        text = interfaces.read_texts(self.spark, paths).withColumn("source_id", F.substring(F.sha1("path"), 1, 16))
+        parsed = text.withColumn("doc", F.try_parse_json("value")).withColumn("ok", F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False)))
+        errors = {r["source_id"]: NOT_A_DOCUMENT for r in parsed.filter("NOT ok").select("source_id").collect()}
+        rows = interfaces.interface_rows(interfaces.flatten(parsed.filter("ok"), ["source_id"]), ["source_id"])
+        rows = interfaces.numbered_rows(rows, ["source_id"])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{self.root}/rows")
+        mine = [source_id(p) for p in paths if source_id(p) not in errors]
+        counts = interfaces.alignment_length(self.rows().filter(F.col("source_id").isin(mine)), ["source_id"])
+        out = {r["source_id"]: (r["n"], r["alignment_length"]) for r in counts.collect()}
+        for gone in set(mine) - {r["source_id"] for r in rows.select("source_id").distinct().collect()}:
+            self._delete(f"{self.root}/rows/source_id={gone}")  # a file without rows has no partition to overwrite the old one
+            out.pop(gone, None)
+        return out | errors
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def sync(self, folder: str) -> list[dict[str, Any]]:
         """Import every changed file of a folder. The list of file names is small; their contents stay in Spark."""
-        return [self.import_file(f) for f in self.changed(folder).orderBy("path").toLocalIterator()]
+        return self.import_files(self.changed(folder).orderBy("path").collect())
 
     # ---- results
 
@@ -87,11 +118,11 @@ class Store:
         key = hashlib.sha1(json.dumps(depends, sort_keys=True, default=str).encode()).hexdigest()
         return f"{self.root}/results/{re.sub(r'[^a-z0-9_-]', '_', kind.lower())}/{key}"
 
-    def result(self, kind: str, make: Callable[[], DataFrame], **depends: Any) -> DataFrame:
+    def result(self, kind: str, make: Callable[[], DataFrame], anew: bool = False, **depends: Any) -> DataFrame:
         """The cached result, or ``make()`` written and read back. A partly written result has no
-        ``_SUCCESS`` file and is made anew."""
+        ``_SUCCESS`` file and is made anew, and so is any with ``anew``."""
         path = self.result_path(kind, **depends)
-        if not self.has_result(kind, **depends):
+        if anew or not self.has_result(kind, **depends):
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 

@@ -152,6 +152,18 @@ def test_persistence_selects_the_best_antichain(mode):
         assert got == pytest.approx(best) or best == 0
 
 
+def test_persistence_with_merges_under_their_children():
+    # Inverted: the second merge lies below the first. Lifetimes count as 0 there, also where only the size weighs.
+    children, heights = np.array([[0, 1], [2, 3]]), np.array([0.5, 0.2])
+    for mode, of_size in (("rectangle", [1, 1, 0]), ("integral", [1, 2, 0])):
+        assert k.cut_by_persistence(children, heights, [5, 5, 5], 5, 0.0, 0.0, mode).tolist() == of_size
+        assert k.cut_by_persistence(children, heights, [5, 5, 5], 5, 0.3, 0.5, mode).tolist() == [0, 1, -1]
+
+
+def test_votes():
+    assert k.voted(np.array([0, 1, 1, -1, 2, -1, 0]), np.array([0, 0, 0, 1, 1, 2, 2])).tolist() == [1, 2, 0]
+
+
 def test_label_ranking_and_small_clusters():
     assert k.ranked([5, 5, -1, 2, 2, 2, 9]).tolist() == [1, 1, -1, 0, 0, 0, 2]
     assert k.drop_small(np.array([0, 0, 1, -1]), [3, 4, 6, 9], 7).tolist() == [0, 0, -1, -1]

@@ -39,10 +39,30 @@ def test_compression(spark, golden):
     assert pairs == {(0, 1): 0.5, (0, 2): 1.0, (0, 3): 0.0, (1, 2): 1.0, (1, 3): 0.5, (2, 3): 1.0}
     assert {(r["i"], r["j"]) for r in distance.near_pairs(groups, "jaccard", 0.5).collect()} == {(0, 1), (0, 3), (1, 3)}
     assert distance.square(distance.near_pairs(groups, "jaccard", 0.5)).count() == 6
+    assert compare.signal_columns(spark_chart(groups), 2, 8).count() == 3
     with pytest.raises(ValueError):
         distance.near_pairs(groups, "jaccard", 1.0)
 
 
+def spark_chart(groups):
+    return groups.select(F.explode("columns").alias("col"), F.lit(1).alias("count"))
+
+
+@pytest.mark.parametrize("metric", ["jaccard", "dice", "overlap"])
+def test_near_pairs_are_all_pairs_within_the_threshold(spark, metric):
+    import random
+
+    r = random.Random(4)
+    # Column 0 is in nearly every set: a hot key of the index. Some sets hold others, some are equal, one is empty.
+    rows = [(k, sorted({0, *r.sample(range(1, 18), r.randint(1, 7))}) if k % 6 else sorted(r.sample(range(1, 18), 3))) for k in range(120)]
+    rows += [(120, rows[5][1]), (121, rows[5][1][:2]), (122, [])]
+    groups = spark.createDataFrame(rows, "group_index long, columns array<int>")
+    for threshold in (0.0, 0.34, 0.5, 0.8):
+        got = sorted(values(distance.near_pairs(groups, metric, threshold)))
+        some = distance.all_pairs(groups.filter("size(columns) > 0"), [metric]).filter(F.col(metric) <= threshold)
+        assert got == sorted(values(some)) and got
+
+
 def test_thresholds_are_not_quantised(spark, golden):
     groups, members = compress.materialised(compress.entries(golden))
     s = ClusteringSettings.of({"distance": "jaccard", "linkage": "single", "distance_threshold": "0.5", "hierarchical_min_cluster_size": "1"})
@@ -133,7 +153,7 @@ def test_colours(spark):
 def test_top_residues_rescue_a_selected_letter(spark):
     seq = "".join(c * n for c, n in zip("ABCDEF", (5, 4, 3, 2, 2, 1)))
     cells = spark.createDataFrame([(0, c, True) for c in seq], "col int, ch string, is_letter boolean")
-    top = lambda s=None: [r["residue"] for r in overlay.top_residues(cells, 17, s).orderBy("rank").collect()]
+    top = lambda s=None: [r["residue"] for r in overlay.top_residues(cells, cells, s).orderBy("rank").collect()]
     assert top() == list("ABCDE") and top("f") == list("ABCDF") and top("b") == list("ABCDE") and top("z") == list("ABCDE")
 
 
@@ -154,6 +174,12 @@ def test_cell_states_precedence(spark):
     assert {r["col"]: r["state"] for r in overlay.cell_states(cells, marks).collect()} == {0: "gap", 1: "interface", 2: "surface", 3: "core"}
 
 
+def test_row_states_of_short_and_null_rows(spark):
+    rows_ = spark.createDataFrame([("A-C", [0, 1], [2]), ("a", [], [0]), (None, None, None)], "aligned_seq string, interface_msa_columns_a array<int>, surface_msa_columns_a array<int>")
+    got = {(r["col"], r["state"]): (r["count"], r["percent"]) for r in overlay.state_distribution(overlay.row_states(rows_), rows_).collect()}
+    assert got == {(0, "interface"): (1, 33), (0, "surface"): (1, 33), (0, "gap"): (1, 33), (1, "gap"): (3, 100), (2, "surface"): (1, 33), (2, "gap"): (2, 67)}
+
+
 def test_residue_styles(spark):
     look = spark.createDataFrame([("k", 5, 0, "A", 80), ("k", 6, 4, "B", None)], "row_key string, residue_id int, col int, letter string, identity int")
     assert [r["intensity"] for r in overlay.residue_styles(look, "conservedness").orderBy("col").collect()] == [0.8, 0.0]

@@ -154,71 +154,99 @@ def test_precomputed_hierarchies(spark, tmp_path):
     assert hierarchies.paths("/h/", "jaccard", "single", "PF1") == ("/h/jaccard/single/linkage/PF1.linkage.npz", "/h/jaccard/single/resolver/PF1.resolver.json")
     entries = spark.createDataFrame([("P", "a", [1, 2]), ("P", "b", [1, 2]), ("Q", "a", [1, 2]), ("Q", "c", [3])], "partner_domain string, row_key string, columns array<int>")
     groups, members = compress.materialised(entries)
-    groups = compress.with_members(groups, members)
     resolver = tmp_path / "r.json"
     leaf = lambda i, c, *m: {"leaf_id": i, "interface_msa_columns_a": c, "interfaces": [{"partner_domain": p, "row_key": r} for p, r in m]}
     resolver.write_text(json.dumps({"leaves": [leaf(0, [2, 1], ("P", "a"), ("P", "b"), ("P", "z")), leaf(1, [1, 2]), leaf(2, [3])]}))
     leaves = hierarchies.read_resolver(spark, str(resolver))
-    assert {(r["leaf"], r["group_index"]) for r in hierarchies.map_leaves(leaves, groups).collect()} == {(0, 0), (1, 1), (2, 2)}
-    with pytest.raises(ValueError):
-        hierarchies.map_leaves(leaves.filter("leaf < 2"), groups)
-
-
-def test_cost_estimate(spark, tmp_path):
-    for where, text in {"jaccard/single": "status,leaf_count,total_seconds,peak_rss_delta_bytes\nok,10,2.0,\nfailed,50,9,9\nok,1,5,5\n", "dice/average": "status,leaf_count,total_seconds,linkage\nok,100,4.0,average\n"}.items():
-        d = tmp_path / where
-        d.mkdir(parents=True)
-        (d / "summary.csv").write_text(text)
-    s = run_summaries(spark, str(tmp_path))
-    r = cluster.cost_estimate(s, "jaccard", "single", 20).first()
-    assert (r["metric"], r["linkage"], r["basis_leaf_count"]) == ("jaccard", "single", 10) and r["estimated_total_seconds"] == pytest.approx(2.0 * 190 / 45) and r["estimated_peak_rss_delta_bytes"] is None
-    assert cluster.cost_estimate(s, "jaccard", "average", 20).first()["linkage"] == "average"
-    assert cluster.cost_estimate(run_summaries(spark, str(tmp_path / "none")), "jaccard", "single", 5).count() == 0
-
-
-def test_structure_files(spark, tmp_path):
-    line = "ATOM  %5d  CA  GLY A%4d    %8.3f%8.3f%8.3f  1.00  0.00           C"
-    path = tmp_path / "m.pdb"
-    path.write_text("\n".join(["HEADER", line % (1, 5, 1, 2, 3), line % (2, 5, 9, 9, 9), line % (3, 6, 4, 5, 6), (line % (4, 7, 0, 0, 0)).replace(" CA ", " CB "), "ATOM      5  CA  GLY A   x", "END"]))
-    lines = structures.read_pdb(spark, str(path))
-    assert [(r["residue_id"], r["residue"], r["x"]) for r in structures.ca_coordinates(lines).orderBy("residue_id").collect()] == [(5, "G", 1.0), (6, "G", 4.0)]
-    assert structures.usable_models(lines).first()["usable"] and not structures.usable_models(lines.filter("text <> 'END'")).first()["usable"]
-
-
-def test_settings():
-    s = ClusteringSettings.of({})
-    assert (s.method, s.distance, s.linkage, s.hierarchical_target, s.distance_threshold, s.n_clusters) == ("hierarchical", "overlap", "average", "distance_threshold", 0.5, None)
-    s = ClusteringSettings.of({"n_clusters": ["8"]})
-    assert (s.hierarchical_target, s.n_clusters, s.distance_threshold) == ("n_clusters", 8, None)
-    assert ClusteringSettings.of({"hierarchical_target": "lifetime", "n_clusters": "3"}).n_clusters is None
-    for bad in ({"n_clusters": "3", "distance_threshold": "0.1"}, {"hierarchical_target": "clusters"}, {"distance_threshold": ""}, {"linkage": "ward"}, {"n_clusters": "0"}, {"min_samples": "x"}, {"persistence_lifetime_weight": "1.5"}, {"cluster_selection_epsilon": "-1"}):
-        with pytest.raises(ValueError):
-            ClusteringSettings.of(bad)
-    e = EmbeddingSettings.of({"embedding_method": "tsne", "perplexity": "auto", "learning_rate": "100"})
-    assert (e.method, e.perplexity, e.learning_rate, e.theta) == ("tsne", None, 100.0, 0.5)
-    for bad in ({"embedding_method": "umap"}, {"perplexity": "0"}, {"theta": "2"}, {"max_iter": "0"}, {"neighbors": "none"}, {"perplexity": "nan"}):
-        with pytest.raises(ValueError):
-            EmbeddingSettings.of(bad)
-    assert FilterSettings.of({"min_interface_size": ""}).min_interface_size == 5
-    with pytest.raises(ValueError):
-        FilterSettings.of({"min_interface_size": "-1"})
-    assert PageSettings.of({"row_offset": "3"}) == PageSettings(3, None) and flag({"x": "Yes"}, "x") and not flag({"x": "2"}, "x")
-    from urllib.parse import parse_qs
-
-    assert EmbeddingSettings.of(parse_qs(to_query(e))) == e and FilterSettings.of(parse_qs(to_query(FilterSettings(7)))).min_interface_size == 7
-    kinds = {"filter": FilterSettings, "clustering": ClusteringSettings}
-    assert cleaned_preferences('{"filter": {"min_interface_size": 9}, "clustering": {"linkage": "no"}}', kinds)["filter"] == {"min_interface_size": 9}
-    assert cleaned_preferences("nonsense", kinds)["clustering"]["linkage"] == "average"
+    assert {(r["leaf"], r["group_index"]) for r in hierarchies.map_leaves(leaves, groups, members).collect()} == {(0, 0), (1, 1), (2, 2)}
+    for some in (leaves.filter("leaf < 2"), leaves.filter("leaf > 0"), leaves.unionByName(leaves)):
+        with pytest.raises(hierarchies.HierarchyMismatch):
+            hierarchies.map_leaves(some, groups, members)
+    # Without members to name, one leaf takes all groups of its columns, and a leaf may have none.
+    resolver.write_text(json.dumps({"leaves": [leaf(0, [2, 1]), leaf(1, [3]), leaf(2, [7, 8])]}))
+    leaves = hierarchies.read_resolver(spark, str(resolver))
+    of_groups = hierarchies.map_leaves(leaves, groups, members)
+    assert {(r["leaf"], r["group_index"]) for r in of_groups.collect()} == {(0, 0), (0, 1), (1, 2)}
+    merges = spark.createDataFrame([(0, 1, 2, 0.2, 1), (1, 0, 3, 0.9, 4)], "merge_index int, left int, right int, distance double, count long")
+    s = ClusteringSettings.of({"distance_threshold": "0.5", "hierarchical_min_cluster_size": "1"})
+    got = {(r["partner_domain"], r["row_key"]): r["cluster_label"] for r in cluster.hierarchical(groups, members, s, merges=merges, leaves=of_groups).collect()}
+    assert got == {("P", "a"): 0, ("P", "b"): 0, ("Q", "a"): 0, ("Q", "c"): 1}
+
+
+def test_requests_with_precomputed_hierarchies(spark, tmp_path):
+    """Leaves in another order than the groups: the answers are those of the local hierarchy."""
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    rows = {"A_1-2_1-2": [1, 2, 3], "B_1-2_1-2": [1, 2, 4], "C_1-2_1-2": [11, 12, 13], "D_1-2_1-2": [11, 12, 14]}
+    (folder / "PF9_x.json").write_text(json.dumps({"P": {key: payload(c) for key, c in rows.items()}}))
+    store.sync(str(folder))
+    q = {"file": "PF9_x.json", "distance": "jaccard", "hierarchical_min_cluster_size": "1", "distance_threshold": "0.6"}
+    labels = lambda f: {r["row_key"][0]: r["cluster_label"] for r in api.clustering_points(store, q, f).collect()}
+    assert labels(None) == {"A": 0, "B": 0, "C": 1, "D": 1}
+    where = tmp_path / "h" / "jaccard" / "average"
+    (where / "linkage").mkdir(parents=True), (where / "resolver").mkdir()
+    order = ["A", "C", "B", "D"]
+    leaves = [{"leaf_id": k, "interface_msa_columns_a": rows[f"{x}_1-2_1-2"], "interfaces": [{"partner_domain": "P", "row_key": f"{x}_1-2_1-2"}]} for k, x in enumerate(order)]
+    (where / "resolver" / "PF9.resolver.json").write_text(json.dumps({"leaves": leaves}))
+    np.savez(where / "linkage" / "PF9.linkage.npz", children=np.array([[0, 2], [1, 3], [4, 5]]), distance=np.array([0.5, 0.5, 1.0]), count=np.array([2, 2, 4]), linkage_leaf_weighting="interface_count")
+    h = str(tmp_path / "h")
+    status = lambda f: json.loads(api.hierarchy_status(store, q, f).first()["json"])
+    assert labels(h) == labels(None) and status(h)["source"] == "precalculated" and not status(h)["local_calculation_required"]
+    tree = json.loads(api.dendrogram_nodes(store, q, h).first()["json"])
+    assert tree["hierarchy_source"] == "precalculated" and {n["member_count"] for n in tree["nodes"] if n["is_leaf"]} == {1}
+    assert {n["node_id"]: n["cluster_label"] for n in tree["nodes"] if n["is_leaf"]} == {0: 0, 1: 1, 2: 0, 3: 1}
+    rows_ = api.clustering(store, q, h, as_rows=True).orderBy("place").collect()
+    assert [r["part"] for r in rows_] == ["header"] + ["points"] * 4 and json.loads(rows_[0]["json"])["sample_count"] == 4
+    # One that was made for something else is named and passed over; one that is broken is an error.
+    (where / "resolver" / "PF9.resolver.json").write_text(json.dumps({"leaves": leaves[:3]}))
+    assert status(h)["precomputed_state"] == "mismatch" and labels(h) == labels(None)
+    (where / "resolver" / "PF9.resolver.json").write_text(json.dumps({"leaves": leaves}))
+    (where / "linkage" / "PF9.linkage.npz").write_bytes(b"PK broken")
+    with pytest.raises(Exception, match="(?i)zip|pickle"):
+        api.clustering_points(store, q, h)
+
+
+def test_a_name_from_two_folders_needs_its_path(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for k in "ab":
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "PF1_x.json").write_text(json.dumps({"P": {"A_1-2_1-2": payload([1, 2 if k == "a" else 3])}}))
+        store.sync(str(tmp_path / k))
+    with pytest.raises(ValueError, match="path"):
+        api.interface_page(store, {"file": "PF1_x.json"})
+    path = [r["path"] for r in store.sources().collect() if "/b/" in r["path"]][0]
+    page = json.loads(api.interface_page(store, {"file": "PF1_x.json", "path": path, "include_data": "1"}).first()["json"])
+    assert page["data"][0]["interface_msa_columns_a"] == [1, 3]
+
+
+def test_a_source_that_loses_its_rows_and_one_that_cannot_be_read(spark, tmp_path):
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps({"P": {"A_1-2_1-2": payload([1])}}))
+    (folder / "b.json.gz").write_bytes(b"\x1f\x8bnot gzip at all")
+    assert {e["name"]: e["status"] for e in store.sync(str(folder))} == {"a.json": "ready", "b.json.gz": "failed"}
+    (folder / "a.json").write_text(json.dumps({"P": {}, "nothing": True}))
+    store.sync(str(folder))
+    entry = store.sources().filter("name = 'a.json'").first()
+    assert (entry["status"], entry["row_count"]) == ("ready", 0) and store.rows().filter(F.col("source_id") == entry["source_id"]).count() == 0
+
+
+def test_a_stored_distance_table_is_validated(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    entries = spark.createDataFrame([("P", k, c) for k, c in (("a", [1, 2]), ("b", [2, 3]), ("c", [9]))], "partner_domain string, row_key string, columns array<int>")
+    groups, members = compress.materialised(entries)
+    want = sorted(map(tuple, distance.stored(store, groups, members, "dice").collect()))
+    (path,) = [str(p) for p in (tmp_path / "store" / "results" / "distances").iterdir()]
+    spark.read.parquet(path).limit(1).write.mode("overwrite").parquet(str(tmp_path / "x"))
+    spark.read.parquet(str(tmp_path / "x")).write.mode("overwrite").parquet(path)
+    assert sorted(map(tuple, distance.stored(store, groups, members, "dice").collect())) == want and len(want) == 3
 
 
-def test_masking_golden(spark):
-    df = spark.createDataFrame([("ABc-DE", "5-6,9-9"), ("", ""), (None, "1-2"), ("éA", "1-1")], "s string, f string")
-    got = [(r["m"]["aligned_sequence"], r["m"]["residue_ids"]) for r in df.select(sequences.masked("s", "f").alias("m")).collect()]
-    assert got == [("AB---E", [5, 6, None, None, None, 9]), ("", []), ("", []), ("éA", [None, 1])]
-    with pytest.raises(Exception):  # noqa: B017
-        spark.createDataFrame([("A", "abc")], "s string, f string").select(sequences.masked("s", "f")).collect()
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
 
+    from seamline.functions import tables
 
-def test_quantised_halves_move(spark):
-    r = spark.range(1).select(distance.quantised(F.lit(0.5)).alias("q"), distance.dequantised(distance.quantised(F.lit(0.5))).alias("d")).first()
-    assert r["q"] == 32768 and r["d"] > 0.5
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError, match="share"):
+        tables.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))
