@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import shared_dir, written  # noqa: F401  shared with the rest of the package
+from ..functions.tables import discard, run_dir, written  # noqa: F401  shared with the rest of the package
 
 #: Bits of the fixed-size key filter: 2**26 bits are 2**20 words of 64 bits, 16 MiB as (word, bits) rows.
 FILTER_BITS = 1 << 26
@@ -30,7 +30,7 @@ BLOCK_BYTES = 1 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/seamline/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
