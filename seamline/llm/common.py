@@ -3,7 +3,8 @@
 Conventions that every operator here follows:
 
 * a null text counts as the empty text; whole texts are processed, never prefixes;
-* inputs are narrowed to the id and text columns first, so extra columns of any name cannot clash;
+* inputs are narrowed to the id and text columns first, or helper columns get names that the input does not have (``fresh``),
+  so extra columns of any name cannot clash;
 * rows are never identified by ``doc_id`` alone where repeated ids would matter;
 * intermediate tables go to the folder named by ``spark.checkpoint.dir`` and are read back, so
   a lost executor costs a re-read and not a re-computation of the lineage.
@@ -37,6 +38,21 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, in any case of letters: the given ones, lengthened where they are taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def key_filter(keys: DataFrame, col: str) -> DataFrame:
     """A bitmap of the hashes of ``keys[col]`` as at most ``FILTER_BITS / 64`` rows (word, bits).
 
@@ -44,26 +60,45 @@ def key_filter(keys: DataFrame, col: str) -> DataFrame:
     too much through; whoever uses it still joins exactly afterwards.
     """
     h = F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
-    return (
-        keys.select(F.shiftright(h, 6).alias("__word"), F.pmod(h, F.lit(64)).cast("int").alias("__bit"))
-        .groupBy("__word")
-        .agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    )
+    return keys.select(F.shiftright(h, 6).alias("word"), F.pmod(h, F.lit(64)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
 
 
 def flagged_by(df: DataFrame, bitmap: DataFrame, col: str, flag: str) -> DataFrame:
-    """``df`` with a boolean column ``flag``: false only where ``col`` is certainly not among the keys."""
-    h = F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
-    out = df.withColumn("__h", h).withColumn("__word", F.shiftright("__h", 6))
-    out = out.join(F.broadcast(bitmap), "__word", "left")
-    hit = F.expr("coalesce(shiftright(__bits, cast(pmod(__h, 64) as int)) & 1L, 0L) = 1L")
-    return out.withColumn(flag, hit).drop("__h", "__word", "__bits")
+    """``df`` with a boolean column ``flag``: false only where ``col`` is certainly not among the keys. No column of ``df`` is touched."""
+    h, word, bits = fresh(df, "key_hash", "key_word", "key_bits")
+    out = df.withColumn(h, F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))).withColumn(word, F.shiftright(h, 6))
+    out = out.join(F.broadcast(bitmap.select(F.col("word").alias(word), F.col("bits").alias(bits))), word, "left")
+    hit = F.expr(f"coalesce(shiftright({bits}, cast(pmod({h}, 64) as int)) & 1L, 0L) = 1L")
+    return out.withColumn(flag, hit).drop(h, word, bits)
 
 
 def flag_keys(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``rows`` (with doc_id and th, the text's hash) flagged ``__named`` by the (doc_id, th) pairs of ``keyed``."""
+    """``rows`` (with doc_id and th, the text's hash) flagged ``named`` by the (doc_id, th) pairs of ``keyed``."""
     bitmap = key_filter(keyed.select(F.struct("doc_id", "th").alias("k")), "k")
-    return flagged_by(rows.withColumn("__k", F.struct("doc_id", "th")), bitmap, "__k", "__named").drop("__k")
+    (key,) = fresh(rows, "key")
+    return flagged_by(rows.withColumn(key, F.struct("doc_id", "th")), bitmap, key, "named").drop(key)
+
+
+#: Groups with more than this share of all members are dealt to several tasks; there are at most as many of them as it goes into 1.
+HOT_SHARE = 1 / 512
+
+
+def with_group(members: DataFrame, groups: DataFrame, key: str, size: str, spread) -> DataFrame:
+    """``members`` joined with their group's row on ``key``; members without a group stay, with nulls.
+
+    ``groups`` is a written table with ``size`` members each, one row a group. A group that holds more than ``HOT_SHARE`` of all members is cut
+    in parts of that share: its row is repeated for each, and its members are dealt over them, so no task has a whole hot group. The
+    list of hot groups is bounded by ``1 / HOT_SHARE`` rows and is broadcast. ``spread`` deals the members: a number that differs among
+    a group's members and is the same if a task is run again.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    part = max(1, int(total * HOT_SHARE))
+    parts, turn = fresh(members.select("*", *[F.lit(1).alias(c) for c in groups.columns if c not in members.columns]), "parts", "turn")
+    number = F.ceil(F.col(size) / part).cast("int")
+    hot = groups.filter(F.col(size) > part).select(key, number.alias(parts))
+    dealt = members.join(F.broadcast(hot), key, "left").withColumn(turn, F.when(F.col(parts) > 1, F.pmod(spread, F.col(parts)).cast("int")).otherwise(0)).drop(parts)
+    cut = groups.withColumn(turn, F.explode(F.when(F.col(size) > part, F.sequence(F.lit(0), number - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(cut, [key, turn], "left").drop(turn)
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

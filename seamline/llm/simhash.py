@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flag_keys, flagged_by, id_and_text, key_filter, written
+from .common import discard, flag_keys, flagged_by, fresh, id_and_text, key_filter, quoted, with_group, written
 from .decontaminate import shingles
 
 BITS = 64
@@ -118,7 +118,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small-star on pairs (y larger, x smaller)
         least = large.groupBy("y").agg(F.min("x").alias("m"))
         small = large.join(least, "y").select(F.explode(F.array("x", "y")).alias("y"), F.col("m").alias("x"))
-        links = written(small.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        old, links = links, written(small.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        discard(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -148,6 +149,8 @@ VERIFIED_FIRST = 4
 SKETCH_BITS = 16
 #: Words of 64 bits of a parity bitmap.
 PARITY = [f"parity{k}" for k in range(4)]
+#: Most words of a parity sketch, which grows with the text: at least two bits a shingle below that.
+MOST_WORDS = 512
 #: Allowance for rounding, in filters and in the comparison itself.
 SLACK = 1e-12
 
@@ -185,40 +188,72 @@ def shingle_counts(base: DataFrame, words: int) -> np.ndarray:
     return counts
 
 
+def parity_words(shingles_: int) -> int:
+    """Words of the parity sketch of a set: a power of two, so that a larger sketch folds onto a smaller one."""
+    return min(MOST_WORDS, 1 << (max(1, -(-shingles_ // 32)) - 1).bit_length())
+
+
+def parity_sketch(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` numbers of 64 bits; every hash flips the bit of its lowest digits, so the sketches of two sets differ in at
+    most as many bits as the sets in members."""
+    bits = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefixes(base: DataFrame, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
-    """doc_id, th, ``sig`` (digest of the set of shingles), ``n`` (its size) and ``prefix`` of every text, and its parity bitmap.
+    """doc_id, th, ``sig`` (digest of the set of shingles), ``n`` (its size), ``prefix``, a small parity bitmap and a parity sketch of every text.
 
     The prefix is the ``n - ceil(similarity * n) + 1`` hashes that come first in one order of all shingles, rare ones first.
     A text that shares none of them misses too many of the text's shingles to be ``similarity`` like it.
-    Every shingle flips one bit of the parity bitmap, so two bitmaps differ in at most as many bits as the sets in shingles.
     """
     from hashlib import blake2b
 
     shift = np.uint64(64 - SKETCH_BITS)
 
+    def listed(found: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                sigs, sizes, firsts, parities = [], [], [], []
+                sigs, sizes, firsts, parities, sketches = [], [], [], [], []
                 for t in part.column(2).cast(pa.binary()).to_pylist():
                     found = sorted(shingles(t, words))
                     h = _hashes(found)
                     h = h[np.lexsort((h, counts[(h >> shift).astype(np.int64)]))]
                     sigs.append(blake2b(b"\n".join(found), digest_size=16).digest())
                     sizes.append(len(h))
-                    bits = np.bincount((h & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
-                    parities.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                    parities.append(parity_sketch(h, len(PARITY)))
+                    sketches.append(parity_sketch(h, parity_words(len(h))))
                     firsts.append(h[: len(h) - int(np.ceil((similarity - SLACK) * len(h))) + 1])
-                ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
-                words_of = np.array(parities).T
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), lists, *map(pa.array, words_of)],
-                    names=["doc_id", "th", "sig", "n", "prefix", *PARITY],
+                    [part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), listed(firsts), *map(pa.array, np.array(parities).T), listed(sketches)],
+                    names=["doc_id", "th", "sig", "n", "prefix", *PARITY, "sketch"],
                 )
 
-    return base.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, sig binary, n int, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITY))
+    schema = "doc_id long, th long, sig binary, n int, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITY) + ", sketch array<long>"
+    return base.select("doc_id", "th", "text").mapInArrow(run, schema)
+
+
+def _most_apart(similarity: float):
+    """In how many shingles sets of ``n_a`` and ``n_b`` may differ and be similar, by their sum."""
+    s = similarity - SLACK
+    return lambda total: total * ((1 - s) / (1 + s)) + 1e-6
+
+
+def sketches_agree(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The rows whose sketches (sketch_a, n_a, sketch_b, n_b) leave room for similar sets: none that are similar are lost.
+
+    Of similar sets one has at most 1.25 times the other's size, so one sketch is at most twice as long and is folded once.
+    """
+    half = lambda x: F.floor(F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    a, b = F.col("sketch_a"), F.col("sketch_b")
+    a, b = F.when(F.size(a) > F.size(b), folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), folded(b)).otherwise(b)
+    differ = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, x: total + x)
+    return pairs.filter(F.coalesce(differ <= _most_apart(similarity)(F.col("n_a") + F.col("n_b")), F.lit(True)))
 
 
 def _could_match(x: str, y: str, similarity: float):
@@ -226,7 +261,7 @@ def _could_match(x: str, y: str, similarity: float):
     s = similarity - SLACK
     differ = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY)
     sizes = F.least(f"{x}.n", f"{y}.n") >= F.greatest(f"{x}.n", f"{y}.n") * s - 1e-6
-    return sizes & (differ <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - s) / (1 + s)) + 1e-6)
+    return sizes & (differ <= _most_apart(similarity)(F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
 def _meeting(left: DataFrame, right: DataFrame, similarity: float, more) -> DataFrame:
@@ -248,26 +283,42 @@ def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) ->
 
     Every similar pair meets in the bucket of a prefix shingle. Small buckets list all their pairs; in larger ones each
     member first meets two pivots, and once components of the links so far are known, every member of another component.
-    A large group of copies is one component by then, so its pairs are never listed. None if no two nodes meet.
+    A large group of copies is one component by then, so its pairs are never listed. Pairs that meet are ruled out by size, place of
+    the shingle and parity bitmap, then once a pair by parity sketch, and only the rest by their texts. None if no two nodes meet.
     """
     crowded = written(nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
     tokens = nodes.select("node", "n", *PARITY, F.posexplode("prefix").alias("pos", "h"))
     shared = flagged_by(tokens, key_filter(crowded.select("h"), "h"), "h", "again").filter("again").drop("again")
     shared = written(shared.join(crowded, "h"), "shared")
+    discard(crowded)
     small, large = shared.filter(F.col("m") <= SMALL_BUCKET), shared.filter(F.col("m") > SMALL_BUCKET)
-    near = _meeting(small, small, similarity, F.col("x.node") < F.col("y.node"))
+    near = _meeting(small, small, similarity, F.col("x.node") < F.col("y.node")).withColumn("of", F.col("b"))
     whole, mixed = F.struct("node", "n", *PARITY), F.xxhash64("node", "h")
     pivots = written(large.groupBy("h").agg(F.min_by(whole, mixed).alias("p"), F.max_by(whole, mixed).alias("q")), "pivots")
     stars = large.alias("y").join(pivots, "h").select("y.*", F.explode(F.array("p", "q")).alias("x")).select("x", F.struct("node", "n", *PARITY).alias("y"))
-    stars = stars.filter((F.col("x.node") != F.col("y.node")) & _could_match("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    asked = near.unionByName(stars).groupBy("a", "b").count()
-    order = Window.partitionBy("b").orderBy(F.desc("count"), "a")
-    asked = written(asked.withColumn("turn", F.row_number().over(order)), "asked")
+    stars = stars.filter((F.col("x.node") != F.col("y.node")) & _could_match("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("y.node").alias("of"))
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """(a, b, of, count) of pairs a < b whose sketches leave room; every pair once. ``of`` is the one of the two that asks."""
+        met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "of").groupBy("a", "b").agg(F.min("of").alias("of"), F.count("*").alias("count"))
+        met = written(met, "met")
+        named = key_filter(met.select(F.explode(F.array("a", "b")).alias("node")), "node")
+        sketches = flagged_by(nodes.select("node", "n", "sketch"), named, "node", "met").filter("met").drop("met")
+        both = met.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b")
+        out = written(sketches_agree(both, similarity).select("a", "b", "of", "count"), "plausible")
+        discard(met)
+        return out
+
+    candidates = plausible(near.unionByName(stars))
+    if candidates.isEmpty():
+        return None
+    order = Window.partitionBy("of").orderBy(F.desc("count"), "a", "b")
+    asked = written(candidates.withColumn("turn", F.row_number().over(order)), "asked")
 
     def verify(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
                 left, right = (part.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
                 ok = [jaccard_of(x, y, words) >= similarity - SLACK for x, y in zip(left, right)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -276,10 +327,10 @@ def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) ->
         pairs = written(pairs, "asked-now")
         texts = written(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "texts")
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "verified")
+        out = written(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "verified")
+        discard(pairs, texts)
+        return out
 
-    if asked.isEmpty():
-        return None
     links = verified(asked.filter(F.col("turn") <= VERIFIED_FIRST).select("a", "b"))
     roots = written(components(links), "roots")
     named = lambda side: roots.toDF(side, f"root_{side}")
@@ -288,42 +339,53 @@ def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) ->
     placed = large.select("node", "n", *PARITY, "pos", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h"), "mixed")
-    placed = placed.join(mixed, "h", "left_semi")
-    apart = _meeting(placed, placed, similarity, (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-    tried = asked.filter(F.col("turn") <= VERIFIED_FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.unionByName(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti")))
+    discard(shared, pivots)
+    placed_mixed = placed.join(mixed, "h", "left_semi")
+    other = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    apart = plausible(_meeting(placed_mixed, placed_mixed, similarity, other).withColumn("of", F.col("b")))
+    tried = asked.filter(F.col("turn") <= VERIFIED_FIRST).select("a", "b")
+    more = verified(rest.unionByName(apart.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    out = written(links.unionByName(more), "similar")
+    discard(candidates, asked, roots, placed, mixed, apart, links, more)
+    return out
 
 
 def redundant(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (the text's hash) and kept_by of the documents that go: all but the smallest id of each group of near duplicates.
 
     Groups are the components of all pairs of documents whose sets of ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more. Documents with equal sets are one node of the search. Rows are known by id and text:
-    null ids come after all others, of equal ids the smallest text hash stays, and rows equal in both are one document.
+    ``similarity`` or more. Documents with equal sets are one node of the search, the one with the smallest id and text hash. Rows are
+    known by id and text: null ids come after all others, of equal ids the smallest text hash stays, and rows equal in both are one document.
     """
     base = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
-    rows = written(prefixes(base, words, similarity, shingle_counts(base, words)), "prefixes")
-    nodes = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in PARITY])
-    nodes = written(nodes.select("sig", "r.doc_id", "r.th", "n", "prefix", *PARITY, F.monotonically_increasing_id().alias("node")), "nodes")
+    rows = written(prefixes(base, words, similarity, shingle_counts(base, words)).withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "node")
+    classes = written(rows.groupBy("sig").agg(F.min(first)["node"].alias("node"), F.count("*").alias("members")), "classes")
+    # Most rows are the only one of their set; of the others, all but the first are left out of the search.
+    several = rows.select("sig", "node").join(classes.filter("members > 1").select("sig", F.col("node").alias("lead")), "sig").filter("node <> lead")
+    several = written(several.select("node"), "several")
+    flagged = flagged_by(rows, key_filter(several, "node"), "node", "doubt")
+    nodes = flagged.filter("NOT doubt").unionByName(flagged.filter("doubt").join(several, "node", "left_anti")).drop("doubt")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        keys = written(nodes.select("node", F.col("doc_id").alias("i"), F.col("th").alias("t")).join(wanted, "node"), "wanted")
-        some = flag_keys(base, keys.select(F.col("i").alias("doc_id"), F.col("t").alias("th"))).filter("__named")
+        keys = written(rows.select("node", F.col("doc_id").alias("i"), F.col("th").alias("t")).join(wanted, "node"), "wanted")
+        some = flag_keys(base, keys.select(F.col("i").alias("doc_id"), F.col("t").alias("th"))).filter("named")
         some = some.join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
         return some.select("node", "text").dropDuplicates(["node"])
 
-    links = similar_links(nodes.select("node", "n", "prefix", *PARITY), texts_of, words, similarity)
-    rooted = nodes.select("sig", "node")
+    links = similar_links(nodes.select("node", "n", "prefix", *PARITY, "sketch"), texts_of, words, similarity)
+    rooted = classes.select("sig", "node")
     if links is not None:
         rooted = rooted.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
         rooted = rooted.withColumn("root", F.col("node"))
     members = rows.select("doc_id", "th", "sig").distinct().join(rooted.select("sig", "root"), "sig")
     members = written(members.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("who")), "members")
-    stays = members.groupBy("root").agg(F.min("who").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    gone = members.join(written(stays, "stays"), "root").filter(~F.col("who").eqNullSafe(F.col("first")))
-    return gone.select("who.doc_id", "who.th", F.col("first.doc_id").alias("kept_by"))
+    stays = written(members.groupBy("root").agg(F.min("who").alias("first"), F.count("*").alias("m")).filter("m > 1"), "stays")
+    gone = with_group(members, stays, "root", "m", F.xxhash64("who")).filter(F.col("first").isNotNull() & ~F.col("who").eqNullSafe(F.col("first")))
+    gone = written(gone.select("who.doc_id", "who.th", F.col("first.doc_id").alias("kept_by")), "near-drop")
+    discard(rows, classes, several, members, stays)
+    return gone
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,10 +394,11 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
     Only dropped rows are moved: they are named by id and text hash, the rest pass through a key filter of fixed size.
     Rows equal in id and text stay or go together.
     """
-    drop = written(redundant(docs, words, similarity, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__di"), F.col("th").alias("__dt")), "near-drop")
-    cols = docs.columns
-    tagged = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    tagged = tagged.withColumn("__k", F.struct(F.col("__id").alias("doc_id"), F.col("__th").alias("th")))
-    tagged = flagged_by(tagged, key_filter(drop.select(F.struct(F.col("__di").alias("doc_id"), F.col("__dt").alias("th")).alias("k")), "k"), "__k", "__named")
-    stay = tagged.filter("__named").join(drop, F.col("__id").eqNullSafe(F.col("__di")) & (F.col("__th") == F.col("__dt")), "left_anti")
-    return tagged.filter("NOT __named").select(*cols).unionByName(stay.select(*cols))
+    drop = redundant(docs, words, similarity, id_col=id_col, text_col=text_col).select("doc_id", "th")
+    cols = [F.col(quoted(c)) for c in docs.columns]
+    own_id, own_th, key, named, of_id, of_th = fresh(docs, "own_id", "own_hash", "row_key", "named", "of_id", "of_hash")
+    tagged = docs.withColumn(own_id, F.col(quoted(id_col)).cast("long")).withColumn(own_th, F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))))
+    tagged = tagged.withColumn(key, F.struct(F.col(own_id).alias("doc_id"), F.col(own_th).alias("th")))
+    tagged = flagged_by(tagged, key_filter(drop.select(F.struct("doc_id", "th").alias("k")), "k"), key, named)
+    stay = tagged.filter(named).join(drop.toDF(of_id, of_th), F.col(own_id).eqNullSafe(F.col(of_id)) & (F.col(own_th) == F.col(of_th)), "left_anti")
+    return tagged.filter(f"NOT {named}").select(*cols).unionByName(stay.select(*cols))
