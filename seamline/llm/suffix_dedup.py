@@ -184,6 +184,18 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
 RANGES = "doc_id long, th long, lo long, hi long"
 
 
+def _bit_runs(batches):
+    """Runs of set bits: (doc_id, th, word, bits) to ranges of places."""
+    for b in batches:
+        word, bits = (b.column(k).to_numpy() for k in (2, 3))
+        marks = np.unpackbits(bits.view(np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        edge = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, lo = np.nonzero(edge == 1)
+        _, hi = np.nonzero(edge == -1)
+        base, take = word[row] * 64, pa.array(row)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(base + lo), pa.array(base + hi - 1)], names=["doc_id", "th", "lo", "hi"])
+
+
 def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, th, lo, hi: ranges of window starts whose ``length`` bytes also start elsewhere. ``rows`` has doc_id, th, text."""
     found = written(segments(rows, length, gram), "segments")
@@ -200,7 +212,7 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     asked = kinds.join(mixed, "bucket").select("bucket", "m", "n", "span", "lead", "rep.doc_id", "rep.th", "rep.first")
     by_doc = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("bucket", "m", "n", "span", "lead", "first")).alias("asked"))
     by_doc = written(by_doc, "segments-asked")
-    texts = flag_keys(rows, by_doc).filter("__named").join(
+    texts = flag_keys(rows, by_doc).filter("named").join(
         by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "asked"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
     )
 
@@ -254,7 +266,9 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     pieces = flagged_by(pieces, key_filter(cores.select(F.struct("c1", "c2").alias("k")), "k"), "k", "again").filter("again")
     spread = written(pieces.select("doc_id", "th", "n", "at", "bytes").mapInArrow(_windows(length), WINDOWS), "hot-windows")
     often = written(spread.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2"), "often")
-    warm = spread.filter("n = 1").join(often, ["w1", "w2"], "left_semi").select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    # Windows as bits of words, so that a long hot text has a 64th of the rows, and then as runs.
+    warm = spread.filter("n = 1").join(often, ["w1", "w2"], "left_semi").select("doc_id", "th", F.shiftright("at", 6).alias("word"), F.pmod("at", F.lit(64)).cast("int").alias("bit"))
+    warm = warm.groupBy("doc_id", "th", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).mapInArrow(_bit_runs, RANGES)
     return whole.unionByName(cold).unionByName(warm)
 
 
@@ -317,8 +331,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     flagged = flag_keys(rows, ranges)
     spans = "array<struct<start:long,stop:long>>"
     data = F.to_binary("text", F.lit("utf-8"))
-    same = flagged.filter("NOT __named").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), data.alias("kept"), F.lit(None).cast(spans).alias("spans"))
-    named = flagged.filter("__named").join(
+    same = flagged.filter("NOT named").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), data.alias("kept"), F.lit(None).cast(spans).alias("spans"))
+    named = flagged.filter("named").join(
         ranges.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "ranges"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left"
     )
 
