@@ -94,10 +94,12 @@ def interface_page(store: Store, query: Query, as_rows: bool = False) -> DataFra
     out = rows.completeness(base, page).crossJoin(total)
     out = out.crossJoin(listed(stats.partner_counts(base), "interface_partner_counts", ["partner_domain"]))
     out = out.crossJoin(listed(stats.size_histogram(base), "interface_size_histogram", ["size"]))
-    if flag(query, "include_data"):
-        data = rows.page_of_filtered(base, PageSettings.of(query, "data")).select("partner_domain", "interface_row_key", "interface_msa_columns_a", "surface_msa_columns_a")
+    if flag(query, "include_data", True):
+        # The data's page is the rows' page where it has none of its own.
+        own = PageSettings.of(query | {k: query[k.replace("data", "row")] for k in ("data_offset", "data_limit") if not text_of(query, k) and k.replace("data", "row") in query}, "data")
+        data = rows.page_of_filtered(base, own).select("partner_domain", "interface_row_key", "interface_msa_columns_a", "surface_msa_columns_a")
         out = out.crossJoin(listed(data, "data", ["partner_domain", "interface_row_key"]))
-    if flag(query, "include_clean_column_identity"):
+    if flag(query, "include_clean_column_identity", flag(query, "include_clean", True)):
         out = out.crossJoin(listed(stats.clean_identity(base, length=length), "clean_column_identity", ["col"]))
     if not flag(query, "include_rows", True):
         return to_json(out, file=text_of(query, "file"))
@@ -112,6 +114,15 @@ def _compressed(store: Store, query: Query) -> tuple[DataFrame, DataFrame]:
     return groups, written(members, "members")
 
 
+class Gone(ValueError):
+    """A request that is no longer served."""
+
+
+def msa(store: Store, query: Query) -> DataFrame:
+    """``msa``: alignment files are served as rows of ``interface``."""
+    raise Gone("alignment files are no longer served; ask for the interface's rows")
+
+
 def embedding(store: Store, query: Query, as_rows: bool = False) -> DataFrame:
     """``embedding``: E1-E5."""
     s = EmbeddingSettings.of(query)
@@ -247,6 +258,17 @@ def structure_preview(store: Store, query: Query) -> DataFrame:
     return to_json(structure.residue_sets(found).join(own, "interface_row_key"))
 
 
+def family_names(spark: SparkSession, path: str) -> DataFrame:
+    """Family and display_name of every entry of list pages that were fetched beforehand; of a family on several pages the
+    name that comes last in order of file and place. Entries without an accession are left out; a page without a list raises."""
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_variant_get(F.try_parse_json("value"), "$.results", "array<variant>").alias("r"))
+    bad = F.raise_error(F.concat(F.lit("a page without a list of results: "), F.col("file"))).cast("array<variant>")
+    entries = pages.select("file", F.posexplode(F.coalesce("r", bad)).alias("at", "d"))
+    found = entries.select("file", "at", text.variant_text(F.col("d"), "$.metadata.accession").alias("family"), text.variant_text(F.col("d"), "$.metadata.name").alias("display_name"))
+    found = found.withColumn("family", F.coalesce("family", F.lit(""))).filter("family <> ''")
+    return found.groupBy("family").agg(F.max_by(F.coalesce("display_name", F.lit("")), F.struct("file", "at")).alias("display_name"))
+
+
 def family_info(spark: SparkSession, path: str) -> DataFrame:
     """``pfam-info``: X11, an entry document that was fetched beforehand, flattened."""
     doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("d"))
@@ -269,4 +291,4 @@ def family_info(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-__all__ = ["clustering", "cluster_compare", "dendrogram_nodes", "distance", "embedding", "family_info", "files", "hierarchy_status", "interface_page", "representative", "structure_preview"]
+__all__ = ["clustering", "cluster_compare", "dendrogram_nodes", "distance", "embedding", "family_info", "family_names", "files", "hierarchy_status", "interface_page", "msa", "representative", "structure_preview"]

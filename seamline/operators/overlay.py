@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.colour import clamp, mix
 from ..functions.sequences import cells
 from ..functions.tables import js_round, percent
 
@@ -98,12 +99,29 @@ def residue_lookup(row: DataFrame, identity: DataFrame) -> DataFrame:
     return ids.select("row_key", "residue_id", "col", letter).join(identity.select("col", "identity"), "col", "left")
 
 
-def residue_styles(lookup: DataFrame, lens: str, column_values: DataFrame | None = None) -> DataFrame:
-    """Intensity in [0, 1] of each residue by a lens: ``conservedness`` from the identity, ``column`` from the place in the
-    alignment, others from ``column_values`` (col, value)."""
+#: Colours of a residue without a signal, with an interface column, and conserved.
+PLAIN, INTERFACE, CONSERVED = (143, 138, 130), (188, 64, 45), (47, 125, 90)
+
+
+def residue_styles(lookup: DataFrame, lens: str, values: DataFrame | None = None) -> DataFrame:
+    """Intensity in [0, 1] of each residue by a lens, with the colour or the label that it is shown in.
+
+    ``interface``: the share of rows that use the column, from ``column_stats`` of one partner. ``conservedness``: the column's identity.
+    ``partners``: the share of the column's first partner, and its name, from ``partner_distribution``. ``column``: 1 and the column.
+    ``cluster``: the support of the column's dominant cluster, and its label; residues without one are left out.
+    """
     if lens == "conservedness":
-        return lookup.withColumn("intensity", F.coalesce(F.col("identity"), F.lit(0)) / 100)
+        out = lookup.withColumn("intensity", clamp(F.coalesce(F.col("identity"), F.lit(0)) / 100))
+        return out.withColumn("colour", mix(PLAIN, CONSERVED, F.col("intensity")))
     if lens == "column":
-        last = lookup.agg(F.max("col").alias("last"))
-        return lookup.crossJoin(F.broadcast(last)).withColumn("intensity", F.when(F.col("last") > 0, F.col("col") / F.col("last")).otherwise(F.lit(0.0))).drop("last")
-    return lookup.join(column_values.withColumnRenamed("value", "intensity"), "col")
+        return lookup.withColumn("intensity", F.lit(1.0)).withColumn("label", F.col("col").cast("string"))
+    if lens == "interface":
+        share = values.select("col", F.when(F.col("denominator") > 0, F.col("count") / F.col("denominator")).alias("share"))
+        out = lookup.join(share, "col", "left").withColumn("intensity", F.coalesce("share", F.lit(0.0))).drop("share")
+        return out.withColumn("colour", mix(PLAIN, INTERFACE, F.col("intensity")))
+    if lens == "partners":
+        first = values.filter("rank = 1").select("col", F.col("partner_domain").alias("label"), F.col("fraction").alias("share"))
+        return lookup.join(first, "col", "left").withColumn("intensity", F.coalesce("share", F.lit(0.0))).drop("share")
+    if lens == "cluster":
+        return lookup.join(values.select("col", F.col("support").alias("intensity"), F.col("cluster_label").cast("string").alias("label")), "col")
+    raise ValueError(f"unknown lens {lens!r}")

@@ -155,27 +155,68 @@ def p5_contact_lines(spark, sf):
     return structure.contact_pdb(structure.contact_lines(contacts, p, p)).select("n", F.array_join("lines", "\n").alias("lines"))
 
 
+def _rgb(start, end, share: str) -> str:
+    """SQL of the colour between two triples."""
+    part = lambda a, b: f"CAST(floor({a} + ({b} - {a}) * ({share}) + 0.5) AS BIGINT)"
+    return "'rgb(' || " + " || ', ' || ".join(part(a, b) for a, b in zip(start, end)) + " || ')'"
+
+
+RESIDUES = f"""{IFACE}, x AS (SELECT interface_row_key || '@@' || partner_domain AS row_key, CAST(i AS INTEGER) AS col, substr(aligned_seq, i + 1, 1) AS letter, frag_s, frag_e FROM iface, range(0, 32) AS r(i)),
+    y AS (SELECT *, frag_s - 1 + sum(CAST(regexp_matches(letter, '[A-Za-z]') AS INTEGER)) OVER (PARTITION BY row_key ORDER BY col) AS res FROM x),
+    look AS (SELECT row_key, col, CAST(res AS INTEGER) AS residue_id FROM y WHERE regexp_matches(letter, '[A-Za-z]') AND res BETWEEN frag_s AND frag_e)"""
+
+
+def _lookup(spark, sf, identity=None):
+    none = spark.createDataFrame([], "col int, identity int")
+    return overlay.residue_lookup(sequences.alignment_rows(iface(spark, sf), 32), none if identity is None else identity)
+
+
 @query(
-    "p6_residue_styles",
-    f"""WITH {IFACE}, x AS (SELECT interface_row_key || '@@' || partner_domain AS row_key, CAST(i AS INTEGER) AS col, substr(aligned_seq, i + 1, 1) AS letter, frag_s, frag_e FROM iface, range(0, 32) AS r(i)),
-    y AS (SELECT *, frag_s - 1 + sum(CAST(regexp_matches(letter, '[A-Za-z]') AS INTEGER)) OVER (PARTITION BY row_key ORDER BY col) AS res FROM x), z AS (SELECT row_key, col, CAST(res AS INTEGER) AS residue_id FROM y WHERE regexp_matches(letter, '[A-Za-z]') AND res BETWEEN frag_s AND frag_e)
-    SELECT row_key, residue_id, round(CASE WHEN col % 4 = 0 THEN 0 ELSE col * 3 / 100 END, 9) AS conserved, round(col / (SELECT max(col) FROM z), 9) AS place FROM z""",
+    "p6_conserved_style",
+    f"WITH {RESIDUES}, s AS (SELECT *, CASE WHEN col % 4 = 0 THEN 0 ELSE least(100, col * 4) END / 100 AS f FROM look) SELECT row_key, residue_id, round(f, 9) AS intensity, {_rgb(overlay.PLAIN, overlay.CONSERVED, 'f')} AS colour FROM s",
 )
-def p6_residue_styles(spark, sf):
-    identity = spark.range(32).filter("id % 4 <> 0").select(F.col("id").cast("int").alias("col"), (F.col("id").cast("int") * 3).alias("identity"))
-    look = overlay.residue_lookup(sequences.alignment_rows(iface(spark, sf), 32), identity)
-    conserved = overlay.residue_styles(look, "conservedness").select("row_key", "residue_id", F.round("intensity", 9).alias("conserved"))
-    place = overlay.residue_styles(look, "column").select("row_key", "residue_id", F.round("intensity", 9).alias("place"))
-    return conserved.join(place, ["row_key", "residue_id"])
+def p6_conserved_style(spark, sf):
+    identity = spark.range(32).filter("id % 4 <> 0").select(F.col("id").cast("int").alias("col"), (F.col("id").cast("int") * 4).alias("identity"))
+    out = overlay.residue_styles(_lookup(spark, sf, identity), "conservedness")
+    return out.select("row_key", "residue_id", F.round("intensity", 9).alias("intensity"), "colour")
+
 
+@query(
+    "p6_interface_style",
+    f"""WITH {RESIDUES}, m AS (SELECT DISTINCT interface_row_key, unnest(cols) AS col FROM iface WHERE partner_domain = '5-LOW'), d AS (SELECT count(DISTINCT interface_row_key) AS d FROM m), n AS (SELECT col, count(*) AS n FROM m GROUP BY 1),
+    s AS (SELECT look.*, coalesce(n / d, 0.0) AS f FROM look LEFT JOIN n USING (col), d) SELECT row_key, residue_id, round(f, 9) AS intensity, {_rgb(overlay.PLAIN, overlay.INTERFACE, 'f')} AS colour FROM s""",
+)
+def p6_interface_style(spark, sf):
+    used = overlay.column_stats(overlay.marks(iface(spark, sf))).filter("partner_domain = '5-LOW'")
+    out = overlay.residue_styles(_lookup(spark, sf), "interface", used)
+    return out.select("row_key", "residue_id", F.round("intensity", 9).alias("intensity"), "colour")
 
-@query("p6_partner_style", f"WITH {IFACE}, c AS (SELECT col, count(*) AS n FROM (SELECT unnest(cols) AS col FROM iface) GROUP BY 1) SELECT CAST(event_id AS INTEGER) AS residue_id, c.col, round(n / (SELECT max(n) FROM c), 9) AS intensity FROM events JOIN c ON c.col = event_id % 40")
+
+@query(
+    "p6_partner_style",
+    f"""WITH {RESIDUES}, m AS (SELECT DISTINCT partner_domain, interface_row_key, unnest(cols) AS col FROM iface), d AS (SELECT partner_domain, count(DISTINCT interface_row_key) AS d FROM m GROUP BY 1),
+    n AS (SELECT col, partner_domain, count(*) AS n, count(*) / any_value(d) AS f FROM m JOIN d USING (partner_domain) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY f DESC, n DESC, partner_domain) AS k FROM n)
+    SELECT row_key, residue_id, round(coalesce(f, 0.0), 9) AS intensity, partner_domain AS label FROM look LEFT JOIN b ON b.col = look.col AND k = 1""",
+)
 def p6_partner_style(spark, sf):
-    counts = iface(spark, sf).select(F.explode("interface_msa_columns_a").alias("col")).groupBy("col").agg(F.count("*").alias("n"))
-    most = counts.agg(F.max("n").alias("most"))
-    values = counts.crossJoin(F.broadcast(most)).select("col", (F.col("n") / F.col("most")).alias("value"))
-    look = table(spark, sf, "events").selectExpr("cast(event_id as int) AS residue_id", "cast(event_id % 40 as int) AS col")
-    return overlay.residue_styles(look, "partners", values).select("residue_id", "col", F.round("intensity", 9).alias("intensity"))
+    used = overlay.partner_distribution(overlay.column_stats(overlay.marks(iface(spark, sf))))
+    return overlay.residue_styles(_lookup(spark, sf), "partners", used).select("row_key", "residue_id", F.round("intensity", 9).alias("intensity"), "label")
+
+
+@query(
+    "p6_cluster_style",
+    f"""WITH {RESIDUES}, sizes AS (SELECT cluster_label, count(*) AS size FROM iface WHERE cluster_label >= 0 GROUP BY 1), cc AS (SELECT cluster_label, col, count(*) AS n FROM (SELECT cluster_label, unnest(cols) AS col FROM iface WHERE cluster_label >= 0) GROUP BY 1, 2),
+    s AS (SELECT col, cluster_label, n, n / size AS f FROM cc JOIN sizes USING (cluster_label) WHERE n / size >= 0.04), b AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY f DESC, n DESC, cluster_label) AS k FROM s)
+    SELECT row_key, residue_id, round(f, 9) AS intensity, CAST(cluster_label AS VARCHAR) AS label FROM look JOIN b ON b.col = look.col AND k = 1 UNION ALL SELECT row_key, residue_id, 1.0, 'column ' || col FROM look WHERE col < 3""",
+)
+def p6_cluster_style(spark, sf):
+    """The dominant clusters' lens, and for the first columns the plain column lens."""
+    points, base = _points(spark, sf)
+    look = _lookup(spark, sf)
+    dominant = compare.dominant_clusters(compare.column_counts(points, base), compare.summaries(points))
+    clusters = overlay.residue_styles(look, "cluster", dominant).select("row_key", "residue_id", F.round("intensity", 9).alias("intensity"), "label")
+    columns = overlay.residue_styles(look.filter("col < 3"), "column").select("row_key", "residue_id", "intensity", F.concat(F.lit("column "), "label").alias("label"))
+    return clusters.unionByName(columns)
 
 
 # ---- single rows, orders and choices

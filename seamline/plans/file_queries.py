@@ -349,6 +349,36 @@ def x11_family_entries(spark, sf):
     return out.select("pfam_id", "display_name", "short_name", "description", F.col("set_info.accession").alias("set_accession"), F.col("stats.proteins").alias("proteins"), F.col("stats.taxa").alias("taxa"))
 
 
+@query("s17_family_names", "SELECT 'PF' || n_nationkey AS family, n_name AS display_name FROM nation")
+def s17_family_names(spark, sf):
+    """List pages of nine entries; every fifth family is on an earlier page too, under a name that the later one replaces."""
+    folder, rows = _folder(spark, "pages"), sorted(table(spark, sf, "nation").collect())
+    entry = lambda k, name: {"metadata": {"accession": f" PF{k} ", "name": name}}
+    entries = [entry(r["n_nationkey"], "old") for r in rows if r["n_nationkey"] % 5 == 0] + [entry(r["n_nationkey"], f" {r['n_name']}  ") for r in rows]
+    for k in range(0, len(entries), 9):
+        tables.put(spark, f"{folder}/page-{k:04d}.json", json.dumps({"results": [*entries[k : k + 9], {"metadata": {"name": "x"}}, 7], "next": None}).encode())
+    return api.family_names(spark, f"{folder}/*.json")
+
+
+@query(
+    "s17_chosen_predictions",
+    """WITH p AS (SELECT n_regionkey AS r, n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS ordinal, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey * 3 END AS start, n_nationkey * 3 + 40 AS stop FROM nation),
+    w AS (SELECT DISTINCT n_regionkey AS r, s, s + 9 AS e FROM nation, range(0, 90, 7) AS t(s)), c AS (SELECT w.*, p.*, row_number() OVER (PARTITION BY w.r, s ORDER BY CASE WHEN start <= s AND stop >= e THEN 0 ELSE 1 END, ordinal) AS n FROM w JOIN p ON p.r = w.r)
+    SELECT 'A' || c.r AS accession, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, 'E' || k AS entry, CASE WHEN k % 3 = 0 THEN 'http://x.example/' || k || '.cif' ELSE 'http://x.example/' || k || '.pdb' END AS url FROM c WHERE n = 1""",
+)
+def s17_chosen_predictions(spark, sf):
+    folder, documents = _folder(spark, "predictions"), {}
+    for r in sorted(table(spark, sf, "nation").collect()):
+        k = r["n_nationkey"]
+        item = {"uniprotStart": "none" if k % 4 == 0 else k * 3, "uniprotEnd": str(k * 3 + 40) if k % 2 else k * 3 + 40, "entryId": f"E{k}", "cifUrl": f"http://x.example/{k}.cif"}
+        documents.setdefault(r["n_regionkey"], []).append(item | ({} if k % 3 == 0 else {"pdbUrl": f"http://x.example/{k}.pdb"}))
+    for region, items in documents.items():
+        tables.put(spark, f"{folder}/A{region}.json", json.dumps(items).encode())
+    predictions = structures.read_predictions(spark, f"{folder}/*.json")
+    wanted = predictions.select("accession").distinct().withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(84), F.lit(7)))).withColumn("e", F.col("s") + 9)
+    return structures.choose_predictions(wanted, predictions, ["accession"]).select("accession", "s", "e", "entry", "url")
+
+
 @query("x10_named_references", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '4' WHEN 3 THEN NULL ELSE 'A' || s_nationkey END AS accession, CASE s_suppkey % 4 WHEN 3 THEN NULL WHEN 1 THEN s_name ELSE '' END AS name FROM supplier")
 def x10_named_references(spark, sf):
     doc = F.expr("parse_json(CASE s_suppkey % 4 WHEN 0 THEN '{\"r\": {\"accession\": 4}}' WHEN 3 THEN '{\"r\": {\"accession\": \" \"}}' WHEN 1 THEN concat('{\"r\": {\"accession\": \" A', s_nationkey, '\", \"name\": \"', s_name, ' \"}}') ELSE concat('{\"r\": {\"accession\": \"A', s_nationkey, '\"}}') END)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import residue_letter
+from ..functions.keys import file_stem
+from ..functions.text import residue_letter, variant_text
 
 
 def read_pdb(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -40,6 +41,19 @@ def usable_models(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg((F.bool_or(F.col("text").startswith("ATOM")) & F.bool_or(F.col("text").rlike("^END(MDL)?\\s*$"))).alias("usable"))
 
 
+def read_predictions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Prediction documents that were fetched beforehand, one file an accession (its name's stem): accession, ordinal (place in
+    the list), start, stop, entry and url (of the PDB file, else of the CIF file).
+
+    Places that are no whole numbers are null, so the prediction is chosen only as an accession's first.
+    """
+    whole = spark.read.text(paths, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("accession"), F.try_parse_json("value").alias("d"))
+    items = whole.select("accession", F.posexplode(F.try_variant_get("d", "$", "array<variant>")).alias("ordinal", "p"))
+    place = lambda k: F.try_variant_get("p", f"$.{k}", "int")
+    link = lambda k: F.nullif(variant_text(F.col("p"), f"$.{k}"), F.lit(""))
+    return items.select("accession", "ordinal", place("uniprotStart").alias("start"), place("uniprotEnd").alias("stop"), variant_text(F.col("p"), "$.entryId").alias("entry"), F.coalesce(link("pdbUrl"), link("cifUrl")).alias("url"))
+
+
 def choose_predictions(wanted: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Of each ``keys`` (with s and e) the first prediction whose range holds [s, e], else the first one.
 

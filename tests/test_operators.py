@@ -181,10 +181,18 @@ def test_row_states_of_short_and_null_rows(spark):
 
 
 def test_residue_styles(spark):
-    look = spark.createDataFrame([("k", 5, 0, "A", 80), ("k", 6, 4, "B", None)], "row_key string, residue_id int, col int, letter string, identity int")
-    assert [r["intensity"] for r in overlay.residue_styles(look, "conservedness").orderBy("col").collect()] == [0.8, 0.0]
-    assert [r["intensity"] for r in overlay.residue_styles(look, "column").orderBy("col").collect()] == [0.0, 1.0]
-    assert overlay.residue_styles(look, "cluster", spark.createDataFrame([(4, 0.5)], "col int, value double")).first()["intensity"] == 0.5
+    look = spark.createDataFrame([("k", 5, 0, "A", 80), ("k", 6, 4, "B", None), ("k", 7, 5, "C", 300)], "row_key string, residue_id int, col int, letter string, identity int")
+    got = [(r["intensity"], r["colour"]) for r in overlay.residue_styles(look, "conservedness").orderBy("col").collect()]
+    assert got == [(0.8, "rgb(66, 128, 98)"), (0.0, "rgb(143, 138, 130)"), (1.0, "rgb(47, 125, 90)")]
+    assert {(r["intensity"], r["label"]) for r in overlay.residue_styles(look, "column").collect()} == {(1.0, "0"), (1.0, "4"), (1.0, "5")}
+    used = spark.createDataFrame([(4, 3, 4), (0, 0, 0)], "col int, count long, denominator long")
+    assert [r["intensity"] for r in overlay.residue_styles(look, "interface", used).orderBy("col").collect()] == [0.0, 0.75, 0.0]
+    first = spark.createDataFrame([(4, "P", 0.5, 1), (4, "Q", 0.2, 2)], "col int, partner_domain string, fraction double, rank int")
+    assert [(r["intensity"], r["label"]) for r in overlay.residue_styles(look, "partners", first).orderBy("col").collect()] == [(0.0, None), (0.5, "P"), (0.0, None)]
+    some = overlay.residue_styles(look, "cluster", spark.createDataFrame([(4, 2, 0.25)], "col int, cluster_label int, support double"))
+    assert [(r["residue_id"], r["intensity"], r["label"]) for r in some.collect()] == [(6, 0.25, "2")]
+    with pytest.raises(ValueError):
+        overlay.residue_styles(look, "other")
 
 
 def test_representatives(spark):

@@ -102,7 +102,11 @@ def test_requests(spark, folder, tmp_path):
     one = lambda df: json.loads(df.first()["json"])
     q = {"file": "PF00001_a.json"}
     page = one(api.interface_page(store, q | {"row_limit": "2", "include_data": "1", "include_clean_column_identity": "true"}))
-    assert page["row_count"] == 4 and page["rows_loaded"] == 2 and not page["rows_complete"] and len(page["rows"]) == 2 and len(page["data"]) == 4
+    assert page["row_count"] == 4 and page["rows_loaded"] == 2 and not page["rows_complete"] and len(page["rows"]) == 2 and len(page["data"]) == 2
+    whole = one(api.interface_page(store, q | {"row_offset": "1", "row_limit": "2", "data_limit": "9"}))
+    assert len(whole["data"]) == 3 and len(whole["clean_column_identity"]) == 10 and "data" not in one(api.interface_page(store, q | {"include_data": "0", "include_clean": "0"}))
+    with pytest.raises(api.Gone):
+        api.msa(store, q)
     assert len(page["clean_column_identity"]) == 10 and {r["row_key"] for r in page["rows"]} == {"P1_5-9_20-30@@PX", "P2_1-20_7-9@@PX"}
     assert {f["name"] for f in one(api.files(store))["files"]} == {"PF00001_a.json", "PF00002_b.json.gz"}
     c = {"file": "PF00002_b.json.gz", "hierarchical_min_cluster_size": "1", "distance": "jaccard", "distance_threshold": "0.7"}
