@@ -5,8 +5,9 @@ the window, and a softmax layer names the language. A whole text is cut into win
 scored in batches; the text's score is the mean of its windows' probabilities, weighted by their bytes.
 For inference, taps are fused into tables over byte pairs, so a filter of width 4 costs two look-ups.
 
-Training takes a bounded sample: of the ``MAX_LANGUAGES`` most frequent languages, at most ``per_language`` texts of each language by the order of a hash of the
-id, ``windows_a_text`` evenly spaced windows of each. Prediction reads every whole text.
+Training takes a bounded sample of labelled windows: every window of every whole labelled text may be drawn, by a hash of its text's
+id and its place, and each language gets the same number of them: ``windows_a_language``, or less where there are so many languages
+that all would be more than ``MAX_WINDOWS``, but at least one. No language is left out. Prediction reads every whole text.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language that sorts
 first; rows without a language are not learnt from; with no language to learn from everything is ``und``; repeated
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, flat_bytes, text_blocks
@@ -27,10 +28,9 @@ from .common import crc_mod, flat_bytes, text_blocks
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Bounds of the training sample.
-PER_LANGUAGE = 400
-WINDOWS_A_TEXT = 4
-MAX_LANGUAGES = 256
+#: Bounds of the training sample: labelled windows of a language, and of all languages together.
+WINDOWS_A_LANGUAGE = 1600
+MAX_WINDOWS = 102_400
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -147,44 +147,52 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 16,
     return net
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE, windows_a_text: int = WINDOWS_A_TEXT) -> ByteCnn | None:
+def quota(languages: int, windows_a_language: int = WINDOWS_A_LANGUAGE) -> int:
+    """Windows that each language gives to the sample."""
+    return max(1, min(windows_a_language, MAX_WINDOWS // max(1, languages)))
+
+
+def sampled_windows(known: DataFrame, windows_a_language: int = WINDOWS_A_LANGUAGE) -> list[tuple[str, bytes]]:
+    """(language, window) of a bounded sample of all windows of ``known`` (doc_id, lang, text), sorted.
+
+    A window is drawn if its hash is among the lowest share that gives its language a fifth more than its quota; what is above the quota
+    goes here, highest hashes first. So nothing is sorted or gathered by language on the cluster, and what comes to the
+    driver is in proportion to the quota, whatever the input. One number a language is gathered before that.
+    """
+    count = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW)).cast("int")
+    sizes = known.groupBy("lang").agg(F.sum(count).alias("windows")).collect()
+    if not sizes:
+        return []
+    n, top = quota(len(sizes), windows_a_language), 1 << 62
+    shares = [(r["lang"], int(min(1.0, (1.2 * n + 16) / r["windows"]) * top)) for r in sizes]
+    below = known.sparkSession.createDataFrame(shares, "lang string, below long")
+    rank = lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(top))
+    some = known.withColumn("count", count).join(F.broadcast(below), "lang")
+    some = some.select("lang", "text", "doc_id", F.filter(F.sequence(F.lit(0), F.col("count") - 1), lambda k: rank(k) < F.col("below")).alias("drawn")).filter("size(drawn) > 0")
+    data = F.to_binary("text", F.lit("utf-8"))
+    window = lambda k: F.struct(rank(k).alias("rank"), F.substring(data, k * WINDOW + 1, F.lit(WINDOW)).alias("w"))
+    got = some.select("lang", F.explode(F.transform("drawn", window)).alias("x")).select("lang", "x.rank", "x.w").distinct().collect()
+    got = sorted((r["lang"], r["rank"], bytes(r["w"])) for r in got if r["w"])
+    out, last, taken = [], None, 0
+    for lang, _, w in got:
+        last, taken = lang, taken + 1 if lang == last else 1
+        if taken <= n:
+            out.append((lang, w))
+    return out
+
+
+def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held_out: int = 2, windows_a_language: int = WINDOWS_A_LANGUAGE) -> ByteCnn | None:
     """Train on documents with a language and crc32(doc_id) mod ``mod`` other than ``held_out``; None without any."""
     known = docs.select("doc_id", F.col(lang_col).alias("lang"), "text").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    known = known.filter(crc_mod("doc_id", mod) != held_out)
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    known = known.join(F.broadcast(common), "lang")
-    chosen = _lowest(known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")), per_language)
-    texts = known.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
-
-    def cut(batches):
-        for b in batches:
-            data, offsets = flat_bytes(b.column("text"))
-            rows, langs, ids = [], [], []
-            for i, (lang, doc) in enumerate(zip(b.column("lang").to_pylist(), b.column("doc_id").to_pylist())):
-                text = folded(data[offsets[i] : offsets[i + 1]])
-                most = max(0, len(text) - WINDOW)
-                for at in sorted({round(most * k / max(1, windows_a_text - 1)) for k in range(windows_a_text)}):
-                    w = text[at : at + WINDOW].tobytes()
-                    if w:
-                        rows.append(w.ljust(WINDOW, b"\0")), langs.append(lang), ids.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["doc_id", "lang", "w"])
-
-    got = texts.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, w binary").distinct().collect()
+    got = sampled_windows(known.filter(crc_mod("doc_id", mod) != held_out), windows_a_language)
     if not got:
         return None
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["w"]))
-    languages = sorted({r["lang"] for r in got})
-    x = np.frombuffer(b"".join(r["w"] for r in got), np.uint8).reshape(-1, WINDOW)
-    y = np.array([languages.index(r["lang"]) for r in got])
-    return train(x, y, languages)
-
-
-def _lowest(rows: DataFrame, n: int) -> DataFrame:
-    """Of each language the ``n`` lowest rows by h: first within 64 hash parts (which spreads a hot language), then overall."""
-    part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    whole = Window.partitionBy("lang").orderBy("h", "doc_id")
-    some = rows.distinct().withColumn("r", F.row_number().over(part)).filter(F.col("r") <= n)
-    return some.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= n)
+    languages = sorted({lang for lang, _ in got})
+    x = np.zeros((len(got), WINDOW), np.uint8)
+    for k, (_, w) in enumerate(got):
+        x[k, : len(w)] = folded(np.frombuffer(w, np.uint8))
+    number = {lang: k for k, lang in enumerate(languages)}
+    return train(x, np.array([number[lang] for lang, _ in got]), languages)
 
 
 def predict(docs: DataFrame, net: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
