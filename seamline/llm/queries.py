@@ -102,6 +102,17 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op5_suffix_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT r, i, md5(array_slice(b, i + 1, i + 400)) AS h FROM d, unnest(range(0, greatest(n - 399, 0))) AS t(i)),
+        again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+        m AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM w JOIN again USING (h)),
+        s AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM m) GROUP BY r, k),
+        runs AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a) AS BIGINT) AS n_removed FROM s GROUP BY r),
+        k AS (SELECT doc_id, n, b, coalesce(n_removed, 0) AS n_removed, coalesce(len(a), 0) AS n_spans, list_prepend(0, coalesce(z, [])) AS lo, list_append(coalesce(a, []), n) AS hi FROM d LEFT JOIN runs USING (r))
+        SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(lo) + 1), lambda j: CASE WHEN hi[j] > lo[j] THEN hex(array_slice(b, lo[j] + 1, hi[j])) ELSE '' END), ''))) AS kept_sha256, n_removed > 0 AS has_repeat
+        FROM k
+    """,
     "op7_decontaminate": r"""
         WITH w AS (
             SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(
