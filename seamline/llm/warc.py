@@ -3,14 +3,15 @@
 ``write_replicas`` turns pages into gzipped WARC/1.1 response records, one file per task, written to every replica, and
 returns the index: each record's place and the SHA-256 of its stored bytes, taken when it was written. The audit hashes the stored bytes
 again. Over each file's records in offset order stands a binary hash tree; a node covers an ordered offset
-range. Trees of the replicas and of the index are compared at their roots, and only where those differ is the
-next level looked at, down to the records that are damaged. Work below the roots is thus in proportion to the damage.
+range. The roots of all replicas are compared with each other and with the index's, and only where two of them differ is the
+next level looked at, down to the records that differ; there the index tells which replicas are damaged. Work below the roots is thus in
+proportion to the damage.
 
 Leaves are SHA-256(0x00, record), inner nodes SHA-256(0x01, left, right); a last node without a partner moves up as it is.
 
 Edge cases: a null html is an empty page, a null url leaves the target header out, a null id stays null; repeated pages
-are records of their own; a missing, short or longer replica file is damage of the records it lacks; an
-empty table has no file and an empty audit.
+are records of their own; a missing or short replica file is damage of the records it lacks; bytes after a file's last
+record are a damaged range of their own, without a record; an empty table has no file and an empty audit.
 """
 
 from __future__ import annotations
@@ -168,28 +169,48 @@ def _stored_leaves(uri: str, shard: int, places: list[tuple[int, int]]) -> list[
         return [hashlib.sha256(b"\0" + (bytes(file.read_at(min(b, size) - a, a)) if a < size else b"")).digest() for a, b in places]
 
 
+def surplus(index: DataFrame, uris: list[str]) -> DataFrame:
+    """side, shard, offset and length of what replica files hold after their last record. One row a file is looked at."""
+    ends = index.groupBy("shard").agg(F.max(F.col("offset") + F.col("length")).alias("stop"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for shard, stop in zip(*(b.column(k).to_pylist() for k in range(2))):
+                for uri in uris:
+                    files, folder = open_fs(uri)
+                    info = files.get_file_info(f"{folder}/{shard:06d}.warc.gz")
+                    if info.size and info.size > stop:
+                        rows.append((uri, shard, stop, info.size - stop))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["side", "shard", "offset", "length"])
+
+    return ends.mapInArrow(run, "side string, shard int, offset long, length long")
+
+
 def damaged_records(index: DataFrame, uris: list[str]) -> DataFrame:
-    """side, shard, record, page_id, offset and length of every stored record whose bytes differ from the index.
+    """side, shard, record, page_id, offset and length of every stored record whose bytes differ from the index, and of every range
+    after a file's last record (record and page_id null).
 
-    Descends one level of the trees at a time, joining only children of nodes that differ.
+    Descends one level of the trees at a time, looking only at children of nodes on which any two sides differ.
     """
     trees = written(build_trees(index, uris), "merkle")
-    mine, theirs = trees.filter("side <> 'index'"), trees.filter("side = 'index'").drop("side").withColumnRenamed("hash", "right_hash")
     at = ["shard", "level", "pos"]
 
     def differing(nodes: DataFrame) -> DataFrame:
-        both = nodes.join(theirs.select(*at, "right_hash"), at)
-        return both.filter(~F.col("hash").eqNullSafe(F.col("right_hash"))).select("side", *at, "start", "stop")
+        return nodes.groupBy(*at).agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low <> high").select(*at)
 
-    tops = mine.groupBy("side", "shard").agg(F.max("level").alias("level")).withColumn("pos", F.lit(0).cast("long"))
-    bad = written(differing(mine.join(tops, ["side", *at])), "merkle-bad")
+    tops = trees.groupBy("shard").agg(F.max("level").alias("level")).withColumn("pos", F.lit(0).cast("long"))
+    bad = written(differing(trees.join(tops, at)), "merkle-bad")
     found = bad.filter("level = 0")
     while (open_nodes := bad.filter("level > 0")).take(1):
-        below = open_nodes.select("side", "shard", (F.col("level") - 1).alias("level"), F.explode(F.array(F.col("pos") * 2, F.col("pos") * 2 + 1)).alias("pos"))
-        bad = written(differing(mine.join(below, ["side", *at], "left_semi")), "merkle-bad")
+        below = open_nodes.select("shard", (F.col("level") - 1).alias("level"), F.explode(F.array(F.col("pos") * 2, F.col("pos") * 2 + 1)).alias("pos"))
+        bad = written(differing(trees.join(below, at, "left_semi")), "merkle-bad")
         found = found.unionByName(bad.filter("level = 0"))
-    leaves = found.select("side", "shard", F.col("pos").cast("int").alias("record"))
-    return leaves.join(index, ["shard", "record"]).select("side", "shard", "record", "page_id", "offset", "length")
+    leaves = trees.filter("level = 0").join(found, at, "left_semi").select("side", "shard", F.col("pos").cast("int").alias("record"), "hash")
+    damaged = leaves.filter("side <> 'index'").join(index, ["shard", "record"]).filter(~F.col("hash").eqNullSafe(F.col("leaf")))
+    after = surplus(index, uris).select("side", "shard", F.lit(None).cast("int").alias("record"), F.lit(None).cast("long").alias("page_id"), "offset", "length")
+    return damaged.select("side", "shard", "record", "page_id", "offset", "length").unionByName(after)
 
 
 def audit(pages: DataFrame, replicas: int = 2, spark: SparkSession | None = None) -> tuple[DataFrame, list[str], DataFrame]:
@@ -201,7 +222,7 @@ def audit(pages: DataFrame, replicas: int = 2, spark: SparkSession | None = None
 
 def fixity_report(index: DataFrame, uris: list[str], damaged: DataFrame) -> DataFrame:
     """One row per record: its place, digest and the number of replicas that hold it whole."""
-    bad = damaged.groupBy("shard", "record").agg(F.count("*").alias("bad"))
+    bad = damaged.filter("record IS NOT NULL").groupBy("shard", "record").agg(F.count("*").alias("bad"))
     out = index.join(bad, ["shard", "record"], "left")
     whole = (F.lit(len(uris)) - F.coalesce("bad", F.lit(0))).cast("int")
     return out.select("page_id", "shard", "record", "offset", "length", F.col("sha256").alias("record_sha256"), whole.alias("replicas_whole"))
