@@ -2,18 +2,20 @@
 
 An item is inside a document when at least ``threshold`` of the item's distinct word shingles occur in the
 document. Items are partitioned by their number of shingles, each partition reaching up to twice its smallest
-size. A MinHash signature is the k smallest shingle hashes of an item, and k comes from its partition's
+size. All items of a partition have signatures of one length, the k smallest shingle hashes, and k comes from the partition's
 upper size: ``k = floor((1 - threshold) * size) + 1``, more than a contained item can miss. So every contained item
-has a signature hash inside the document, however long that is: the search misses nothing, and exact
-shingle containment then decides. Documents are hashed in one pass without a shuffle.
+has a signature hash inside the document, however long that is. A document is looked up in each partition whose
+smallest item could be contained in its shingles, and needs as many signature hashes of an item as the item's size
+leaves; exact shingle containment then decides. The search misses nothing. Documents are hashed in one pass without a shuffle.
 
 Words are runs of bytes other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; a shingle is ``words`` of them,
 space-joined; a text with fewer words is one shingle of all of them.
 
 Edge cases: null, empty and blank items have no shingle and are in no document; a null, empty or blank
-document has no shingle; repeated documents or items give repeated pairs; an empty table on either side gives
-an empty result; items are worked through in blocks of bounded size, so a large benchmark means more passes
-and not a larger broadcast.
+document has no shingle; an item of fewer words than a shingle is found only in a document of just those words; repeated documents or
+items give repeated pairs; an empty table on either side gives
+an empty result; items are worked through in blocks of bounded size, one after the other, so a large benchmark means more passes
+and never a larger broadcast; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, id_and_text, text_blocks
+from .common import discard, flat_bytes, id_and_text, text_blocks, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -85,9 +87,41 @@ def shingles(text: bytes, size: int = WORDS) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass
+class SizePartition:
+    """Signatures of items with ``low`` to ``2 * low - 1`` shingles: sorted hashes, the item of each, and how many of an item's a
+    document needs (by item)."""
+
+    low: int
+    hashes: np.ndarray
+    owners: np.ndarray
+    need: dict[int, int]
+
+    @classmethod
+    def of(cls, low: int, threshold: float, items: dict[int, tuple[int, np.ndarray]]) -> SizePartition:
+        """``items``: number of shingles and sorted distinct shingle hashes of each."""
+        spare = lambda n: math.floor((1 - threshold) * n + 1e-9)
+        k = spare(2 * low - 1) + 1
+        signatures = {i: h[:k] for i, (_, h) in items.items()}
+        hashes = np.concatenate(list(signatures.values()))
+        owners = np.repeat(np.array(list(signatures)), list(map(len, signatures.values())))
+        order = np.argsort(hashes, kind="stable")
+        # A contained item misses at most its spare shingles, in its signature as well.
+        return cls(low, hashes[order], owners[order], {i: max(1, len(signatures[i]) - spare(n)) for i, (n, _) in items.items()})
+
+    def candidates(self, mine: np.ndarray) -> list[int]:
+        """Items of which a document with these distinct signature hashes has enough."""
+        lo, hi = np.searchsorted(self.hashes, mine, "left"), np.searchsorted(self.hashes, mine, "right")
+        some = lo < hi
+        if not some.any():
+            return []
+        items, times = np.unique(np.concatenate([self.owners[x:y] for x, y in zip(lo[some], hi[some])]), return_counts=True)
+        return [k for k, t in zip(items.tolist(), times.tolist()) if t >= self.need[k]]
+
+
 @dataclass
 class ContainmentIndex:
-    """Signatures of a bounded block of items."""
+    """Size partitions of a bounded block of items."""
 
     size: int
     threshold: float
@@ -96,19 +130,13 @@ class ContainmentIndex:
 
     def build(self) -> ContainmentIndex:
         self.sets = [shingles(t, self.size) for t in self.texts]
-        hashes, owners = [], []
-        self.need = []
+        by_low: dict[int, dict] = {}
         for i, s in enumerate(self.sets):
-            upper = 2 ** (math.floor(math.log2(len(s))) + 1) - 1 if s else 0
-            k = min(len(s), math.floor((1 - self.threshold) * upper + 1e-9) + 1)
-            h = np.unique(shingle_hashes(word_hashes(np.frombuffer(self.texts[i], np.uint8))[1], self.size))[:k]
-            # A contained item misses at most this many shingles, in its signature as well.
-            self.need.append(max(1, len(h) - math.floor((1 - self.threshold) * len(s) + 1e-9)))
-            hashes.append(h)
-            owners.append(np.full(len(h), i))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.owners = h[order], (np.concatenate(owners) if owners else np.empty(0, np.int64))[order]
+            if s:
+                h = np.unique(shingle_hashes(word_hashes(np.frombuffer(self.texts[i], np.uint8))[1], self.size))
+                by_low.setdefault(1 << (len(s).bit_length() - 1), {})[i] = (len(s), h)
+        self.partitions = [SizePartition.of(low, self.threshold, items) for low, items in sorted(by_low.items())]
+        self.hashes = np.unique(np.concatenate([p.hashes for p in self.partitions])) if self.partitions else np.empty(0, np.uint64)
         self.marks = np.zeros(1 << 22, bool)
         self.marks[self.hashes >> np.uint64(42)] = True
         return self
@@ -135,18 +163,22 @@ class ContainmentIndex:
             if not hits:
                 continue
             owner, h = np.concatenate([x[0] for x in hits]), np.concatenate([x[1] for x in hits])
-            for i in np.unique(owner):
-                mine = np.unique(h[owner == i])
-                lo, hi = np.searchsorted(self.hashes, mine, "left"), np.searchsorted(self.hashes, mine, "right")
-                items, times = np.unique(np.concatenate([self.owners[x:y] for x, y in zip(lo, hi)]), return_counts=True)
-                items = [k for k, t in zip(items, times) if t >= self.need[k]]
+            order = np.argsort(owner, kind="stable")
+            owner, h = owner[order], h[order]
+            docs, heads = np.unique(owner, return_index=True)
+            for i, mine in zip(docs.tolist(), np.split(h, heads[1:])):
+                most = max(1, int(counts[i]) - n + 1)
+                mine, items = np.unique(mine), []
+                for p in self.partitions:
+                    if most >= self.threshold * p.low - 1e-9:
+                        items += p.candidates(mine)
                 if not items:
                     continue
                 have = shingles(data[offsets[a + i] : offsets[a + i + 1]].tobytes(), n)
                 for k in items:
                     both = len(self.sets[k] & have)
                     if both >= self.threshold * len(self.sets[k]) - 1e-9:
-                        yield a + int(i), k, len(self.sets[k]), both
+                        yield a + i, k, len(self.sets[k]), both
 
 
 def _apart(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -159,20 +191,25 @@ def _apart(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def item_blocks(items: DataFrame, item_col: str, text_col: str, size: int, threshold: float):
-    """Indexes over the items, each of at most about ``BLOCK_ITEMS`` items and ``BLOCK_ITEM_BYTES`` of text."""
+    """Indexes over the items, each of at most about ``BLOCK_ITEMS`` items and ``BLOCK_ITEM_BYTES`` of text, with whether it is the only one."""
     rows = items.select(F.col(item_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, size_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil((size_bytes or 0) / BLOCK_ITEM_BYTES))
+    if blocks > 1:
+        rows = written(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition("block"), "benchmark")
     for k in range(blocks):
-        mine = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect() if n else []
+        mine = (rows.filter(F.col("block") == k) if blocks > 1 else rows).select("id", "text").collect() if n else []
         mine.sort(key=lambda r: (r["id"] is None, r["id"], r["text"]))
-        yield ContainmentIndex(size, threshold, [r["id"] for r in mine], [r["text"].encode() for r in mine]).build()
+        yield ContainmentIndex(size, threshold, [r["id"] for r in mine], [r["text"].encode() for r in mine]).build(), blocks == 1
+
+
+PAIRS = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
 
 
 def contained_items(docs: DataFrame, items: DataFrame, size: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found and containment of every pair at or above the threshold."""
     parts = []
-    for index in item_blocks(items, "item_id", "text", size, threshold):
+    for index, only in item_blocks(items, "item_id", "text", size, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -184,15 +221,20 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = WORDS, thresh
                 arrays.append(pa.array([x[3] / x[2] for x in got], pa.float64()))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
 
-        schema = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
-        parts.append(id_and_text(docs).mapInArrow(run, schema))
+        found = id_and_text(docs).mapInArrow(run, PAIRS)
+        if not only:  # this block is done with before the next one is sent out
+            found = written(found, "contained")
+            shared.unpersist()
+        parts.append(found)
     return reduce(DataFrame.unionByName, parts)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the documents that contain an item. No shuffle."""
+    """``docs``, all columns, without the documents that contain an item. No shuffle. Of several blocks of items each leaves its
+    documents in a table that the next one reads, so one block is live at a time."""
     at = docs.columns.index(text_col)
-    for index in item_blocks(items, "item_id", "text", size, threshold):
+    before = None
+    for index, only in item_blocks(items, "item_id", "text", size, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -202,4 +244,10 @@ def keep_clean(docs: DataFrame, items: DataFrame, size: int = WORDS, threshold:
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not only:
+            docs = written(docs, "clean")
+            shared.unpersist()
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
