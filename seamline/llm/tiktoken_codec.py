@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Long texts are cut at boundaries where the splitting pattern always ends a match - one space between
-two characters that are not white space - so each part encodes to exactly the ids it has in the whole.
+two characters that are not white space - so each part encodes to exactly the ids it has in the whole. The library's pattern engine
+fails on runs of about a million white-space characters; the pattern takes such a run, but for its last
+character if more text follows, as one match, so a long run is cut out and handed over as that one match.
 Ids are decoded to raw bytes, because a cut of ids need not be valid UTF-8.
 
 Edge cases: a null text is empty and has no ids; texts that contain the strings of special tokens
-are ordinary text; repeated rows give repeated rows; an empty table gives an empty result.
+are ordinary text; runs of white space may be of any length, and so may texts without a boundary; repeated rows give repeated rows; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,12 @@ PART_CHARS = 1 << 18
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
+#: White-space characters in a row that are taken out of the pattern's hands.
+LONG_RUN = 1 << 15
+#: The characters that the pattern's white-space class matches (Unicode's White_Space).
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
+
 
 @lru_cache(maxsize=4)
 def encoding(rank_path: str, pattern: str):
@@ -50,6 +59,20 @@ def safe_parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
 
 def encode(text: str, rank_path: str, pattern: str) -> list[int]:
     enc = encoding(rank_path, pattern)
+    if len(text) < LONG_RUN:
+        return enc.encode_ordinary(text)
+    ids: list[int] = []
+    start = 0
+    for run in _RUN.finditer(text):
+        # The run is one match; its last character is left to what follows, if anything does.
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        ids += _plain(text[start : run.start()], enc)
+        ids += enc._encode_single_piece(text[run.start() : stop])
+        start = stop
+    return ids + _plain(text[start:], enc)
+
+
+def _plain(text: str, enc) -> list[int]:
     if len(text) <= PART_CHARS:
         return enc.encode_ordinary(text)
     ids: list[int] = []
