@@ -9,8 +9,8 @@ exactly, in blocks of one matrix product. The score is the similarity-weighted m
 
 Fitting uses a bounded sample of the labelled rows, chosen by a hash of the id; scoring reads every whole text.
 
-Edge cases: null, empty and term-free texts have no direction and get the sample's mean label; ties in
-similarity all count alike, by position; repeated rows give repeated rows; null labels and labelled ids
+Edge cases: null, empty and term-free texts have no direction and get the sample's mean label; labelled
+vectors as near as the last neighbour all vote; repeated rows give repeated rows; null labels and labelled ids
 without a text are not learnt from; without any labelled row every score is 0.5; an empty table gives
 an empty result.
 """
@@ -30,7 +30,7 @@ from .common import crc_mod, flat_bytes, id_and_text
 MAX_LABELLED = 4096
 NEIGHBOURS = 32
 DIMENSIONS = 48
-#: Similarities are raised to this power before they weigh a vote.
+#: Similarities are raised to this power, itself a power of two, before they weigh a vote.
 SHARPNESS = 8
 
 _MARKS = b"!?.,;:'\"#$%&*@|<>()[]{}=+-_/\\~^`"
@@ -91,6 +91,18 @@ def term_matrix(column: pa.Array, vocabulary: np.ndarray | None = None):
     return (triples if vocabulary is None else dense), shapes
 
 
+def votes_of(similarity: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+    """The weight of every labelled vector's vote: its similarity, sharpened, for the nearest ``neighbours`` and all that are as near
+    as the last of them; 0 for the others, and for those that point away."""
+    s = np.maximum(similarity, 0).astype(np.float64)
+    if neighbours < s.shape[1]:
+        last = np.partition(similarity, -neighbours, axis=1)[:, -neighbours]
+        s[similarity < last[:, None]] = 0
+    for _ in range(SHARPNESS.bit_length() - 1):
+        s *= s
+    return s
+
+
 @dataclass
 class QualityModel:
     """What is broadcast: at most ``MAX_LABELLED`` rows of ``DIMENSIONS`` numbers, and the projection onto them."""
@@ -114,16 +126,13 @@ class QualityModel:
         out = np.full(n, self.prior)
         if not len(self.labels):
             return out
-        k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, n, 256):
             z = self.project(column.slice(i, 256))
-            s = z @ self.vectors.T
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
-            w = np.maximum(np.take_along_axis(s, near, 1), 0).astype(np.float64) ** SHARPNESS
+            w = votes_of(z @ self.vectors.T)
             total = w.sum(axis=1)
-            votes = (w * self.labels[near]).sum(axis=1)
+            votes = w @ self.labels
             ok = (np.abs(z).sum(axis=1) > 0) & (total > 0)
-            out[i : i + len(s)][ok] = np.clip(votes[ok] / total[ok], 0, 1)
+            out[i : i + len(z)][ok] = np.clip(votes[ok] / total[ok], 0, 1)
         return out
 
 
