@@ -1,21 +1,20 @@
 """Token ids in binary shards, compressed by Re-Pair grammars.
 
 Documents are range-partitioned by id; the task of each range encodes its texts with the
-tokenizers library, appends an end id to each, and writes one shard file. Within a shard, blocks of whole documents are
-compressed: again and again, the most frequent adjacent id pairs become nonterminals, many pairs at a time. A
-block stores its rules as pairs, the expansion length of every rule, and the start of each document in its
-sequence, so one document is decoded without the others: no pair crosses a document's end.
+tokenizers library, appends an end id to each, and writes shard files of whole documents. Each shard has one grammar: again and again,
+frequent adjacent id pairs become nonterminals, until no pair occurs often enough to pay for its rule. A shard
+stores its rules as pairs, the expansion length of every rule, and the number of symbols of each document, so any stretch of one
+document is found and decoded without the rest: no pair crosses a document's end.
 
-Shard file, little-endian: ``SLRP`` and a version byte; then the blocks; then a JSON footer with
-the place of each block, its numbers of documents, tokens, rules and symbols; then the footer's length as uint32 and ``SLRP``.
-Block: rules (uint32 pairs), expansion lengths (uint32), rules of each round (uint32), symbols a document (uint32),
-document ids (int64, with a null byte each), symbols (3 bytes each).
+Shard file, little-endian: ``SLRP`` and a version byte; rules (uint32 pairs), expansion lengths (uint32), rules of each round (uint32),
+symbols a document (uint32), document ids (int64, with a null byte each), symbols (3 bytes each); then a JSON footer with the
+numbers of documents, tokens, rules, rounds and symbols and the first nonterminal; then the footer's length as uint32 and ``SLRP``.
 
-A shard is written under a name of the task attempt and moved into place, so a retried task leaves one
-whole file. Files go to the shared folder through Arrow's file systems.
+A shard is written under a name of the task attempt and moved into place, so a retried task leaves whole
+files. Files go to the shared folder through Arrow's file systems.
 
 Edge cases: a null or empty text is the end id alone; null ids come first, and rows with equal ids are ordered by
-their texts' hash; a text longer than a block has a block of its own; an empty table writes no document.
+their texts' hash; a text longer than a shard has a shard of its own; an empty table writes no document.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -35,13 +34,11 @@ from pyspark.sql import functions as F
 from .common import flat_bytes, id_and_text, scratch_path, text_blocks, written
 
 MAGIC = b"SLRP"
-BLOCK_TOKENS = 1 << 20
-ROUNDS = 3
-PAIRS_A_ROUND = 4096
-#: A pair must save more than its rule costs.
+VERSION = 2
+#: Tokens of a shard; bounds what a task holds.
+SHARD_TOKENS = 1 << 22
+#: A pair must save more than its rule costs: 12 bytes of rule and length against 3 a place, with room for what it takes from other pairs.
 LEAST_COUNT = 8
-SLOT_BITS = 17
-SLOTS = 1 << SLOT_BITS
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: A word of Latin letters and a short tail that begins with an ASCII character other than a letter.
@@ -172,54 +169,116 @@ def encoder(path: str) -> DocumentEncoder:
     return DocumentEncoder(path)
 
 
-def repair(tokens: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND):
-    """(symbols, symbols of each document, rules, rules of each round, base) of a block.
+def grouped(pairs: np.ndarray, at: np.ndarray, size: int):
+    """(distinct pairs, their counts, the places ``at`` ordered by pair and place). Exact: pair and place are sorted as one number
+    where they fit into one."""
+    bits = max(1, (size - 1).bit_length())
+    if int(pairs.max()).bit_length() + bits <= 64:
+        key = (pairs << np.uint64(bits)) | at.astype(np.uint64)
+        key.sort()
+        codes, places = key >> np.uint64(bits), (key & np.uint64((1 << bits) - 1)).astype(at.dtype)
+    else:
+        order = np.argsort(pairs, kind="stable")
+        codes, places = pairs[order], at[order]
+    first = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=first[1:])
+    (heads,) = np.nonzero(first)
+    return codes[heads], np.diff(np.append(heads, len(codes))), places
+
+
+def disjoint(at: np.ndarray, after: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidate places in order (each covers itself and ``after``), places and ranks of some that do not overlap.
+
+    Of a run of one pair with itself every other place is taken; where different pairs overlap, the better rank. What is
+    passed over can be taken when the pairs are next counted.
+    """
+    place = np.arange(len(at))
+    same = np.zeros(len(at), bool)
+    same[1:] = (at[1:] == after[:-1]) & (rank[1:] == rank[:-1])
+    keep = (place - np.maximum.accumulate(np.where(same, 0, place))) & 1 == 0
+    at, after, rank = at[keep], after[keep], rank[keep]
+    taken = []
+    for _ in range(2):
+        touch, better = np.zeros(len(at) + 1, bool), np.zeros(len(at) + 1, bool)
+        touch[1:-1] = at[1:] == after[:-1]
+        better[1:-1] = rank[:-1] < rank[1:]
+        ok = ~((touch[:-1] & better[:-1]) | (touch[1:] & ~better[1:]))
+        taken.append((at[ok], rank[ok]))
+        beside = np.concatenate(([False], ok, [False]))
+        rest = ~(ok | (touch[:-1] & beside[:-2]) | (touch[1:] & beside[2:]))
+        if not rest.any():
+            break
+        at, after, rank = at[rest], after[rest], rank[rest]
+    return np.concatenate([a for a, _ in taken]), np.concatenate([r for _, r in taken])
+
 
-    Nonterminals are numbered on from ``base = max id + 1``, round by round. Counting goes through ``SLOTS`` hash slots; each slot
-    stands for one exact pair, whose true count decides, and slots are dealt anew every round.
+def repair(tokens: np.ndarray, lengths: np.ndarray, least: int = LEAST_COUNT):
+    """(symbols, symbols of each document, rules, rules of each round, base) of a shard.
+
+    Nonterminals are numbered on from ``base = max id + 1``, round by round. All pairs are counted, those that occur ``least`` times
+    or more are replaced, best first; then only pairs beside a replaced one are counted again, as no other can have
+    become more frequent. Once that finds nothing the sequence is closed up and all pairs are counted anew, until no pair is left that
+    occurs ``least`` times without overlapping itself. Places are linked to the next and last one, so a round costs what it touches.
     """
     seq = tokens.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths) - 1] = True
-    symbol = base = int(tokens.max()) + 1 if len(tokens) else 1
+    symbol = base = int(seq.max()) + 1 if len(seq) else 1
     rules, per_round = [], []
-    for r in range(rounds):
-        if len(seq) < 2:
-            break
-        # The pair as one number: halves of a view over the sequence, in machine order.
-        code = np.empty((len(seq) - 1, 2), np.uint32)
-        code[:, 1], code[:, 0] = seq[:-1], seq[1:]
-        code = code.view(np.uint64).reshape(-1)
-        turn = np.uint64((0x9E3779B97F4A7C15 * (2 * r + 1)) & (2**64 - 1))
-        slot = ((code * turn) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        slots = np.zeros(SLOTS, np.uint64)
-        slots[slot] = code
-        good = slots[slot] == code
-        good &= ~last[:-1]
-        count = np.bincount(slot[good], minlength=SLOTS)
-        top = np.argpartition(-count, pairs)[:pairs]
-        top = np.sort(top[count[top] >= LEAST_COUNT])
-        per_round.append(len(top))
-        if not len(top):
-            break
-        name = np.zeros(SLOTS, np.uint32)
-        name[top] = symbol + np.arange(len(top), dtype=np.uint32)
-        to = name[slot]
-        (at,) = np.nonzero(good & (to > 0))
-        # Overlapping candidates lie in runs of neighbouring places; every other one of a run is taken.
-        starts = np.concatenate(([True], at[1:] > at[:-1] + 1))
-        place = np.arange(len(at))
-        at = at[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0]
-        pair = slots[top]
-        rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        seq[at] = to[at]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        symbol += len(top)
-    ends = np.nonzero(last)[0]
-    per_doc = np.diff(np.concatenate(([-1], ends)))
+    known, names = np.empty(0, np.uint64), np.empty(0, np.uint32)
+    found = len(seq)
+    while found:
+        found, n = 0, len(seq)
+        after = np.arange(1, n + 1, dtype=np.int32)
+        after[last] = -1
+        before = np.arange(-1, n - 1, dtype=np.int32)
+        before[1:][last[:-1]] = -1
+        gone = np.zeros(n, bool)
+        at = np.nonzero(~last)[0].astype(np.int32)
+        while len(at):
+            width = np.uint64(symbol)
+            pairs, counts, places = grouped(seq[at] * width + seq[after[at]], at, n)
+            often = counts >= least
+            pairs, counts, places = pairs[often], counts[often], places[np.repeat(often, counts)]
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(pairs), np.int64)
+            rank[order] = np.arange(len(pairs))
+            both = (places.astype(np.uint64) << np.uint64(32)) | np.repeat(rank, counts).astype(np.uint64)
+            both.sort()
+            at, of = (both >> np.uint64(32)).astype(np.int32), (both & np.uint64(0xFFFFFFFF)).astype(np.int32)
+            at, of = disjoint(at, after[at], of)
+            left, right = pairs[order] // width, pairs[order] % width
+            pair = (left << np.uint64(32)) | right
+            name = np.zeros(len(pair), np.uint32)
+            if len(known):
+                k = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+                name = np.where(known[k] == pair, names[k], name)
+            new = (name == 0) & (np.bincount(of, minlength=len(pair)) >= least)
+            name[new] = symbol + np.arange(int(new.sum()), dtype=np.uint32)
+            use = name[of] > 0
+            at, of = at[use], of[use]
+            if not len(at):
+                break
+            found += len(at)
+            if new.any():
+                rules.append(np.stack([left[new], right[new]], axis=1).astype(np.uint32))
+                per_round.append(int(new.sum()))
+                symbol += per_round[-1]
+                known, names = np.concatenate([known, pair[new]]), np.concatenate([names, name[new]])
+                order = np.argsort(known)
+                known, names = known[order], names[order]
+            second = after[at]
+            third = after[second]
+            seq[at] = name[of]
+            gone[second] = True
+            after[at] = third
+            before[third[third >= 0]] = at[third >= 0]
+            at = np.concatenate([at, before[at]])
+            at.sort()
+            at = at[np.concatenate([[True], at[1:] != at[:-1]]) & (at >= 0)]
+            at = at[after[at] >= 0]
+        last, seq = (after < 0)[~gone], seq[~gone]
+    per_doc = np.diff(np.concatenate(([-1], np.nonzero(last)[0])))
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return seq, per_doc.astype(np.uint32), table, np.array(per_round, np.uint32), base
 
@@ -254,12 +313,11 @@ def expand(seq: np.ndarray, rules: np.ndarray, per_round: np.ndarray, base: int)
     return seq
 
 
-def expand_flat(seq: np.ndarray, rules: np.ndarray, per_round: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+def expand_flat(seq: np.ndarray, rules: np.ndarray, spans: np.ndarray, per_round: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(token ids, ends): the sequence expanded in one step from a table of all rules' expansions, and where each
-    symbol's tokens end."""
+    symbol's tokens end, by the stored lengths."""
     table = np.concatenate([np.arange(base, dtype=np.uint32), expand(base + np.arange(len(rules), dtype=np.uint32), rules, per_round, base)])
-    size = np.ones(base + len(rules), np.int64)
-    size[base:] = expansion_lengths(rules, per_round, base)
+    size = np.concatenate([np.ones(base, np.int64), spans])
     start = np.cumsum(size) - size
     ends = np.cumsum(size[seq])
     shift = start[seq] - ends + size[seq]
@@ -280,52 +338,17 @@ def unpack24(data: bytes) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-class ShardWriter:
-    """Appends documents to a shard file, block by block; no more than a block is held."""
-
-    def __init__(self, stream, rounds: int = ROUNDS):
-        self.stream, self.rounds = stream, rounds
-        self.blocks, self.at, self.docs, self.tokens = [], 0, 0, 0
-        self._put(MAGIC + b"\1")
-        self._clear()
-
-    def _put(self, data: bytes) -> None:
-        self.stream.write(data)
-        self.at += len(data)
-
-    def _clear(self) -> None:
-        self.ids, self.held, self.size = [], [], 0
-
-    def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
-        if self.size and self.size + len(tokens) > BLOCK_TOKENS:
-            self.flush()
-        self.ids.append(doc_id)
-        self.held.append(tokens)
-        self.size += len(tokens)
-
-    def flush(self) -> None:
-        if not self.ids:
-            return
-        lengths = np.array([len(x) for x in self.held])
-        seq, per_doc, rules, per_round, base = repair(np.concatenate(self.held), lengths, self.rounds)
-        start = self.at
-        self._put(rules.astype("<u4").tobytes())
-        self._put(expansion_lengths(rules, per_round, base).astype("<u4").tobytes())
-        self._put(per_round.astype("<u4").tobytes() + per_doc.astype("<u4").tobytes())
-        self._put(np.array([i or 0 for i in self.ids], "<i8").tobytes() + bytes(i is None for i in self.ids))
-        self._put(pack24(seq))
-        self.blocks.append({"at": start, "size": self.at - start, "docs": len(self.ids), "tokens": self.size, "rules": len(rules), "rounds": len(per_round), "symbols": len(seq), "base": base})
-        self.docs, self.tokens = self.docs + len(self.ids), self.tokens + self.size
-        self._clear()
-
-    def close(self) -> None:
-        self.flush()
-        footer = json.dumps({"blocks": self.blocks, "docs": self.docs, "tokens": self.tokens}).encode()
-        self._put(footer + len(footer).to_bytes(4, "little") + MAGIC)
+def shard_bytes(ids: list[int | None], tokens: np.ndarray, lengths: np.ndarray, least: int = LEAST_COUNT) -> bytes:
+    """A shard file of these documents."""
+    seq, per_doc, rules, per_round, base = repair(tokens, lengths, least)
+    parts = [MAGIC + bytes([VERSION]), rules.astype("<u4").tobytes(), expansion_lengths(rules, per_round, base).astype("<u4").tobytes()]
+    parts += [per_round.astype("<u4").tobytes(), per_doc.astype("<u4").tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), bytes(i is None for i in ids), pack24(seq)]
+    footer = json.dumps({"docs": len(ids), "tokens": len(tokens), "rules": len(rules), "rounds": len(per_round), "symbols": len(seq), "base": base}).encode()
+    return b"".join([*parts, footer, len(footer).to_bytes(4, "little"), MAGIC])
 
 
 class ShardReader:
-    """Reads blocks or single documents of a shard file."""
+    """Reads a whole shard file, or stretches of single documents."""
 
     def __init__(self, file):
         self.file = file
@@ -334,41 +357,57 @@ class ShardReader:
         if bytes(tail[4:]) != MAGIC:
             raise ValueError("not a whole shard file")
         n = int.from_bytes(tail[:4], "little")
-        self.footer = json.loads(bytes(file.read_at(n, size - 8 - n)))
-
-    def block(self, k: int):
-        """(ids, symbols a document, rules, expansion lengths, rules a round, symbols, base)."""
-        b = self.footer["blocks"][k]
-        data, at = bytes(self.file.read_at(b["size"], b["at"])), 0
-
-        def take(kind, n):
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
-
-        rules = take("<u4", 2 * b["rules"]).reshape(-1, 2)
-        spans, per_round, per_doc = take("<u4", b["rules"]), take("<u4", b["rounds"]), take("<u4", b["docs"])
-        ids, null = take("<i8", b["docs"]), take("u1", b["docs"])
-        return [None if x else int(i) for i, x in zip(ids, null)], per_doc, rules, spans, per_round, unpack24(data[at:]), b["base"]
-
-    def documents(self, k: int):
-        """(id, token ids) of every document of a block."""
-        ids, per_doc, rules, _, per_round, seq, base = self.block(k)
-        flat, symbol_ends = expand_flat(seq, rules, per_round, base)
-        ends = np.concatenate(([0], symbol_ends))[np.concatenate(([0], np.cumsum(per_doc, dtype=np.int64)))].tolist()
-        for doc, a, z in zip(ids, ends, ends[1:]):
+        self.footer = f = json.loads(bytes(file.read_at(n, size - 8 - n)))
+        sizes = {"rules": 8 * f["rules"], "spans": 4 * f["rules"], "rounds": 4 * f["rounds"], "per_doc": 4 * f["docs"], "ids": 8 * f["docs"], "nulls": f["docs"], "symbols": 3 * f["symbols"]}
+        self.places, at = {}, len(MAGIC) + 1
+        for name, length in sizes.items():
+            self.places[name] = (at, length)
+            at += length
+
+    def _part(self, name: str, kind: str) -> np.ndarray:
+        at, length = self.places[name]
+        return np.frombuffer(bytes(self.file.read_at(length, at)), kind)
+
+    @cached_property
+    def grammar(self):
+        """(rules, expansion lengths, rules a round, base)."""
+        return self._part("rules", "<u4").reshape(-1, 2), self._part("spans", "<u4"), self._part("rounds", "<u4"), self.footer["base"]
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Where each document's symbols begin, and the last one's end."""
+        return np.concatenate(([0], np.cumsum(self._part("per_doc", "<u4"), dtype=np.int64)))
+
+    def ids(self) -> list[int | None]:
+        return [None if x else int(i) for i, x in zip(self._part("ids", "<i8"), self._part("nulls", "u1"))]
+
+    def documents(self):
+        """(id, token ids) of every document."""
+        rules, spans, per_round, base = self.grammar
+        flat, symbol_ends = expand_flat(unpack24(self._part("symbols", "u1").tobytes()), rules, spans, per_round, base)
+        cuts = np.concatenate(([0], symbol_ends))[self.ends].tolist()
+        for doc, a, z in zip(self.ids(), cuts, cuts[1:]):
             yield doc, flat[a:z]
 
-    def document(self, k: int, i: int) -> np.ndarray:
-        """Token ids of document ``i`` of block ``k``, decoded alone."""
-        _, per_doc, rules, _, per_round, seq, base = self.block(k)
-        ends = np.concatenate(([0], np.cumsum(per_doc, dtype=np.int64)))
-        return expand(seq[ends[i] : ends[i + 1]].copy(), rules, per_round, base)
-
-
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, uri: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Write shards in ascending id order; the manifest has shard, path, docs and tokens of each file."""
+    def tokens(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Token ids ``start`` to ``stop`` of document ``i``. Only its symbols are read, and of those only the ones over the
+        stretch, found by the stored lengths, are expanded."""
+        rules, spans, per_round, base = self.grammar
+        first, end = int(self.ends[i]), int(self.ends[i + 1])
+        seq = unpack24(bytes(self.file.read_at(3 * (end - first), self.places["symbols"][0] + 3 * first)))
+        size = np.ones(len(seq), np.int64)
+        size[seq >= base] = spans[seq[seq >= base] - base]
+        ends = np.cumsum(size)
+        stop = int(ends[-1]) if stop is None else min(stop, int(ends[-1]))
+        if start >= stop:
+            return np.empty(0, np.uint32)
+        a, z = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+        offset = int(ends[a] - size[a])
+        return expand(seq[a:z].copy(), rules, per_round, base)[start - offset : stop - offset]
+
+
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, uri: str | None = None, least: int = LEAST_COUNT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Write shards in ascending id order; the manifest has task, the names' stem, shards, docs and tokens of each task."""
     spark: SparkSession = docs.sparkSession
     uri = uri or scratch_path(spark, "token-shards")
     rows = id_and_text(docs).withColumn("h", F.xxhash64("text"))
@@ -378,67 +417,82 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, uri: str | N
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        shard = context.partitionId()
+        task, attempt = context.partitionId(), context.taskAttemptId()
         files, folder = open_fs(uri)
-        files.create_dir(folder, recursive=True)
-        path = f"{folder}/shard-{shard:06d}"
-        draft = f"{path}.{context.taskAttemptId()}"
         encode = encoder(tokenizer_path).encode_column
-        writer = None
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        size = shards = documents = tokens = 0
+
+        def put() -> None:
+            nonlocal held, size, shards
+            ids = [i for part, _, _ in held for i in part]
+            data = shard_bytes(ids, np.concatenate([t for _, t, _ in held]), np.concatenate([n for _, _, n in held]), least)
+            files.create_dir(folder, recursive=True)
+            path = f"{folder}/{shard_name(task, shards)}"
+            with files.open_output_stream(f"{path}.{attempt}") as stream:
+                stream.write(data)
+            files.move(f"{path}.{attempt}", path)
+            held, size, shards = [], 0, shards + 1
+
         for b in batches:
             _, offsets = flat_bytes(b.column(1))
             for i, j in text_blocks(offsets, CALL_BYTES):
                 ids, sizes = encode(b.column(1).slice(i, j - i))
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids.astype(np.uint32), ends, end_id)
+                names, sizes = b.column(0).slice(i, j - i).to_pylist(), sizes + 1
                 ends += np.arange(1, len(ends) + 1)
-                if writer is None:
-                    stream = files.open_output_stream(draft)
-                    writer = ShardWriter(stream, rounds)
-                at = 0
-                for doc, end in zip(b.column(0).slice(i, j - i).to_pylist(), ends.tolist()):
-                    writer.add(doc, ids[at:end])
-                    at = end
-        if writer is None:
-            return
-        writer.close()
-        stream.close()
-        files.move(draft, path)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [f"shard-{shard:06d}"], "docs": [writer.docs], "tokens": [writer.tokens]})
-
-    manifest = rows.mapInArrow(run, "shard long, name string, docs long, tokens long")
+                documents, tokens = documents + len(names), tokens + len(ids)
+                first = 0
+                while first < len(names):
+                    begin = int(ends[first] - sizes[first])
+                    fit = max(int(np.searchsorted(ends, begin + shard_tokens - size, "right")), first + (not held))
+                    if fit > first:
+                        held.append((names[first:fit], ids[begin : int(ends[fit - 1])], sizes[first:fit]))
+                        size += int(ends[fit - 1]) - begin
+                    if fit < len(names):
+                        put()
+                    first = fit
+        if held:
+            put()
+        if shards:
+            yield pa.RecordBatch.from_pydict({"task": [task], "shards": [shards], "docs": [documents], "tokens": [tokens]})
+
+    manifest = rows.mapInArrow(run, "task long, shards long, docs long, tokens long")
     return written(manifest, "token-manifest").withColumn("uri", F.lit(uri))
 
 
+def shard_name(task: int, k: int) -> str:
+    return f"shard-{task:06d}-{k:05d}"
+
+
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files of a manifest.
 
-    The manifest has one row per file; their token counts alone are summed on the driver.
+    The manifest has one row per writing task; their token counts alone are summed on the driver.
     """
     spark = manifest.sparkSession
-    rows = sorted(manifest.select("shard", "name", "uri", "tokens").collect())
+    rows = sorted(manifest.select("task", "shards", "uri", "tokens").collect())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:
         return spark.createDataFrame([], schema)
     starts = np.concatenate(([0], np.cumsum([r["tokens"] for r in rows])))[:-1]
-    files = spark.createDataFrame([(f"{r['uri']}", r["name"], int(s)) for r, s in zip(rows, starts)], "uri string, name string, start long")
+    files = spark.createDataFrame([(r["uri"], r["task"], r["shards"], int(s)) for r, s in zip(rows, starts)], "uri string, task long, shards long, start long")
 
     def run(batches):
         for b in batches:
-            for uri, name, start in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for uri, task, shards, start in zip(*(b.column(i).to_pylist() for i in range(4))):
                 system, folder = open_fs(uri)
-                with system.open_input_file(f"{folder}/{name}") as file:
-                    reader = ShardReader(file)
-                    for k in range(len(reader.footer["blocks"])):
+                for k in range(shards):
+                    with system.open_input_file(f"{folder}/{shard_name(task, k)}") as file:
                         ids, begin, size, crc = [], [], [], []
-                        for doc, tokens in reader.documents(k):
+                        for doc, tokens in ShardReader(file).documents():
                             ids.append(doc), begin.append(start), size.append(len(tokens))
                             crc.append(zlib.crc32(tokens.astype("<u4")))
                             start += len(tokens)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (begin, size, crc))],
-                            names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                        )
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (begin, size, crc))],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
-    n = len(rows)
-    return files.repartitionByRange(n, "start").mapInArrow(run, schema)
+    return files.repartitionByRange(len(rows), "start").mapInArrow(run, schema)
