@@ -50,7 +50,7 @@ MEMORY_CHARS = 48
 #: Text bytes that are split and looked up at once.
 CALL_BYTES = 4 << 20
 #: New parts that the library is given at once.
-CALL_PARTS = 2048
+CALL_PARTS = 256
 
 
 def open_fs(uri: str):
