@@ -64,6 +64,30 @@ def test_removed_spans_at_production_length(make, prose):
     assert suffix_dedup.removed_spans(make([])).count() == 0
 
 
+def test_passages_of_more_than_fifty_words_above_and_below_the_length(spark, make, prose):
+    """Passages that two documents share are removed where they have 400 bytes, whatever their words; documents without one are left alone."""
+    rows, shared = [], {}
+    for k in range(40):
+        words = 52 + 2 * k
+        passage = prose(words, 5000 + k)
+        for j in range(2):
+            rows.append((100 + 2 * k + j, f"{prose(90, 10 * k + j)} {passage} {prose(60, 7000 + 2 * k + j)}"))
+            shared[100 + 2 * k + j] = len(passage.encode()) + 2  # with the spaces around it
+    rows += [(k, prose(200, 9000 + k)) for k in range(40)]
+    out = suffix_dedup.removed_spans(make(rows))
+    got = {r.doc_id: sum(s.stop - s.start for s in r.spans) for r in out.collect()}
+    long, short = [i for i, n in shared.items() if n >= 400], [i for i, n in shared.items() if n < 390]
+    assert len(long) > 20 and len(short) > 10
+    assert all(got[i] >= shared[i] for i in long) and not any(got[i] for i in short) and not any(got[k] for k in range(40))
+
+
+def test_long_hot_texts_are_merged_into_few_runs(make, prose):
+    # More different segments than a task may sort, all windows of which repeat in a long text of the same passages.
+    passage = prose(60, 1)
+    rows = [(k, f"{prose(8, 100 + k)} {passage} {prose(8, 300 + k)}") for k in range(40)] + [(900, " ".join(f"{passage} {prose(3, 600 + k)}" for k in range(60)))]
+    check_removed(make, rows, 100, 32, 4)
+
+
 def test_chunks_of_a_long_text_agree_with_the_whole(make, prose, monkeypatch):
     rows = [(1, prose(900, 1) + prose(300, 2)), (2, prose(50, 3) + prose(300, 2)), (3, prose(300, 2)[7:])]
     monkeypatch.setattr(suffix_dedup, "CHUNK", 500)  # kept by local workers through the function's module only
@@ -112,7 +136,44 @@ def test_repair_round_trips_and_keeps_documents_apart():
         for k, n in enumerate(spans.tolist()):
             assert len(token_shards.expand(np.array([base + k], np.uint32), rules, per_round, base)) == n
     same = np.tile(np.arange(10), 500)
-    assert len(token_shards.repair(same, np.array([5000]))[0]) <= 5000 / 7
+    assert len(token_shards.repair(same, np.array([5000]))[0]) < 60
+
+
+def pairs_left(seq, per_doc):
+    """How often each pair could still be replaced: occurrences that do not overlap, within documents."""
+    counts, at = {}, 0
+    for n in per_doc.tolist():
+        part, last = seq[at : at + n].tolist(), {}
+        for k, pair in enumerate(zip(part, part[1:])):
+            if last.get(pair) != k - 1:
+                counts[pair], last[pair] = counts.get(pair, 0) + 1, k
+        at += n
+    return counts
+
+
+def test_repair_goes_on_until_no_pair_pays():
+    r = np.random.default_rng(8)
+    for trial in range(12):
+        words = [r.integers(0, 30, r.integers(2, 9)) for _ in range(20)]
+        docs = [np.concatenate([words[k] for k in r.integers(0, 20, r.integers(1, 80))]) for _ in range(60)]
+        docs += [docs[0]] * 30 + [np.zeros(1000, int), np.tile([3, 4], 400)]
+        lengths = np.array(list(map(len, docs)))
+        seq, per_doc, rules, per_round, base = token_shards.repair(np.concatenate(docs), lengths)
+        assert token_shards.expand(seq.copy(), rules, per_round, base).tolist() == np.concatenate(docs).tolist()
+        assert max(pairs_left(seq, per_doc).values()) < token_shards.LEAST_COUNT
+        assert len({tuple(x) for x in rules.tolist()}) == len(rules) and (per_round > 0).all()
+
+
+def test_pairs_are_grouped_exactly_whatever_their_size():
+    r = np.random.default_rng(1)
+    at = np.sort(r.choice(10_000, 3000, replace=False)).astype(np.int32)
+    for high in (50, 1 << 60):  # one fits beside the place in 64 bits, the other does not
+        pairs = r.integers(0, 20, 3000).astype(np.uint64) * np.uint64(high // 20)
+        codes, counts, places = token_shards.grouped(pairs, at, 10_000)
+        want = {}
+        for p, x in zip(pairs.tolist(), at.tolist()):
+            want.setdefault(p, []).append(x)
+        assert {c: places[a : a + n].tolist() for c, n, a in zip(codes.tolist(), counts.tolist(), np.cumsum(counts) - counts)} == want
 
 
 def test_encoder_equals_the_library(prose):
@@ -134,7 +195,7 @@ def test_shards_hold_documents_in_order(spark, make, prose, tmp_path):
     library = Tokenizer.from_file(path)
     rows = [(k * 7 % 101, prose(30 + k, k)) for k in range(101)] + [(None, "n"), (200, None), (201, ""), (5, "again"), (202, prose(20_000, 3))]
     uri = str(tmp_path / "shards")
-    manifest = token_shards.write_shards(make(rows), path, 2, uri)
+    manifest = token_shards.write_shards(make(rows), path, 2, uri, shard_tokens=2000)
     want, start = [], 0
     key = lambda r: (r[0] is not None, r[0] or 0)
     got = sorted(token_shards.read_shards(manifest).collect(), key=lambda r: r.start)
@@ -150,9 +211,15 @@ def test_shards_hold_documents_in_order(spark, make, prose, tmp_path):
     assert not any(left.values()) and not want
     files, folder = token_shards.open_fs(uri)
     assert not [f for f in os.listdir(uri) if "." in f]
-    reader = token_shards.ShardReader(files.open_input_file(f"{folder}/{manifest.first()['name']}"))
-    for i, (_, tokens) in enumerate(reader.documents(0)):
-        assert reader.document(0, i).tolist() == tokens.tolist()
+    one = manifest.orderBy("task").first()
+    assert one["shards"] > 1 and len(os.listdir(uri)) == sum(r["shards"] for r in manifest.collect())
+    for k in range(one["shards"]):
+        reader = token_shards.ShardReader(files.open_input_file(f"{folder}/{token_shards.shard_name(one['task'], k)}"))
+        for i, (_, tokens) in enumerate(reader.documents()):
+            n = len(tokens)
+            assert reader.tokens(i).tolist() == tokens.tolist()
+            for x, y in ((0, 1), (n // 3, n // 2 + 1), (n - 1, n), (n // 2, n + 9), (2, 2)):
+                assert reader.tokens(i, x, y).tolist() == tokens[x:y].tolist()
     empty = token_shards.write_shards(make([]), path, 2, str(tmp_path / "none"))
     assert token_shards.read_shards(empty).count() == 0
 
@@ -199,13 +266,28 @@ def test_audit_locates_damage(spark, pages, tmp_path):
     gone = [r for r in rows if r.shard == rows[len(rows) // 2].shard and r.shard not in (flip.shard, last.shard)]
     if gone:
         os.remove(path(uris[1], gone[0]))
+    with open(path(uris[0], last), "ab") as f:
+        f.write(b"more")
     want = {(uris[0], flip.shard, flip.record), (uris[1], last.shard, last.record)} | {(uris[1], r.shard, r.record) for r in gone}
     damaged = warc.damaged_records(index, uris)
-    assert {(r.side, r.shard, r.record) for r in damaged.collect()} == want
+    assert {(r.side, r.shard, r.record) for r in damaged.filter("record IS NOT NULL").collect()} == want
+    end = last.offset + last.length
+    assert [(r.side, r.shard, r.page_id, r.offset, r.length) for r in damaged.filter("record IS NULL").collect()] == [(uris[0], last.shard, None, end, 4)]
     report = warc.fixity_report(index, uris, damaged)
     assert report.count() == 63 and report.filter("replicas_whole < 2").count() == len({w[1:] for w in want})
 
 
+def test_the_same_damage_in_all_replicas_is_found(spark, pages, tmp_path):
+    uris = [str(tmp_path / x) for x in "abc"]
+    index = warc.write_replicas(pages, uris)
+    r = index.orderBy("shard", "record").collect()[3]
+    for u in uris[:2]:
+        with open(f"{u}/{r.shard:06d}.warc.gz", "r+b") as f:
+            f.seek(r.offset + 20)
+            f.write(b"zzz")
+    assert {(x.side, x.shard, x.record) for x in warc.damaged_records(index, uris).collect()} == {(u, r.shard, r.record) for u in uris[:2]}
+
+
 def test_tree_shape():
     h = lambda *x: hashlib.sha256(b"".join(x)).digest()
     a, b, c = (h(b"\0", x) for x in (b"a", b"b", b"c"))

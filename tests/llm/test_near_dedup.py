@@ -1,5 +1,7 @@
 """Near duplicates against brute-force components of exact Jaccard similarity."""
 
+import math
+
 from seamline.llm import simhash
 
 
@@ -17,6 +19,41 @@ def kept_by_brute_force(rows, words=5, similarity=0.8):
     return sorted((docs[g] for g in set(group)), key=str)
 
 
+def similar_pairs(texts, words=5):
+    """All pairs of places with Jaccard similarity 0.8 or more. Similar sets share one of the first ``n - ceil(0.8 n) + 1`` members in
+    any one order; here it is that of the members' hashes."""
+    sets = [simhash.shingles(t.encode(), words) for t in texts]
+    met, pairs = {}, set()
+    for i, own in enumerate(sets):
+        order = sorted(own, key=hash)
+        for shingle in order[: len(order) - math.ceil(0.8 * len(order) - 1e-9) + 1]:
+            for j in met.setdefault(shingle, []):
+                if (j, i) not in pairs and 0.8 * len(sets[j]) <= len(own) * 1.0000001 and 0.8 * len(own) <= len(sets[j]) * 1.0000001 and len(own & sets[j]) >= 0.8 * len(own | sets[j]) - 1e-9:
+                    pairs.add((j, i))
+            met[shingle].append(i)
+    return pairs
+
+
+def test_no_pair_of_a_whole_table_is_missed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text IS NOT NULL").dropDuplicates(["text"])
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    pairs = similar_pairs([t for _, t in rows])
+    assert len(pairs) > 30
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in sorted(pairs):
+        a, b = sorted((top(a), top(b)))
+        group[b] = a
+    want = {rows[i][0] for i in range(len(rows)) if top(i) != i}
+    shared = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.redundant(shared).collect()} == want
+
+
 def kept(docs):
     return sorted(((r.doc_id, r.text) for r in simhash.keep_representatives(docs).collect()), key=str)
 

@@ -4,7 +4,8 @@ import hashlib
 import re
 
 import corpus_pipeline
-from seamline.llm import decontaminate, quality, queries, simhash, tiktoken_codec
+from seamline.llm import decontaminate, quality, queries, tiktoken_codec
+from test_near_dedup import kept_by_brute_force
 
 
 def test_pipeline_equals_plain_versions(spark, tmp_path):
@@ -18,14 +19,7 @@ def test_pipeline_equals_plain_versions(spark, tmp_path):
     for i, t in rows:
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)
     rows = [(i, t) for i, t in rows if i in set(first.values())]
-    # Near duplicates are verified links to smaller ids; at this size every pair of close fingerprints is compared.
-    fps = [simhash.fingerprint(t.encode(), 2) for _, t in rows]
-    gone = set()
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 6 and simhash.jaccard_of(rows[i][1].encode(), rows[j][1].encode(), 5) >= 0.8:
-                gone.add(i)
-    rows = [r for i, r in enumerate(rows) if i not in gone]
+    rows = kept_by_brute_force(rows)
     items = [decontaminate.shingles(r.text.encode()) for r in queries.table(spark, sf, "benchmark").collect()]
     rows = [(i, t) for i, t in rows if not any(len(s & decontaminate.shingles(t.encode())) >= 0.8 * len(s) - 1e-9 for s in items)]
     enc = tiktoken_codec.encoding(queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern())
