@@ -288,13 +288,13 @@ def _nodes(spark, sf, depth: int):
 @query(
     "t1_dendrogram",
     f"""WITH RECURSIVE {dendrogram_sql(3)} SELECT CAST(node_id AS INTEGER) AS node_id, CAST(parent_id AS INTEGER) AS parent_id, CAST(depth AS INTEGER) AS depth, round(angle, 9) AS angle, round(radius_depth, 9) AS radius_depth, round(radius_distance, 9) AS radius_distance,
-    round(cos(angle) * radius_depth, 9) AS x_depth, round(sin(angle) * radius_distance, 9) AS y_distance, round(merge_distance, 9) AS merge_distance, collapsed, is_leaf, CAST(subtree_leaf_count AS INTEGER) AS subtree_leaf_count,
+    round(cos(angle) * radius_depth, 9) + 0.0 AS x_depth, round(sin(angle) * radius_distance, 9) + 0.0 AS y_distance, round(merge_distance, 9) AS merge_distance, collapsed, is_leaf, CAST(subtree_leaf_count AS INTEGER) AS subtree_leaf_count,
     CAST(raw_subtree_leaf_count AS INTEGER) AS raw_subtree_leaf_count, member_count, cluster_label, round(cluster_purity, 9) AS cluster_purity, domain_label, round(domain_purity, 9) AS domain_purity, CAST(frontier_count AS INTEGER) AS frontier_count,
     round(max_merge_distance, 9) AS max_merge_distance, round(1 - 0.5 / max_merge_distance, 9) AS cutoff_radius_distance FROM nodes""",
 )
 def t1_dendrogram(spark, sf):
     out = _nodes(spark, sf, 3).drop("cluster_counts", "domain_counts", "leaf_count", "merge_depth", "max_merge_depth", "cutoff_distance", "y_depth", "x_distance")
-    return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    return out.select(*[(F.round(c, 9) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query(
@@ -344,13 +344,13 @@ def e1_pca(spark, sf):
     return both.select("i", "j", F.round(sum((F.col(f"i{c}") - F.col(f"j{c}")) ** 2 for c in "xyz"), 6).alias("squared"))
 
 
-@query("e1_explained_variance", f"WITH {THREE} SELECT round(sum((x.a - m.a) ** 2 + (x.b - m.b) ** 2 + (x.c - m.c) ** 2), 6) AS spread, 1.0 AS explained FROM x, m")
+@query("e1_explained_variance", f"WITH {THREE} SELECT round(sum((x.a - m.a) ** 2 + (x.b - m.b) ** 2 + (x.c - m.c) ** 2), 6) AS spread, CAST(1 AS DOUBLE) AS explained FROM x, m")
 def e1_explained_variance(spark, sf):
     made, share = embed.pca_at_scale(_three(spark, sf))
     return made.agg(F.round(F.sum(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), 6).alias("spread")).withColumn("explained", F.lit(round(float(share.sum()), 9)))
 
 
-@query("e2_tsne", f"WITH {BRANDS} SELECT count(*) AS points, CAST(count(DISTINCT group_index) AS BIGINT) AS places, 1.0 AS radius, 0.0 AS centre FROM groups")
+@query("e2_tsne", f"WITH {BRANDS} SELECT count(*) AS points, CAST(count(DISTINCT group_index) AS BIGINT) AS places, CAST(1 AS DOUBLE) AS radius, CAST(0 AS DOUBLE) AS centre FROM groups")
 def e2_tsne(spark, sf):
     """What holds for any t-SNE layout: every group has a place, the layout is centred and fills the unit ball."""
     at = embed.layout(_brand_groups(spark, sf)[0], EmbeddingSettings.of({"embedding_method": "tsne", "distance": "jaccard"}))
@@ -359,7 +359,7 @@ def e2_tsne(spark, sf):
     return at.agg(F.count("*").alias("points"), F.count_distinct("x", "y", "z").alias("places"), radius.alias("radius"), centre.alias("centre"))
 
 
-@query("e4_embedding_points", f"WITH {BRANDS} SELECT 'g' || group_index AS group_id, row_key, partner_domain, CAST(len(cols) AS INTEGER) AS interface_size, member_count, group_index / 2 AS x, CAST(len(cols) AS DOUBLE) AS y, 0.0 AS z FROM groups")
+@query("e4_embedding_points", f"WITH {BRANDS} SELECT 'g' || group_index AS group_id, row_key, partner_domain, CAST(len(cols) AS INTEGER) AS interface_size, member_count, group_index / 2 AS x, CAST(len(cols) AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z FROM groups")
 def e4_embedding_points(spark, sf):
     g = _brand_groups(spark, sf)[0]
     return embed.embedding_points(g.select("group_index", (F.col("group_index") / 2).alias("x"), F.size("columns").cast("double").alias("y"), F.lit(0.0).alias("z")), g)

@@ -246,6 +246,24 @@ def test_a_stored_distance_table_is_validated(spark, tmp_path):
     assert sorted(map(tuple, distance.stored(store, groups, members, "dice").collect())) == want and len(want) == 3
 
 
+def test_tables_are_discarded_and_files_put_whole(spark, tmp_path):
+    import os
+
+    from seamline.functions import tables
+
+    kept, gone = tables.written(spark.range(5), "kept"), tables.written(spark.range(7), "gone")
+    own = spark.range(3)
+    own.write.parquet(str(tmp_path / "own"))
+    folder = gone.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and tables.RUN in folder
+    tables.discard(gone, spark.read.parquet(str(tmp_path / "own")))
+    assert not os.path.exists(folder) and kept.count() == 5 and spark.read.parquet(str(tmp_path / "own")).count() == 3
+    for data in (b"first", b"second \x00\xff"):
+        tables.put(spark, str(tmp_path / "deep" / "file"), data)
+        assert (tmp_path / "deep" / "file").read_bytes() == data
+    assert [p.name for p in (tmp_path / "deep").iterdir() if not p.name.startswith(".")] == ["file"]
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
