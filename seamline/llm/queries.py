@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, quality, simhash, suffix_dedup, tiktoken_codec, token_shards, warc, wordpiece_count
+from . import decontaminate, exact_dedup, langid, line_dedup, quality, simhash, suffix_dedup, tiktoken_codec, token_shards, warc, wordpiece_count
 from .common import crc_mod
 
 
@@ -80,6 +80,11 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity_report(*warc.audit(table(spark, sf_dir, "pages")))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), least_chars=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_shards": op9_token_shards,
     "op10_warc_audit": op10_warc_audit,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -134,4 +140,14 @@ ORACLE_SQL = {
         SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
         FROM hits JOIN n ON n.id = hits.item_id WHERE n_found >= 0.8 * n_shingles - 1e-9
     """,
+    "op13_line_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents
+        ), k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM t),
+        s AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        g AS (SELECT doc_id, line, place, first IS NOT NULL AND doc_id <> first AS gone FROM k LEFT JOIN s USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM g GROUP BY doc_id
+    """,
 }
