@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, line_dedup, quality, simhash, suffix_dedup, tiktoken_codec, token_shards, warc, wordpiece_count
+from . import collocation, decontaminate, divergence, exact_dedup, langid, line_dedup, quality, simhash, suffix_dedup, tiktoken_codec, token_shards, warc, wordpiece_count
 from .common import crc_mod
 
 
@@ -80,6 +80,14 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity_report(*warc.audit(table(spark, sf_dir, "pages")))
 
 
+def op11_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=30, top_terms=50)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), least_chars=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -96,6 +104,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_shards": op9_token_shards,
     "op10_warc_audit": op10_warc_audit,
+    "op11_collocation": op11_collocation,
+    "op12_divergence": op12_divergence,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -140,6 +150,49 @@ ORACLE_SQL = {
         SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
         FROM hits JOIN n ON n.id = hits.item_id WHERE n_found >= 0.8 * n_shingles - 1e-9
     """,
+    "op11_collocation": r"""
+        WITH w AS (
+            SELECT coalesce(lang, 'und') AS lang, doc_id, p, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words
+            FROM (SELECT lang, doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM (
+                SELECT lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents))
+        ), g AS (
+            SELECT lang, len(ws) AS m, ws, count(*) AS f FROM (SELECT lang, words[i : i + m - 1] AS ws FROM w, range(1, 6) AS r(m), unnest(range(1, len(words) - m + 2)) AS s(i)) GROUP BY lang, ws
+        ), sizes AS (SELECT lang, CAST(sum(f) AS HUGEINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+        c AS (SELECT * FROM g WHERE m > 1 AND f >= 100),
+        cuts AS (
+            SELECT c.lang, c.ws, c.m, c.f AS a, x.f AS l, y.f AS r, n, k, (CAST(1000 AS HUGEINT) * c.f * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+            FROM c, unnest(range(1, c.m)) AS t(k) JOIN g AS x ON x.lang = c.lang AND x.ws = c.ws[1 : k] JOIN g AS y ON y.lang = c.lang AND y.ws = c.ws[k + 1 : c.m] JOIN sizes ON sizes.lang = c.lang
+        ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+        inner_ AS (SELECT lang, ws[i : i + m2 - 1] AS ws, max(a) AS longer FROM best, range(2, 5) AS t(m2), unnest(range(1, m - m2 + 2)) AS s(i) WHERE m2 < m GROUP BY ALL),
+        kept AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best LEFT JOIN inner_ USING (lang, ws) WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept QUALIFY rank <= 2000
+    """,
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents
+        ), o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+        kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+        size AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        cnt AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        total AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY 1, 2),
+        p AS (
+            SELECT g.lang, g.source, kept.term, coalesce(cnt.c, 0) AS c, 1 + (1000000000 * (coalesce(cnt.c, 0) + 5)) // (coalesce(total.n, 0) + 5 * size.v) AS p,
+                   1 + (1000000000 * (kept.c + 5)) // (size.n + 5 * size.v) AS q
+            FROM g JOIN size USING (lang) JOIN kept USING (lang) LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = kept.term
+            LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+        ), apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(apart.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM parts QUALIFY part = 'pair' OR rank <= 50
+    """,
     "op13_line_dedup": r"""
         WITH t AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents
