@@ -20,8 +20,8 @@ kept terms has distances of 0 and no terms; a group without terms counts 0 of ea
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,60 +32,65 @@ from pyspark.sql import functions as F
 from ..functions.tables import numbered
 from .common import discard, written
 
-#: Terms: stretches of ASCII letters and of anything beyond ASCII.
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: Terms are stretches of ASCII letters and of anything beyond ASCII: bytes of UTF-8 in lower case, everything else a blank.
+TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 #: Groups that a light term may have.
 LIGHT = 8
 
-TILE_GROUPS, TILE_TERMS = 128, 4096
+TILE_GROUPS, TILE_TERMS = 128, 1024
 
-#: Entries of a task's table of counts before it is passed on, and characters of a text that are split at once.
-TABLE, SPAN = 400_000, 1 << 20
+#: Entries of a task's table of counts before it is passed on, and bytes of a text that are split at once.
+TABLE, SPAN = 800_000, 1 << 20
 
 
 # ---- counts
 
-def spans(text: str):
-    """A long text in parts that are cut between terms."""
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
+    """Terms of a whole text, a part of it at a time; parts are cut between terms."""
     a = 0
     while a < len(text):
-        z = min(len(text), a + SPAN)
-        while z < len(text) and TERM.match(text[z - 1]):
-            z += 1
-        yield text[a:z]
-        a = z
+        z = a + SPAN
+        part = text[a:z].translate(TERMS)
+        if z < len(text):
+            cut = part.rfind(b" ") + 1
+            while not cut and z < len(text):  # a term of more than a part
+                z += SPAN
+                part = text[a:z].translate(TERMS)
+                cut = part.rfind(b" ") + 1 if z < len(text) else len(part)
+            part = part[:cut] if cut else part
+        yield part.split()
+        a += len(part)
 
 
 def counted(batches):
     """(lang, source, term, n, n_docs): a task's counts, added up before they are passed on."""
-    table: dict = {}
+    groups: dict[tuple, tuple[Counter, Counter]] = {}
 
     def emit():
-        keys = list(table)
-        cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-        cols += [pa.array([table[k][i] for k in keys], pa.int64()) for i in range(2)]
-        return pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "n_docs"])
+        for (lang, source), (times, docs) in groups.items():
+            terms = list(times)
+            named = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+            numbers = [pa.array(x, pa.int64()) for x in (list(times.values()), list(map(docs.__getitem__, terms)))]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(terms, pa.binary()).cast(pa.string()), *numbers], names=["lang", "source", "term", "n", "n_docs"])
 
+    held = 0
     for b in batches:
         for k in range(0, b.num_rows, 64):
-            for lang, source, text in zip(*(b.column(i).slice(k, 64).to_pylist() for i in range(3))):
-                here: Counter = Counter()
-                for part in spans(text):
-                    here.update(TERM.findall(part.translate(LOWER)))
-                for term, n in here.items():
-                    old = table.get((lang, source, term))
-                    if old is None:
-                        table[lang, source, term] = [n, 1]
-                    else:
-                        old[0] += n
-                        old[1] += 1
-                if len(table) >= TABLE:
-                    yield emit()
-                    table.clear()
-    if table:
-        yield emit()
+            texts = b.column(2).slice(k, 64).cast(pa.large_binary()).to_pylist()
+            for lang, source, text in zip(*(b.column(i).slice(k, 64).to_pylist() for i in range(2)), texts):
+                times, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+                before, here = len(times), set()
+                for found in terms_of(text):
+                    times.update(found)
+                    here.update(found)
+                docs.update(here)
+                held += len(times) - before
+                if held >= TABLE:
+                    yield from emit()
+                    groups.clear()
+                    held = 0
+    yield from emit()
 
 
 def share(count: Column, total: Column) -> Column:

@@ -81,11 +81,12 @@ def test_empty_tables_and_no_kept_terms(spark):
     assert got(table(spark, rows), 30, 5) == plain(rows, 30, 5)
 
 
-def test_long_texts_are_cut_between_terms(monkeypatch):
-    monkeypatch.setattr(divergence, "SPAN", 5)
-    text = "ab cdefghijk, é" + "z" * 30 + " ab"
-    assert "".join(divergence.spans(text)) == text
-    assert [t for part in divergence.spans(text) for t in divergence.TERM.findall(part)] == divergence.TERM.findall(text)
+@pytest.mark.parametrize("span", [1, 3, 5, 1000])
+def test_long_texts_are_cut_between_terms(monkeypatch, span):
+    monkeypatch.setattr(divergence, "SPAN", span)
+    for text in ("", "ab", "ab cdefghijk, é" + "z" * 30 + " ab", "  x", "abcdefgh", "漢字ÀB[\\]c`d{e}\x7ff "):
+        want = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOWER))
+        assert [t.decode() for part in divergence.terms_of(text.encode()) for t in part] == want
 
 
 def test_shares_of_large_counts_are_exact(spark):
