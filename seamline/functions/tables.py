@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import shutil
 import tempfile
@@ -87,6 +88,13 @@ def discard(*tables: DataFrame) -> None:
                 delete(df.sparkSession, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now. Its cleaner waits for the driver's garbage collector, which in long runs of jobs with
+    little garbage comes too late for the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, keys: list[str], name: str, start: int = 0) -> DataFrame:
     """``df`` with ``name``: the row's place in the order of ``keys``, from ``start``.
 

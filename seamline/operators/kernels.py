@@ -14,19 +14,20 @@ import numpy as np
 MAX_LEAVES = 20_000
 
 
-def distance_matrix(sets: list, metric: str) -> np.ndarray:
-    """Square matrix of set distances; the same formula and bits as the column expressions."""
-    n = len(sets)
-    if n > MAX_LEAVES:
-        raise ValueError(f"{n} groups are more than the {MAX_LEAVES} that a dense matrix is made for")
-    columns = sorted({c for s in sets for c in s})
+def cross_distances(left: list, right: list, metric: str) -> np.ndarray:
+    """Set distances of every left to every right set; the same formula and bits as the column expressions."""
+    columns = sorted({c for sets in (left, right) for s in sets for c in s})
     place = {c: k for k, c in enumerate(columns)}
-    x = np.zeros((n, max(1, len(columns))), np.float32)
-    for i, s in enumerate(sets):
-        x[i, [place[c] for c in s]] = 1
-    common = np.rint(x @ x.T).astype(np.float64)
-    size = np.array([len(set(s)) for s in sets], np.float64)
-    a, b = size[:, None], size[None, :]
+
+    def indicator(sets: list) -> np.ndarray:
+        x = np.zeros((len(sets), max(1, len(columns))), np.float32)
+        for i, s in enumerate(sets):
+            x[i, [place[c] for c in s]] = 1
+        return x
+
+    x, y = indicator(left), indicator(right)
+    common = np.rint(x @ y.T).astype(np.float64)
+    a, b = x.sum(axis=1, dtype=np.float64)[:, None], y.sum(axis=1, dtype=np.float64)[None, :]
     if metric == "jaccard":
         top, bottom = common, a + b - common
     elif metric == "overlap":
@@ -36,10 +37,18 @@ def distance_matrix(sets: list, metric: str) -> np.ndarray:
     else:
         raise ValueError(f"unknown metric {metric!r}")
     d = np.where(bottom > 0, 1.0 - top / np.where(bottom > 0, bottom, 1), 0.0)
-    np.fill_diagonal(d, 0.0)
     return np.clip(d, 0.0, 1.0)
 
 
+def distance_matrix(sets: list, metric: str) -> np.ndarray:
+    """Square matrix of set distances."""
+    if len(sets) > MAX_LEAVES:
+        raise ValueError(f"{len(sets)} groups are more than the {MAX_LEAVES} that a dense matrix is made for")
+    d = cross_distances(sets, sets, metric)
+    np.fill_diagonal(d, 0.0)
+    return d
+
+
 # ---- hierarchies
 
 #: Lance-Williams updates: distance of a merged pair (p, q) to the rest.
