@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import numbered, written
+from ..functions.tables import discard, numbered, written
 from ..settings import ClusteringSettings
-from . import kernels
+from . import cuts, kernels
+from . import linkage as at_scale
 from .distance import near_pairs
 
 MERGES = "merge_index int, left int, right int, distance double, count long"
@@ -27,9 +28,21 @@ def _schema(df: DataFrame, keys: list[str], rest: str) -> str:
     return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), rest])
 
 
-def hierarchy(groups: DataFrame, metric: str = "overlap", linkage: str = "average", by: list[str] | None = None) -> DataFrame:
-    """Merges of each dataset. Leaves are its groups in order of group_index, from 0; one task a dataset."""
+def largest(data: DataFrame, keys: list[str], of: str | None = None) -> int:
+    """Rows, or the sum of ``of``, of the largest dataset."""
+    return data.groupBy(*keys).agg((F.sum(of) if of else F.count("*")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def hierarchy(groups: DataFrame, metric: str = "overlap", linkage: str = "average", by: list[str] | None = None, dense: int = kernels.MAX_LEAVES) -> DataFrame:
+    """Merges of each dataset. Leaves are its groups in order of group_index, from 0.
+
+    If no dataset has more than ``dense`` groups, each is one task's matrix; otherwise ``linkage.hierarchy`` spreads all of them. The two differ in
+    the order of ties only.
+    """
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "columns", "member_count"), by or [])
+    if largest(data, keys) > dense:
+        out = at_scale.hierarchy(data, metric, linkage, keys)
+        return out if by else out.drop("dataset")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_index")
@@ -52,9 +65,14 @@ def as_leaves(groups: DataFrame, leaves: DataFrame, merges: DataFrame) -> DataFr
     return every.join(held, "leaf", "left").select(F.col("leaf").alias("group_index"), F.coalesce("member_count", F.lit(0)).alias("member_count"))
 
 
-def leaf_labels(groups: DataFrame, merges: DataFrame, settings: ClusteringSettings, by: list[str] | None = None) -> DataFrame:
-    """group_index and cluster_label (not yet ranked) of every group."""
+def leaf_labels(groups: DataFrame, merges: DataFrame, settings: ClusteringSettings, by: list[str] | None = None, dense: int = kernels.MAX_LEAVES) -> DataFrame:
+    """group_index and cluster_label (not yet ranked) of every group. The tree of one dataset of more than ``dense`` groups is cut as a
+    relation (``cuts``); several datasets at once are cut a task each."""
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "member_count"), by or [])
+    if not by and largest(data, keys) > dense:
+        leaves = written(numbered(groups.select("group_index", "member_count"), ["group_index"], "g"), "leaves")
+        labels = cuts.leaf_labels(leaves, merges, settings)
+        return leaves.join(labels, "g").select("group_index", F.col("label").cast("int").alias("cluster_label"))
     steps, _ = per_dataset(merges, by or [])
     s = settings
 
@@ -102,25 +120,30 @@ def points(labels: DataFrame, members: DataFrame, by: list[str] | None = None) -
     return rank_labels(joined, by)
 
 
-def hierarchical(groups: DataFrame, members: DataFrame, settings: ClusteringSettings, by: list[str] | None = None, merges: DataFrame | None = None, leaves: DataFrame | None = None) -> DataFrame:
+def hierarchical(groups: DataFrame, members: DataFrame, settings: ClusteringSettings, by: list[str] | None = None, merges: DataFrame | None = None, leaves: DataFrame | None = None, dense: int = kernels.MAX_LEAVES) -> DataFrame:
     """Points of a hierarchical clustering. ``merges`` may be precomputed; ``leaves`` then names the leaf of every group of
     the one dataset, and a group gets its leaf's label."""
-    merges = merges if merges is not None else hierarchy(groups, settings.distance, settings.linkage, by)
+    merges = merges if merges is not None else hierarchy(groups, settings.distance, settings.linkage, by, dense)
     if leaves is None:
-        return points(leaf_labels(groups, merges, settings, by), members, by)
+        return points(leaf_labels(groups, merges, settings, by, dense), members, by)
     if groups.count() == 1:
         return points(groups.select("group_index", F.lit(0).alias("cluster_label")), members)
-    labels = leaf_labels(as_leaves(groups, leaves, merges), merges, settings).withColumnRenamed("group_index", "leaf")
+    labels = leaf_labels(as_leaves(groups, leaves, merges), merges, settings, dense=dense).withColumnRenamed("group_index", "leaf")
     return points(leaves.join(labels, "leaf").select("group_index", "cluster_label"), members)
 
 
-def density(groups: DataFrame, members: DataFrame, settings: ClusteringSettings, by: list[str] | None = None) -> DataFrame:
+def density(groups: DataFrame, members: DataFrame, settings: ClusteringSettings, by: list[str] | None = None, dense: int = kernels.MAX_LEAVES) -> DataFrame:
     """Points by HDBSCAN on the entries (each group counts as often as it has members).
 
-    Equal entries are told apart by nothing but the order of ties, so a group takes the label that most of its copies got.
+    Equal entries are told apart by nothing but the order of ties, so a group takes the label that most of its copies got. One dataset of more
+    than ``dense`` entries goes through ``cuts.density``, where a group is one leaf of as many points.
     """
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "columns", "member_count"), by or [])
     s = settings
+    if not by and largest(data, keys, "member_count") > dense:
+        leaves = written(numbered(groups.select("group_index", "columns", "member_count"), ["group_index"], "g"), "leaves")
+        labels = cuts.density(leaves, s.distance, s.min_cluster_size, s.min_samples, s.cluster_selection_epsilon)
+        return points(leaves.join(labels, "g").select("group_index", F.col("label").cast("int").alias("cluster_label")), members)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_index")
@@ -154,8 +177,10 @@ def single_linkage_components(groups: DataFrame, metric: str, threshold: float,
         hop = root.select(F.col("g").alias("r2"), F.col("r").alias("r3"))
         step = written(low.join(hop, "r2").select("g", F.least("r2", "r3").alias("r")), "roots")
         moved = step.join(root.withColumnRenamed("r", "old"), "g").filter("r <> old").limit(1).count()
+        discard(root)
         root = step
         if not moved:
+            discard(pairs)
             return root.select(F.col("g").alias("group_index"), F.col("r").alias("component"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 

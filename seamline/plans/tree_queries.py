@@ -319,6 +319,103 @@ def t6_screen_places(spark, sf):
     return radial.join(linear, "node_id").withColumn("cutoff", F.lit(round(cutoff, 9)))
 
 
+# ---- trees and hierarchies without a group in one task: the forms for more groups than a matrix holds
+
+
+def _lines(spark, sf):
+    """(groups, merges, counts): line items at the leaf of their supplier; some suppliers are left out."""
+    leaves = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("group_index"))
+    n = leaves.count()
+    merges = spark.range(n - 1).selectExpr("cast(id as int) AS merge_index", "cast(2 * id as int) AS left", "cast(2 * id + 1 as int) AS right", f"(id + 1) / cast({n} as double) AS distance", "cast(0 as long) AS count")
+    items = table(spark, sf, "lineitem").filter("l_suppkey % 7 <> 3")
+    counts = items.groupBy(F.col("l_suppkey").cast("long").alias("group_index"), F.expr("cast(l_linenumber % 4 - 1 as int)").alias("cluster_label"), F.concat("l_returnflag", "l_linestatus").alias("partner_domain")).agg(F.count("*").alias("n"))
+    return leaves, merges, counts
+
+
+LINE_COUNTS = LEAF_COUNTS.replace("SELECT CAST(c_nationkey AS BIGINT) AS group_index, CAST(c_custkey % 4 - 1 AS INTEGER) AS cluster_label, c_mktsegment AS partner_domain, count(*) AS n FROM customer WHERE c_nationkey % 7 <> 3", "SELECT CAST(l_suppkey AS BIGINT) AS group_index, CAST(l_linenumber % 4 - 1 AS INTEGER) AS cluster_label, l_returnflag || l_linestatus AS partner_domain, count(*) AS n FROM lineitem WHERE l_suppkey % 7 <> 3").replace("FROM nation)", "FROM supplier)").replace("SELECT CAST(n_nationkey AS BIGINT) AS leaf, CAST(n_nationkey AS BIGINT) AS node FROM nation", "SELECT CAST(s_suppkey AS BIGINT) AS leaf, CAST(s_suppkey AS BIGINT) AS node FROM supplier")
+
+
+@query("a33_rollup_by_doubling", f"WITH RECURSIVE {LINE_COUNTS} SELECT CAST(node AS INTEGER) AS node, cluster_label, n FROM by_cluster")
+def a33_rollup_by_doubling(spark, sf):
+    leaves, merges, counts = _lines(spark, sf)
+    return dendrogram.rollup(merges, counts, leaves.count())
+
+
+@query(
+    "t1_dendrogram_by_doubling",
+    f"""WITH RECURSIVE {dendrogram_sql(4).replace(LEAF_COUNTS, LINE_COUNTS)} SELECT CAST(node_id AS INTEGER) AS node_id, CAST(parent_id AS INTEGER) AS parent_id, CAST(depth AS INTEGER) AS depth, round(angle, 9) AS angle, round(radius_depth, 9) AS radius_depth,
+    round(radius_distance, 9) AS radius_distance, round(cos(angle) * radius_depth, 9) + 0.0 AS x_depth, round(sin(angle) * radius_distance, 9) + 0.0 AS y_distance, round(merge_distance, 9) AS merge_distance, collapsed, is_leaf, CAST(subtree_leaf_count AS INTEGER) AS subtree_leaf_count,
+    CAST(raw_subtree_leaf_count AS INTEGER) AS raw_subtree_leaf_count, member_count, cluster_label, round(cluster_purity, 9) AS cluster_purity, domain_label, round(domain_purity, 9) AS domain_purity, CAST(frontier_count AS INTEGER) AS frontier_count,
+    round(max_merge_distance, 9) AS max_merge_distance, round(1 - 0.5 / max_merge_distance, 9) AS cutoff_radius_distance FROM nodes""",
+)
+def t1_dendrogram_by_doubling(spark, sf):
+    out = dendrogram.nodes(*_lines(spark, sf), 4, 0.5, dense=0).drop("cluster_counts", "domain_counts", "leaf_count", "merge_depth", "max_merge_depth", "cutoff_distance", "y_depth", "x_distance")
+    return out.select(*[(F.round(c, 9) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+FAMILY = ["family", "partner"]
+
+
+def _families(spark, sf):
+    """Groups of every family and partner of ``iface``: a dataset each."""
+    base = iface(spark, sf).withColumn("partner", F.col("partner_domain"))
+    return compress.materialised(compress.entries(base, FAMILY), FAMILY)[0]
+
+
+FAMILIES = f"""{IFACE}, made AS (SELECT family, partner_domain AS partner, cols, count(*) AS member_count FROM iface WHERE len(cols) > 0 GROUP BY ALL),
+    sets AS (SELECT *, row_number() OVER (PARTITION BY family, partner ORDER BY cols) AS g, count(*) OVER (PARTITION BY family, partner) AS n FROM made),
+    lists AS (SELECT a.family, a.partner, a.g, list(CASE WHEN a.g = b.g THEN 'inf'::DOUBLE ELSE {JACCARD} END ORDER BY b.g) AS r FROM sets a JOIN sets b USING (family, partner) GROUP BY ALL),
+    start AS (SELECT family, partner, list(r ORDER BY g) AS d FROM lists GROUP BY ALL)"""
+
+
+def spread_sql(method: str) -> str:
+    """Merges of every family and partner: the nearest two clusters at a time, by distance and smallest leaves; then in order of height, level and leaves."""
+    update = UPDATES[method]
+    slots = lambda inner: f"list_transform(range(1, n + 1), lambda t: {inner})"
+    return f"""WITH RECURSIVE {FAMILIES}, run AS (
+        SELECT family, partner, 0 AS made, CAST(len(d) AS BIGINT) AS n, d, w, w AS c, CAST(range(0, len(d)) AS BIGINT[]) AS id, list_transform(range(0, len(d)), lambda x: -1.0::DOUBLE) AS top, CAST(list_transform(range(0, len(d)), lambda x: 0) AS BIGINT[]) AS lev,
+               CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS h, CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS level, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j
+        FROM start JOIN (SELECT family, partner, list(CAST(member_count AS DOUBLE) ORDER BY g) AS w FROM sets GROUP BY ALL) USING (family, partner)
+        UNION ALL
+        SELECT family, partner, made + 1, n, list_transform(range(1, n + 1), lambda s: CASE WHEN s = gone THEN {slots("'inf'::DOUBLE")} WHEN s = stay THEN u ELSE {slots("CASE WHEN t = stay THEN u[s] WHEN t = gone THEN 'inf'::DOUBLE ELSE d[s][t] END")} END),
+               {slots("CASE WHEN t = stay THEN w[stay] + w[gone] ELSE w[t] END")}, {slots("CASE WHEN t = stay THEN c[stay] + c[gone] ELSE c[t] END")}, {slots("CASE WHEN t = stay THEN n + made WHEN t = gone THEN NULL ELSE id[t] END")},
+               {slots("CASE WHEN t = stay THEN height ELSE top[t] END")}, {slots("CASE WHEN t = stay THEN rank ELSE lev[t] END")}, id[stay], id[gone], height, CAST(c[stay] + c[gone] AS BIGINT), rank, stay, gone
+        FROM (SELECT *, greatest(CASE WHEN top[stay] >= height THEN lev[stay] + 1 ELSE 0 END, CASE WHEN top[gone] >= height THEN lev[gone] + 1 ELSE 0 END) AS rank, {slots(f"CASE WHEN t = stay OR t = gone OR id[t] IS NULL THEN 'inf'::DOUBLE ELSE {update} END")} AS u
+            FROM (SELECT *, best.r AS height, CAST(best.s AS BIGINT) AS stay, CAST(best.t AS BIGINT) AS gone
+                FROM (SELECT *, list_min(list_transform(range(1, n), lambda s: {{'r': round(list_min(d[s][s + 1 :]), 12), 's': s, 't': s + list_position(list_transform(d[s][s + 1 :], lambda x: round(x, 12)), round(list_min(d[s][s + 1 :]), 12))}})) AS best FROM run WHERE made < n - 1)))
+    ), placed AS (SELECT *, row_number() OVER (PARTITION BY family, partner ORDER BY h, level, i, j) - 1 AS k FROM run WHERE h IS NOT NULL),
+    named AS (SELECT family, partner, n + made - 1 AS old, n + k AS node FROM placed)
+    SELECT p.family, p.partner, CAST(k AS INTEGER) AS merge_index, CAST(least(coalesce(x.node, a), coalesce(y.node, b)) AS INTEGER) AS "left", CAST(greatest(coalesce(x.node, a), coalesce(y.node, b)) AS INTEGER) AS "right", round(h, 9) AS distance, size AS count
+    FROM placed p LEFT JOIN named x ON x.family = p.family AND x.partner = p.partner AND x.old = a LEFT JOIN named y ON y.family = p.family AND y.partner = p.partner AND y.old = b"""
+
+
+def _spread(method: str):
+    def run(spark, sf):
+        return cluster.hierarchy(_families(spark, sf), "jaccard", method, FAMILY, dense=0).withColumn("distance", F.round("distance", 9))
+
+    return run
+
+
+for _method in ("average", "complete", "weighted"):
+    query(f"c{1 if _method == 'average' else 2}_{_method}_merges_spread", spread_sql(_method))(_spread(_method))
+
+
+# Single linkage takes the pairs in order and joins what is apart; ``node`` names the node that each leaf is part of.
+query(
+    "c2_single_merges_spread",
+    f"""WITH RECURSIVE {FAMILIES}, steps AS (
+        SELECT family, partner, list({{'d': d, 'i': i, 'j': j}} ORDER BY d, i, j) AS e FROM (SELECT a.family, a.partner, a.g AS i, b.g AS j, {JACCARD} AS d FROM sets a JOIN sets b ON a.family = b.family AND a.partner = b.partner AND a.g < b.g) GROUP BY ALL
+    ), run AS (
+        SELECT family, partner, 0 AS step, 0 AS made, len(w) AS n, e, w AS c, CAST(range(0, len(w)) AS BIGINT[]) AS node, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS h, CAST(NULL AS BIGINT) AS size
+        FROM steps JOIN (SELECT family, partner, list(CAST(member_count AS BIGINT) ORDER BY g) AS w FROM sets GROUP BY ALL) USING (family, partner)
+        UNION ALL
+        SELECT family, partner, step + 1, CASE WHEN x = y THEN made ELSE made + 1 END, n, e, CASE WHEN x = y THEN c ELSE list_transform(range(1, n + 1), lambda t: CASE WHEN node[t] IN (x, y) THEN c[i] + c[j] ELSE c[t] END) END,
+               CASE WHEN x = y THEN node ELSE list_transform(node, lambda z: CASE WHEN z IN (x, y) THEN n + made ELSE z END) END, CASE WHEN x <> y THEN least(x, y) END, CASE WHEN x <> y THEN greatest(x, y) END, CASE WHEN x <> y THEN d END, CASE WHEN x <> y THEN c[i] + c[j] END
+        FROM (SELECT *, node[i] AS x, node[j] AS y FROM (SELECT *, e[step + 1].d AS d, e[step + 1].i AS i, e[step + 1].j AS j FROM run WHERE made < n - 1))
+    ) SELECT family, partner, CAST(made - 1 AS INTEGER) AS merge_index, CAST(a AS INTEGER) AS "left", CAST(b AS INTEGER) AS "right", round(h, 9) AS distance, size AS count FROM run WHERE h IS NOT NULL""",
+)(_spread("single"))
+
+
 # ---- layouts
 
 THREE = f"""{IFACE}, e AS (SELECT partner_domain, list_sort(list_distinct(list_transform(cols, lambda x: x % 3))) AS cols FROM iface WHERE len(cols) > 0),
