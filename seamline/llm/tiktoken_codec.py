@@ -33,7 +33,8 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 LONG_RUN = 1 << 15
 #: The characters that the pattern's white-space class matches (Unicode's White_Space).
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
+#: Only where a run starts: a shorter run is looked at once, not from each of its characters.
+_RUN = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{LONG_RUN},}}")
 
 
 @lru_cache(maxsize=4)

@@ -364,6 +364,19 @@ def test_runs_of_white_space_of_any_length(make, monkeypatch):
             assert tiktoken_codec.encode(text, path, pattern) == enc.encode_ordinary(text) == by_single_matches(text, enc), repr(text[:5])
 
 
+@pytest.mark.parametrize("run", [1000, 10_000, 32_767, 32_768])
+def test_many_runs_of_white_space_take_linear_time(run):
+    import time
+
+    path, pattern = queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern()
+    tiktoken_codec.encode("a", path, pattern)
+    text = ("word" + " " * run) * (1_000_000 // run) + "x"
+    began = time.process_time()
+    ids = tiktoken_codec.encode(text, path, pattern)
+    assert time.process_time() - began < 3  # of the quadratic pattern it took over ten
+    assert tiktoken_codec.decode(ids, path, pattern) == text.encode()
+
+
 def test_a_million_white_space_characters(make):
     path, pattern = queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern()
     enc = tiktoken_codec.encoding(path, pattern)
