@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import numbered
+from ..functions.tables import release
 from .common import discard, flat_bytes, text_blocks, written
 
-#: Words of a shard; bounds a task's memory.
-SHARD_WORDS = 1 << 22
+#: Words of a shard; bounds a task's memory. Places in a shard's lists take 24 bits at most.
+SHARD_WORDS = 3 << 18
 
 #: Classes of bytes: 0 of words, 1 of blanks between them, 2 of ends of pieces.
 KIND = np.zeros(256, np.uint8)
@@ -88,7 +88,10 @@ class Reader:
             z = min(self.held, b + reach)
             text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(places[a : z + 1] - places[a]), pa.py_buffer(data[places[a] : places[z]])])
             coded = text.dictionary_encode()
-            kinds, ids = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + langs[a:z], return_inverse=True)
+            kinds, ids, times = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + langs[a:z], return_inverse=True, return_counts=True)
+            # The most frequent words come first: small numbers, which pack well.
+            order = np.argsort(-times, kind="stable")
+            kinds, ids = kinds[order], np.argsort(order)[ids]
             gaps = opens[a:z].copy()
             gaps[0] = False
             at = np.arange(z - a) + np.cumsum(gaps)
@@ -129,7 +132,7 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, most: int, reach: int)
             for owned, tokens, words, langs, counts in reader.take(most, reach, last):
                 listed = pa.StructArray.from_arrays([pa.array(langs), words, pa.array(counts, pa.int64())], names=["lang", "word", "n"])
                 listed = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + made]), pa.array([owned], pa.int32()), pa.array([tokens.tobytes()]), listed], names=["shard", "owned", "tokens", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 20) + made]), pa.array([owned], pa.int32()), pa.array([packed(tokens)], pa.binary()), listed], names=["shard", "owned", "tokens", "words"])
                 made += 1
 
         for b in batches:
@@ -178,7 +181,7 @@ def grams_row(shard: int, owned: int, tokens: np.ndarray, numbers: np.ndarray, g
     fields = [pa.array(numbers[tokens[heads + i]], pa.int64()) for i in range(k + 1)] + [pa.array(counts)]
     listed = pa.StructArray.from_arrays(fields, names=[*word_names(k + 1), "n"])
     listed = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
-    cells = [pa.array([shard]), pa.array([owned], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (tokens.astype(np.int32), numbers.astype(np.int64), places, lengths)]
+    cells = [pa.array([shard]), pa.array([owned], pa.int32())] + [pa.array([x], pa.binary()) for x in (packed(tokens), numbers.astype(np.int64).tobytes(), places.tobytes(), lengths.tobytes())]
     return pa.RecordBatch.from_arrays([*cells, listed], names=["shard", "owned", "tokens", "numbers", "places", "lengths", "grams"])
 
 
@@ -191,6 +194,17 @@ def lists_schema(k: int) -> str:
     return f"{SHARD}, numbers binary, places binary, lengths binary, grams array<struct<{fields}>>"
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Tokens in 16 bits where they fit, led by their width."""
+    narrow = tokens.max(initial=0) < 2**15
+    return (b"2" if narrow else b"4") + tokens.astype(np.int16 if narrow else np.int32).tobytes()
+
+
+def unpacked(x: pa.Array, k: int) -> np.ndarray:
+    data = x[k].as_py()
+    return np.frombuffer(data, np.int16 if data[:1] == b"2" else np.int32, offset=1).astype(np.int32)
+
+
 def ints(x: pa.Array, k: int, kind=np.int32) -> np.ndarray:
     return np.frombuffer(x[k].as_buffer(), kind)
 
@@ -203,7 +217,9 @@ def first_lists(rows: DataFrame) -> DataFrame:
             for r in range(b.num_rows):
                 told = b.column(3)[r].values
                 place, number = (told.field(i).to_numpy() for i in (0, 1))
-                tokens, owned = ints(b.column(2), r), b.column(1)[r].as_py()
+                order = np.argsort(place)
+                place, number = place[order], number[order]
+                tokens, owned = unpacked(b.column(2), r), b.column(1)[r].as_py()
                 new = np.full(int(max(tokens.max(initial=-1), place.max(initial=-1))) + 2, -1, np.int32)  # the last one is of token -1
                 new[place] = np.arange(len(place))
                 tokens = new[tokens]
@@ -221,7 +237,7 @@ def next_lists(rows: DataFrame, k: int) -> DataFrame:
             for r in range(b.num_rows):
                 told = np.sort(b.column(6)[r].values.to_numpy())
                 owned = b.column(1)[r].as_py()
-                tokens, places, lengths = (ints(b.column(c), r) for c in (2, 4, 5))
+                tokens, places, lengths = unpacked(b.column(2), r), *(ints(b.column(c), r) for c in (4, 5))
                 numbers = ints(b.column(3), r, np.int64)
                 gram = np.full(len(tokens), -1, np.int32)
                 covered = np.zeros(len(tokens) + 1, np.int32)
@@ -242,28 +258,32 @@ def next_lists(rows: DataFrame, k: int) -> DataFrame:
 # ---- frequencies over all shards
 
 def frequent(listed: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows (shard, place, keys, n) of all shards' phrases with ``total``, their frequency, at least ``least``. A phrase has a row a shard."""
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    return listed.withColumn("total", total).filter(F.col("total") >= least).drop("n")
+    """Rows (shard, place, keys) of all shards' phrases with ``total``, their frequency, at least ``least``, and ``no``, a number of the phrase: the
+    smallest shard that has it and its place there. A phrase has a row a shard."""
+    own = Window.partitionBy(*keys)
+    number = F.min(F.col("shard") * F.lit(1 << 24) + F.col("place")).over(own)
+    return listed.withColumns({"total": F.sum("n").over(own), "no": number}).filter(F.col("total") >= least).drop("n")
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases, vocabulary, sizes): words (their numbers) and f of all frequent phrases of 1 to ``longest`` words; no, lang and word of
     the frequent words; lang and n, all word occurrences of every language. All are written tables."""
+    spark = docs.sparkSession
     state = written(shards(docs, lang_col, text_col, SHARD_WORDS, longest - 1), "shards")
     listed = state.select("shard", F.posexplode("words").alias("place", "w")).select("shard", "place", "w.lang", "w.word", "w.n")
     sizes = written(listed.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
     found = written(frequent(listed, ["lang", "word"], least), "frequent-words")
-    kinds = found.groupBy("lang", "word").agg(F.first("total").alias("f"))
-    vocabulary = written(numbered(kinds, ["lang", "word"], "no"), "vocabulary")
+    vocabulary = written(found.groupBy("no").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("total").alias("f")), "vocabulary")
     phrases = [vocabulary.select(F.array("no").alias("words"), "f")]
-    told = found.join(vocabulary, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "no")).alias("told"))
+    told = found.groupBy("shard").agg(F.collect_list(F.struct("place", "no")).alias("told"))
     lists = written(first_lists(state.join(told, "shard")), "lists-2")
     discard(state, found)
     for k in range(2, longest + 1):
+        release(spark)
         names = word_names(k)
         listed = lists.select("shard", F.posexplode("grams").alias("place", "g")).select("shard", "place", "g.*")
-        found = written(frequent(listed, names, least), f"frequent-{k}")
+        found = written(frequent(listed, names, least).drop("no"), f"frequent-{k}")
+        release(spark)
         phrases.append(written(found.groupBy(*names).agg(F.first("total").alias("f")), f"phrases-{k}").select(F.array(*names).alias("words"), "f"))
         if k < longest:
             told = found.groupBy("shard").agg(F.collect_list("place").alias("told"))
@@ -271,6 +291,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, lang_col: str =
             discard(before)
         discard(found)
     discard(lists)
+    release(spark)
     every = phrases[0]
     for more in phrases[1:]:
         every = every.unionByName(more)
