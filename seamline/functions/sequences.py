@@ -90,6 +90,45 @@ def cells(rows: DataFrame, keys: list[str], sequence: str = "aligned_seq") -> Da
     return out.withColumn("is_letter", F.col("ch").rlike("^[A-Za-z]$"))
 
 
+#: Characters that are counted at once.
+COUNTED = 1 << 20
+
+
+def letter_counts(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """``keys``, col (from 0), letter (in upper case) and n of the ASCII letters of all sequences, counted in batches and then added up: a batch passes on a
+    row for each column and letter, not for each character."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "col int, letter string, n long"])
+
+    def run(batches):
+        for b in batches:
+            texts, names = b.column(len(keys)).to_pylist(), [b.column(i) for i in range(len(keys))]
+            codes: dict[tuple, int] = {}
+            group = np.array([codes.setdefault(k, len(codes)) for k in zip(*(c.to_pylist() for c in names))] if keys else [0] * len(texts), np.int64)
+            first = {g: i for i, g in reversed(list(enumerate(group.tolist())))}
+            a = 0
+            while a < len(texts):
+                z, held = a, 0
+                while z < len(texts) and (z == a or held + len(texts[z] or "") <= COUNTED):
+                    held += len(texts[z] or "")
+                    z += 1
+                chars, offsets = _code_points(texts[a:z])
+                low = chars | 32
+                (at,) = np.nonzero((low >= ord("a")) & (low <= ord("z")))
+                row = np.searchsorted(offsets, at, side="right") - 1
+                width = int(np.diff(offsets).max(initial=1))
+                found, n = np.unique((group[a + row] * width + at - offsets[row]) * 26 + low[at] - ord("a"), return_counts=True)
+                place, letter = np.divmod(found, 26)
+                owner, col = np.divmod(place, width)
+                taken = pa.array([first[g] for g in owner.tolist()], pa.int64())
+                cells_ = [c.take(taken) for c in names] + [pa.array(col, pa.int32()), pa.array([chr(65 + x) for x in letter.tolist()], pa.string()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cells_, names=[*keys, "col", "letter", "n"])
+                a = z
+
+    counts = rows.select(*keys, F.col(sequence).alias("__sequence")).mapInArrow(run, schema)
+    return counts.groupBy(*keys, "col", "letter").agg(F.sum("n").alias("n"))
+
+
 def padded_ids(ids: Column, length: Column) -> Column:
     """Array cut or filled with nulls to ``length``."""
     fill = F.array_repeat(F.lit(None).cast("int"), F.greatest(length - F.size(ids), F.lit(0)))

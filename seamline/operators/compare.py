@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import percent
-from . import kernels
-from .cluster import _schema, union_all
+from ..functions.tables import discard, percent, written
+from .cluster import union_all
+from .distance import array_distance
 
 SUPPORT = 0.04
 
@@ -126,29 +125,45 @@ def labels_of_partner(points: DataFrame, partner: str | None = None) -> DataFram
 
 
 def diverse_picks(items: DataFrame, metric: str, limit: int = 9, key: str = "cluster_label", weighted: bool = True) -> DataFrame:
-    """Up to ``limit`` items of each cluster that spread out, and how much of the rest is nearest to each.
+    """Up to ``limit`` items of each cluster that spread out, and how much of the rest is nearest to each.
 
-    ``items`` has the cluster key, row_key, partner_domain, columns and member_count. The first pick is the smallest key: the
-    same on every run. One task a cluster.
+    ``items`` has the cluster key, row_key, partner_domain, columns and member_count. The first pick is the smallest key: the same on every run. The
+    next ones have the largest (smallest, mean) distance to the picks, ties to the smaller key. All clusters pick at once, one item a round: the picks
+    are one aggregate, and each item keeps its nearest pick and its sum of distances, so a round costs a row a join and no cluster is
+    gathered anywhere.
     """
-    schema = "row_key string, partner_domain string, selection_rank int, coverage_count long, coverage_fraction double, coverage_percent double, entry_count long, remaining_count long"
-
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row_key", "partner_domain"], kind="stable").reset_index(drop=True)
-        d = kernels.distance_matrix([list(c) for c in pdf["columns"]], metric)
-        picks = kernels.farthest_first(d, list(range(len(pdf))), limit)
-        weights = pdf["member_count"].to_numpy() if weighted else [1] * len(pdf)
-        counts = kernels.coverage(d, picks, weights).astype(int)
-        rest = int(sum(w for i, w in enumerate(weights) if i not in set(picks)))
-        out = pdf.loc[picks, ["row_key", "partner_domain"]].copy()
-        out.insert(0, key, k[0])
-        out["selection_rank"], out["coverage_count"] = range(len(picks)), counts
-        out["coverage_fraction"] = [c / rest if rest else 0.0 for c in counts]
-        out["coverage_percent"] = [c * 100.0 / rest if rest else 0.0 for c in counts]
-        out["entry_count"], out["remaining_count"] = int(sum(weights)), rest
-        return out
-
-    return items.select(key, "row_key", "partner_domain", "columns", "member_count").groupBy(key).applyInPandas(run, _schema(items, [key], schema))
+    item = ["row_key", "partner_domain", "columns"]
+    weight = F.col("member_count") if weighted else F.lit(1).cast("long")
+    start = items.select(key, *item, weight.cast("long").alias("weight"), F.lit(None).cast("double").alias("near"), F.lit(0.0).alias("total"), F.lit(None).cast("int").alias("nearest"), F.lit(None).cast("int").alias("rank"))
+    state, picks = written(start, "picking"), []
+    for k in range(limit):
+        spread = [(-F.col("near")).alias("near"), (-F.col("total")).alias("total")] if k else []
+        best = state.filter("rank IS NULL").groupBy(key).agg(F.min(F.struct(*spread, *item)).alias("p"))
+        made = written(best.select(key, *[F.col(f"p.{c}").alias(c) for c in item]), "picks")
+        if made.isEmpty():
+            break
+        picks.append(made.withColumn("rank", F.lit(k)))
+        met = state.join(made.select(key, *[F.col(c).alias(f"__{c}") for c in item]), key, "left")
+        there = F.col("__row_key").isNotNull()
+        apart = array_distance(metric, F.col("columns"), F.col("__columns"))
+        closer = there & (F.col("near").isNull() | (apart < F.col("near")))
+        same = F.lit(True)
+        for c in item:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        met = met.select(
+            key, *item, "weight", F.when(closer, apart).otherwise(F.col("near")).alias("near"), F.when(there, F.col("total") + apart).otherwise(F.col("total")).alias("total"),
+            F.when(closer, F.lit(k)).otherwise(F.col("nearest")).alias("nearest"), F.when(there & same & F.col("rank").isNull(), F.lit(k)).otherwise(F.col("rank")).alias("rank"),
+        )
+        before, state = state, written(met, "picking")
+        discard(before)
+    if not picks:
+        picks = [made.withColumn("rank", F.lit(0))]
+    whole = state.groupBy(key).agg(F.sum("weight").alias("entry_count"), F.coalesce(F.sum(F.when(F.col("rank").isNull(), F.col("weight"))), F.lit(0)).alias("remaining_count"))
+    covered = state.filter("rank IS NULL").groupBy(key, F.col("nearest").alias("rank")).agg(F.sum("weight").alias("covered"))
+    out = union_all(picks).join(whole, key).join(covered, [key, "rank"], "left")
+    count, rest = F.coalesce("covered", F.lit(0)), F.col("remaining_count")
+    part = lambda x: F.when(rest > 0, x / rest).otherwise(0.0)
+    return out.select(key, "row_key", "partner_domain", F.col("rank").alias("selection_rank"), count.alias("coverage_count"), part(count).alias("coverage_fraction"), part(count * 100.0).alias("coverage_percent"), "entry_count", "remaining_count")
 
 
 def nearest_point(points: DataFrame, x: float, y: float, radius: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
+from . import tiles
 from .compress import signature
 
 
@@ -46,44 +47,42 @@ SLACK = 1e-9
 def least_common(metric: str, threshold: float, a: Column, b: Column) -> Column:
     """The smallest intersection that sets of ``a`` and ``b`` columns can have and be at most ``threshold`` apart."""
     share = 1.0 - threshold
-    if metric == "jaccard":
-        need = (a + b) * (share / (1 + share))
-    elif metric == "dice":
-        need = (a + b) * (share / 2)
-    else:
-        need = F.least(a, b) * share
+    need = (a + b) * (share / (1 + share) if metric == "jaccard" else share / 2)
     return F.greatest(F.lit(1), F.ceil(need - SLACK)).cast("int")
 
 
 def near_pairs(groups: DataFrame, metric: str, threshold: float, key: str = "group_index", within: list[str] | None = None) -> DataFrame:
     """i, j and distance of pairs at most ``threshold`` (below 1) apart.
 
-    Columns are ordered by how many sets have them, rare ones first. A set shares at least ``need`` columns with a partner of
-    its size or larger, so one of its ``size - need + 1`` rarest, its prefix, is among them. Smaller sets are looked up by their prefix
-    in the prefixes of the others, which for overlap, where the sizes may differ in any way, are the whole sets. So
-    columns that most sets have drop out of the index. A pair is compared where it meets first, if the places of the shared column
-    leave room for enough common ones; the sets come along, so nothing is counted or joined afterwards.
+    Jaccard and Dice go by an inverted index: columns are ordered by how many sets have them, rare ones first. A set shares at least
+    ``need`` columns with a partner, so one of its ``size - need + 1`` rarest, its prefix, is among them; columns that most sets have drop out of the index.
+    Only ids, sizes and places are shuffled; the places of a shared column must leave room for enough common ones, and the sets join the pairs
+    that are left. Overlap has no such prefix for the larger set, as sizes may differ in any way, so it is made in tiles (``tiles.pairs``).
     """
     if threshold >= 1:
         raise ValueError("pairs without a common column are 1 apart; use all_pairs")
     within, share = within or [], 1.0 - threshold
     sets = groups.select(*within, F.col(key).alias("g"), F.array_distinct("columns").alias("columns")).filter(F.size("columns") > 0)
+    if metric == "overlap":
+        by = within or ["dataset"]
+        sets = sets if within else sets.withColumn("dataset", F.lit(0))
+        return tiles.pairs(sets.withColumn("g", F.col("g").cast("long")), by, metric, threshold).select(*within, "i", "j", "distance")
     long = sets.select(*within, "g", F.explode("columns").alias("c"))
     counts = long.groupBy(*within, "c").agg(F.count("*").alias("f"))
     ranked = long.join(counts, [*within, "c"]).groupBy(*within, "g").agg(F.array_sort(F.collect_list(F.struct("f", "c"))).alias("r"))
     size = F.col("n")
-    need = {"jaccard": size * share, "dice": size * (share / (2 - share)), "overlap": size * share}[metric]
+    need = {"jaccard": size * share, "dice": size * (share / (2 - share))}[metric]
     prefix = F.slice("columns", F.lit(1), (size - F.greatest(F.lit(1), F.ceil(need - SLACK)) + 1).cast("int"))
-    sets = ranked.select(*within, "g", F.transform("r", lambda x: x["c"]).alias("columns"), F.size("r").alias("n"))
-    sets = written(sets.withColumn("prefix", prefix), "prefixes")
-    small = sets.select(*within, "g", "n", "columns", "prefix", F.posexplode("prefix").alias("pos", "c"))
-    large = small if metric != "overlap" else sets.select(*within, "g", "n", "columns", F.col("columns").alias("prefix"), F.posexplode("columns").alias("pos", "c"))
-    a, b = (df.select(*within, "c", *[F.col(x).alias(f"{x}_{side}") for x in ("g", "n", "columns", "prefix", "pos")]) for df, side in ((small, "a"), (large, "b")))
-    once = (F.struct("n_a", "g_a") < F.struct("n_b", "g_b")) & (F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("c"))
+    sets = written(ranked.select(*within, "g", F.transform("r", lambda x: x["c"]).alias("columns"), F.size("r").alias("n")), "prefixes")
+    index = sets.select(*within, "g", "n", F.posexplode(prefix).alias("pos", "c"))
+    a, b = (index.select(*within, "c", *[F.col(x).alias(f"{x}_{side}") for x in ("g", "n", "pos")]) for side in "ab")
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    both = a.join(b, [*within, "c"]).filter(once & (room >= least_common(metric, threshold, F.col("n_a"), F.col("n_b"))))
-    both = both.withColumn("distance", set_distance(metric, F.size(F.array_intersect("columns_a", "columns_b")), F.col("n_a"), F.col("n_b")))
-    return both.filter(F.col("distance") <= threshold).select(*within, F.least("g_a", "g_b").alias("i"), F.greatest("g_a", "g_b").alias("j"), "distance")
+    met = a.join(b, [*within, "c"]).filter((F.col("g_a") < F.col("g_b")) & (room >= least_common(metric, threshold, F.col("n_a"), F.col("n_b"))))
+    met = met.select(*within, F.col("g_a").alias("i"), F.col("g_b").alias("j")).distinct()
+    for x in "ij":
+        met = met.join(sets.select(*within, F.col("g").alias(x), F.col("columns").alias(f"columns_{x}"), F.col("n").alias(f"n_{x}")), [*within, x])
+    both = met.withColumn("distance", set_distance(metric, F.size(F.array_intersect("columns_i", "columns_j")), F.col("n_i"), F.col("n_j")))
+    return both.filter(F.col("distance") <= threshold).select(*within, "i", "j", "distance")
 
 
 def all_pairs(groups: DataFrame, metrics: list[str], key: str = "group_index", within: list[str] | None = None) -> DataFrame:

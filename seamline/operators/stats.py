@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import fragment_ranges, fragment_start
-from ..functions.sequences import cells
+from ..functions.sequences import letter_counts, masked
 
 METRICS = ("interface_rows", "dataset_interfaces", "interaction_partners", "avg_interface_residues_per_row")
 
@@ -110,11 +109,8 @@ def clean_identity(rows: DataFrame, by: list[str] | None = None, length: int | N
     by = by or []
     first = rows.groupBy(*by, "interface_row_key").agg(F.min_by(F.struct("fragment_key", "aligned_seq"), "partner_domain").alias("r")).select(*by, "interface_row_key", "r.*")
     n = first.groupBy(*by).agg(F.count("*").alias("unique_rows")) if by else first.agg(F.count("*").alias("unique_rows"))
-    chars = cells(first.withColumn("ranges", fragment_ranges(F.col("fragment_key"))).withColumn("start", fragment_start(F.col("fragment_key"))), [*by, "interface_row_key", "ranges", "start"])
-    so_far = Window.partitionBy(*by, "interface_row_key").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = chars.withColumn("residue", F.col("start") - 1 + F.sum(F.col("is_letter").cast("int")).over(so_far))
-    kept = numbered.filter(F.col("is_letter") & F.exists("ranges", lambda r: F.col("residue").between(r["s"], r["e"])))
-    counts = kept.groupBy(*by, "col", F.upper("ch").alias("letter")).agg(F.count("*").alias("n"))
+    kept = first.select(*by, masked("aligned_seq", "fragment_key")["aligned_sequence"].alias("kept"))
+    counts = letter_counts(kept, by, "kept")
     best = counts.groupBy(*by, "col").agg(F.max("n").alias("best"))
     shares = best.join(n, by) if by else best.crossJoin(F.broadcast(n))
     out = shares.select(*by, "col", F.expr("best * 100 div unique_rows").cast("int").alias("identity"))
@@ -128,7 +124,7 @@ def clean_identity(rows: DataFrame, by: list[str] | None = None, length: int | N
 def letter_identity(rows: DataFrame) -> DataFrame:
     """Share (0 to 100) of rows with the column's most frequent letter, over unmasked sequences."""
     n = rows.agg(F.count("*").alias("total"))
-    counts = cells(rows, []).filter("is_letter").groupBy("col", F.upper("ch").alias("letter")).agg(F.count("*").alias("n"))
+    counts = letter_counts(rows, [], "aligned_seq")
     best = counts.groupBy("col").agg(F.max_by("letter", F.struct("n", -F.ascii("letter"))).alias("letter"), F.max("n").alias("n"))
     return best.crossJoin(F.broadcast(n)).select("col", "letter", F.expr("n * 100 div total").cast("int").alias("identity"))
 

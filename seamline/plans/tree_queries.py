@@ -416,6 +416,55 @@ query(
 )(_spread("single"))
 
 
+# Cuts, trees followed by doubling and contraction, on the merges of the chain: the same labels as the kernels', but that a node as good as what is
+# below it to twelve digits is chosen, since the order of additions is not fixed.
+NEARLY = ("score >= below", "score >= below * (1 - 1e-12)")
+
+
+def _relational(spark, sf, **settings):
+    g, members = _brand_groups(spark, sf)
+    s = _settings(**settings)
+    merges = tables.written(cluster.hierarchy(g, "jaccard", s.linkage), "merges")
+    return cluster.hierarchical(g, members, s, merges=merges, dense=0)
+
+
+@query("c4_cut_by_doubling", f"WITH RECURSIVE {linkage_sql('average')}, {cut_sql('SELECT count(*) FROM merges WHERE distance <= 0.55')}, {points_sql(6)}")
+def c4_cut_by_doubling(spark, sf):
+    return _relational(spark, sf, distance_threshold="0.55", hierarchical_min_cluster_size="6")
+
+
+@query("c5_persistence_by_contraction", f"WITH RECURSIVE {persistence_sql('weighted', 3, 0.05, 0.5, False).replace(*NEARLY)}, {points_sql()}")
+def c5_persistence_by_contraction(spark, sf):
+    return _relational(spark, sf, linkage="weighted", hierarchical_target="persistence", hierarchical_min_cluster_size="3")
+
+
+@query("c5_integral_by_contraction", f"WITH RECURSIVE {persistence_sql('average', 4, 0.02, 0.3, True).replace(*NEARLY)}, {points_sql()}")
+def c5_integral_by_contraction(spark, sf):
+    more = {"persistence_score_mode": "integral", "persistence_lifetime_weight": "0.3", "persistence_min_lifetime": "0.02"}
+    return _relational(spark, sf, hierarchical_target="persistence", hierarchical_min_cluster_size="4", **more)
+
+
+@query(
+    "j1_near_overlaps",
+    f"""WITH {IFACE}, s AS (SELECT partner_domain, cols, row_number() OVER (ORDER BY partner_domain, cols) - 1 AS i FROM (SELECT DISTINCT partner_domain, cols FROM iface WHERE len(cols) > 0)),
+    g AS (SELECT partner_domain, i, len(cols) AS n, list_sum(list_transform(cols, lambda c: 1 << c))::BIGINT AS bits FROM s),
+    near AS (SELECT a.i, b.i AS j, 1.0 - bit_count(a.bits & b.bits) / CAST(least(a.n, b.n) AS DOUBLE) AS d FROM g a JOIN g b ON a.partner_domain = b.partner_domain AND a.i < b.i WHERE 1.0 - bit_count(a.bits & b.bits) / CAST(least(a.n, b.n) AS DOUBLE) <= 0.5)
+    SELECT i AS group_index, count(*) AS near_groups, max(j) AS last_near, round(sum(d), 6) AS distance FROM near GROUP BY 1""",
+)
+def j1_near_overlaps(spark, sf):
+    """Of every group of ``iface`` the groups of its partner at most 0.5 apart, with larger numbers."""
+    groups = compress.materialised(compress.entries(iface(spark, sf)))[0]
+    near = distance.near_pairs(groups, "overlap", 0.5, within=["partner_domain"])
+    return near.groupBy(F.col("i").alias("group_index")).agg(F.count("*").alias("near_groups"), F.max("j").alias("last_near"), F.round(F.sum("distance"), 6).alias("distance"))
+
+
+@query("c7_density_spread")
+def c7_density_spread(spark, sf):
+    """HDBSCAN of all entries of ``iface`` at once, with every group's true number of entries. Compared with the kernel in tests, as SQL is too slow."""
+    settings = ClusteringSettings.of({"method": "hdbscan", "distance": "jaccard", "min_cluster_size": "12", "min_samples": "6"})
+    return cluster.density(*compress.materialised(compress.entries(iface(spark, sf))), settings, dense=0)
+
+
 # ---- layouts
 
 THREE = f"""{IFACE}, e AS (SELECT partner_domain, list_sort(list_distinct(list_transform(cols, lambda x: x % 3))) AS cols FROM iface WHERE len(cols) > 0),
