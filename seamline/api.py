@@ -78,7 +78,7 @@ def _signature(store: Store, query: Query) -> str:
 def files(store: Store, metadata: DataFrame | None = None) -> DataFrame:
     """``files``: the imported files with the statistics and categories of their families."""
     sources = store.sources().filter("status = 'ready'").select("family", "name", "source_id", "path")
-    with_family = store.rows().join(F.broadcast(sources.select("source_id", "family", "path")), "source_id")
+    with_family = store.rows().join(sources.select("source_id", "family", "path"), "source_id")
     made = stats.with_categories(stats.selector_stats(with_family))
     names = metadata if metadata is not None else store.spark.createDataFrame([], "family string, display_name string")
     options = stats.dataset_options(sources, stats.with_metadata(made, names))

@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,43 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"could not move a file to {path}")
 
 
+def create_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """A small file, whole, unless there is one of that name: of several writers exactly one succeeds."""
+    where, files = _hadoop(spark, path)
+    draft, _ = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    stream = files.create(draft, True)
+    stream.write(bytearray(data))
+    stream.close()
+    sc = spark.sparkContext
+    kinds = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = sc._gateway.new_array(kinds, 1)
+    how[0] = kinds.NONE
+    try:
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), sc._jsc.hadoopConfiguration()).rename(draft, where, how)
+        return True
+    except Py4JJavaError as e:
+        files.delete(draft, False)
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files of a folder; none if there is no such folder."""
+    where, files = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def content(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    where, files = _hadoop(spark, path)
+    stream = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back; cuts the lineage and survives lost executors."""
     path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

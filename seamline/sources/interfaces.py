@@ -6,6 +6,9 @@ wrong-typed values beside good ones; a document whose top level is not an object
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,24 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def try_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, value and error of every file that is there: bad ones are found in the one pass that reads all of them."""
+
+    def run(batches):
+        for b in batches:
+            for path, data in zip(b.column(0), b.column(1)):
+                value = error = None
+                try:
+                    raw = data.as_buffer().to_pybytes()
+                    value = (gzip.decompress(raw) if path.as_py().lower().endswith(".gz") else raw).decode("utf-8", "replace")
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a file is its import error
+                    error = f"{type(e).__name__}: {e}"[:2000]
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([value], pa.string()), pa.array([error], pa.string())], names=["path", "value", "error"])
+
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths)
+    return files.select("path", "content").mapInArrow(run, "path string, value string, error string")
+
+
 def checked(doc: Column) -> Column:
     """The document, if its top level is an object; raises otherwise."""
     bad = F.raise_error(F.lit("an interface document must be a JSON object")).cast("variant")

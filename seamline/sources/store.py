@@ -1,9 +1,10 @@
 """A parquet store of imported sources and cached results (S5-S8, S10-S16, S18, A26 inputs).
 
-``<root>/rows`` is partitioned by ``source_id``, so replacing a source overwrites its partition alone, through the
-output committer. ``<root>/sources`` is an append-only log; the latest entry of a path counts. Results live
-under ``<root>/results/<kind>/<key>``, where the key hashes everything that the result depends on - the size
-filter included - so results never overwrite each other.
+``<root>/rows`` is partitioned by the import's ``version`` and by ``source_id``; an import only adds files. ``<root>/snapshots/<n>`` is one small file that
+names a table of ``<root>/states``: the latest entry of every path and the version that has its rows. An import ends by creating the next
+snapshot if it does not exist yet, so rows and log change together or not at all; a writer that comes second takes the other's
+snapshot for its base and tries again. Readers hold one snapshot. Results live under ``<root>/results/<kind>/<key>``, where the key
+hashes everything that the result depends on - the size filter included - so results never overwrite each other.
 """
 
 from __future__ import annotations
@@ -12,18 +13,22 @@ import hashlib
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.tables import content, create_once, delete, discard, names_in, written
 from . import interfaces
 
 SCHEMA_VERSION = 1
 LOG = "source_id string, path string, name string, family string, size_bytes long, modified timestamp, status string, error string, row_count long, alignment_length long, schema_version int, at double"
 
+ENTRY = LOG + ", version string"
+
 NOT_A_DOCUMENT = "not a JSON object with distinct keys"
 
 
@@ -32,80 +37,111 @@ def source_id(path: str) -> str:
 
 
 class Store:
-    """Imported interface files and cached results below one folder."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _read(self, path: str, schema: str | None = None) -> DataFrame | None:
-        try:
-            return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(path)
-        except AnalysisException:
-            return None
+    """Imported interface files and cached results below one folder. With ``snapshot`` it is read as it was then."""
+
+    def __init__(self, spark: SparkSession, root: str, snapshot: int | None = None):
+        self.spark, self.root, self.snapshot = spark, root.rstrip("/"), snapshot
+
+    # ---- snapshots
+
+    def latest(self) -> int:
+        """The number of the snapshot that is read: the given one, else the last; -1 without one."""
+        if self.snapshot is not None:
+            return self.snapshot
+        return max((int(n) for n in names_in(self.spark, f"{self.root}/snapshots") if n.isdigit()), default=-1)
+
+    def pinned(self) -> Store:
+        """This store as it is now, whatever is imported later."""
+        return Store(self.spark, self.root, self.latest())
+
+    def _state(self, n: int) -> DataFrame:
+        """Entries of a snapshot, each path once."""
+        if n < 0:
+            return self.spark.createDataFrame([], ENTRY)
+        name = content(self.spark, f"{self.root}/snapshots/{n:010d}")
+        return self.spark.read.schema(ENTRY).parquet(f"{self.root}/states/{name}")
+
+    def _commit(self, entries: list[tuple]) -> None:
+        """The next snapshot with these entries in the place of their paths' old ones. A failed import keeps the version it had."""
+        new = self.spark.createDataFrame(entries, ENTRY)
+        while True:
+            n = self.latest()
+            old = self._state(n)
+            kept = new.join(old.select("path", F.col("version").alias("__old")), "path", "left").withColumn("version", F.coalesce("version", "__old")).drop("__old")
+            name = uuid.uuid4().hex
+            old.join(new.select("path"), "path", "left_anti").unionByName(kept).write.parquet(f"{self.root}/states/{name}")
+            if create_once(self.spark, f"{self.root}/snapshots/{n + 1:010d}", name.encode()):
+                return
+            delete(self.spark, f"{self.root}/states/{name}")
+
+    def vacuum(self) -> int:
+        """Delete states and versions that the snapshot does not need, and older snapshots; the number of deleted versions. Not while others
+        read an older snapshot or import."""
+        n = self.latest()
+        if n < 0:
+            return 0
+        name = content(self.spark, f"{self.root}/snapshots/{n:010d}")
+        used = {f"version={r.version}" for r in self._state(n).select("version").distinct().collect()}  # one row an import
+        gone = [v for v in names_in(self.spark, f"{self.root}/rows") if v.startswith("version=") and v not in used]
+        for old in names_in(self.spark, f"{self.root}/snapshots"):
+            if old.isdigit() and int(old) < n:
+                delete(self.spark, f"{self.root}/snapshots/{old}")
+        for path in [f"rows/{v}" for v in gone] + [f"states/{s}" for s in names_in(self.spark, f"{self.root}/states") if s != name]:
+            delete(self.spark, f"{self.root}/{path}")
+        return len(gone)
+
+    # ---- sources and rows
 
     def sources(self) -> DataFrame:
         """The latest log entry of every path."""
-        log = self._read(f"{self.root}/sources", LOG)
-        if log is None:
-            return self.spark.createDataFrame([], LOG)
-        last = Window.partitionBy("path").orderBy(F.desc("at"), F.desc("status"))
-        return log.withColumn("r", F.row_number().over(last)).filter("r = 1").drop("r")
+        return self._state(self.latest()).drop("version")
 
     def changed(self, folder: str) -> DataFrame:
         """Files of a folder whose path, size, time or schema version is not imported yet."""
         done = self.sources().filter((F.col("status") == "ready") & (F.col("schema_version") == SCHEMA_VERSION))
         return interfaces.scan(self.spark, folder).join(done.select("path", "size_bytes", "modified"), ["path", "size_bytes", "modified"], "left_anti")
 
+    def _files(self) -> DataFrame:
+        """All rows of all versions, with ``version``. The schema is told: names of partitions must not be taken for numbers."""
+        empty = interfaces.interface_rows(self.spark.sql("SELECT '' AS source_id, '' AS partner_domain, '' AS interface_row_key, parse_json('{}') AS payload").filter("false"), ["source_id"])
+        empty = empty.withColumn("row_order", F.lit(0).cast("long")).withColumn("version", F.lit(""))
+        own = [c for c in empty.columns if c not in ("version", "source_id")]
+        try:
+            return self.spark.read.schema(empty.select(*own, "version", "source_id").schema).parquet(f"{self.root}/rows")
+        except AnalysisException:
+            return empty
+
     def rows(self) -> DataFrame:
         """Rows of all imported sources, partitioned by source_id."""
-        got = self._read(f"{self.root}/rows")
-        if got is None:
-            empty = interfaces.interface_rows(self.spark.sql("SELECT '' AS source_id, '' AS partner_domain, '' AS interface_row_key, parse_json('{}') AS payload").filter("false"), ["source_id"])
-            return empty.withColumn("row_order", F.lit(0).cast("long"))
-        return got
+        current = self._state(self.latest()).filter("version IS NOT NULL").select("version", "source_id")
+        return self._files().join(current, ["version", "source_id"], "left_semi").drop("version")
 
     def import_files(self, files: list) -> list[dict[str, Any]]:
-        """Replace the rows of these sources and log the outcomes; bad files are logged, not raised.
-
-        All files are read and written together, partitioned by source. Only where one cannot even be read as text is each
-        imported for itself, to find out which.
-        """
+        """Replace the rows of these sources and log the outcomes, in one snapshot; bad files are logged, not raised."""
         if not files:
             return []
         entries = {f["path"]: {k: f[k] for k in ("path", "name", "family", "size_bytes", "modified")} | {"source_id": source_id(f["path"]), "schema_version": SCHEMA_VERSION} for f in files}
-        try:
-            found = self._replaced(list(entries))
-        except Exception as e:  # noqa: BLE001  whatever is wrong with a file is its import error
-            if len(files) > 1:
-                return [x for f in files for x in self.import_files([f])]
-            found = {entries[files[0]["path"]]["source_id"]: str(e)[:2000]}
+        version = f"v{uuid.uuid4().hex}"
+        found = self._added(list(entries), version)
         for entry in entries.values():
-            got = found.get(entry["source_id"], (0, 0))
+            got = found.get(entry["source_id"], "the file could not be found")
             bad = got if isinstance(got, str) else None
-            entry |= {"status": "failed" if bad else "ready", "error": bad, "row_count": None if bad else got[0], "alignment_length": None if bad else got[1], "at": time.time()}
-        log = [tuple(e[c.split()[0]] for c in LOG.split(", ")) for e in entries.values()]
-        self.spark.createDataFrame(log, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/sources")
-        return list(entries.values())
-
-    def _replaced(self, paths: list[str]) -> dict[str, tuple[int, int] | str]:
-        """Row count and alignment length of every source with rows, or the error of a source without a document."""
-        text = interfaces.read_texts(self.spark, paths).withColumn("source_id", F.substring(F.sha1("path"), 1, 16))
+            entry |= {"status": "failed" if bad else "ready", "error": bad, "row_count": None if bad else got[0], "alignment_length": None if bad else got[1], "at": time.time(), "version": None if bad else version}
+        self._commit([tuple(e[c.split()[0]] for c in ENTRY.split(", ")) for e in entries.values()])
+        return [{k: v for k, v in e.items() if k != "version"} for e in entries.values()]
+
+    def _added(self, paths: list[str], version: str) -> dict[str, tuple[int, int] | str]:
+        """Row count and alignment length of every source, written as ``version``, or the error of a source without a document."""
+        text = written(interfaces.try_texts(self.spark, paths).withColumn("source_id", F.substring(F.sha1("path"), 1, 16)), "texts")
         parsed = text.withColumn("doc", F.try_parse_json("value")).withColumn("ok", F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False)))
-        errors = {r["source_id"]: NOT_A_DOCUMENT for r in parsed.filter("NOT ok").select("source_id").collect()}
+        told = parsed.select("source_id", F.when(~F.col("ok"), F.coalesce("error", F.lit(NOT_A_DOCUMENT))).alias("error")).collect()  # one row a file
         rows = interfaces.interface_rows(interfaces.flatten(parsed.filter("ok"), ["source_id"]), ["source_id"])
-        rows = interfaces.numbered_rows(rows, ["source_id"])
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{self.root}/rows")
-        mine = [source_id(p) for p in paths if source_id(p) not in errors]
-        counts = interfaces.alignment_length(self.rows().filter(F.col("source_id").isin(mine)), ["source_id"])
+        rows = interfaces.numbered_rows(rows, ["source_id"]).withColumn("version", F.lit(version))
+        rows.write.mode("append").partitionBy("version", "source_id").parquet(f"{self.root}/rows")
+        counts = interfaces.alignment_length(self._files().filter(F.col("version") == version), ["source_id"])
         out = {r["source_id"]: (r["n"], r["alignment_length"]) for r in counts.collect()}
-        for gone in set(mine) - {r["source_id"] for r in rows.select("source_id").distinct().collect()}:
-            self._delete(f"{self.root}/rows/source_id={gone}")  # a file without rows has no partition to overwrite the old one
-            out.pop(gone, None)
-        return out | errors
-
-    def _delete(self, path: str) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        discard(text)
+        return {r["source_id"]: r["error"] or out.get(r["source_id"], (0, 0)) for r in told}
 
     def sync(self, folder: str) -> list[dict[str, Any]]:
         """Import every changed file of a folder. The list of file names is small; their contents stay in Spark."""

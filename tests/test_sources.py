@@ -235,6 +235,43 @@ def test_a_source_that_loses_its_rows_and_one_that_cannot_be_read(spark, tmp_pat
     assert (entry["status"], entry["row_count"]) == ("ready", 0) and store.rows().filter(F.col("source_id") == entry["source_id"]).count() == 0
 
 
+def test_an_import_that_dies_leaves_the_old_snapshot_and_none_is_lost(spark, tmp_path, monkeypatch):
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    put = lambda name, n: (folder / name).write_text(json.dumps({"P": {f"A{k}_1-2_1-2": payload([1]) for k in range(n)}}))
+    put("a.json", 2)
+    store.sync(str(folder))
+    held = store.pinned()
+    put("a.json", 5)
+    with monkeypatch.context() as m:  # rows are there, the snapshot is not
+        m.setattr(Store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            store.sync(str(folder))
+    assert store.rows().count() == 2 and [e["row_count"] for e in store.sources().collect()] == [2]
+    # A second writer commits between the first one's look at the snapshot and its commit.
+    put("b.json", 3)
+    other, real = Store(spark, store.root), Store._state
+    b = [f for f in other.changed(str(folder)).collect() if f["name"] == "b.json"]
+    a = [f for f in other.changed(str(folder)).collect() if f["name"] == "a.json"]
+    raced = []
+
+    def late(self, n):
+        if self is store and not raced:
+            raced.append(n)
+            other.import_files(b)
+        return real(self, n)
+
+    monkeypatch.setattr(Store, "_state", late)
+    store.import_files(a)
+    assert raced and {e["name"]: e["row_count"] for e in store.sources().collect()} == {"a.json": 5, "b.json": 3} and store.rows().count() == 8
+    assert held.rows().count() == 2 and {e["row_count"] for e in held.sources().collect()} == {2}
+    (folder / "a.json").write_text("[1]")
+    store.sync(str(folder))
+    entry = store.sources().filter("name = 'a.json'").first()
+    assert entry["status"] == "failed" and store.rows().count() == 8  # what could not be read does not replace what could
+    assert store.vacuum() == 2 and store.rows().count() == 8 and store.latest() == 3
+
+
 def test_a_stored_distance_table_is_validated(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     entries = spark.createDataFrame([("P", k, c) for k, c in (("a", [1, 2]), ("b", [2, 3]), ("c", [9]))], "partner_domain string, row_key string, columns array<int>")
