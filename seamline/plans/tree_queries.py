@@ -458,11 +458,20 @@ def j1_near_overlaps(spark, sf):
     return near.groupBy(F.col("i").alias("group_index")).agg(F.count("*").alias("near_groups"), F.max("j").alias("last_near"), F.round(F.sum("distance"), 6).alias("distance"))
 
 
+def density_entries(spark, sf):
+    """Entries of ``iface`` in three groups of different densities by customer, columns apart, and a tenth of the orders with columns of their own."""
+    far = F.transform("interface_msa_columns_a", lambda c: (1000 + (F.col("o_orderkey") * 13 + c * 7) % 5000).cast("int"))
+    near = F.transform("interface_msa_columns_a", lambda c: (F.col("o_custkey") % 3 * 20 + c % (4 + F.col("o_custkey") % 3 * 3)).cast("int"))
+    return compress.entries(iface(spark, sf).withColumn("interface_msa_columns_a", F.when(F.col("o_orderkey") % 10 == 0, far).otherwise(near)))
+
+
+DENSITY = {"method": "hdbscan", "distance": "jaccard", "min_cluster_size": "12", "min_samples": "6"}
+
+
 @query("c7_density_spread")
 def c7_density_spread(spark, sf):
-    """HDBSCAN of all entries of ``iface`` at once, with every group's true number of entries. Compared with the kernel in tests, as SQL is too slow."""
-    settings = ClusteringSettings.of({"method": "hdbscan", "distance": "jaccard", "min_cluster_size": "12", "min_samples": "6"})
-    return cluster.density(*compress.materialised(compress.entries(iface(spark, sf))), settings, dense=0)
+    """HDBSCAN of all entries at once, with every group's true number of entries. Compared with the kernel in tests, as SQL is too slow."""
+    return cluster.density(*compress.materialised(density_entries(spark, sf)), ClusteringSettings.of(DENSITY), dense=0)
 
 
 # ---- layouts
