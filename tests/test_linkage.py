@@ -266,3 +266,20 @@ def test_density_of_one_cluster_and_of_few_points(spark):
         want = kernels.hdbscan(kernels.distance_matrix(sets, "jaccard")[np.ix_(at, at)], least)
         made = labels_of(cuts.density(linkage.leaves_of(groups(spark, {"a": sets}), ["family"]).drop("family"), "jaccard", least))
         assert same_partition([made[k] for k in at], want.tolist())
+
+
+@pytest.mark.parametrize("chain,depth", [(False, 3), (True, 12)])
+def test_displayed_nodes_equal_the_kernels(spark, chain, depth):
+    from seamline.operators import dendrogram
+
+    n, r = 40, random.Random(3)
+    pairs = random_tree(n, 11, chain)
+    groups_ = spark.range(n).select((F.col("id") * 2 + 1).alias("group_index"))
+    merges = spark.createDataFrame([(k, a, b, (k + 1) / n) for k, (a, b) in enumerate(pairs)], "merge_index int, left int, right int, distance double")
+    rows = [(2 * g + 1, r.randrange(-1, 3), r.choice(["P", "Q", "", None]), r.randint(1, 4)) for g in range(n) for _ in range(2) if g % 5]
+    counts = spark.createDataFrame(rows, "group_index long, cluster_label int, partner_domain string, n long").groupBy("group_index", "cluster_label", "partner_domain").agg(F.sum("n").alias("n"))
+    want, made = ({x.node_id: x.asDict() for x in dendrogram.nodes(groups_, merges, counts, depth, 0.5, dense=d).collect()} for d in (100, 0))
+    assert set(want) == set(made)
+    for k, x in want.items():
+        for c, v in x.items():
+            assert made[k][c] == pytest.approx(v, abs=1e-9) if isinstance(v, float) else made[k][c] == v, (k, c)
