@@ -5,7 +5,7 @@ returns the index: each record's place and the SHA-256 of its stored bytes, take
 again. Over each file's records in offset order stands a binary hash tree; a node covers an ordered offset
 range. The roots of all replicas are compared with each other and with the index's, and only where two of them differ is the
 next level looked at, down to the records that differ; there the index tells which replicas are damaged. Work below the roots is thus in
-proportion to the damage.
+proportion to the damage. ``whole_records`` reads every record from a replica that holds it whole.
 
 Leaves are SHA-256(0x00, record), inner nodes SHA-256(0x01, left, right); a last node without a partner moves up as it is.
 
@@ -19,12 +19,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import discard, scratch_path, written
 from .token_shards import open_fs
 
 #: A fixed date, so that a retried task writes the same bytes.
@@ -53,8 +54,18 @@ def parse_record(data: bytes) -> dict:
     return out | {"version": lines[0], "html": body.partition(b"\r\n\r\n")[2].decode()}
 
 
-def write_replicas(pages: DataFrame, uris: list[str]) -> DataFrame:
-    """Write the pages to every replica; the index has one row per record. No shuffle: a task writes what it reads."""
+def spoilt(data: bytes) -> bytes:
+    """A record with one bit of its middle byte turned."""
+    k = len(data) // 2
+    return data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :]
+
+
+def write_replicas(pages: DataFrame, uris: list[str], fault: Callable[[int, int | None], bool] | None = None) -> DataFrame:
+    """Write the pages to every replica; the index has one row per record. No shuffle: a task writes what it reads.
+
+    ``fault`` rehearses damage: where it holds for a replica's number and a page_id, that replica stores the record ``spoilt``. The index
+    always has the digests of what should be stored.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -72,8 +83,8 @@ def write_replicas(pages: DataFrame, uris: list[str]) -> DataFrame:
                     for files, folder in places:
                         files.create_dir(folder, recursive=True)
                     streams = [f.open_output_stream(f"{d}/{shard:06d}.{attempt}") for f, d in places]
-                for s in streams:
-                    s.write(data)
+                for side, s in enumerate(streams):
+                    s.write(spoilt(data) if fault and fault(side, page) else data)
                 rows.append((shard, n, page, offset, len(data), hashlib.sha256(data).hexdigest(), hashlib.sha256(b"\0" + data).digest()))
                 offset, n = offset + len(data), n + 1
             if rows:
@@ -188,41 +199,79 @@ def surplus(index: DataFrame, uris: list[str]) -> DataFrame:
     return ends.mapInArrow(run, "side string, shard int, offset long, length long")
 
 
+def differing_nodes(trees: DataFrame) -> list[DataFrame]:
+    """shard, level and pos of the nodes on which any two sides differ, a written table a step: roots first, then the differing
+    children of each step's nodes. No other node is looked at."""
+    at = ["shard", "level", "pos"]
+
+    def differing(nodes: DataFrame) -> DataFrame:
+        return written(nodes.groupBy(*at).agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low <> high").select(*at), "merkle-bad")
+
+    tops = trees.groupBy("shard").agg(F.max("level").alias("level")).withColumn("pos", F.lit(0).cast("long"))
+    steps = [differing(trees.join(tops, at, "left_semi"))]
+    while (inner := steps[-1].filter("level > 0")).take(1):
+        below = inner.select("shard", (F.col("level") - 1).alias("level"), F.explode(F.array(F.col("pos") * 2, F.col("pos") * 2 + 1)).alias("pos"))
+        steps.append(differing(trees.join(below, at, "left_semi")))
+    return steps
+
+
 def damaged_records(index: DataFrame, uris: list[str]) -> DataFrame:
     """side, shard, record, page_id, offset and length of every stored record whose bytes differ from the index, and of every range
-    after a file's last record (record and page_id null).
+    after a file's last record (record and page_id null); a written table.
 
     Descends one level of the trees at a time, looking only at children of nodes on which any two sides differ.
     """
     trees = written(build_trees(index, uris), "merkle")
-    at = ["shard", "level", "pos"]
-
-    def differing(nodes: DataFrame) -> DataFrame:
-        return nodes.groupBy(*at).agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low <> high").select(*at)
-
-    tops = trees.groupBy("shard").agg(F.max("level").alias("level")).withColumn("pos", F.lit(0).cast("long"))
-    bad = written(differing(trees.join(tops, at)), "merkle-bad")
-    found = bad.filter("level = 0")
-    while (open_nodes := bad.filter("level > 0")).take(1):
-        below = open_nodes.select("shard", (F.col("level") - 1).alias("level"), F.explode(F.array(F.col("pos") * 2, F.col("pos") * 2 + 1)).alias("pos"))
-        bad = written(differing(trees.join(below, at, "left_semi")), "merkle-bad")
-        found = found.unionByName(bad.filter("level = 0"))
-    leaves = trees.filter("level = 0").join(found, at, "left_semi").select("side", "shard", F.col("pos").cast("int").alias("record"), "hash")
+    steps = differing_nodes(trees)
+    found = steps[0]
+    for more in steps[1:]:
+        found = found.unionByName(more)
+    leaves = trees.join(found.filter("level = 0"), ["shard", "level", "pos"], "left_semi").select("side", "shard", F.col("pos").cast("int").alias("record"), "hash")
     damaged = leaves.filter("side <> 'index'").join(index, ["shard", "record"]).filter(~F.col("hash").eqNullSafe(F.col("leaf")))
     after = surplus(index, uris).select("side", "shard", F.lit(None).cast("int").alias("record"), F.lit(None).cast("long").alias("page_id"), "offset", "length")
-    return damaged.select("side", "shard", "record", "page_id", "offset", "length").unionByName(after)
+    out = written(damaged.select("side", "shard", "record", "page_id", "offset", "length").unionByName(after), "damaged-records")
+    discard(trees, *steps)
+    return out
 
 
-def audit(pages: DataFrame, replicas: int = 2, spark: SparkSession | None = None) -> tuple[DataFrame, list[str], DataFrame]:
+def audit(pages: DataFrame, replicas: int = 2, fault: Callable[[int, int | None], bool] | None = None) -> tuple[DataFrame, list[str], DataFrame]:
     """(index, replica folders, damaged records) after writing the pages to so many replicas and auditing them."""
     uris = [scratch_path(pages.sparkSession, f"warc-{k}") for k in range(replicas)]
-    index = write_replicas(pages, uris)
+    index = write_replicas(pages, uris, fault)
     return index, uris, damaged_records(index, uris)
 
 
 def fixity_report(index: DataFrame, uris: list[str], damaged: DataFrame) -> DataFrame:
-    """One row per record: its place, digest and the number of replicas that hold it whole."""
-    bad = damaged.filter("record IS NOT NULL").groupBy("shard", "record").agg(F.count("*").alias("bad"))
-    out = index.join(bad, ["shard", "record"], "left")
-    whole = (F.lit(len(uris)) - F.coalesce("bad", F.lit(0))).cast("int")
-    return out.select("page_id", "shard", "record", "offset", "length", F.col("sha256").alias("record_sha256"), whole.alias("replicas_whole"))
+    """One row per record: its place, digest, the number of replicas that hold it whole, and the numbers of those that do not."""
+    number = F.array_position(F.array(*map(F.lit, uris)), F.col("side")).cast("int") - 1
+    bad = damaged.filter("record IS NOT NULL").groupBy("shard", "record").agg(F.array_sort(F.collect_set(number)).alias("damaged_in"))
+    out = index.join(bad, ["shard", "record"], "left").withColumn("damaged_in", F.coalesce("damaged_in", F.array().cast("array<int>")))
+    whole = (F.lit(len(uris)) - F.size("damaged_in")).cast("int")
+    return out.select("page_id", "shard", "record", "offset", "length", F.col("sha256").alias("record_sha256"), whole.alias("replicas_whole"), "damaged_in")
+
+
+def whole_records(report: DataFrame, uris: list[str]) -> DataFrame:
+    """page_id, html, replicas_whole and damaged_in of every record of a ``fixity_report``, read from the first replica that holds it whole; html
+    is null where none does."""
+    side = F.element_at(F.array_except(F.sequence(F.lit(0), F.lit(len(uris) - 1)), "damaged_in"), 1)
+    placed = report.select("page_id", "shard", "offset", "length", "replicas_whole", "damaged_in", F.when(F.col("replicas_whole") > 0, side).alias("from_side"))
+
+    def run(batches):
+        file, held = None, None
+        for b in batches:
+            htmls = []
+            for shard, offset, length, at in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 6))):
+                if at is None:
+                    htmls.append(None)
+                    continue
+                if held != (at, shard):
+                    if file:
+                        file.close()
+                    files, folder = open_fs(uris[at])
+                    file, held = files.open_input_file(f"{folder}/{shard:06d}.warc.gz"), (at, shard)
+                htmls.append(parse_record(bytes(file.read_at(length, offset)))["html"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(htmls, pa.string()), b.column(4), b.column(5)], names=["page_id", "html", "replicas_whole", "damaged_in"])
+        if file:
+            file.close()
+
+    return placed.sortWithinPartitions("from_side", "shard", "offset").mapInArrow(run, "page_id long, html string, replicas_whole int, damaged_in array<int>")

@@ -288,6 +288,33 @@ def test_the_same_damage_in_all_replicas_is_found(spark, pages, tmp_path):
     assert {(x.side, x.shard, x.record) for x in warc.damaged_records(index, uris).collect()} == {(u, r.shard, r.record) for u in uris[:2]}
 
 
+def test_descent_visits_only_ways_to_damage(spark, tmp_path):
+    uris = [str(tmp_path / x) for x in "ab"]
+    pages = spark.range(500).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("w").alias("html")).coalesce(1)
+    index = warc.write_replicas(pages, uris, fault=lambda side, page: side == 1 and page in (3, 4, 400))
+    trees = warc.build_trees(index, uris)
+    steps = [sorted((r.level, r.pos) for r in s.collect()) for s in warc.differing_nodes(trees)]
+    assert steps == [sorted({(level, k >> level) for k in (3, 4, 400)}) for level in range(9, -1, -1)]
+    assert [len(s.collect()) for s in warc.differing_nodes(warc.build_trees(index, uris[:1]))] == [0]
+
+
+def test_whole_records_come_from_whole_replicas(spark, pages, tmp_path):
+    uris = [str(tmp_path / x) for x in "ab"]
+    index = warc.write_replicas(pages, uris, fault=lambda side, page: page == 9 or (page is None or page % 10 == side))
+    os.remove(f"{uris[1]}/{index.filter('page_id = 30').first().shard:06d}.warc.gz")
+    report = warc.fixity_report(index, uris, warc.damaged_records(index, uris))
+    gone = {r.page_id for r in index.filter(F.col("shard") == index.filter("page_id = 30").first().shard).collect()}
+    want = []
+    for r in pages.filter("page_id IS NULL OR page_id <> 7").collect():  # the three pages 7 may lie in several files
+        k = r.page_id
+        bad = [side for side in (0, 1) if k == 9 or k is None or k % 10 == side or (side == 1 and k in gone)]
+        want.append((k, None if len(bad) == 2 else r.html or "", 2 - len(bad), bad))
+    rows = warc.whole_records(report, uris).collect()
+    got = [tuple(r) for r in rows if r.page_id != 7]
+    assert len(rows) == 63 and all(r.replicas_whole == 2 - len(r.damaged_in) and r.html is not None for r in rows if r.page_id == 7)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_tree_shape():
     h = lambda *x: hashlib.sha256(b"".join(x)).digest()
     a, b, c = (h(b"\0", x) for x in (b"a", b"b", b"c"))
