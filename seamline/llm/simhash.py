@@ -188,6 +188,14 @@ def shingle_counts(base: DataFrame, words: int) -> np.ndarray:
     return counts
 
 
+def set_fingerprint(h: np.ndarray) -> int:
+    """SimHash of a set of shingles from their hashes: bit b (as a signed long) is set if it is set in more than half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return _signed(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big"))
+
+
 def parity_words(shingles_: int) -> int:
     """Words of the parity sketch of a set: a power of two, so that a larger sketch folds onto a smaller one."""
     return min(MOST_WORDS, 1 << (max(1, -(-shingles_ // 32)) - 1).bit_length())
@@ -201,7 +209,7 @@ def parity_sketch(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def prefixes(base: DataFrame, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
-    """doc_id, th, ``sig`` (digest of the set of shingles), ``n`` (its size), ``prefix``, a small parity bitmap and a parity sketch of every text.
+    """doc_id, th, ``sig`` (digest of the set of shingles), ``n`` (its size), ``prefix``, a small parity bitmap, a parity sketch and ``fp`` (the set's SimHash) of every text.
 
     The prefix is the ``n - ceil(similarity * n) + 1`` hashes that come first in one order of all shingles, rare ones first.
     A text that shares none of them misses too many of the text's shingles to be ``similarity`` like it.
@@ -218,7 +226,7 @@ def prefixes(base: DataFrame, words: int, similarity: float, counts: np.ndarray)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                sigs, sizes, firsts, parities, sketches = [], [], [], [], []
+                sigs, sizes, firsts, parities, sketches, fps = [], [], [], [], [], []
                 for t in part.column(2).cast(pa.binary()).to_pylist():
                     found = sorted(shingles(t, words))
                     h = _hashes(found)
@@ -227,13 +235,14 @@ def prefixes(base: DataFrame, words: int, similarity: float, counts: np.ndarray)
                     sizes.append(len(h))
                     parities.append(parity_sketch(h, len(PARITY)))
                     sketches.append(parity_sketch(h, parity_words(len(h))))
+                    fps.append(set_fingerprint(h))
                     firsts.append(h[: len(h) - int(np.ceil((similarity - SLACK) * len(h))) + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), listed(firsts), *map(pa.array, np.array(parities).T), listed(sketches)],
-                    names=["doc_id", "th", "sig", "n", "prefix", *PARITY, "sketch"],
+                    [part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), listed(firsts), *map(pa.array, np.array(parities).T), listed(sketches), pa.array(fps, pa.int64())],
+                    names=["doc_id", "th", "sig", "n", "prefix", *PARITY, "sketch", "fp"],
                 )
 
-    schema = "doc_id long, th long, sig binary, n int, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITY) + ", sketch array<long>"
+    schema = "doc_id long, th long, sig binary, n int, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITY) + ", sketch array<long>, fp long"
     return base.select("doc_id", "th", "text").mapInArrow(run, schema)
 
 
@@ -278,29 +287,40 @@ def _meeting(left: DataFrame, right: DataFrame, similarity: float, more) -> Data
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
+def covered_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that the covering tables propose, as stars: every node with the first of its own fingerprint, and
+    the first ones of linked fingerprints with each other."""
+    leads = written(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("m")), "leads")
+    own = with_group(nodes.select("node", "fp"), leads.filter("m > 1"), "fp", "m", F.xxhash64("node")).filter("node <> lead")
+    lead = lambda side: leads.select(F.col("fp").alias(f"fp_{side}"), F.col("lead").alias(side))
+    between = fingerprint_links(leads.select("fp"), radius).toDF("fp_a", "fp_b").join(lead("a"), "fp_a").join(lead("b"), "fp_b")
+    out = written(own.select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(between.select("a", "b")), "covered")
+    discard(leads)
+    return out
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` whose a and b are in different components."""
+    named = lambda side: roots.toDF(side, f"root_{side}")
+    both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    return both.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select(*pairs.columns)
+
+
 def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) -> DataFrame | None:
     """Links (a, b) of ``nodes`` whose components are those of all pairs that are ``similarity`` alike; every link is such a pair.
 
-    Every similar pair meets in the bucket of a prefix shingle. Small buckets list all their pairs; in larger ones each
-    member first meets two pivots, and once components of the links so far are known, every member of another component.
-    A large group of copies is one component by then, so its pairs are never listed. Pairs that meet are ruled out by size, place of
+    The covering tables of the fingerprints come first: what they propose is verified on the texts and linked. Similar sets may be too many bits
+    apart for any table, so an exact search adds what is left between components. There, every similar pair meets in the bucket of a prefix shingle. Small buckets list
+    all their pairs; in larger ones each member first meets two pivots, and once components of the links so far are known, every member of
+    another component. A large group of copies is one component by then, so its pairs are never listed. Pairs that meet are ruled out by size, place of
     the shingle and parity bitmap, then once a pair by parity sketch, and only the rest by their texts. None if no two nodes meet.
     """
-    crowded = written(nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
-    tokens = nodes.select("node", "n", *PARITY, F.posexplode("prefix").alias("pos", "h"))
-    shared = flagged_by(tokens, key_filter(crowded.select("h"), "h"), "h", "again").filter("again").drop("again")
-    shared = written(shared.join(crowded, "h"), "shared")
-    discard(crowded)
-    small, large = shared.filter(F.col("m") <= SMALL_BUCKET), shared.filter(F.col("m") > SMALL_BUCKET)
-    near = _meeting(small, small, similarity, F.col("x.node") < F.col("y.node")).withColumn("of", F.col("b"))
-    whole, mixed = F.struct("node", "n", *PARITY), F.xxhash64("node", "h")
-    pivots = written(large.groupBy("h").agg(F.min_by(whole, mixed).alias("p"), F.max_by(whole, mixed).alias("q")), "pivots")
-    stars = large.alias("y").join(pivots, "h").select("y.*", F.explode(F.array("p", "q")).alias("x")).select("x", F.struct("node", "n", *PARITY).alias("y"))
-    stars = stars.filter((F.col("x.node") != F.col("y.node")) & _could_match("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("y.node").alias("of"))
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """(a, b, of, count) of pairs a < b whose sketches leave room; every pair once. ``of`` is the one of the two that asks."""
+    def plausible(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """(a, b, of, count) of pairs a < b whose sketches leave room; every pair once, without those that are ``known`` or of one component. ``of`` is the one of the two that asks."""
         met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "of").groupBy("a", "b").agg(F.min("of").alias("of"), F.count("*").alias("count"))
+        if known is not None:
+            met = apart(met.join(known, ["a", "b"], "left_anti"), roots)
         met = written(met, "met")
         named = key_filter(met.select(F.explode(F.array("a", "b")).alias("node")), "node")
         sketches = flagged_by(nodes.select("node", "n", "sketch"), named, "node", "met").filter("met").drop("met")
@@ -309,12 +329,6 @@ def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) ->
         discard(met)
         return out
 
-    candidates = plausible(near.unionByName(stars))
-    if candidates.isEmpty():
-        return None
-    order = Window.partitionBy("of").orderBy(F.desc("count"), "a", "b")
-    asked = written(candidates.withColumn("turn", F.row_number().over(order)), "asked")
-
     def verify(batches):
         for b in batches:
             for k in range(0, b.num_rows, 64):
@@ -331,22 +345,45 @@ def similar_links(nodes: DataFrame, texts_of, words: int, similarity: float) ->
         discard(pairs, texts)
         return out
 
-    links = verified(asked.filter(F.col("turn") <= VERIFIED_FIRST).select("a", "b"))
-    roots = written(components(links), "roots")
-    named = lambda side: roots.toDF(side, f"root_{side}")
-    rest = asked.filter(F.col("turn") > VERIFIED_FIRST).select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    rest = rest.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    proposed = covered_pairs(nodes.select("node", "fp"))
+    tried = plausible(proposed.withColumn("of", F.col("b")))
+    covered = verified(tried.select("a", "b"))
+    roots = written(components(covered), "roots")
+    discard(proposed)
+    crowded = written(nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    tokens = nodes.select("node", "n", *PARITY, F.posexplode("prefix").alias("pos", "h"))
+    shared = flagged_by(tokens, key_filter(crowded.select("h"), "h"), "h", "again").filter("again").drop("again")
+    shared = written(shared.join(crowded, "h"), "shared")
+    discard(crowded)
+    small, large = shared.filter(F.col("m") <= SMALL_BUCKET), shared.filter(F.col("m") > SMALL_BUCKET)
+    near = _meeting(small, small, similarity, F.col("x.node") < F.col("y.node")).withColumn("of", F.col("b"))
+    whole, mixed = F.struct("node", "n", *PARITY), F.xxhash64("node", "h")
+    pivots = written(large.groupBy("h").agg(F.min_by(whole, mixed).alias("p"), F.max_by(whole, mixed).alias("q")), "pivots")
+    stars = large.alias("y").join(pivots, "h").select("y.*", F.explode(F.array("p", "q")).alias("x")).select("x", F.struct("node", "n", *PARITY).alias("y"))
+    stars = stars.filter((F.col("x.node") != F.col("y.node")) & _could_match("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("y.node").alias("of"))
+
+    candidates = plausible(near.unionByName(stars), tried.select("a", "b"))
+    if candidates.isEmpty() and covered.isEmpty():
+        return None
+    order = Window.partitionBy("of").orderBy(F.desc("count"), "a", "b")
+    asked = written(candidates.withColumn("turn", F.row_number().over(order)), "asked")
+
+    now = asked.filter(F.col("turn") <= VERIFIED_FIRST).select("a", "b")
+    links = covered.unionByName(verified(now))
+    before, roots = roots, written(components(links), "roots")
+    discard(before)
+    known = tried.select("a", "b").unionByName(now)
+    rest = apart(asked.filter(F.col("turn") > VERIFIED_FIRST).select("a", "b"), roots)
     placed = large.select("node", "n", *PARITY, "pos", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h"), "mixed")
     discard(shared, pivots)
     placed_mixed = placed.join(mixed, "h", "left_semi")
     other = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    apart = plausible(_meeting(placed_mixed, placed_mixed, similarity, other).withColumn("of", F.col("b")))
-    tried = asked.filter(F.col("turn") <= VERIFIED_FIRST).select("a", "b")
-    more = verified(rest.unionByName(apart.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    others = plausible(_meeting(placed_mixed, placed_mixed, similarity, other).withColumn("of", F.col("b")), known)
+    more = verified(rest.unionByName(others.select("a", "b")).distinct())
     out = written(links.unionByName(more), "similar")
-    discard(candidates, asked, roots, placed, mixed, apart, links, more)
+    discard(tried, candidates, asked, roots, placed, mixed, others, links, more)
     return out
 
 
@@ -373,7 +410,7 @@ def redundant(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
         some = some.join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
         return some.select("node", "text").dropDuplicates(["node"])
 
-    links = similar_links(nodes.select("node", "n", "prefix", *PARITY, "sketch"), texts_of, words, similarity)
+    links = similar_links(nodes.select("node", "n", "prefix", *PARITY, "sketch", "fp"), texts_of, words, similarity)
     rooted = classes.select("sig", "node")
     if links is not None:
         rooted = rooted.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))

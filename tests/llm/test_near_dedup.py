@@ -80,6 +80,19 @@ def test_pairs_in_crowded_buckets_are_found(make, prose, monkeypatch):
     assert kept(make(rows)) == kept_by_brute_force(rows)
 
 
+def test_covering_tables_propose_close_copies(spark, prose):
+    texts = [prose(1500, 40 + k) for k in range(30)]
+    texts += [edited(t, [1499]) for t in texts]
+    nodes = [(k, simhash.set_fingerprint(simhash._hashes(sorted(simhash.shingles(t.encode(), 5))))) for k, t in enumerate(texts)]
+    nodes += [(100 + k, nodes[0][1]) for k in range(3)]
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.covered_pairs(spark.createDataFrame(nodes, "node long, fp long")).collect()}
+    close = {(k, 30 + k) for k in range(30) if ((nodes[k][1] ^ nodes[30 + k][1]) & (2**64 - 1)).bit_count() <= 2}
+    assert got >= close | {(0, 100 + k) for k in range(3)} and len(close) >= 20
+    fp = dict(nodes)
+    assert all(((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() <= 2 for a, b in got)
+    assert simhash.set_fingerprint(simhash._hashes([])) == 0
+
+
 def test_similar_texts_with_distant_fingerprints_are_found(make, prose):
     rows = []
     for k in range(60):
