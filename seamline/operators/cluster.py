@@ -41,7 +41,7 @@ def hierarchy(groups: DataFrame, metric: str = "overlap", linkage: str = "averag
     """
     data, keys = per_dataset(groups.select(*(by or []), "group_index", "columns", "member_count"), by or [])
     if largest(data, keys) > dense:
-        out = at_scale.hierarchy(data, metric, linkage, keys)
+        out = at_scale.hierarchy(data, metric, linkage, keys, at_scale.LEAVES)
         return out if by else out.drop("dataset")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,4 +1,7 @@
-"""Hierarchies of datasets of any size (C1-C3, A38, K10): no task has a whole dataset, and no dense matrix exists.
+"""Hierarchies of datasets of any size (C1-C3, A38, K10): no task has more than a block of a dataset.
+
+A dataset of at most ``LEAVES`` groups is one block: a task merges it in a matrix of 128 MB at most, and many small datasets are as many tasks without
+a round of jobs. Larger ones have no dense matrix anywhere:
 
 * Single linkage is the minimum spanning tree. Boruvka's rounds find it over the tiles of all distances: every component takes the nearest pair that
   leaves it, so at least half of the components go in each round. Pairs without a common column are 1 apart like any other pair.
@@ -19,11 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import discard, numbered, written
-from . import tiles
+from . import kernels, tiles
 
 #: Edges of a spanning tree that one task joins.
 BLOCK = 1 << 12
 
+#: Groups of a dataset that one task merges.
+LEAVES = 1 << 12
+
+#: Rows of a block's matrix that are rounded or masked at once.
+STRIP = 256
+
 MERGES = ("merge_index", "left", "right", "distance", "count")
 
 
@@ -234,13 +243,142 @@ def _merged_pairs(pairs: DataFrame, state: DataFrame, into: DataFrame, made: Dat
     return written(pairs.groupBy(*by, "i", "j").agg((PARTS[method]("d") if PARTS[method] else whole).alias("d")), "pairs")
 
 
+# ---- one block
+
+def block_distances(sets: list, metric: str) -> np.ndarray:
+    """All distances of a block's sets; a set's distance to itself is infinite."""
+    d = np.empty((len(sets), len(sets)))
+    for a in range(0, len(sets), STRIP):
+        d[a : a + STRIP] = kernels.cross_distances(sets[a : a + STRIP], sets, metric)
+    np.fill_diagonal(d, np.inf)
+    return d
+
+
+def block_tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning tree's i and j, in order of distance, i and j: the rounds of ``spanning_tree`` on a matrix."""
+    n, comp, edges = len(d), np.arange(len(d)), set()
+    while (comp != comp[0]).any():
+        y, near = np.empty(n, np.int64), np.empty(n)
+        for a in range(0, n, STRIP):
+            part = np.where(comp[a : a + STRIP, None] == comp[None, :], np.inf, d[a : a + STRIP])
+            y[a : a + STRIP] = part.argmin(axis=1)
+            near[a : a + STRIP] = part.min(axis=1)
+        i, j = np.minimum(np.arange(n), y), np.maximum(np.arange(n), y)
+        order = np.lexsort((j, i, near, comp))
+        first = order[np.r_[True, np.diff(comp[order]) != 0]]
+        edges.update(zip(i[first].tolist(), j[first].tolist()))
+        # Every component points at the other end's; pointers are doubled, and of two that point at each other the smaller leads.
+        root = np.arange(n)
+        root[comp[first]] = comp[y[first]]
+        back = root[root] == np.arange(n)
+        root = np.where(back & (np.arange(n) < root), np.arange(n), root)
+        while (root[root] != root).any():
+            root = root[root]
+        comp = root[comp]
+    i, j = np.array(sorted(edges), np.int64).reshape(-1, 2).T
+    order = np.lexsort((j, i, d[i, j]))
+    return i[order], j[order]
+
+
+def block_merges(d: np.ndarray, members: np.ndarray, method: str) -> pd.DataFrame:
+    """Merges of a block by the rounds of ``reciprocal``. ``d`` is used up.
+
+    A cluster keeps its nearest one. After a round only those look again whose nearest one was merged and is now farther away, so that many
+    equal distances cost a row a merge and not a matrix.
+    """
+    n, every = len(d), np.arange(len(d))
+    w = members.astype(float) if method == "average" else np.ones(n)
+    size, node, height, level, alive = members.astype(np.int64), every.copy(), np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool)
+    near, apart = np.zeros(n, np.int64), np.zeros(n)
+
+    def look(rows: np.ndarray) -> None:
+        for a in range(0, len(rows), STRIP):
+            at = rows[a : a + STRIP]
+            r = np.round(d[at], DIGITS)
+            near[at] = r.argmin(axis=1)
+            apart[at] = r[np.arange(len(at)), near[at]]
+
+    def joined(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> np.ndarray:
+        if method == "complete":
+            return np.maximum(x, y)
+        return (x + y) / 2 if method == "weighted" else (wx * x + wy * y) / (wx + wy)
+
+    look(every)
+    made = []
+    while n - sum(map(len, (m[0] for m in made))) > 1:
+        live = np.flatnonzero(alive)
+        stay = live[(near[near[live]] == live) & (live < near[live])]
+        gone = near[stay]
+        r = apart[stay]
+        above = lambda x: np.where(height[x] >= r, level[x] + 1, 0)  # noqa: B023, E731
+        level[stay], height[stay] = np.maximum(above(stay), above(gone)), np.maximum(r, np.maximum(height[stay], height[gone]))
+        size[stay] += size[gone]
+        made.append((stay, gone, node[stay], node[gone], height[stay], level[stay], size[stay]))
+        node[stay] = n * len(made) + stay
+        new = joined(d[stay], d[gone], w[stay, None], w[gone, None])
+        new[:, stay] = joined(new[:, stay], new[:, gone], w[stay], w[gone])
+        new[:, gone] = np.inf
+        new[np.arange(len(stay)), stay] = np.inf
+        d[stay], d[:, stay] = new, new.T
+        d[gone], d[:, gone] = np.inf, np.inf
+        w[stay] += w[gone]
+        alive[gone] = False
+        touched = np.zeros(n, bool)
+        touched[stay] = touched[gone] = True
+        new = np.round(new, DIGITS)
+        best = new.argmin(axis=0)
+        at, to = new[best, every], stay[best]
+        closer = alive & ~touched & ((at < apart) | ((at == apart) & (to <= near)))
+        again = alive & (touched | touched[near]) & ~closer
+        near[closer], apart[closer] = to[closer], at[closer]
+        look(np.flatnonzero(again))
+    stay, gone, x, y, h, rank, size = map(np.concatenate, zip(*made))
+    order = np.lexsort((gone, stay, rank, h))
+    round_ = np.repeat(np.arange(1, len(made) + 1), [len(m[0]) for m in made])
+    names = dict(zip((n * round_ + stay)[order].tolist(), range(n, 2 * n)))
+    a, b = (np.array([names.get(v, v) for v in side[order].tolist()]) for side in (x, y))
+    return pd.DataFrame({"merge_index": np.arange(len(order)), "left": np.minimum(a, b), "right": np.maximum(a, b), "distance": h[order], "count": size[order]})
+
+
+def blocks(leaves: DataFrame, by: list[str], metric: str, linkage: str) -> DataFrame:
+    """Merges of datasets that are a block each."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("g")
+        n, members = len(pdf), pdf["member_count"].to_numpy()
+        if n < 2:
+            return pd.DataFrame(columns=[*by, *MERGES])
+        d = block_distances([list(c) for c in pdf["columns"]], metric)
+        if linkage == "single":
+            i, j = block_tree(d)
+            made = joined_block(pd.DataFrame({"rank": np.arange(n - 1), "distance": d[i, j], "n": n, "u": i, "v": j, "wu": members[i], "wv": members[j]}))
+        else:
+            made = block_merges(d, members, linkage)
+        return tiles.keyed(made, by, key)
+
+    rest = "merge_index long, left long, right long, distance double, count long"
+    return typed(leaves.groupBy(*by).applyInPandas(run, tiles.schema_of(leaves, by, rest)), by)
+
+
 # ---- any linkage
 
-def hierarchy(groups: DataFrame, metric: str, linkage: str, by: list[str]) -> DataFrame:
-    """By, merge_index, left, right, distance and count of every dataset. Leaves are its groups in order of group_index, from 0."""
+def hierarchy(groups: DataFrame, metric: str, linkage: str, by: list[str], block: int = 0) -> DataFrame:
+    """By, merge_index, left, right, distance and count of every dataset. Leaves are its groups in order of group_index, from 0. Datasets of
+    at most ``block`` leaves are merged in one task each, with the same result."""
     leaves = leaves_of(groups, by)
     if leaves.filter("member_count <= 0").limit(1).count():
         raise ValueError("member counts must be positive")
+    if block:
+        size = leaves.groupBy(*by).agg(F.count("*").alias("__n"))
+        small = size.filter(F.col("__n") <= block).drop("__n")
+        made = blocks(leaves.join(small, by, "left_semi"), by, metric, linkage)
+        if size.filter(F.col("__n") > block).isEmpty():
+            return made
+        return made.unionByName(_rounds(leaves.join(small, by, "left_anti"), metric, linkage, by))
+    return _rounds(leaves, metric, linkage, by)
+
+
+def _rounds(leaves: DataFrame, metric: str, linkage: str, by: list[str]) -> DataFrame:
     if linkage == "single":
         return merges_of_tree(spanning_tree(leaves.select(*by, "g", "columns"), by, metric), leaves, by)
     return reciprocal(leaves.select(*by, "g", "columns", "member_count"), by, metric, linkage)

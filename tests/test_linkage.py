@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline.functions import tables
-from seamline.operators import kernels, linkage, tiles, trees
+from seamline.operators import cluster, kernels, linkage, tiles, trees
 
 
 def random_sets(n, width, seed, most=None):
@@ -84,6 +84,32 @@ def test_mutual_neighbours_give_the_merges_of_one_pair_at_a_time(spark, monkeypa
         assert got(made, name) == greedy(sets, "jaccard", method)
 
 
+@pytest.mark.parametrize("method", ["single", "average", "complete", "weighted"])
+def test_blocks_give_the_merges_of_the_rounds(spark, monkeypatch, method):
+    monkeypatch.setattr(linkage, "STRIP", 16)
+    data = {"a": random_sets(70, 7, 3), "b": random_sets(45, 60, 4), "apart": [[k] for k in range(25)], "one": [[1]], "two": [[1], [2]]}
+    made = tables.written(linkage.hierarchy(groups(spark, data), "jaccard", method, ["family"], 80), "m")
+    for name, sets in data.items():
+        assert got(made, name) == (kruskal(sets, "jaccard") if method == "single" else greedy(sets, "jaccard", method))
+
+
+def test_datasets_beyond_a_block_go_through_the_rounds(spark):
+    data = {"small": random_sets(12, 9, 5), "large": random_sets(21, 9, 6)}
+    made = tables.written(linkage.hierarchy(groups(spark, data), "jaccard", "complete", ["family"], 20), "m")
+    for name, sets in data.items():
+        assert got(made, name) == greedy(sets, "jaccard", "complete")
+
+
+def test_equal_distances_take_no_job_each(spark):
+    """A pair a round would be 39 rounds of jobs."""
+    g = groups(spark, {"a": [[k] for k in range(40)]})
+    spark.sparkContext.setJobGroup("equal-distances", "")
+    assert len(cluster.hierarchy(g, "jaccard", "complete", ["family"], dense=0).collect()) == 39
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("equal-distances")
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < len(jobs) < 30
+
+
 def test_without_ties_they_are_the_merges_of_the_chain(spark):
     for seed in range(99):
         r = random.Random(seed)
