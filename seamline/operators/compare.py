@@ -137,7 +137,7 @@ def diverse_picks(items: DataFrame, metric: str, limit: int = 9, key: str = "clu
     start = items.select(key, *item, weight.cast("long").alias("weight"), F.lit(None).cast("double").alias("near"), F.lit(0.0).alias("total"), F.lit(None).cast("int").alias("nearest"), F.lit(None).cast("int").alias("rank"))
     state, picks = written(start, "picking"), []
     for k in range(limit):
-        spread = [(-F.col("near")).alias("near"), (-F.col("total")).alias("total")] if k else []
+        spread = [(-F.col("near")).alias("near"), (-F.col("total") / k).alias("mean")] if k else []
         best = state.filter("rank IS NULL").groupBy(key).agg(F.min(F.struct(*spread, *item)).alias("p"))
         made = written(best.select(key, *[F.col(f"p.{c}").alias(c) for c in item]), "picks")
         if made.isEmpty():

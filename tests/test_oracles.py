@@ -1,5 +1,7 @@
 """Every query against DuckDB."""
 
+import os
+
 import pytest
 from oracle import connect, same
 
@@ -34,6 +36,23 @@ def test_spread_density_equals_the_kernel(spark, sf):
     assert all((a == -1) == (b == -1) for a, b in pairs)
 
 
+def with_table(sf, folder, name, sql):
+    """The tables of ``sf`` with ``name`` made by SQL, in ``folder``."""
+    for t in os.listdir(sf):
+        if t != f"{name}.parquet":
+            os.symlink(f"{sf}/{t}", folder / t)
+    connect(sf).execute(f"COPY ({sql}) TO '{folder}/{name}.parquet'")
+    return str(folder)
+
+
+def test_picks_of_clusters_that_are_picked_whole_equal_the_sql(spark, sf, tmp_path):
+    """All brands of a type have the same sizes but those of one type: 16 groups, of which one cluster has six."""
+    size = "CASE WHEN i // 25 % 6 = 0 AND i // 150 > least(i % 25, 10) THEN 0 ELSE i // 150 END"
+    at = with_table(sf, tmp_path, "part", f"SELECT i AS p_partkey, 'B' || i % 25 AS p_brand, 'T' || i // 25 % 6 AS p_type, CAST({size} AS INTEGER) AS p_size FROM range(4650) AS r(i)")
+    made = QUERIES["c14_diverse_picks"](spark, at)
+    same(made, connect(at), ORACLE_SQL["c14_diverse_picks"])
+
+
 def test_entry_point(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
