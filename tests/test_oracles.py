@@ -53,6 +53,12 @@ def test_picks_of_clusters_that_are_picked_whole_equal_the_sql(spark, sf, tmp_pa
     same(made, connect(at), ORACLE_SQL["c14_diverse_picks"])
 
 
+def test_structures_of_more_vectors_than_residue_numbers_equal_the_sql(spark, sf, tmp_path):
+    at = with_table(sf, tmp_path, "embeddings", "SELECT vec_id + r * 9999 AS vec_id, * EXCLUDE (vec_id) FROM embeddings, range(3) AS t(r)")
+    for name in ("s19_ca_coordinates", "s20_usable_models"):
+        same(QUERIES[name](spark, at), connect(at), ORACLE_SQL[name])
+
+
 def test_entry_point(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
