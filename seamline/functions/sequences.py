@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +24,15 @@ def _code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(list(map(len, texts)), dtype=np.int64)]).astype(np.int64)
 
 
-@F.arrow_udf(T.StructType([T.StructField("aligned_sequence", T.StringType()), T.StructField("residue_ids", T.ArrayType(T.IntegerType()))]))
-def masked(sequences: pa.Array, fragments: pa.Array) -> pa.Array:
-    """M2: ASCII letters count residues up from the fragment's start, and those outside its ranges become
-    gaps without an id. Other characters stay, without an id.
+#: Characters that are counted or masked at once.
+COUNTED = 1 << 20
+
+
+def _masked(sequences: pa.Array, fragments: pa.Array) -> pa.Array:
+    """``masked`` of some rows.
 
     A running count along a string has no built-in that is linear in the string's length (a fold that
-    appends to an array copies it at every step). Here a whole Arrow batch is one vector: letters are counted through it, and
+    appends to an array copies it at every step). Here all rows are one vector: letters are counted through it, and
     each range of a fragment is one run of the letters of its row.
     """
     chars, offsets = _code_points(sequences.to_pylist())
@@ -60,6 +63,19 @@ def masked(sequences: pa.Array, fragments: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([text[x:y] for x, y in zip(cuts, cuts[1:])], pa.string()), ids], names=["aligned_sequence", "residue_ids"])
 
 
+@F.arrow_udf(T.StructType([T.StructField("aligned_sequence", T.StringType()), T.StructField("residue_ids", T.ArrayType(T.IntegerType()))]))
+def masked(sequences: pa.Array, fragments: pa.Array) -> pa.Array:
+    """M2: ASCII letters count residues up from the fragment's start, and those outside its ranges become
+    gaps without an id. Other characters stay, without an id. A batch is masked in pieces, so that only its result grows with its texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(sequences), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    parts, a = [], 0
+    while a < len(sequences):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + COUNTED, side="right")))
+        parts.append(_masked(sequences.slice(a, z - a), fragments.slice(a, z - a)))
+        a = z
+    return pa.concat_arrays(parts) if parts else _masked(sequences, fragments)
+
+
 def alignment_rows(rows: DataFrame, alignment_length: int) -> DataFrame:
     """The eleven fields of an alignment row, padded with gaps and null ids to ``alignment_length``. A row has an
     alignment if it has a sequence, unless its own ``has_alignment`` says that it has none."""
@@ -90,10 +106,6 @@ def cells(rows: DataFrame, keys: list[str], sequence: str = "aligned_seq") -> Da
     return out.withColumn("is_letter", F.col("ch").rlike("^[A-Za-z]$"))
 
 
-#: Characters that are counted at once.
-COUNTED = 1 << 20
-
-
 def letter_counts(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """``keys``, col (from 0), letter (in upper case) and n of the ASCII letters of all sequences, counted in batches and then added up: a batch passes on a
     row for each column and letter, not for each character."""

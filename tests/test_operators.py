@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from seamline.functions import colour, keys, tables, text
+from seamline.functions import colour, keys, sequences, tables, text
 from seamline.operators import cluster, compare, compress, dendrogram, distance, embed, overlay, represent, rows, stats, structure
 from seamline.settings import ClusteringSettings, PageSettings
 from seamline.sources import structures
@@ -256,3 +256,37 @@ def test_structures(spark):
     wanted = spark.createDataFrame([("u", 5, 9), ("u", 90, 95)], "k string, s int, e int")
     predictions = spark.createDataFrame([("u", 0, 50, 60), ("u", 1, 1, 20)], "k string, ordinal int, start int, stop int")
     assert sorted(values(structures.choose_predictions(wanted, predictions, ["k"]), "s", "ordinal")) == [(5, 1), (90, 0)]
+
+@pytest.mark.parametrize("lens", ["interface", "partners", "cluster"])
+def test_styles_do_not_shuffle_residues(spark, monkeypatch, lens):
+    """Values have a row a column: sent to the residues, whatever their estimated size is."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    look = spark.range(50).selectExpr("concat('r', id) AS row_key", "cast(id AS int) AS residue_id", "cast(id % 5 AS int) AS col")
+    values = spark.range(3).selectExpr("cast(id AS int) AS col", "1L AS rank", "'p' AS partner_domain", "0.5 AS fraction", "1L AS count", "2L AS denominator", "0.25 AS support", "7 AS cluster_label")
+    made = overlay.residue_styles(look, lens, values)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert made.count() == (30 if lens == "cluster" else 50)
+
+
+def test_marks_shuffle_a_key_once(spark):
+    rows = spark.createDataFrame([("r", "p", [1, 2, 2], [5]), ("r", "p", [2, 3], None), ("r", "q", [], [5]), ("s", "p", None, [])], "interface_row_key string, partner_domain string, interface_msa_columns_a array<int>, surface_msa_columns_a array<int>")
+    made = overlay.marks(rows)
+    assert sorted(map(tuple, made.collect())) == [("r", "p", 1, "interface"), ("r", "p", 2, "interface"), ("r", "p", 3, "interface"), ("r", "p", 5, "surface"), ("r", "q", 5, "surface")]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and not any("col#" in d for d in dealt)
+
+
+def test_masking_takes_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts, fragments = ["AC-D" * k for k in range(40)] + [None, "", "A" * 999], [f"3-{5 + k},{9 + k}-90" for k in range(43)]
+    whole = sequences.masked.func(pa.array(texts, pa.string()), pa.array(fragments, pa.string()))
+    most, points = [], sequences._code_points
+    monkeypatch.setattr(sequences, "COUNTED", 100, raising=False)
+    monkeypatch.setattr(sequences, "_code_points", lambda t: most.append(sum(len(x or "") for x in t) if len(t) > 1 else 0) or points(t))
+    assert sequences.masked.func(pa.array(texts, pa.string()), pa.array(fragments, pa.string())).equals(whole)
+    assert len(most) > 10 and max(most) <= 100
