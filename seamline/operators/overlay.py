@@ -11,10 +11,12 @@ from ..functions.tables import js_round, percent
 
 
 def marks(rows: DataFrame) -> DataFrame:
-    """Long form of overlays: row_key, partner_domain, col and kind (interface or surface), each once."""
-    base = rows.select(F.col("interface_row_key").alias("row_key"), "partner_domain", "interface_msa_columns_a", "surface_msa_columns_a")
-    kinds = [base.select("row_key", "partner_domain", F.explode(f"{k}_msa_columns_a").alias("col"), F.lit(k).alias("kind")) for k in ("interface", "surface")]
-    return kinds[0].unionByName(kinds[1]).distinct()
+    """Long form of overlays: row_key, partner_domain, col and kind (interface or surface), each once. Rows of one key are united before they
+    are taken apart, so that a key is shuffled once and not with each column."""
+    key = [F.col("interface_row_key").alias("row_key"), "partner_domain"]
+    each = lambda k: F.array_distinct(F.flatten(F.collect_list(f"{k}_msa_columns_a")))
+    kinds = [rows.groupBy(*key).agg(each(k).alias("cols")).select("row_key", "partner_domain", F.explode("cols").alias("col"), F.lit(k).alias("kind")) for k in ("interface", "surface")]
+    return kinds[0].unionByName(kinds[1])
 
 
 def column_stats(marks_: DataFrame) -> DataFrame:
@@ -93,10 +95,10 @@ def top_residues(cells_: DataFrame, rows: DataFrame, selected: str | None = None
 
 
 def residue_lookup(row: DataFrame, identity: DataFrame) -> DataFrame:
-    """residue_id, letter, column and conservation of the residues of alignment rows."""
+    """residue_id, letter, column and conservation of the residues of alignment rows. ``identity`` has a row a column, so it is sent to the residues."""
     ids = row.select("row_key", F.posexplode("residue_ids").alias("col", "residue_id"), "aligned_sequence").filter("residue_id IS NOT NULL")
     letter = F.substring("aligned_sequence", F.col("col") + 1, F.lit(1)).alias("letter")
-    return ids.select("row_key", "residue_id", "col", letter).join(identity.select("col", "identity"), "col", "left")
+    return ids.select("row_key", "residue_id", "col", letter).join(F.broadcast(identity.select("col", "identity")), "col", "left")
 
 
 #: Colours of a residue without a signal, with an interface column, and conserved.
@@ -109,6 +111,7 @@ def residue_styles(lookup: DataFrame, lens: str, values: DataFrame | None = None
     ``interface``: the share of rows that use the column, from ``column_stats`` of one partner. ``conservedness``: the column's identity.
     ``partners``: the share of the column's first partner, and its name, from ``partner_distribution``. ``column``: 1 and the column.
     ``cluster``: the support of the column's dominant cluster, and its label; residues without one are left out.
+    All values have a row a column, so they are sent to the residues, which are not shuffled.
     """
     if lens == "conservedness":
         out = lookup.withColumn("intensity", clamp(F.coalesce(F.col("identity"), F.lit(0)) / 100))
@@ -117,11 +120,11 @@ def residue_styles(lookup: DataFrame, lens: str, values: DataFrame | None = None
         return lookup.withColumn("intensity", F.lit(1.0)).withColumn("label", F.col("col").cast("string"))
     if lens == "interface":
         share = values.select("col", F.when(F.col("denominator") > 0, F.col("count") / F.col("denominator")).alias("share"))
-        out = lookup.join(share, "col", "left").withColumn("intensity", F.coalesce("share", F.lit(0.0))).drop("share")
+        out = lookup.join(F.broadcast(share), "col", "left").withColumn("intensity", F.coalesce("share", F.lit(0.0))).drop("share")
         return out.withColumn("colour", mix(PLAIN, INTERFACE, F.col("intensity")))
     if lens == "partners":
         first = values.filter("rank = 1").select("col", F.col("partner_domain").alias("label"), F.col("fraction").alias("share"))
-        return lookup.join(first, "col", "left").withColumn("intensity", F.coalesce("share", F.lit(0.0))).drop("share")
+        return lookup.join(F.broadcast(first), "col", "left").withColumn("intensity", F.coalesce("share", F.lit(0.0))).drop("share")
     if lens == "cluster":
-        return lookup.join(values.select("col", F.col("support").alias("intensity"), F.col("cluster_label").cast("string").alias("label")), "col")
+        return lookup.join(F.broadcast(values.select("col", F.col("support").alias("intensity"), F.col("cluster_label").cast("string").alias("label"))), "col")
     raise ValueError(f"unknown lens {lens!r}")
