@@ -16,18 +16,32 @@ MAX_LEAVES = 20_000
 
 def cross_distances(left: list, right: list, metric: str) -> np.ndarray:
     """Set distances of every left to every right set; the same formula and bits as the column expressions."""
-    columns = sorted({c for sets in (left, right) for s in sets for c in s})
-    place = {c: k for k, c in enumerate(columns)}
-
-    def indicator(sets: list) -> np.ndarray:
-        x = np.zeros((len(sets), max(1, len(columns))), np.float32)
-        for i, s in enumerate(sets):
-            x[i, [place[c] for c in s]] = 1
-        return x
+    def long(sets: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(sets)), list(map(len, sets))), np.array([c for s in sets for c in s], np.int64)
+
+    (x, p), (y, q) = long(left), long(right)
+    names, place = np.unique(np.r_[p, q], return_inverse=True)
+    p, q = place[: len(p)], place[len(p) :]
+    # Columns that many sets have are a matrix product; the pairs of the others are few and are counted one by one.
+    hot = np.bincount(q, minlength=len(names)) > max(1, len(right) // 16)
+    at = np.cumsum(hot) - 1
+
+    def indicator(n: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, max(1, int(hot.sum()))), np.float32)
+        held = hot[columns]
+        out[rows[held], at[columns[held]]] = 1
+        return out
 
-    x, y = indicator(left), indicator(right)
-    common = np.rint(x @ y.T).astype(np.float64)
-    a, b = x.sum(axis=1, dtype=np.float64)[:, None], y.sum(axis=1, dtype=np.float64)[None, :]
+    common = np.rint(indicator(len(left), x, p) @ indicator(len(right), y, q).T).astype(np.float64)
+    x_, p_, y_, q_ = x[~hot[p]], p[~hot[p]], y[~hot[q]], q[~hot[q]]
+    order = np.argsort(q_, kind="stable")
+    y_, q_ = y_[order], q_[order]
+    low, high = np.searchsorted(q_, p_), np.searchsorted(q_, p_, side="right")
+    times = high - low
+    partner = y_[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
+    np.add.at(common, (np.repeat(x_, times), partner), 1)
+    a, b = (np.array(list(map(len, sets)), np.float64) for sets in (left, right))
+    a, b = a[:, None], b[None, :]
     if metric == "jaccard":
         top, bottom = common, a + b - common
     elif metric == "overlap":

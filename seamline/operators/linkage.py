@@ -3,8 +3,8 @@
 A dataset of at most ``LEAVES`` groups is one block: a task merges it in a matrix of 128 MB at most, and many small datasets are as many tasks without
 a round of jobs. Larger ones have no dense matrix anywhere:
 
-* Single linkage is the minimum spanning tree. Boruvka's rounds find it over the tiles of all distances: every component takes the nearest pair that
-  leaves it, so at least half of the components go in each round. Pairs without a common column are 1 apart like any other pair.
+* Single linkage is the minimum spanning tree. The tiles of all distances are gone through once: each passes on its own forest of edges below 1, and
+  Boruvka's rounds find the tree's among those. Whatever is then still apart is 1 apart and hangs on the smallest set.
   The tree's edges in order become merges by halving their range of ranks: the lighter half's components are contracted for the
   heavier half, until a range has at most ``BLOCK`` edges and one task joins them one by one.
 * Complete, average and weighted linkage merge all pairs of mutual nearest neighbours at once. That is exact, since a merged cluster is never nearer to
@@ -88,22 +88,28 @@ def forest_components(edges: DataFrame, by: list[str]) -> DataFrame:
 def spanning_tree(sets: DataFrame, by: list[str], metric: str) -> DataFrame:
     """by, i, j and distance of the edges of every dataset's minimum spanning tree. ``sets`` has by, g, columns and perhaps core. Written."""
     comps = written(sets.select(*by, "g", F.col("g").alias("comp")), "components")
-    found = []
+    edges, found = written(tiles.forests(sets, by, metric), "edges"), []
     while True:
-        best = written(tiles.nearest_outside(sets.join(comps, [*by, "g"]), by, metric), "nearest")
+        u, v = (comps.select(*by, F.col("g").alias(x), F.col("comp").alias(f"__{x}")) for x in "ij")
+        met = edges.select(*by, "i", "j", "distance").join(u, [*by, "i"]).join(v, [*by, "j"]).filter("__i <> __j")
+        before, edges = edges, written(met, "edges")
+        discard(before)
+        ends = edges.select(*by, "i", "j", "distance", F.explode(F.array(F.struct(F.col("__i").alias("c"), F.col("__j").alias("p")), F.struct(F.col("__j").alias("c"), F.col("__i").alias("p")))).alias("e"))
+        best = ends.groupBy(*by, F.col("e.c").alias("c")).agg(F.min(F.struct("distance", "i", "j", "e.p")).alias("e"))
+        best = written(best.select(*by, "c", "e.*"), "nearest")
         if best.isEmpty():
             break
         found.append(best)
-        roots = roots_of(best.select(*by, F.col("comp").alias("c"), F.col("other").alias("p")), by)
+        roots = roots_of(best.select(*by, "c", "p"), by)
         before, comps = comps, moved(comps, roots, by)
         discard(before, roots)
-    if not found:
-        return best.select(*by, "i", "j", "distance")
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    tree = written(edges.select(*by, "i", "j", "distance").distinct(), "spanning-tree")
-    discard(*found, comps)
+    # What is still apart is 1 apart, and the first such pairs in order are those of the smallest set.
+    least = comps.groupBy(*by, "comp").agg(F.min("g").alias("j"))
+    rest = least.join(least.groupBy(*by).agg(F.min("j").alias("i")), by).filter("i <> j").select(*by, "i", "j", F.lit(1.0).alias("distance"))
+    for more in found:
+        rest = rest.unionByName(more.select(*by, "i", "j", "distance").distinct())
+    tree = written(rest.distinct(), "spanning-tree")
+    discard(*found, edges, comps)
     return tree
 
 
@@ -255,7 +261,7 @@ def block_distances(sets: list, metric: str) -> np.ndarray:
 
 
 def block_tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The spanning tree's i and j, in order of distance, i and j: the rounds of ``spanning_tree`` on a matrix."""
+    """The spanning tree's i and j, in order of distance, i and j: Boruvka's rounds on a matrix."""
     n, comp, edges = len(d), np.arange(len(d)), set()
     while (comp != comp[0]).any():
         y, near = np.empty(n, np.int64), np.empty(n)
@@ -267,14 +273,7 @@ def block_tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((j, i, near, comp))
         first = order[np.r_[True, np.diff(comp[order]) != 0]]
         edges.update(zip(i[first].tolist(), j[first].tolist()))
-        # Every component points at the other end's; pointers are doubled, and of two that point at each other the smaller leads.
-        root = np.arange(n)
-        root[comp[first]] = comp[y[first]]
-        back = root[root] == np.arange(n)
-        root = np.where(back & (np.arange(n) < root), np.arange(n), root)
-        while (root[root] != root).any():
-            root = root[root]
-        comp = root[comp]
+        comp = tiles.led(comp[first], comp[y[first]], n)[comp]
     i, j = np.array(sorted(edges), np.int64).reshape(-1, 2).T
     order = np.lexsort((j, i, d[i, j]))
     return i[order], j[order]

@@ -81,25 +81,50 @@ def reach(d: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     return np.maximum(d, np.maximum(left["core"].to_numpy()[:, None], right["core"].to_numpy()[None, :]))
 
 
-def nearest_outside(sets: DataFrame, by: list[str], metric: str) -> DataFrame:
-    """Of every component ``comp`` the nearest pair that leaves it: distance, i < j and the ``other`` component. Ties go to the smaller (i, j),
-    so that all components agree on one order of pairs. ``sets`` has by, g, columns, comp and perhaps core."""
+def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Places of the edges of the minimum spanning forest of n nodes; edges are in order."""
+    comp, left, taken = np.arange(n), np.arange(len(u)), []
+    while True:
+        left = left[comp[u[left]] != comp[v[left]]]
+        if not len(left):
+            return np.concatenate([np.empty(0, np.int64), *taken])
+        best = np.full(n, len(u))
+        np.minimum.at(best, comp[u[left]], left)
+        np.minimum.at(best, comp[v[left]], left)
+        (c,) = np.nonzero(best < len(u))
+        e = best[c]
+        taken.append(np.unique(e))
+        comp = led(c, comp[u[e]] + comp[v[e]] - c, n)[comp]
+
+
+def led(c: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """The root of each of n components after those of ``c`` hooked on to ``to``: of two that hook on to each other the smaller leads."""
+    own, root = np.arange(n), np.arange(n)
+    root[c] = to
+    root = np.where((root[root] == own) & (own < root), own, root)
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
+def forests(sets: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """i < j and distance of the edges below 1 of every tile's minimum spanning forest; those of the dataset's are among them. Edges are in order of distance,
+    i and j. ``sets`` has by, g, columns and perhaps core."""
 
     def made(pdf: pd.DataFrame, a: int, b: int) -> pd.DataFrame:
         left, right, d = tile(pdf, a, b, metric)
-        u, v = left["comp"].to_numpy(), right["comp"].to_numpy()
-        d = np.where(u[:, None] == v[None, :], np.inf, reach(d, left, right))
-        # Sets are in order, so the first minimum has the smallest partner, which is the smallest pair.
-        x, y = np.r_[np.arange(len(u)), d.argmin(axis=0)], np.r_[d.argmin(axis=1), np.arange(len(v))]
-        i, j = left["g"].to_numpy()[x], right["g"].to_numpy()[y]
-        other = np.r_[v[y[: len(u)]], u[x[len(u) :]]]
-        out = pd.DataFrame({"comp": np.r_[u, v], "distance": d[x, y], "i": np.minimum(i, j), "j": np.maximum(i, j), "other": other})
-        out = out[np.isfinite(out["distance"])].sort_values(["comp", "distance", "i", "j"])
-        return out.drop_duplicates("comp")
+        d = reach(d, left, right)
+        x, y = np.nonzero(d < 1)
+        if a == b:
+            x, y = x[x < y], y[x < y]
+        g, h, far = left["g"].to_numpy()[x], right["g"].to_numpy()[y], d[x, y]
+        i, j = np.minimum(g, h), np.maximum(g, h)
+        order = np.lexsort((j, i, far))
+        shift = 0 if a == b else len(left)
+        kept = order[forest(x[order], y[order] + shift, shift + len(right))]
+        return pd.DataFrame({"i": i[kept], "j": j[kept], "distance": far[kept]})
 
-    made_ = over(sets, by, made, "comp long, distance double, i long, j long, other long")
-    best = made_.groupBy(*by, "comp").agg(F.min(F.struct("distance", "i", "j", "other")).alias("e"))
-    return best.select(*by, "comp", "e.*")
+    return over(sets, by, made, "i long, j long, distance double")
 
 
 def core_distances(sets: DataFrame, by: list[str], metric: str, samples: int) -> DataFrame:
@@ -113,7 +138,8 @@ def core_distances(sets: DataFrame, by: list[str], metric: str, samples: int) ->
             k = min(samples, near.shape[1])
             at = np.argpartition(near, k - 1, axis=1)[:, :k]
             part = pd.DataFrame({"g": np.repeat(sets_["g"].to_numpy(), k), "distance": np.take_along_axis(near, at, 1).ravel(), "n": times[at].ravel()})
-            parts.append(part[np.isfinite(part["distance"])])
+            part = part[np.isfinite(part["distance"])]
+            parts.append(part.groupby(["g", "distance"], as_index=False)["n"].sum())
         return pd.concat(parts)
 
     near = over(sets, by, made, "g long, distance double, n long").groupBy(*by, "g", "distance").agg(F.sum("n").alias("n"))
