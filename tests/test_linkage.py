@@ -110,6 +110,18 @@ def test_equal_distances_take_no_job_each(spark):
     assert 0 < len(jobs) < 30
 
 
+def test_forest_of_a_tile_is_kruskals():
+    r = random.Random(5)
+    edges = sorted((r.randint(0, 3), *sorted(r.sample(range(30), 2))) for _ in range(60))
+    comp, want = list(range(33)), []
+    for k, (_, i, j) in enumerate(edges):
+        if comp[i] != comp[j]:
+            want.append(k)
+            comp = [comp[i] if c == comp[j] else c for c in comp]
+    assert sorted(tiles.forest(np.array([e[1] for e in edges]), np.array([e[2] for e in edges]), 33).tolist()) == want
+    assert len(tiles.forest(np.empty(0, np.int64), np.empty(0, np.int64), 3)) == 0
+
+
 def test_without_ties_they_are_the_merges_of_the_chain(spark):
     for seed in range(99):
         r = random.Random(seed)
