@@ -1,11 +1,12 @@
 """Phrase collocation mining on vertical positional inverted lists.
 
-Texts become shards of at most ``SHARD_WORDS`` words. A shard keeps its words by position and, for every phrase, the sorted list of
-positions at which the phrase starts; a list's length is the phrase's exact frequency there. Round k extends the frequent phrases of
-k words by one: each list, moved on by k, is merge-joined with the postings of the adjacent words, which falls apart into the lists of
-the phrases of k + 1 words. Only lists' lengths leave a shard. They are added up by phrase over all shards, and each shard is told which
-of its phrases are frequent; the others' lists, and words that no frequent phrase covers, go before the next round. That loses nothing:
-both parts of a frequent phrase are at least as frequent.
+Texts become shards of at most ``SHARD_WORDS`` words. A shard keeps its words by position and the frequent phrase of k words that starts
+at each. Round k extends these by one word: positions with frequent phrases at them and right behind them fall apart, by phrase and
+adjacent word, into the lists of the phrases of k + 1 words; a list's length is the phrase's exact frequency there. Lists follow from words
+and phrases and are not stored; only their lengths leave a shard. A shard's phrases are in the order of a hash, and equal ranges of the
+hash are buckets: Spark brings all shards' slices of a bucket together, where phrases are compared by their words and their lengths added up, and takes
+back which of a slice's phrases are frequent, in the slice's order. A slice is packed columns, a few bytes a phrase. The others'
+positions, and words that no frequent phrase covers, go before the next round. That loses nothing: both parts of a frequent phrase are at least as frequent.
 
 A shard ends anywhere, with as many words of the next one behind it as the longest phrase reaches over; they are read but not
 counted. Words are numbered across all shards, a language's apart from any other's, so phrases are known by numbers and never by hashes.
@@ -16,6 +17,7 @@ one without a frequent phrase, gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from ..functions.tables import release
 from .common import discard, flat_bytes, text_blocks, written
 
-#: Words of a shard; bounds a task's memory. Places in a shard's lists take 24 bits at most.
+#: Words of a shard; bounds a task's memory.
 SHARD_WORDS = 3 << 18
+#: Phrases of all shards' slices that meet in a bucket; bounds a task's memory.
+BUCKET = 1 << 20
 
 #: Classes of bytes: 0 of words, 1 of blanks between them, 2 of ends of pieces.
 KIND = np.zeros(256, np.uint8)
@@ -37,7 +41,63 @@ KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SHARD = "shard long, owned int, tokens binary"
+#: A shard before its phrases of k words are counted: words by position, frequent phrases of k - 1 words by position (from k = 3 on), the words'
+#: numbers (from k = 2 on), the phrases with their counts in the order of their hashes (``n`` of them), and for k = 1 the languages' names.
+SHARD = "shard long, owned int, n int, tokens binary, gram binary, numbers binary, entries binary, langs array<string>"
+FOUND = "shard long, bucket long, reply binary, words array<long>, f long, lang string, word string"
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+# ---- packed columns and hashes
+
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers from 0 on, as planes of bytes, compressed."""
+    head, planes = [len(columns)], []
+    for x in columns:
+        width = (int(x.max(initial=0)).bit_length() + 7) // 8
+        head += [len(x), width]
+        planes.append(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    raw = b"".join([np.array(head, "<i8").tobytes(), *planes])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    count = int.from_bytes(raw[:8], "little")
+    sizes = np.frombuffer(raw, "<i8", 2 * count, 8).reshape(-1, 2).tolist()
+    out, at = [], 8 + 16 * count
+    for length, width in sizes:
+        x = np.zeros((length, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length).T
+        out.append(x.view("<i8").reshape(-1))
+        at += length * width
+    return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes; no word is empty."""
+    starts = np.cumsum(lengths) - lengths
+    powers = np.full(int(lengths.max()), _ODD)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    return mixed(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(starts, lengths)], starts))
+
+
+def in_language(hashes: np.ndarray, codes: np.ndarray, langs: list[str]) -> np.ndarray:
+    return mixed(hashes + np.array([zlib.crc32(x.encode()) for x in langs], np.uint64)[codes] * _ODD)
+
+
+def phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = mixed(h * _ODD + w.astype(np.uint64))
+    return h
 
 
 # ---- words by position
@@ -76,7 +136,8 @@ class Reader:
             self.fresh = True
 
     def take(self, most: int, reach: int, last: bool) -> Iterator[tuple]:
-        """Shards of ``most`` words of what is held: (owned positions, tokens, words, languages, counts of the owned ones). ``reach`` words stay for the next one."""
+        """Shards of ``most`` words of what is held: (owned positions, tokens, words' languages, lengths, bytes and owned counts, names of
+        languages), words in the order of their hashes. ``reach`` words stay for the next one."""
         if not self.held:
             return
         lengths, opens, langs = (np.concatenate(x) for x in (self.lengths, self.opens, self.langs))
@@ -88,24 +149,32 @@ class Reader:
             z = min(self.held, b + reach)
             text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(places[a : z + 1] - places[a]), pa.py_buffer(data[places[a] : places[z]])])
             coded = text.dictionary_encode()
-            kinds, ids, times = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + langs[a:z], return_inverse=True, return_counts=True)
-            # The most frequent words come first: small numbers, which pack well.
-            order = np.argsort(-times, kind="stable")
+            kinds, ids = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + langs[a:z], return_inverse=True)
+            listed = coded.dictionary.take(pa.array(kinds // len(names)))
+            word_data, word_lengths = bytes_of(listed)
+            h = in_language(word_hashes(word_data, word_lengths), kinds % len(names), names)
+            order = np.argsort(h, kind="stable")
             kinds, ids = kinds[order], np.argsort(order)[ids]
+            word_data, word_lengths = bytes_of(listed.take(pa.array(order)))
             gaps = opens[a:z].copy()
             gaps[0] = False
             at = np.arange(z - a) + np.cumsum(gaps)
             tokens = np.full(at[-1] + 1, -1, np.int32)
             tokens[at] = ids
             owned = int(at[b - a - 1]) + 1
-            words = coded.dictionary.take(pa.array(kinds // len(names))).cast(pa.binary()).cast(pa.string())
-            yield owned, tokens, words, [names[k] for k in kinds % len(names)], np.bincount(ids[: b - a], minlength=len(kinds))
+            yield owned, tokens, (kinds % len(names), word_lengths, word_data, np.bincount(ids[: b - a], minlength=len(kinds))), names
             a = b
         keep = [x[a:] for x in (lengths, opens, langs)]
         self.bytes, self.lengths, self.opens, self.langs = [data[places[min(a, self.held)] :]], [keep[0]], [keep[1]], [keep[2]]
         self.held -= min(a, self.held)
 
 
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an Arrow column of large binaries, and the length of each."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
 def parts_of(data: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
     """A long text in parts that are cut between words."""
     a = 0
@@ -121,18 +190,22 @@ def parts_of(data: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
         a = z
 
 
+def shard_row(shard: int, owned: int, tokens: np.ndarray, gram: np.ndarray | None, numbers: np.ndarray | None, entries: tuple, langs: list[str] | None) -> pa.RecordBatch:
+    packed = [squeezed(tokens + 1), None if gram is None else squeezed(gram + 1), None if numbers is None else squeezed(numbers), squeezed(*entries)]
+    cells = [pa.array([shard]), pa.array([owned], pa.int32()), pa.array([len(entries[-1])], pa.int32()), *(pa.array([x], pa.binary()) for x in packed), pa.array([langs], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(cells, names=["shard", "owned", "n", "tokens", "gram", "numbers", "entries", "langs"])
+
+
 def shards(docs: DataFrame, lang_col: str, text_col: str, most: int, reach: int) -> DataFrame:
-    """(shard, owned, tokens, words): tokens are places in ``words``, -1 where a piece ends."""
+    """Shards with their words: tokens are places among the words, -1 where a piece ends."""
 
     def run(batches):
         reader, made, task = Reader(), 0, TaskContext.get().partitionId()
 
         def rows(last: bool):
             nonlocal made
-            for owned, tokens, words, langs, counts in reader.take(most, reach, last):
-                listed = pa.StructArray.from_arrays([pa.array(langs), words, pa.array(counts, pa.int64())], names=["lang", "word", "n"])
-                listed = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 20) + made]), pa.array([owned], pa.int32()), pa.array([packed(tokens)], pa.binary()), listed], names=["shard", "owned", "tokens", "words"])
+            for owned, tokens, entries, langs in reader.take(most, reach, last):
+                yield shard_row((task << 20) + made, owned, tokens, None, None, entries, langs)
                 made += 1
 
         for b in batches:
@@ -148,7 +221,7 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, most: int, reach: int)
         yield from rows(True)
 
     narrow = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return narrow.mapInArrow(run, f"{SHARD}, words array<struct<lang string, word string, n long>>")
+    return narrow.mapInArrow(run, SHARD)
 
 
 # ---- lists of a shard
@@ -161,108 +234,189 @@ def narrowed(tokens: np.ndarray, owned: int, keep: np.ndarray) -> tuple[np.ndarr
     return kept[stay], int(np.count_nonzero(stay[:owned])), np.cumsum(stay) - 1
 
 
-def extended(tokens: np.ndarray, gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, lengths) of the lists of all phrases of k + 1 words whose first and last k words are phrases; ``gram`` has the phrase of k words
-    at each position, -1 for none. The lists follow each other."""
-    at = np.flatnonzero((gram[:-1] >= 0) & (gram[1:] >= 0)) if len(gram) > 1 else np.zeros(0, np.int64)
-    adjacent = tokens[at + k].astype(np.int64)
-    key = gram[at].astype(np.int64) * (int(tokens.max(initial=0)) + 1) + adjacent
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(order) else np.zeros(0, np.int64)
-    return at[order].astype(np.int32), np.diff(np.r_[first, len(order)]).astype(np.int32)
-
-
-def grams_row(shard: int, owned: int, tokens: np.ndarray, numbers: np.ndarray, gram: np.ndarray, k: int) -> pa.RecordBatch:
-    """A shard's row after extending phrases of k words: its lists, and the words and owned counts of each."""
-    places, lengths = extended(tokens, gram, k)
-    ends = np.cumsum(lengths)
-    heads = places[ends - lengths]
-    counts = np.add.reduceat((places < owned).astype(np.int64), ends - lengths) if len(ends) else np.zeros(0, np.int64)
-    fields = [pa.array(numbers[tokens[heads + i]], pa.int64()) for i in range(k + 1)] + [pa.array(counts)]
-    listed = pa.StructArray.from_arrays(fields, names=[*word_names(k + 1), "n"])
-    listed = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
-    cells = [pa.array([shard]), pa.array([owned], pa.int32())] + [pa.array([x], pa.binary()) for x in (packed(tokens), numbers.astype(np.int64).tobytes(), places.tobytes(), lengths.tobytes())]
-    return pa.RecordBatch.from_arrays([*cells, listed], names=["shard", "owned", "tokens", "numbers", "places", "lengths", "grams"])
-
-
-def word_names(k: int) -> list[str]:
-    return [f"w{i}" for i in range(k)]
-
-
-def lists_schema(k: int) -> str:
-    fields = ", ".join([*(f"{w} long" for w in word_names(k)), "n long"])
-    return f"{SHARD}, numbers binary, places binary, lengths binary, grams array<struct<{fields}>>"
+def compact(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` with its values renumbered, the most frequent first, and their old values; -1 stays."""
+    times = np.bincount(x + 1)[1:]
+    order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    new = np.full(len(times) + 1, -1, np.int64)  # the last one is of -1
+    new[order] = np.arange(len(order))
+    return new[x], order
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """Tokens in 16 bits where they fit, led by their width."""
-    narrow = tokens.max(initial=0) < 2**15
-    return (b"2" if narrow else b"4") + tokens.astype(np.int16 if narrow else np.int32).tobytes()
+def candidates(tokens: np.ndarray, gram: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(place of the phrase of k + 1 words at each position, -1 for none; its words' numbers, by column) for all phrases whose first and last k
+    words are phrases; ``gram`` has the phrase of k words at each position. Phrases are in the order of their hashes."""
+    at = np.flatnonzero((gram[:-1] >= 0) & (gram[1:] >= 0))
+    key = gram[at] * (int(tokens.max(initial=0)) + 1) + tokens[at + k]
+    _, head, ids = np.unique(key, return_index=True, return_inverse=True)
+    words = [numbers[tokens[at[head] + i]] for i in range(k + 1)]
+    order = np.argsort(phrase_hashes(words), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    out = np.full(len(tokens), -1, np.int64)
+    out[at] = place[ids]
+    return out, [w[order] for w in words]
 
 
-def unpacked(x: pa.Array, k: int) -> np.ndarray:
-    data = x[k].as_py()
-    return np.frombuffer(data, np.int16 if data[:1] == b"2" else np.int32, offset=1).astype(np.int32)
+def listed(shard: int, owned: int, tokens: np.ndarray, gram: np.ndarray | None, numbers: np.ndarray, k: int) -> pa.RecordBatch:
+    """A shard's row with its phrases of k + 1 words; ``gram`` is None for k = 1, where phrases are words."""
+    found, words = candidates(tokens, tokens if gram is None else gram, numbers, k)
+    counts = np.bincount(found[:owned] + 1, minlength=len(words[0]) + 1)[1:]
+    return shard_row(shard, owned, tokens, gram, numbers, (*words, counts), None)
 
 
-def ints(x: pa.Array, k: int, kind=np.int32) -> np.ndarray:
-    return np.frombuffer(x[k].as_buffer(), kind)
+def replies(told: pa.Scalar) -> np.ndarray:
+    """The numbers of a shard's phrases, -1 for those that are not frequent, from its slices' replies."""
+    parts = sorted((x["bucket"], x["reply"]) for x in told.as_py())
+    return np.concatenate([unsqueezed(x)[0] for _, x in parts]) - 1
 
 
 def first_lists(rows: DataFrame) -> DataFrame:
-    """Lists of two words from shards with ``told``: (place among the shard's words, number) of its frequent words."""
+    """Shards with phrases of two words, from those that were told the numbers of their frequent words."""
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                told = b.column(3)[r].values
-                place, number = (told.field(i).to_numpy() for i in (0, 1))
-                order = np.argsort(place)
-                place, number = place[order], number[order]
-                tokens, owned = unpacked(b.column(2), r), b.column(1)[r].as_py()
-                new = np.full(int(max(tokens.max(initial=-1), place.max(initial=-1))) + 2, -1, np.int32)  # the last one is of token -1
-                new[place] = np.arange(len(place))
-                tokens = new[tokens]
-                tokens, owned, _ = narrowed(tokens, owned, tokens >= 0)
-                yield grams_row(b.column(0)[r].as_py(), owned, tokens, number, tokens, 1)
+                number = np.append(replies(b.column(3)[r]), -1)  # the last one is of token -1
+                tokens, owned = unsqueezed(b.column(2)[r].as_py())[0] - 1, b.column(1)[r].as_py()
+                tokens, owned, _ = narrowed(tokens, owned, number[tokens] >= 0)
+                tokens, old = compact(tokens)
+                yield listed(b.column(0)[r].as_py(), owned, tokens, None, number[old], 1)
 
-    return rows.select("shard", "owned", "tokens", "told").mapInArrow(run, lists_schema(2))
+    return rows.select("shard", "owned", "tokens", "told").mapInArrow(run, SHARD)
 
 
 def next_lists(rows: DataFrame, k: int) -> DataFrame:
-    """Lists of k + 1 words from those of k, of which ``told`` has the frequent ones' places."""
+    """Shards with phrases of k + 1 words from those that were told which of their phrases of k words are frequent."""
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                told = np.sort(b.column(6)[r].values.to_numpy())
                 owned = b.column(1)[r].as_py()
-                tokens, places, lengths = unpacked(b.column(2), r), *(ints(b.column(c), r) for c in (4, 5))
-                numbers = ints(b.column(3), r, np.int64)
-                gram = np.full(len(tokens), -1, np.int32)
+                tokens, numbers = unsqueezed(b.column(2)[r].as_py())[0] - 1, unsqueezed(b.column(4)[r].as_py())[0]
+                gram = tokens if k == 2 else unsqueezed(b.column(3)[r].as_py())[0] - 1
+                found, _ = candidates(tokens, gram, numbers, k - 1)
+                mine = np.append(replies(b.column(5)[r]) >= 0, False)  # the last one is of place -1
+                alive = np.flatnonzero(mine[found])
                 covered = np.zeros(len(tokens) + 1, np.int32)
-                mine = np.zeros(len(lengths), bool)
-                mine[told] = True
-                alive = places[np.repeat(mine, lengths)]
-                gram[alive] = np.repeat(np.flatnonzero(mine), lengths[mine])
                 covered[alive] += 1  # a position has one phrase of k words at most
                 covered[alive + k] -= 1
-                short, owned, at = narrowed(tokens, owned, np.cumsum(covered[:-1]) > 0)
-                moved = np.full(len(short), -1, np.int32)
-                moved[at[alive]] = gram[alive]
-                yield grams_row(b.column(0)[r].as_py(), owned, short, numbers, moved, k)
+                tokens, owned, at = narrowed(tokens, owned, np.cumsum(covered[:-1]) > 0)
+                tokens, old = compact(tokens)
+                gram = np.full(len(tokens), -1, np.int64)
+                gram[at[alive]] = found[alive]
+                yield listed(b.column(0)[r].as_py(), owned, tokens, compact(gram)[0], numbers[old], k)
 
-    return rows.select("shard", "owned", "tokens", "numbers", "places", "lengths", "told").mapInArrow(run, lists_schema(k + 1))
+    return rows.select("shard", "owned", "tokens", "gram", "numbers", "told").mapInArrow(run, SHARD)
 
 
 # ---- frequencies over all shards
 
-def frequent(listed: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows (shard, place, keys) of all shards' phrases with ``total``, their frequency, at least ``least``, and ``no``, a number of the phrase: the
-    smallest shard that has it and its place there. A phrase has a row a shard."""
-    own = Window.partitionBy(*keys)
-    number = F.min(F.col("shard") * F.lit(1 << 24) + F.col("place")).over(own)
-    return listed.withColumns({"total": F.sum("n").over(own), "no": number}).filter(F.col("total") >= least).drop("n")
+def slices(state: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, shard, entries, langs): the shards' phrases cut by ranges of their hashes."""
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                langs, columns = b.column(2)[r].as_py(), unsqueezed(b.column(1)[r].as_py())
+                if not len(columns[-1]):
+                    continue
+                h = phrase_hashes(columns[:-1]) if langs is None else in_language(word_hashes(columns[2], columns[1]), columns[0], langs)
+                bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                ends = np.r_[heads[1:], len(h)]
+                places = None if langs is None else np.r_[0, np.cumsum(columns[1])]
+                for i in range(0, len(heads), 256):
+                    out = []
+                    for a, z in zip(heads[i : i + 256].tolist(), ends[i : i + 256].tolist()):
+                        cut = [c[a:z] for c in columns]
+                        if langs is not None:
+                            cut[2] = columns[2][places[a] : places[z]]
+                        out.append(squeezed(*cut))
+                    n = len(out)
+                    cells = [pa.array(bucket[heads[i : i + n]].astype(np.int64)), b.column(0).take(pa.array([r] * n)), pa.array(out, pa.binary()), pa.array([langs] * n, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(cells, names=["bucket", "shard", "entries", "langs"])
+
+    return state.select("shard", "entries", "langs").mapInArrow(run, "bucket long, shard long, entries binary, langs array<string>")
+
+
+def added_words(parts: list[list[np.ndarray]], langs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str], pa.Array]:
+    """(which word each entry is, frequency of each word, its language, its text) of slices of words."""
+    names: dict[str, int] = {}
+    codes = np.concatenate([np.array([names.setdefault(x, len(names)) for x in own])[p[0]] for p, own in zip(parts, langs)])
+    lengths, counts = (np.concatenate([p[c] for p in parts]) for c in (1, 3))
+    data = np.concatenate([p[2].astype(np.uint8) for p in parts])
+    places = np.r_[0, np.cumsum(lengths)]
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+    kinds, ids = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + codes, return_inverse=True)
+    words = coded.dictionary.take(pa.array(kinds // len(names))).cast(pa.large_string()).cast(pa.string())
+    every = list(names)
+    return ids, np.bincount(ids, counts).astype(np.int64), [every[k] for k in (kinds % len(names)).tolist()], words
+
+
+def added_phrases(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which phrase each entry is, frequency of each phrase, its words as a row) of slices of phrases."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    ids = np.zeros(len(columns[0]), np.int64)
+    for c in columns[:-1]:
+        _, head, ids = np.unique(ids * (int(c.max()) + 1) + c, return_index=True, return_inverse=True)
+    return ids, np.bincount(ids, columns[-1]).astype(np.int64), np.stack([c[head] for c in columns[:-1]], axis=1)
+
+
+def frequent(state: DataFrame, least: int, name: str) -> DataFrame:
+    """A written table of two kinds of rows: (shard, bucket, reply), the number of each phrase of a slice and 0 for those below ``least``; and words and f of
+    each frequent phrase. Of single words also lang and word, and a row without ``words`` with a language's number of words in a bucket.
+    A word's number is its place among its bucket's frequent words times the number of buckets, plus the bucket."""
+    entries = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, -(-entries // BUCKET))
+    columns = ["shard", "bucket", "reply", "words", "f", "lang", "word"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.string()]
+
+    def rows(n: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in zip(columns, kinds)], names=columns)
+
+    def settle(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts = [unsqueezed(x) for _, x, _ in held]
+        single = held[0][2] is not None
+        if single:
+            ids, totals, langs, texts = added_words(parts, [x for _, _, x in held])
+        else:
+            ids, totals, phrases = added_phrases(parts)
+        (often,) = np.nonzero(totals >= least)
+        number = np.zeros(len(totals), np.int64)
+        number[often] = np.arange(len(often)) * buckets + bucket + 1
+        if single:
+            phrases = number[:, None] - 1
+        else:
+            number[often] = 1
+        cuts = np.cumsum([len(p[-1]) for p in parts])[:-1]
+        replied = [squeezed(x) for x in np.split(number[ids], cuts)]
+        yield rows(len(held), shard=pa.array([s for s, _, _ in held], pa.int64()), bucket=pa.array([bucket] * len(held), pa.int64()), reply=pa.array(replied, pa.binary()))
+        width = phrases.shape[1]
+        words = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(often) + 1, width), pa.int32()), pa.array(phrases[often].reshape(-1)))
+        if single:
+            yield rows(len(often), words=words, f=pa.array(totals[often]), lang=pa.array([langs[k] for k in often.tolist()], pa.string()), word=texts.take(pa.array(often)))
+            sizes: dict[str, int] = {}
+            for lang, n in zip(langs, totals.tolist()):
+                sizes[lang] = sizes.get(lang, 0) + n
+            yield rows(len(sizes), lang=pa.array(list(sizes), pa.string()), f=pa.array(list(sizes.values()), pa.int64()))
+        else:
+            yield rows(len(often), words=words, f=pa.array(totals[often]))
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if bucket != now and held:
+                    yield from settle(now, held)
+                    held = []
+                now = bucket
+                held.append(tuple(row))
+        if held:
+            yield from settle(now, held)
+
+    met = slices(state, buckets).repartition("bucket").sortWithinPartitions("bucket", "shard")
+    return written(met.mapInArrow(run, FOUND), name)
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -270,31 +424,23 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, lang_col: str =
     the frequent words; lang and n, all word occurrences of every language. All are written tables."""
     spark = docs.sparkSession
     state = written(shards(docs, lang_col, text_col, SHARD_WORDS, longest - 1), "shards")
-    listed = state.select("shard", F.posexplode("words").alias("place", "w")).select("shard", "place", "w.lang", "w.word", "w.n")
-    sizes = written(listed.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
-    found = written(frequent(listed, ["lang", "word"], least), "frequent-words")
-    vocabulary = written(found.groupBy("no").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("total").alias("f")), "vocabulary")
-    phrases = [vocabulary.select(F.array("no").alias("words"), "f")]
-    told = found.groupBy("shard").agg(F.collect_list(F.struct("place", "no")).alias("told"))
-    lists = written(first_lists(state.join(told, "shard")), "lists-2")
-    discard(state, found)
-    for k in range(2, longest + 1):
+    every = None
+    for k in range(1, longest + 1):
         release(spark)
-        names = word_names(k)
-        listed = lists.select("shard", F.posexplode("grams").alias("place", "g")).select("shard", "place", "g.*")
-        found = written(frequent(listed, names, least).drop("no"), f"frequent-{k}")
+        found = frequent(state, least, f"frequent-{k}")
         release(spark)
-        phrases.append(written(found.groupBy(*names).agg(F.first("total").alias("f")), f"phrases-{k}").select(F.array(*names).alias("words"), "f"))
+        if k == 1:
+            vocabulary = found.filter("words IS NOT NULL").select(F.element_at("words", 1).alias("no"), "lang", "word", "f")
+            sizes = found.filter("words IS NULL AND lang IS NOT NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+        phrases = found.filter("words IS NOT NULL").select("words", "f")
+        every = phrases if every is None else every.unionByName(phrases)
         if k < longest:
-            told = found.groupBy("shard").agg(F.collect_list("place").alias("told"))
-            before, lists = lists, written(next_lists(lists.join(told, "shard"), k), f"lists-{k + 1}")
+            told = found.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("bucket", "reply")).alias("told"))
+            rows = state.join(told, "shard")
+            before, state = state, written(first_lists(rows) if k == 1 else next_lists(rows, k), f"lists-{k + 1}")
             discard(before)
-        discard(found)
-    discard(lists)
+    discard(state)
     release(spark)
-    every = phrases[0]
-    for more in phrases[1:]:
-        every = every.unionByName(more)
     return every, vocabulary, sizes
 
 

@@ -92,3 +92,30 @@ def test_products_beyond_64_bits_are_exact(spark):
     vocabulary = spark.createDataFrame([(1, "en", "a"), (2, "en", "b")], "no long, lang string, word string")
     (r,) = collocation.cut_scores(phrases, sizes, vocabulary).collect()
     assert r.score == 1000 * 9 * 10**12 * 3 * 10**13 // ((10**13 - 1) * (9 * 10**12 + 7))
+
+
+@pytest.mark.parametrize("bucket", [40, 700])
+def test_phrases_of_a_shard_meet_those_of_others_in_many_buckets(spark, monkeypatch, bucket):
+    monkeypatch.setattr(collocation, "SHARD_WORDS", 1000)
+    monkeypatch.setattr(collocation, "BUCKET", bucket)
+    rows = corpus(5, 300)
+    assert got(table(spark, rows).repartition(3), 8, 5, 2000) == plain(rows, 8, 5, 2000)
+
+
+def test_what_leaves_a_shard_is_one_row_a_bucket_and_a_few_bytes_a_phrase(spark, prose):
+    docs = spark.createDataFrame([(prose(60_000, 3), "en")], "text string, lang string")
+    state = collocation.shards(docs, "lang", "text", 1 << 20, 4).cache()
+    (words,) = [r.n for r in state.collect()]
+    sent = collocation.slices(state, BUCKETS).collect()
+    assert len(sent) <= BUCKETS and words > 1000
+    assert sum(len(r.entries) for r in sent) < 12 * words
+
+
+BUCKETS = 3
+
+
+@pytest.mark.parametrize("columns", [[[0, 1, 255, 256, 2**40]], [[], []], [[7] * 5, [0] * 5]])
+def test_packed_columns_come_back(columns):
+    import numpy as np
+
+    assert [c.tolist() for c in collocation.unsqueezed(collocation.squeezed(*(np.array(c, np.int64) for c in columns)))] == columns
