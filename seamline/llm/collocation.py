@@ -3,8 +3,8 @@
 Texts become shards of at most ``SHARD_WORDS`` words. A shard keeps its words by position and the frequent phrase of k words that starts
 at each. Round k extends these by one word: positions with frequent phrases at them and right behind them fall apart, by phrase and
 adjacent word, into the lists of the phrases of k + 1 words; a list's length is the phrase's exact frequency there. Lists follow from words
-and phrases and are not stored; only their lengths leave a shard. A shard's phrases are in the order of a hash, and equal ranges of the
-hash are buckets: Spark brings all shards' slices of a bucket together, where phrases are compared by their words and their lengths added up, and takes
+and phrases and are made anew where they are needed, not stored; only their lengths leave a shard. Equal ranges of a phrase's hash are
+buckets, which a shard's phrases are ordered by: Spark brings all shards' slices of a bucket together, where phrases are compared by their words and their lengths added up, and takes
 back which of a slice's phrases are frequent, in the slice's order. A slice is packed columns, a few bytes a phrase. The others'
 positions, and words that no frequent phrase covers, go before the next round. That loses nothing: both parts of a frequent phrase are at least as frequent.
 
@@ -42,7 +42,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: A shard before its phrases of k words are counted: words by position, frequent phrases of k - 1 words by position (from k = 3 on), the words'
-#: numbers (from k = 2 on), the phrases with their counts in the order of their hashes (``n`` of them), and for k = 1 the languages' names.
+#: numbers (from k = 2 on), how many phrases it has, and for k = 1 these with their counts in the order of their hashes and the languages' names.
 SHARD = "shard long, owned int, n int, tokens binary, gram binary, numbers binary, entries binary, langs array<string>"
 FOUND = "shard long, bucket long, reply binary, words array<long>, f long, lang string, word string"
 
@@ -93,6 +93,11 @@ def in_language(hashes: np.ndarray, codes: np.ndarray, langs: list[str]) -> np.n
     return mixed(hashes + np.array([zlib.crc32(x.encode()) for x in langs], np.uint64)[codes] * _ODD)
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of ``buckets`` equal ranges a hash is in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
     h = np.zeros(len(words[0]), np.uint64)
     for w in words:
@@ -190,9 +195,9 @@ def parts_of(data: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
         a = z
 
 
-def shard_row(shard: int, owned: int, tokens: np.ndarray, gram: np.ndarray | None, numbers: np.ndarray | None, entries: tuple, langs: list[str] | None) -> pa.RecordBatch:
-    packed = [squeezed(tokens + 1), None if gram is None else squeezed(gram + 1), None if numbers is None else squeezed(numbers), squeezed(*entries)]
-    cells = [pa.array([shard]), pa.array([owned], pa.int32()), pa.array([len(entries[-1])], pa.int32()), *(pa.array([x], pa.binary()) for x in packed), pa.array([langs], pa.list_(pa.string()))]
+def shard_row(shard: int, owned: int, n: int, tokens: np.ndarray, gram: np.ndarray | None = None, numbers: np.ndarray | None = None, entries: tuple = (), langs: list[str] | None = None) -> pa.RecordBatch:
+    packed = [squeezed(tokens + 1), None if gram is None else squeezed(gram + 1), None if numbers is None else squeezed(numbers), squeezed(*entries) if entries else None]
+    cells = [pa.array([shard]), pa.array([owned], pa.int32()), pa.array([n], pa.int32()), *(pa.array([x], pa.binary()) for x in packed), pa.array([langs], pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays(cells, names=["shard", "owned", "n", "tokens", "gram", "numbers", "entries", "langs"])
 
 
@@ -205,7 +210,7 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, most: int, reach: int)
         def rows(last: bool):
             nonlocal made
             for owned, tokens, entries, langs in reader.take(most, reach, last):
-                yield shard_row((task << 20) + made, owned, tokens, None, None, entries, langs)
+                yield shard_row((task << 20) + made, owned, len(entries[-1]), tokens, entries=entries, langs=langs)
                 made += 1
 
         for b in batches:
@@ -243,41 +248,48 @@ def compact(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new[x], order
 
 
-def candidates(tokens: np.ndarray, gram: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(place of the phrase of k + 1 words at each position, -1 for none; its words' numbers, by column) for all phrases whose first and last k
-    words are phrases; ``gram`` has the phrase of k words at each position. Phrases are in the order of their hashes."""
+def keyed(tokens: np.ndarray, gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions where phrases of k words start both there and at the next one, the phrase and the adjacent word as one number)."""
     at = np.flatnonzero((gram[:-1] >= 0) & (gram[1:] >= 0))
-    key = gram[at] * (int(tokens.max(initial=0)) + 1) + tokens[at + k]
+    return at, gram[at] * (int(tokens.max(initial=0)) + 1) + tokens[at + k]
+
+
+def candidates(tokens: np.ndarray, gram: np.ndarray, numbers: np.ndarray, k: int, buckets: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(place of the phrase of k + 1 words at each position, -1 for none; its words' numbers, by column; its bucket) for all phrases whose first
+    and last k words are phrases; ``gram`` has the phrase of k words at each position. Phrases are in the order of their buckets and,
+    within one, of their first k words, which packs well."""
+    at, key = keyed(tokens, gram, k)
     _, head, ids = np.unique(key, return_index=True, return_inverse=True)
     words = [numbers[tokens[at[head] + i]] for i in range(k + 1)]
-    order = np.argsort(phrase_hashes(words), kind="stable")
+    bucket = bucket_of(phrase_hashes(words), buckets)
+    order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     out = np.full(len(tokens), -1, np.int64)
     out[at] = place[ids]
-    return out, [w[order] for w in words]
+    return out, [w[order] for w in words], bucket[order]
 
 
 def listed(shard: int, owned: int, tokens: np.ndarray, gram: np.ndarray | None, numbers: np.ndarray, k: int) -> pa.RecordBatch:
-    """A shard's row with its phrases of k + 1 words; ``gram`` is None for k = 1, where phrases are words."""
-    found, words = candidates(tokens, tokens if gram is None else gram, numbers, k)
-    counts = np.bincount(found[:owned] + 1, minlength=len(words[0]) + 1)[1:]
-    return shard_row(shard, owned, tokens, gram, numbers, (*words, counts), None)
+    """A shard's row with its number of phrases of k + 1 words; ``gram`` is None for k = 1, where phrases are words."""
+    _, key = keyed(tokens, tokens if gram is None else gram, k)
+    return shard_row(shard, owned, len(np.unique(key)), tokens, gram, numbers)
 
 
-def replies(told: pa.Scalar) -> np.ndarray:
-    """The numbers of a shard's phrases, -1 for those that are not frequent, from its slices' replies."""
-    parts = sorted((x["bucket"], x["reply"]) for x in told.as_py())
-    return np.concatenate([unsqueezed(x)[0] for _, x in parts]) - 1
+def replies(told: pa.Scalar, buckets: int) -> np.ndarray:
+    """The numbers of a shard's phrases, -1 for those that are not frequent, from its slices' replies. A number is a phrase's place among its
+    bucket's frequent ones times the number of buckets, plus the bucket."""
+    parts = [(bucket, unsqueezed(x)[0]) for bucket, x in sorted((x["bucket"], x["reply"]) for x in told.as_py())]
+    return np.concatenate([np.where(x > 0, (x - 1) * buckets + bucket, -1) for bucket, x in parts])
 
 
-def first_lists(rows: DataFrame) -> DataFrame:
+def first_lists(rows: DataFrame, buckets: int) -> DataFrame:
     """Shards with phrases of two words, from those that were told the numbers of their frequent words."""
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                number = np.append(replies(b.column(3)[r]), -1)  # the last one is of token -1
+                number = np.append(replies(b.column(3)[r], buckets), -1)  # the last one is of token -1
                 tokens, owned = unsqueezed(b.column(2)[r].as_py())[0] - 1, b.column(1)[r].as_py()
                 tokens, owned, _ = narrowed(tokens, owned, number[tokens] >= 0)
                 tokens, old = compact(tokens)
@@ -286,7 +298,7 @@ def first_lists(rows: DataFrame) -> DataFrame:
     return rows.select("shard", "owned", "tokens", "told").mapInArrow(run, SHARD)
 
 
-def next_lists(rows: DataFrame, k: int) -> DataFrame:
+def next_lists(rows: DataFrame, k: int, buckets: int) -> DataFrame:
     """Shards with phrases of k + 1 words from those that were told which of their phrases of k words are frequent."""
 
     def run(batches):
@@ -295,8 +307,8 @@ def next_lists(rows: DataFrame, k: int) -> DataFrame:
                 owned = b.column(1)[r].as_py()
                 tokens, numbers = unsqueezed(b.column(2)[r].as_py())[0] - 1, unsqueezed(b.column(4)[r].as_py())[0]
                 gram = tokens if k == 2 else unsqueezed(b.column(3)[r].as_py())[0] - 1
-                found, _ = candidates(tokens, gram, numbers, k - 1)
-                mine = np.append(replies(b.column(5)[r]) >= 0, False)  # the last one is of place -1
+                found, _, _ = candidates(tokens, gram, numbers, k - 1, buckets)
+                mine = np.append(replies(b.column(5)[r], buckets) >= 0, False)  # the last one is of place -1
                 alive = np.flatnonzero(mine[found])
                 covered = np.zeros(len(tokens) + 1, np.int32)
                 covered[alive] += 1  # a position has one phrase of k words at most
@@ -312,19 +324,26 @@ def next_lists(rows: DataFrame, k: int) -> DataFrame:
 
 # ---- frequencies over all shards
 
-def slices(state: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, shard, entries, langs): the shards' phrases cut by ranges of their hashes."""
+def slices(state: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(bucket, shard, entries, langs): the shards' phrases of k words and their counts, cut by buckets."""
+
+    def phrases(b: pa.RecordBatch, r: int):
+        if k == 1:
+            columns, langs = unsqueezed(b.column(1)[r].as_py()), b.column(2)[r].as_py()
+            return columns, langs, bucket_of(in_language(word_hashes(columns[2], columns[1]), columns[0], langs), buckets)
+        tokens, numbers = unsqueezed(b.column(2)[r].as_py())[0] - 1, unsqueezed(b.column(4)[r].as_py())[0]
+        gram = tokens if k == 2 else unsqueezed(b.column(3)[r].as_py())[0] - 1
+        found, words, bucket = candidates(tokens, gram, numbers, k - 1, buckets)
+        return [*words, np.bincount(found[: b.column(1)[r].as_py()] + 1, minlength=len(bucket) + 1)[1:]], None, bucket
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                langs, columns = b.column(2)[r].as_py(), unsqueezed(b.column(1)[r].as_py())
-                if not len(columns[-1]):
+                columns, langs, bucket = phrases(b, r)
+                if not len(bucket):
                     continue
-                h = phrase_hashes(columns[:-1]) if langs is None else in_language(word_hashes(columns[2], columns[1]), columns[0], langs)
-                bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                ends = np.r_[heads[1:], len(h)]
+                ends = np.r_[heads[1:], len(bucket)]
                 places = None if langs is None else np.r_[0, np.cumsum(columns[1])]
                 for i in range(0, len(heads), 256):
                     out = []
@@ -334,10 +353,11 @@ def slices(state: DataFrame, buckets: int) -> DataFrame:
                             cut[2] = columns[2][places[a] : places[z]]
                         out.append(squeezed(*cut))
                     n = len(out)
-                    cells = [pa.array(bucket[heads[i : i + n]].astype(np.int64)), b.column(0).take(pa.array([r] * n)), pa.array(out, pa.binary()), pa.array([langs] * n, pa.list_(pa.string()))]
+                    cells = [pa.array(bucket[heads[i : i + n]]), b.column(0).take(pa.array([r] * n)), pa.array(out, pa.binary()), pa.array([langs] * n, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(cells, names=["bucket", "shard", "entries", "langs"])
 
-    return state.select("shard", "entries", "langs").mapInArrow(run, "bucket long, shard long, entries binary, langs array<string>")
+    needed = ["shard", "entries", "langs"] if k == 1 else ["shard", "owned", "tokens", "gram", "numbers"]
+    return state.select(*needed).mapInArrow(run, "bucket long, shard long, entries binary, langs array<string>")
 
 
 def added_words(parts: list[list[np.ndarray]], langs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str], pa.Array]:
@@ -363,10 +383,10 @@ def added_phrases(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray
     return ids, np.bincount(ids, columns[-1]).astype(np.int64), np.stack([c[head] for c in columns[:-1]], axis=1)
 
 
-def frequent(state: DataFrame, least: int, name: str) -> DataFrame:
-    """A written table of two kinds of rows: (shard, bucket, reply), the number of each phrase of a slice and 0 for those below ``least``; and words and f of
-    each frequent phrase. Of single words also lang and word, and a row without ``words`` with a language's number of words in a bucket.
-    A word's number is its place among its bucket's frequent words times the number of buckets, plus the bucket."""
+def frequent(state: DataFrame, k: int, least: int) -> tuple[DataFrame, int]:
+    """A written table, and the number of buckets. The table has rows of two kinds: (shard, bucket, reply), the place of each phrase of a slice among the
+    bucket's frequent ones from 1 on (1 for all of two words or more), 0 for those below ``least``; and words and f of each frequent phrase. Of single
+    words also lang and word, and a row without ``words`` with a language's number of words in a bucket."""
     entries = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-entries // BUCKET))
     columns = ["shard", "bucket", "reply", "words", "f", "lang", "word"]
@@ -384,11 +404,9 @@ def frequent(state: DataFrame, least: int, name: str) -> DataFrame:
             ids, totals, phrases = added_phrases(parts)
         (often,) = np.nonzero(totals >= least)
         number = np.zeros(len(totals), np.int64)
-        number[often] = np.arange(len(often)) * buckets + bucket + 1
+        number[often] = np.arange(len(often)) + 1 if single else 1
         if single:
-            phrases = number[:, None] - 1
-        else:
-            number[often] = 1
+            phrases = (number[:, None] - 1) * buckets + bucket
         cuts = np.cumsum([len(p[-1]) for p in parts])[:-1]
         replied = [squeezed(x) for x in np.split(number[ids], cuts)]
         yield rows(len(held), shard=pa.array([s for s, _, _ in held], pa.int64()), bucket=pa.array([bucket] * len(held), pa.int64()), reply=pa.array(replied, pa.binary()))
@@ -415,8 +433,8 @@ def frequent(state: DataFrame, least: int, name: str) -> DataFrame:
         if held:
             yield from settle(now, held)
 
-    met = slices(state, buckets).repartition("bucket").sortWithinPartitions("bucket", "shard")
-    return written(met.mapInArrow(run, FOUND), name)
+    met = slices(state, k, buckets).repartition("bucket").sortWithinPartitions("bucket", "shard")
+    return written(met.mapInArrow(run, FOUND), f"frequent-{k}"), buckets
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -427,7 +445,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, lang_col: str =
     every = None
     for k in range(1, longest + 1):
         release(spark)
-        found = frequent(state, least, f"frequent-{k}")
+        found, buckets = frequent(state, k, least)
         release(spark)
         if k == 1:
             vocabulary = found.filter("words IS NOT NULL").select(F.element_at("words", 1).alias("no"), "lang", "word", "f")
@@ -437,7 +455,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, lang_col: str =
         if k < longest:
             told = found.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("bucket", "reply")).alias("told"))
             rows = state.join(told, "shard")
-            before, state = state, written(first_lists(rows) if k == 1 else next_lists(rows, k), f"lists-{k + 1}")
+            before, state = state, written(first_lists(rows, buckets) if k == 1 else next_lists(rows, k, buckets), f"lists-{k + 1}")
             discard(before)
     discard(state)
     release(spark)

@@ -106,7 +106,7 @@ def test_what_leaves_a_shard_is_one_row_a_bucket_and_a_few_bytes_a_phrase(spark,
     docs = spark.createDataFrame([(prose(60_000, 3), "en")], "text string, lang string")
     state = collocation.shards(docs, "lang", "text", 1 << 20, 4).cache()
     (words,) = [r.n for r in state.collect()]
-    sent = collocation.slices(state, BUCKETS).collect()
+    sent = collocation.slices(state, 1, BUCKETS).collect()
     assert len(sent) <= BUCKETS and words > 1000
     assert sum(len(r.entries) for r in sent) < 12 * words
 
