@@ -45,14 +45,19 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TAILED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f].{0,3})", re.DOTALL)
 MEMORY_TAILS = 1 << 14
 #: Parts whose ids a worker remembers (about 200 bytes each).
-MEMORY_PARTS = 1 << 19
+MEMORY_PARTS = 1 << 20
 MEMORY_CHARS = 48
+#: Places below which counting pairs' hashes first does not pay.
+SIFTED_PLACES = 1 << 14
 #: Text bytes that are split and looked up at once.
 CALL_BYTES = 4 << 20
 #: New parts that the library is given at once.
 CALL_PARTS = 256
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def open_fs(uri: str):
     from pyarrow import fs
 
@@ -186,17 +191,28 @@ def grouped(pairs: np.ndarray, at: np.ndarray, size: int):
     return codes[heads], np.diff(np.append(heads, len(codes))), places
 
 
+def sifted(pairs: np.ndarray, least: int) -> np.ndarray:
+    """Where a pair may occur ``least`` times: hashes are counted, so that rare pairs need not be sorted. None that does is left out."""
+    bits = max(1, (len(pairs) // 4).bit_length())
+    cell = pairs * _ODD
+    cell >>= np.uint64(64 - bits)
+    cell = cell.view(np.int64)
+    return (np.bincount(cell, minlength=1 << bits) >= least)[cell]
+
+
 def disjoint(at: np.ndarray, after: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of candidate places in order (each covers itself and ``after``), places and ranks of some that do not overlap.
 
     Of a run of one pair with itself every other place is taken; where different pairs overlap, the better rank. What is
     passed over can be taken when the pairs are next counted.
     """
-    place = np.arange(len(at))
-    same = np.zeros(len(at), bool)
-    same[1:] = (at[1:] == after[:-1]) & (rank[1:] == rank[:-1])
-    keep = (place - np.maximum.accumulate(np.where(same, 0, place))) & 1 == 0
-    at, after, rank = at[keep], after[keep], rank[keep]
+    same = np.flatnonzero((at[1:] == after[:-1]) & (rank[1:] == rank[:-1])) + 1
+    if len(same):
+        place = np.arange(len(same))
+        first = np.concatenate([[True], np.diff(same) != 1])
+        keep = np.ones(len(at), bool)
+        keep[same[(place - np.maximum.accumulate(np.where(first, place, 0))) & 1 == 0]] = False
+        at, after, rank = at[keep], after[keep], rank[keep]
     taken = []
     for _ in range(2):
         touch, better = np.zeros(len(at) + 1, bool), np.zeros(len(at) + 1, bool)
@@ -235,17 +251,37 @@ def repair(tokens: np.ndarray, lengths: np.ndarray, least: int = LEAST_COUNT):
         before[1:][last[:-1]] = -1
         gone = np.zeros(n, bool)
         at = np.nonzero(~last)[0].astype(np.int32)
+        whole = True
         while len(at):
             width = np.uint64(symbol)
-            pairs, counts, places = grouped(seq[at] * width + seq[after[at]], at, n)
+            if whole:
+                pairs = seq[:-1] * width
+                pairs += seq[1:]
+                pairs = pairs[~last[:-1]]
+            else:
+                pairs = seq[at] * width + seq[after[at]]
+            whole = False
+            # Nearly all places of the first count have frequent pairs, few of the later ones.
+            if rules and len(at) > SIFTED_PLACES:
+                may = sifted(pairs, least)
+                pairs, at = pairs[may], at[may]
+                if not len(at):
+                    break
+            pairs, counts, places = grouped(pairs, at, n)
             often = counts >= least
             pairs, counts, places = pairs[often], counts[often], places[np.repeat(often, counts)]
             order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(pairs), np.int64)
-            rank[order] = np.arange(len(pairs))
-            both = (places.astype(np.uint64) << np.uint64(32)) | np.repeat(rank, counts).astype(np.uint64)
-            both.sort()
-            at, of = (both >> np.uint64(32)).astype(np.int32), (both & np.uint64(0xFFFFFFFF)).astype(np.int32)
+            rank = np.empty(len(pairs), np.int32)
+            rank[order] = np.arange(len(pairs), dtype=np.int32)
+            if 8 * len(places) > n:
+                dense = np.full(n, -1, np.int32)
+                dense[places] = np.repeat(rank, counts)
+                at = np.flatnonzero(dense >= 0).astype(np.int32)
+                of = dense[at]
+            else:
+                both = (places.astype(np.uint64) << np.uint64(32)) | np.repeat(rank, counts).astype(np.uint64)
+                both.sort()
+                at, of = (both >> np.uint64(32)).astype(np.int32), (both & np.uint64(0xFFFFFFFF)).astype(np.int32)
             at, of = disjoint(at, after[at], of)
             left, right = pairs[order] // width, pairs[order] % width
             pair = (left << np.uint64(32)) | right
