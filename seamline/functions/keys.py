@@ -64,12 +64,6 @@ def expand_ranges(ranges: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(ranges, one))))
 
 
-def clean_ints(items: Column) -> Column:
-    """Sorted distinct integers of an array of variants: fractions are cut, texts of integers parsed, the rest dropped."""
-    whole = F.transform(items, lambda x: F.try_variant_get(x, "$", "int"))
-    return F.array_sort(F.array_distinct(F.filter(whole, lambda x: x.isNotNull())))
-
-
 def number_list(items: Column) -> Column:
     """Distinct integers of an array of variants in the order of their first appearance; what is no integer is dropped."""
     whole = F.transform(items, lambda x: F.try_variant_get(x, "$", "int"))

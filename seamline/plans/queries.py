@@ -32,8 +32,9 @@ def s4_flatten_json(spark, sf):
     payload = F.struct("aligned_seq", "interface_msa_columns_a", "surface_msa_columns_a", "interface_residues_a", "interface_residues_b")
     doc = F.create_map("partner_domain", F.create_map("interface_row_key", payload))
     docs = base.select(F.col("o_orderkey").alias("doc_id"), F.parse_json(F.to_json(doc)).alias("doc"))
-    out = interfaces.numbered_rows(interfaces.interface_rows(interfaces.flatten(docs, ["doc_id"]), []))
-    return out.select("row_order", *KEY, "protein_id", "fragment_key", "partner_fragment_key", "interface_size_a", "interface_size_b", joined("interface_msa_columns_a").alias("columns"))
+    parsed = interfaces.interface_rows(interfaces.flatten(docs, ["doc_id"]), [])
+    out = parsed.select(*KEY, "protein_id", "fragment_key", "partner_fragment_key", "interface_size_a", "interface_size_b", joined("interface_msa_columns_a").alias("columns"))
+    return interfaces.numbered_rows(out).select("row_order", *out.columns)
 
 
 @query("x9_json_counts", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -66,6 +66,30 @@ def test_lenient_values_and_errors(spark):
         spark.sql("""SELECT parse_json('{"a": 1, "a": 2}')""").collect()
 
 
+def test_numbered_rows_are_parsed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    docs = spark.range(0, 400, 1, 4).select(F.create_map(F.concat(F.lit("P"), (F.col("id") % 3).cast("string")), F.create_map(F.concat(F.lit("k"), F.col("id").cast("string")), F.lit(1))).alias("m"))
+    rows = docs.select(F.explode("m").alias("partner_domain", "r")).select("partner_domain", F.explode("r").alias("key", "v")).select("partner_domain", F.udf(seen, "string")("key").alias("interface_row_key"))
+    out = interfaces.numbered_rows(rows)
+    got = [(r.partner_domain, r.interface_row_key) for r in out.orderBy("row_order").collect()]
+    assert got == sorted(got) and len(got) == 400 and dict(out.dtypes)["row_order"] == "bigint"
+    assert calls.value == 400
+
+
+def test_integers_of_a_list_of_anything(spark):
+    values = [3, "12", " 7 ", "x", "", 1.7, -1.9, True, False, None, [1], {"a": 1}, 99999999999, 1e30, "1.5", 3]
+    doc = {"P": {"a": {"interface_residues_a": values, "interface_residues_b": None, "interface_msa_columns_b": [2, 2, 1]}, "b": [1], "c": "x", "d": None}, "Q": [{"a": {}}], "R": "x", "S": None}
+    docs = spark.createDataFrame([(json.dumps(doc),)], "t string").select(F.parse_json("t").alias("doc"), F.lit(1).alias("k"))
+    (row,) = interfaces.interface_rows(interfaces.flatten(docs, ["k"]), ["k"]).collect()
+    assert row["interface_residues_a"] == [-1, 0, 1, 3, 7, 12] and row["interface_residues_b"] == []
+    assert (row["interface_size_a"], row["interface_size_b"]) == (6, 2)
+
+
 def test_store_imports_replaces_and_caches(spark, folder, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.rows().count() == 0
