@@ -22,8 +22,10 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from codecs import charmap_decode
 from functools import cached_property, lru_cache
-from itertools import islice
+from itertools import chain, islice, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,15 @@ LEAST_COUNT = 8
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: A word of Latin letters and a short tail that begins with an ASCII character other than a letter.
 _TAILED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f].{0,3})", re.DOTALL)
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+")
+#: The characters that stand for bytes in a byte-level vocabulary: bytes that are no visible Latin-1 character are counted on from U+0100.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_UNSEEN = sorted(set(range(0x100)).difference(_SEEN))
+_BYTE_CHARS = "".join(chr(b if b in _SEEN else 0x100 + _UNSEEN.index(b)) for b in range(0x100))
+_SPACE = _BYTE_CHARS[0x20]
+_TOKEN_ID = attrgetter("id")
 MEMORY_TAILS = 1 << 14
-#: Parts whose ids a worker remembers (about 200 bytes each).
+#: Parts whose ids a worker remembers (some 170 bytes each).
 MEMORY_PARTS = 1 << 20
 MEMORY_CHARS = 48
 #: Places below which counting pairs' hashes first does not pay.
@@ -53,6 +62,8 @@ SIFTED_PLACES = 1 << 14
 CALL_BYTES = 4 << 20
 #: New parts that the library is given at once.
 CALL_PARTS = 256
+#: New words that the model is given one after another before their ids are gathered.
+CALL_WORDS = 4096
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +79,7 @@ class DocumentEncoder:
     """The library's ids of whole texts.
 
     A byte-level pre-tokenizer never joins across one space between two characters that are not white space. So a text is split
-    at spaces, and the ids of a space with the part after it are asked for once and remembered, as bytes. New parts go to the
+    at spaces, and the ids of a space with the part after it are asked for once and remembered, in one array. New parts go to the
     library many in one text; their ids come apart at tokens that begin with a space, as no part has another one. A text
     with a part that is empty or has white space at an end is encoded in the plain way, part by safe part.
     """
@@ -77,10 +88,13 @@ class DocumentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.known: dict[str, bytes] = {}
+        #: A part's number, given in the order of learning: its ids are ``flat[starts[k] : starts[k + 1]]``.
+        self.known: dict[str, int] = {}
+        self.flat, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
         self.tails: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
@@ -100,23 +114,67 @@ class DocumentEncoder:
             rest.update(w for _, w, _ in tailed)
             parts = list(rest.difference(self.known))
         self._ask(parts)
+        if not tailed:
+            return
         if len(tails) > MEMORY_TAILS:
             tails.clear()
-        for tail in {t for _, _, t in tailed}.difference(tails):
+        mine = {t: k for k, t in enumerate({t for _, _, t in tailed})}
+        for tail in mine.keys() - tails.keys():
             tails[tail] = self.plain(tail)
-        known = self.known
-        known.update([(p, known[w] + tails[t]) for p, w, t in tailed])
+        flat, starts = self._with([tails[t] for t in mine])
+        at = np.empty((len(tailed), 2), np.int64)
+        at[:, 0] = [self.known[w] for _, w, _ in tailed]
+        at[:, 1] = [mine[t] for _, _, t in tailed]
+        at[:, 1] += len(self.known)
+        ids, n = gathered(flat, starts, at.ravel())
+        self._add([p for p, _, _ in tailed], ids, n[::2] + n[1::2])
+
+    def _with(self, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat, starts) with the ids of other things behind those of the parts."""
+        ends = np.cumsum(np.fromiter(map(len, more), np.int64, len(more))) // self.kind.itemsize
+        return np.concatenate([self.flat, np.frombuffer(b"".join(more), self.kind)]), np.concatenate([self.starts, self.starts[-1] + ends])
+
+    def _add(self, parts: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+
+    def _keep(self, n: int) -> None:
+        """Forget all parts but the first ``n``."""
+        if len(self.known) - n < n:
+            while len(self.known) > n:
+                self.known.popitem()
+        else:
+            self.known = dict(islice(self.known.items(), n))
+        self.flat, self.starts = self.flat[: self.starts[n]].copy(), self.starts[: n + 1].copy()
 
     def _ask(self, parts: list[str]) -> None:
+        """Words of Latin letters are one match of the pattern each, so the model is asked for them directly; others go the library's whole way."""
+        plain = _WORD.fullmatch
+        words = [p for p in parts if plain(p)]
+        found, sizes = [self.flat[:0]], [self.starts[:0]]
+        for k in range(0, len(words), CALL_WORDS):
+            # The model reads a character a byte, as the file's pre-tokenizer would give them, each word with its space before it.
+            some = charmap_decode((" " + " ".join(words[k : k + CALL_WORDS])).encode(), "strict", _BYTE_CHARS)[0].replace(_SPACE, " " + _SPACE).split(" ")[1:]
+            made = list(map(self.model.tokenize, some))
+            sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
+            found.append(np.fromiter(map(_TOKEN_ID, chain.from_iterable(made)), self.kind))
+        if len(words) < len(parts):
+            asked = set(words)
+            parts = [p for p in parts if p not in asked]
+            words += parts
+        else:
+            parts = []
         for k in range(0, len(parts), CALL_PARTS):
             some = parts[k : k + CALL_PARTS]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             (at,) = np.nonzero(self.opens[ids])
             if len(at) == len(some) and at[0] == 0:
-                data, cuts = ids.tobytes(), [*(at * ids.itemsize).tolist(), ids.nbytes]
-                self.known.update(zip(some, [data[x:y] for x, y in zip(cuts, cuts[1:])]))
+                found.append(ids), sizes.append(np.diff(at, append=len(ids)))
             else:
-                self.known.update((p, self.plain(" " + p)) for p in some)
+                each = [self.plain(" " + p) for p in some]
+                found.append(np.frombuffer(b"".join(each), self.kind)), sizes.append(np.array([len(x) // self.kind.itemsize for x in each]))
+        self._add(words, np.concatenate(found), np.concatenate(sizes))
 
     def fallback(self, text: str) -> bytes:
         cuts = [0, *(m.start() for m in _SAFE.finditer(text)), len(text)]
@@ -127,48 +185,51 @@ class DocumentEncoder:
         different part of the column once."""
         if len(self.known) >= MEMORY_PARTS:
             # What came first is what comes often; the later half goes.
-            self.known = dict(islice(self.known.items(), MEMORY_PARTS // 2))
-        split = pc.split_pattern(texts, " ")
-        starts = np.asarray(split.offsets)
-        coded = split.flatten().dictionary_encode()
-        starts = starts[:-1] - starts[0]
-        at = np.array(coded.indices, np.int64)
-        # No part holds a space, so one text of them all comes apart again at its spaces.
-        whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-        parts = pc.binary_join(whole, " ")[0].as_py().split(" ")
+            self._keep(MEMORY_PARTS // 2)
+        # All texts in one, a space behind each: the spaces end the parts, which are told apart in place.
+        _, offsets = flat_bytes(texts)
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts) + 1], pa.int32()), pa.concat_arrays([texts.cast(pa.string()), pa.array([""])])), " ")[0].as_buffer()
+        ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(whole, np.uint8) == 0x20) + 1]).astype(np.int32)
+        starts = np.searchsorted(ends, offsets[:-1] + np.arange(len(texts)))
+        coded = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), whole).dictionary_encode()
+        at = coded.indices.to_numpy()
+        parts = flat_bytes(coded.dictionary)[0].tobytes().decode().split(" ")[:-1]
         known = self.known
-        table = list(map(known.get, parts))
-        missing = [k for k, ids in enumerate(table) if ids is None]
-        self.learn([parts[k] for k in missing])
-        for k in missing:
-            table[k] = known.get(parts[k])
+        table = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(table < 0)
+        names = [parts[k] for k in missing.tolist()]
+        self.learn([p for p in names if len(p) <= MEMORY_CHARS])
+        short = len(known)
+        self.learn([p for p in names if len(p) > MEMORY_CHARS])
+        table[missing] = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
         # The first part of a text has no space before it; texts with a part that was not learnt go the plain way.
-        lost = np.array([ids is None for ids in table])
-        first = coded.dictionary.take(pa.array(at[starts])).to_pylist()
-        rest_lost = lost[at]
-        rest_lost[starts] = False
-        plain_way = np.logical_or.reduceat(rest_lost, starts) | np.array([f != f.rstrip() for f in first], bool)
+        first = [parts[k] for k in at[starts].tolist()]
+        at = table[at]
+        lost = at < 0
+        lost[starts] = False
+        plain_way = np.logical_or.reduceat(lost, starts) | np.array([f != f.rstrip() for f in first], bool)
         here = [self.fallback(t.as_py()) if p else (self.plain(f) if f else b"") for f, p, t in zip(first, plain_way, texts)]
         if plain_way.any():
-            sizes = np.diff(np.append(starts, len(at)))
-            at[np.repeat(plain_way, sizes)] = len(table) + len(here)
-        at[starts] = len(table) + np.arange(len(here))
-        table = [ids or b"" for ids in table] + here + [b""]
-        size = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
-        data = np.frombuffer(b"".join(table), self.kind)
-        n = size[at]
-        ends = np.cumsum(n)
-        take = np.repeat((np.cumsum(size) - size)[at] - ends + n, n)
-        take += np.arange(len(take))
-        for k in missing:
-            if len(parts[k]) > MEMORY_CHARS:
-                known.pop(parts[k], None)
-        return data[take], np.add.reduceat(n, starts)
+            at[np.repeat(plain_way, np.diff(starts, append=len(at)))] = len(known) + len(here)
+        at[starts] = len(known) + np.arange(len(here))
+        ids, n = gathered(*self._with([*here, b""]), at)
+        if len(known) > short:
+            self._keep(short)
+        return ids, np.add.reduceat(n, starts)
 
     def encode(self, text: str) -> list[int]:
         return self.encode_column(pa.array([text]))[0].tolist()
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches ``at`` of ``flat`` one behind another, the length of each); stretch k is ``flat[starts[k] : starts[k + 1]]``."""
+    begin = starts[at]
+    n = starts[at + 1] - begin
+    take = np.repeat(begin - np.cumsum(n) + n, n)
+    take += np.arange(len(take))
+    return flat[take], n
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> DocumentEncoder:
     return DocumentEncoder(path)

@@ -188,6 +188,41 @@ def test_encoder_equals_the_library(prose):
         assert mine.encode(t) == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_of_letters_go_to_the_model_alone():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), token_shards.DocumentEncoder(path)
+
+    class Counting:
+        asked = 0
+
+        def __getattr__(self, name):
+            self.asked += name == "encode_batch_fast"
+            return getattr(library, name)
+
+    mine.tokenizer = Counting()
+    letters = [chr(c) for c in range(0x41, 0x2B0) if chr(c).isalpha() and (c < 0x5B or 0x60 < c < 0x7B or c > 0xBF)]
+    words = letters + [a + b + "e" for a, b in zip(letters, letters[7:])] + ["x" * 60, "word", "word.", "Wörter", "Wörter?!"]
+    text = "first " + " ".join(words)
+    assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert mine.tokenizer.asked == 0
+
+
+def test_encoder_forgets_and_stays_right(prose, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), token_shards.DocumentEncoder(path)
+    monkeypatch.setattr(token_shards, "MEMORY_PARTS", 60)
+    monkeypatch.setattr(token_shards, "MEMORY_CHARS", 6)
+    for k in range(40):
+        text = f"{prose(30, k)} w{k}, {'long' * 5}{k} 漢字{k} é{'a' * k}"
+        assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert list(mine.known.values()) == list(range(len(mine.known))) and len(mine.starts) == len(mine.known) + 1 and len(mine.flat) == mine.starts[-1]
+        assert all(len(p) <= 6 for p in mine.known)
+
+
 def test_shards_hold_documents_in_order(spark, make, prose, tmp_path):
     from tokenizers import Tokenizer
 
