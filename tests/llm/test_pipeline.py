@@ -4,7 +4,9 @@ import hashlib
 import re
 
 import corpus_pipeline
-from seamline.llm import decontaminate, quality, queries, tiktoken_codec
+import pytest
+from pyspark.sql import functions as F
+from seamline.llm import common, decontaminate, quality, queries, tiktoken_codec
 from test_near_dedup import kept_by_brute_force
 
 
@@ -36,3 +38,33 @@ def test_stages_keep_the_columns_and_stand_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.filter("false"), sf).columns == docs.columns
         assert stage(spark, docs.filter("false"), sf).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "byte-level BPE"])
+def test_stages_with_python_code_bound_their_batches(spark, name):
+    keys = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    for key in keys:
+        spark.conf.unset(key)
+    before = [spark.conf.get(key) for key in keys]
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]})
+
+    def largest(n, chars):
+        texts = spark.range(0, n, 1, 1).select(F.repeat(F.lit("x"), chars).alias("text"))
+        return texts.mapInArrow(sizes, "rows long, size long").agg(F.max("rows"), F.max("size"), F.sum("rows")).first()
+
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs, "/root/testdata/sf0.001")
+        assert largest(3000, 10)[0] == common.BATCH_ROWS
+        rows, size, total = largest(600, 100_000)
+        assert total == 600 and size <= common.BATCH_BYTES + 2 * 100_000
+        spark.conf.set(keys[0], "7")
+        dict(corpus_pipeline.STAGES)[name](spark, docs, "/root/testdata/sf0.001")
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert [spark.conf.get(key) for key in keys] == before
