@@ -19,6 +19,7 @@ their texts' hash; a text longer than a shard has a shard of its own; an empty t
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -43,23 +44,25 @@ SHARD_TOKENS = 1 << 22
 LEAST_COUNT = 8
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: A word of Latin letters and a short tail that begins with an ASCII character other than a letter.
-_TAILED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f].{0,3})", re.DOTALL)
-_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+")
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+"
+_WORD = re.compile(_LETTERS)
+#: A word of Latin letters, perhaps marks, one line's end and the next line's first word, and perhaps a short tail that begins with an ASCII character other than a letter.
+_LINE = re.compile(f"([!-/:-@\\[-`{{-~]*\\n)({_LETTERS})")
+_TAILED = re.compile(f"({_LETTERS})([!-/:-@\\[-`{{-~]*\\n{_LETTERS})?([\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f].{{0,3}})?", re.DOTALL)
 #: The characters that stand for bytes in a byte-level vocabulary: bytes that are no visible Latin-1 character are counted on from U+0100.
 _SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _UNSEEN = sorted(set(range(0x100)).difference(_SEEN))
 _BYTE_CHARS = "".join(chr(b if b in _SEEN else 0x100 + _UNSEEN.index(b)) for b in range(0x100))
 _SPACE = _BYTE_CHARS[0x20]
 _TOKEN_ID = attrgetter("id")
-MEMORY_TAILS = 1 << 14
+MEMORY_TAILS = 1 << 16
 #: Parts whose ids a worker remembers (some 170 bytes each).
 MEMORY_PARTS = 1 << 20
 MEMORY_CHARS = 48
 #: Places below which counting pairs' hashes first does not pay.
 SIFTED_PLACES = 1 << 14
 #: Text bytes that are split and looked up at once.
-CALL_BYTES = 4 << 20
+CALL_BYTES = 8 << 20
 #: New parts that the library is given at once.
 CALL_PARTS = 256
 #: New words that the model is given one after another before their ids are gathered.
@@ -104,30 +107,41 @@ class DocumentEncoder:
         """Remember the ids of parts; those with white space at an end are not learnt.
 
         Letters end a match where an ASCII character that is no letter follows, so a word with a short tail of such
-        is put together from the word and the tail.
+        is put together from the word and the tail. So is a word with the line's end and the next line's first word: marks, a
+        single line feed before a letter and that word are matches of their own.
         """
         parts = [p for p in parts if p and p == p.strip()]
         match, tails = _TAILED.fullmatch, self.tails
-        tailed = [(p, m[1], m[2]) for p, m in zip(parts, map(match, parts)) if m]
+        tailed = [(p, m[1], m[2] or "", m[3] or "") for p, m in zip(parts, map(match, parts)) if m and len(m[1]) < len(p)]
         if tailed:
-            rest = set(parts).difference(p for p, _, _ in tailed)
-            rest.update(w for _, w, _ in tailed)
+            rest = set(parts).difference(p for p, *_ in tailed)
+            rest.update(w for _, w, *_ in tailed)
             parts = list(rest.difference(self.known))
         self._ask(parts)
         if not tailed:
             return
         if len(tails) > MEMORY_TAILS:
             tails.clear()
-        mine = {t: k for k, t in enumerate({t for _, _, t in tailed})}
-        for tail in mine.keys() - tails.keys():
-            tails[tail] = self.plain(tail)
+        mine = {t: k for k, t in enumerate({t for _, _, *both in tailed for t in both})}
+        self._ask_tails([t for t in mine if t not in tails])
         flat, starts = self._with([tails[t] for t in mine])
-        at = np.empty((len(tailed), 2), np.int64)
-        at[:, 0] = [self.known[w] for _, w, _ in tailed]
-        at[:, 1] = [mine[t] for _, _, t in tailed]
-        at[:, 1] += len(self.known)
+        at = np.empty((len(tailed), 3), np.int64)
+        at[:, 0] = [self.known[w] for _, w, _, _ in tailed]
+        at[:, 1] = [mine[line] for _, _, line, _ in tailed]
+        at[:, 2] = [mine[t] for _, _, _, t in tailed]
+        at[:, 1:] += len(self.known)
         ids, n = gathered(flat, starts, at.ravel())
-        self._add([p for p, _, _ in tailed], ids, n[::2] + n[1::2])
+        self._add([p for p, *_ in tailed], ids, n.reshape(-1, 3).sum(axis=1))
+
+    def _ask_tails(self, tails: list[str]) -> None:
+        lines = [(t, m[1], m[2]) for t, m in zip(tails, map(_LINE.fullmatch, tails)) if m]
+        marks = {m: self.plain(m) for m in {m for _, m, _ in lines}}
+        words = charmap_decode(" ".join(w for _, _, w in lines).encode(), "strict", _BYTE_CHARS)[0].split(_SPACE)
+        for (t, m, _), made in zip(lines, map(self.model.tokenize, words)):
+            self.tails[t] = marks[m] + np.array(list(map(_TOKEN_ID, made)), self.kind).tobytes()
+        for t in tails:
+            if t not in self.tails:
+                self.tails[t] = self.plain(t)
 
     def _with(self, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat, starts) with the ids of other things behind those of the parts."""
@@ -531,6 +545,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, uri: str | N
             files.move(f"{path}.{attempt}", path)
             held, size, shards = [], 0, shards + 1
 
+        # The many strings and ids that are remembered make no cycles, but the collector goes through them again and again.
+        gc.disable()
         for b in batches:
             _, offsets = flat_bytes(b.column(1))
             for i, j in text_blocks(offsets, CALL_BYTES):
@@ -552,6 +568,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, uri: str | N
                     first = fit
         if held:
             put()
+        gc.enable()
         if shards:
             yield pa.RecordBatch.from_pydict({"task": [task], "shards": [shards], "docs": [documents], "tokens": [tokens]})
 

@@ -209,6 +209,32 @@ def test_words_of_letters_go_to_the_model_alone():
     assert mine.tokenizer.asked == 0
 
 
+def test_words_around_a_line_end_go_to_the_model_alone():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), token_shards.DocumentEncoder(path)
+    asked = []
+
+    class Counting:
+        def __getattr__(self, name):
+            if name in ("encode", "encode_batch_fast"):
+                asked.append(name)
+            return getattr(library, name)
+
+    mine.tokenizer = Counting()
+    ends = ["\n", ".\n", "?!\n", "'\n", "</>|\n"]
+    text = "first " + " ".join(f"a{'b' * k}{end}{w}{tail}" for k in range(50) for end in ends for w in ("Next", "s", "Über") for tail in ("", ".", "'s", ",\n2"))
+    assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= 1 + len(ends) + 4 and "encode_batch_fast" not in asked
+    # What does not come apart so is left to the library.
+    r = random.Random(5)
+    bits = ["\n", "\n\n", "\r\n", "\t", ".", "'", "'s", "<|endoftext|>", "<|", "endoftext", "|>", "Word", "é", "漢", "7", "\u0301", "\xa0", " "]
+    for _ in range(3000):
+        t = "x " + "".join(r.choices(bits, k=r.randint(2, 12)))
+        assert mine.encode(t) == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_encoder_forgets_and_stays_right(prose, monkeypatch):
     from tokenizers import Tokenizer
 
