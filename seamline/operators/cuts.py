@@ -164,7 +164,9 @@ def density(leaves: DataFrame, metric: str, least: int, samples: int | None = No
         last = tree_.filter(F.col("node") == root).first().split_at
         bound = 1 / epsilon if epsilon > 0 else last or 0.0
         named = named.withColumn("top", F.when((F.col("head") == root) & (F.col("leaves_at") < bound), F.lit(None)).otherwise(F.col("top")))
-    label = in_order(named.filter("top IS NOT NULL").select("top").distinct(), places_of(merges, nodes, n))
+    # Where two picked heads part, heads part: the lesser node is left in both trees.
+    places = trees.from_left(tree_).select("node", "place") if trees.is_small(tree_) else places_of(merges, nodes, n)
+    label = in_order(named.filter("top IS NOT NULL").select("top").distinct(), places)
     out = written(named.join(label, "top", "left").select("g", F.coalesce("label", F.lit(-1)).alias("label")), "density")
     discard(core, tree, own, heads, tree_, ways)
     return out

@@ -14,8 +14,8 @@ import numpy as np
 MAX_LEAVES = 20_000
 
 
-def cross_distances(left: list, right: list, metric: str) -> np.ndarray:
-    """Set distances of every left to every right set; the same formula and bits as the column expressions."""
+def common_counts(left: list, right: list) -> np.ndarray:
+    """Columns that every left and every right set have in common."""
     def long(sets: list) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(sets)), list(map(len, sets))), np.array([c for s in sets for c in s], np.int64)
 
@@ -40,6 +40,16 @@ def cross_distances(left: list, right: list, metric: str) -> np.ndarray:
     times = high - low
     partner = y_[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
     np.add.at(common, (np.repeat(x_, times), partner), 1)
+    return common
+
+
+def cross_distances(left: list, right: list, metric: str) -> np.ndarray:
+    """Set distances of every left to every right set; the same formula and bits as the column expressions."""
+    return distances_of(common_counts(left, right), left, right, metric)
+
+
+def distances_of(common: np.ndarray, left: list, right: list, metric: str) -> np.ndarray:
+    """Set distances from the counts of common columns."""
     a, b = (np.array(list(map(len, sets)), np.float64) for sets in (left, right))
     a, b = a[:, None], b[None, :]
     if metric == "jaccard":

@@ -3,8 +3,9 @@
 A dataset of at most ``LEAVES`` groups is one block: a task merges it in a matrix of 128 MB at most, and many small datasets are as many tasks without
 a round of jobs. Larger ones have no dense matrix anywhere:
 
-* Single linkage is the minimum spanning tree. The tiles of all distances are gone through once: each passes on its own forest of edges below 1, and
-  Boruvka's rounds find the tree's among those. Whatever is then still apart is 1 apart and hangs on the smallest set.
+* Single linkage is the minimum spanning tree. The tiles of all distances below 1 are gone through once: each passes on its own forest of them, and
+  Boruvka's rounds find the tree's among those, until at most ``EDGES`` edges are left between components: one task takes the rest of the
+  tree from them. Whatever is then still apart is 1 apart and hangs on the smallest set.
   The tree's edges in order become merges by halving their range of ranks: the lighter half's components are contracted for the
   heavier half, until a range has at most ``BLOCK`` edges and one task joins them one by one.
 * Complete, average and weighted linkage merge all pairs of mutual nearest neighbours at once. That is exact, since a merged cluster is never nearer to
@@ -25,7 +26,10 @@ from ..functions.tables import discard, numbered, written
 from . import kernels, tiles
 
 #: Edges of a spanning tree that one task joins.
-BLOCK = 1 << 12
+BLOCK = 1 << 17
+
+#: Edges from which one task takes a dataset's spanning tree.
+EDGES = 1 << 19
 
 #: Groups of a dataset that one task merges.
 LEAVES = 1 << 12
@@ -94,15 +98,22 @@ def spanning_tree(sets: DataFrame, by: list[str], metric: str) -> DataFrame:
         met = edges.select(*by, "i", "j", "distance").join(u, [*by, "i"]).join(v, [*by, "j"]).filter("__i <> __j")
         before, edges = edges, written(met, "edges")
         discard(before)
+        most = edges.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        if most <= EDGES:
+            break
         ends = edges.select(*by, "i", "j", "distance", F.explode(F.array(F.struct(F.col("__i").alias("c"), F.col("__j").alias("p")), F.struct(F.col("__j").alias("c"), F.col("__i").alias("p")))).alias("e"))
         best = ends.groupBy(*by, F.col("e.c").alias("c")).agg(F.min(F.struct("distance", "i", "j", "e.p")).alias("e"))
         best = written(best.select(*by, "c", "e.*"), "nearest")
-        if best.isEmpty():
-            break
         found.append(best)
         roots = roots_of(best.select(*by, "c", "p"), by)
         before, comps = comps, moved(comps, roots, by)
         discard(before, roots)
+    if most:
+        last = written(edges.groupBy(*by).applyInPandas(lambda key, pdf: tiles.keyed(last_edges(pdf), by, key), tiles.schema_of(edges, by, "i long, j long, distance double")), "last-edges")
+        roots = last.filter("distance IS NULL").select(*by, F.col("i").alias("c"), F.col("j").alias("root"))
+        before, comps = comps, moved(comps, roots, by)
+        discard(before)
+        found.append(last.filter("distance IS NOT NULL"))
     # What is still apart is 1 apart, and the first such pairs in order are those of the smallest set.
     least = comps.groupBy(*by, "comp").agg(F.min("g").alias("j"))
     rest = least.join(least.groupBy(*by).agg(F.min("j").alias("i")), by).filter("i <> j").select(*by, "i", "j", F.lit(1.0).alias("distance"))
@@ -113,6 +124,16 @@ def spanning_tree(sets: DataFrame, by: list[str], metric: str) -> DataFrame:
     return tree
 
 
+def last_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """i, j and distance of the spanning forest's edges among i, j and distance between components __i and __j. Rows without a distance follow: component i
+    is now part of j."""
+    pdf = pdf.sort_values(["distance", "i", "j"])
+    names, place = np.unique(pdf[["__i", "__j"]].to_numpy().ravel(), return_inverse=True)
+    u, v = place.reshape(-1, 2).T
+    kept, root = tiles.forest_and_roots(u, v, len(names))
+    return pd.concat([pdf.iloc[kept][["i", "j", "distance"]], pd.DataFrame({"i": names, "j": names[root], "distance": np.nan})])
+
+
 def joined_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merges of a range of ranks: edges between nodes (u, v) of known members (wu, wv), in order of rank. n + rank names a merge's node."""
     pdf = pdf.sort_values("rank")

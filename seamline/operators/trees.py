@@ -1,17 +1,27 @@
 """Trees of any shape and size as tables: sums to the root, sums of subtrees, best disjoint nodes.
 
 Every function works in rounds that double the reach of each node's pointer, so a chain of n merges takes about log2(n) rounds; a round is one job
-over one row a node (and label). Nothing is walked level by level, and no tree is gathered in one place.
+over one row a node (and label). Nothing is walked level by level, and no tree of more than ``BLOCK`` nodes is gathered in one place.
+
+Ways to the root are first followed within ranges of ``BLOCK`` node numbers, a task each. Merges are numbered from the leaves up, so a way enters a range
+once, and the rounds only double over ranges.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import discard, written
 
 
+#: Nodes that one task follows.
+BLOCK = 1 << 17
+
+
 def parents_of(merges: DataFrame, leaves: int) -> DataFrame:
     """node and up of every node but the root; merge k makes node ``leaves + k``."""
     up = (F.col("merge_index") + leaves).cast("long").alias("up")
@@ -22,12 +32,41 @@ def _moving(state: DataFrame) -> bool:
     return not state.filter(F.col("up").isNotNull()).isEmpty()
 
 
+def _within_ranges(state: DataFrame, sums: tuple[str, ...], nearest: tuple[str, ...], topmost: tuple[str, ...]) -> DataFrame:
+    """Rows of ``to_root``, each after the part of its way that is in its own range of nodes."""
+    names = state.columns
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.select(names).combine_chunks()
+        node, known, m = t["node"].to_numpy(), t["up"].is_valid().to_numpy(), len(t)
+        order = np.argsort(node)
+        up = t["up"].fill_null(0).to_numpy()
+        at = order[np.minimum(np.searchsorted(node[order], up), m - 1)]
+        # Row m is the end of all ways: it has no value and leads to itself.
+        ahead = np.append(np.where(known & (node[at] == up), at, m), m)
+        own = np.append(np.arange(m), -1)
+        held = {c: np.append(np.where(t[c].is_valid().to_numpy(), np.arange(m), -1), -1) for c in (*nearest, *topmost)}
+        added = {c: np.append(t[c].to_numpy(), 0) for c in sums}
+        while (ahead != m).any():
+            own = np.where(own[ahead] >= 0, own[ahead], own)
+            held |= {c: np.where(held[c] >= 0, held[c], held[c][ahead]) for c in nearest}
+            held |= {c: np.where(held[c][ahead] >= 0, held[c][ahead], held[c]) for c in topmost}
+            added = {c: x + x[ahead] for c, x in added.items()}
+            ahead = ahead[ahead]
+        taken = {c: t[c].take(pa.array(np.maximum(x, 0)[:m], mask=(x < 0)[:m])) for c, x in {**held, "up": own}.items()}
+        whole = {c: pa.chunked_array([pa.array(x[:m], t[c].type)]) for c, x in added.items()}
+        return pa.table([{**taken, **whole}.get(c, t[c]) for c in names], names)
+
+    return state.groupBy(F.floor(F.col("node") / BLOCK).alias("__range")).applyInArrow(run, state.schema)
+
+
 def to_root(nodes: DataFrame, parents: DataFrame, sums: tuple[str, ...] = (), nearest: tuple[str, ...] = (), topmost: tuple[str, ...] = ()) -> DataFrame:
     """``nodes`` (node and values) with the values of the way from each node, itself included, up to its root: ``sums`` are added, ``nearest`` is the
     first that is not null and ``topmost`` the last. ``parents`` has node and up. A node's row covers its way up to ``up``; joined with
     ``up``'s row it covers twice as much."""
     values = [*sums, *nearest, *topmost]
-    state = written(nodes.select("node", *values).join(parents, "node", "left"), "ways")
+    state = nodes.select("node", *values).join(parents, "node", "left")
+    state = written(_within_ranges(state, sums, nearest, topmost), "ways")
     while _moving(state):
         ahead = state.select(F.col("node").alias("up"), F.col("up").alias("__up"), *[F.col(c).alias(f"__{c}") for c in values])
         met = state.filter(F.col("up").isNotNull()).join(ahead, "up")
@@ -62,13 +101,41 @@ def first_places(merges: DataFrame, leaves: int, sizes: DataFrame) -> DataFrame:
     return to_root(every, parents_of(merges, leaves), sums=("place",))
 
 
+def is_small(tree: DataFrame) -> bool:
+    """Whether one task may have the whole tree."""
+    return tree.limit(BLOCK + 1).count() <= BLOCK
+
+
+def from_left(tree: DataFrame) -> DataFrame:
+    """node, ``place`` (of nodes in the order of their first leaves, a node before those below it) and ``best`` (see ``best_disjoint``; null scores count as
+    0) of a small tree (node, left, right, score), in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, score = pdf["node"].to_numpy(), pdf["score"].fillna(0.0).to_numpy(float)
+        sides = {n: (int(a), int(b)) for n, a, b in zip(ids.tolist(), pdf["left"], pdf["right"]) if pd.notna(a)}
+        best, order = dict(zip(ids.tolist(), score.tolist())), []
+        stack = sorted(set(best) - {c for pair in sides.values() for c in pair})
+        while stack:
+            order.append(stack.pop())
+            stack += sides.get(order[-1], ())[::-1]
+        for n in reversed(order):
+            if n in sides:
+                best[n] = max(best[n], sum(best[c] for c in sides[n]))
+        return pd.DataFrame({"node": order, "place": range(len(order)), "best": [best[n] for n in order]})
+
+    return tree.select(F.lit(0).alias("__all"), "node", "left", "right", "score").groupBy("__all").applyInPandas(run, "node long, place long, best double")
+
+
 def best_disjoint(tree: DataFrame) -> DataFrame:
     """node and ``best``: the largest total score of disjoint nodes in its subtree, max(score, best of left + best of right).
 
     ``tree`` has node, left, right (both null at leaves) and score, none below 0. Gibbons and Rytter's pebbles, all nodes at once in each round: a node
     with both children known is known; with one known it becomes the function x -> max(p, x + q) of the other, ``down``; such a function
-    of a function is a function again; a function of a known node is known. Any tree takes a logarithmic number of rounds.
+    of a function is a function again; a function of a known node is known. Any tree takes a logarithmic number of rounds. A small
+    tree is gone through in one task.
     """
+    if is_small(tree):
+        return from_left(tree).select("node", "best")
     no = F.lit(None).cast("double")
     state = tree.select("node", "left", "right", "score", F.when(F.col("left").isNull(), F.col("score")).otherwise(no).alias("best"), F.lit(None).cast("long").alias("down"), no.alias("p"), no.alias("q"))
     state = written(state, "pebbles")

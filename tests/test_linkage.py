@@ -150,6 +150,28 @@ def test_tiles_have_every_pair_once(spark, monkeypatch):
         assert made == {(i, j): want[i, j] for i in range(33) for j in range(i + 1, 33) if want[i, j] <= most}
 
 
+@pytest.mark.parametrize("metric", ["jaccard", "overlap"])
+def test_buckets_of_columns_give_the_distances_of_the_grid(spark, monkeypatch, metric):
+    """Sets around one column of many and such that share hardly any; some sets have all their near ones in another block."""
+    monkeypatch.setattr(tiles, "TILE", 7)
+    monkeypatch.setattr(tiles, "BUCKET", 4)
+    r = random.Random(3)
+    sets = [sorted(r.sample(range(k * 9, k * 9 + 14), r.randint(1, 5))) for k in range(12) for _ in range(6)] + [[400, 500 + k] for k in range(9)] + [[900]]
+    leaves = tables.written(linkage.leaves_of(groups(spark, {"a": sets, "b": sets[:3]}), ["family"]), "leaves")
+    cored = leaves.withColumn("core", (F.col("g") % 4) / 5)
+    made = {}
+    width = tiles.bucket_width(leaves, ["family"])
+    for w in (width, 0):
+        monkeypatch.setattr(tiles, "bucket_width", lambda sets, by, w=w: w)
+        made[w] = sorted(tiles.core_distances(leaves, ["family"], metric, 9).collect()), sorted(linkage.spanning_tree(cored, ["family"], metric).collect())
+    assert width > 0 and made[width] == made[0] and any(x.core == 1 for x in made[0][0])
+
+
+def test_sets_without_columns_or_with_the_same_ones_have_one_bucket(spark):
+    for sets in ([[], [1], [2]], [[1, 2, 3]] * 9):
+        assert tiles.bucket_width(linkage.leaves_of(groups(spark, {"a": sets}), ["family"]), ["family"]) == 0
+
+
 # ---- trees
 
 def random_tree(n, seed, chain=False):
@@ -206,6 +228,23 @@ def test_sums_of_trees(spark, chain):
         assert (r.depth, r.near, r.far) == (len(way), marked[0] if marked else None, marked[-1] if marked else None)
 
 
+@pytest.mark.parametrize("block", [7, 1 << 17])
+def test_ways_through_ranges_take_rounds_for_ranges_only(spark, monkeypatch, block):
+    monkeypatch.setattr(trees, "BLOCK", block)
+    n = 60
+    pairs = random_tree(n, 4, True)
+    up = {c: n + k for k, p in enumerate(pairs) for c in p}
+    nodes = spark.range(2 * n - 1).select(F.col("id").alias("node"), (F.col("id") / 2).alias("half"), F.when(F.col("id") % 7 == 0, F.col("id").cast("string")).alias("near"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("far"))
+    out, made = rounds_of(monkeypatch, lambda: trees.to_root(nodes, trees.parents_of(merges_df(spark, pairs), n), ("half",), ("near",), ("far",)))
+    for r in out:
+        way = [r.node]
+        while way[-1] in up:
+            way.append(up[way[-1]])
+        marked = [str(x) for x in way if x % 7 == 0], [x for x in way if x % 5 == 0]
+        assert (r.half, r.near, r.far) == (sum(way) / 2, marked[0][0] if marked[0] else None, marked[1][-1] if marked[1] else None)
+    assert len(out) == 2 * n - 1 and made.count("ways") <= (1 if block > n else 5)
+
+
 def rounds_of(monkeypatch, f):
     made = []
     keep = trees.written
@@ -295,6 +334,21 @@ def test_density_equals_the_kernel_on_entries(spark, monkeypatch, least, samples
     assert same_partition([made[k] for k in at], want.tolist())
 
 
+def test_density_in_small_blocks_equals_that_in_one_which_takes_few_tables(spark, monkeypatch):
+    from seamline.operators import cuts
+
+    sets = dense_sets(8)
+    leaves = tables.written(linkage.leaves_of(groups(spark, {"a": sets}), ["family"]).drop("family"), "leaves")
+    names = []
+    for module in (cuts, linkage, trees):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or tables.written(df, name))
+    whole = labels_of(cuts.density(leaves, "jaccard", 8, epsilon=0.5))
+    assert 3 < len(names) < 30  # over 60 when every tree was followed by rounds alone
+    for module, name, size in ((tiles, "BUCKET", 8), (tiles, "TILE", 31), (linkage, "BLOCK", 64), (linkage, "EDGES", 20), (trees, "BLOCK", 16)):
+        monkeypatch.setattr(module, name, size)
+    assert labels_of(cuts.density(leaves, "jaccard", 8, epsilon=0.5)) == whole
+
+
 def test_density_of_one_cluster_and_of_few_points(spark):
     from seamline.operators import cuts
 
