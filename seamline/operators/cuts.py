@@ -122,8 +122,9 @@ def density(leaves: DataFrame, metric: str, least: int, samples: int | None = No
     n = points[1]
     if n == 0:
         return leaves.select("g", F.lit(-1).alias("label"))
-    core = written(tiles.core_distances(sets, by, metric, min(samples or least, points[0])), "core")
-    tree = linkage.spanning_tree(sets.join(core, [*by, "g"]).select(*by, "g", "columns", "core"), by, metric)
+    width = tiles.bucket_width(sets, by)
+    core = written(tiles.core_distances(sets, by, metric, min(samples or least, points[0]), width), "core")
+    tree = linkage.spanning_tree(sets.join(core, [*by, "g"]).select(*by, "g", "columns", "core"), by, metric, width)
     merges = written(linkage.merges_of_tree(tree, sets, by).drop("dataset"), "reach-merges")
     nodes = node_table(sets, merges, n)
     root = 2 * n - 2

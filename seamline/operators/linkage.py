@@ -89,10 +89,10 @@ def forest_components(edges: DataFrame, by: list[str]) -> DataFrame:
 
 # ---- single linkage
 
-def spanning_tree(sets: DataFrame, by: list[str], metric: str) -> DataFrame:
+def spanning_tree(sets: DataFrame, by: list[str], metric: str, width: int | None = None) -> DataFrame:
     """by, i, j and distance of the edges of every dataset's minimum spanning tree. ``sets`` has by, g, columns and perhaps core. Written."""
     comps = written(sets.select(*by, "g", F.col("g").alias("comp")), "components")
-    edges, found = written(tiles.forests(sets, by, metric), "edges"), []
+    edges, found = written(tiles.forests(sets, by, metric, width), "edges"), []
     while True:
         u, v = (comps.select(*by, F.col("g").alias(x), F.col("comp").alias(f"__{x}")) for x in "ij")
         met = edges.select(*by, "i", "j", "distance").join(u, [*by, "i"]).join(v, [*by, "j"]).filter("__i <> __j")

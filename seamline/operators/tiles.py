@@ -91,7 +91,11 @@ def over(sets: DataFrame, by: list[str], made, rest: str, width: int = 0) -> Dat
             return pd.DataFrame(columns=[*by, *columns])
         return keyed(made(pdf, a, b, (bucket * width, (bucket + 1) * width) if width else None), by, tuple(names))
 
-    return grid(bucketed(sets, width), [*by, "bucket"]).groupBy(*by, "bucket", "a", "b").applyInPandas(run, schema)
+    # Tiles are more work than bytes: their number of tasks must not shrink with those.
+    spark = sets.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    keys = [*by, "bucket", "a", "b"]
+    return grid(bucketed(sets, width), [*by, "bucket"]).repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def pairs(sets: DataFrame, by: list[str], metric: str, most: float = np.inf) -> DataFrame:
@@ -145,9 +149,9 @@ def led(c: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def forests(sets: DataFrame, by: list[str], metric: str) -> DataFrame:
+def forests(sets: DataFrame, by: list[str], metric: str, width: int | None = None) -> DataFrame:
     """i < j and distance of the edges below 1 of every tile's minimum spanning forest; those of the dataset's are among them. Edges are in order of distance,
-    i and j. ``sets`` has by, g, columns and perhaps core."""
+    i and j. ``sets`` has by, g, columns and perhaps core. ``width`` is their ``bucket_width``, if known."""
 
     def made(pdf: pd.DataFrame, a: int, b: int, span: tuple[int, int] | None) -> pd.DataFrame:
         left, right, d = tile(pdf, a, b, metric, span)
@@ -163,10 +167,10 @@ def forests(sets: DataFrame, by: list[str], metric: str) -> DataFrame:
         kept = order[forest(x[order], y[order] + shift, shift + len(right))]
         return pd.DataFrame({"i": i[kept], "j": j[kept], "distance": far[kept]})
 
-    return over(sets, by, made, "i long, j long, distance double", bucket_width(sets, by))
+    return over(sets, by, made, "i long, j long, distance double", bucket_width(sets, by) if width is None else width)
 
 
-def core_distances(sets: DataFrame, by: list[str], metric: str, samples: int) -> DataFrame:
+def core_distances(sets: DataFrame, by: list[str], metric: str, samples: int, width: int | None = None) -> DataFrame:
     """G and ``core``, the smallest distance within which a set has ``samples`` entries, its own copies included. ``sets`` has by, g,
     columns and member_count, the entries of each set. A tile passes on at most ``samples`` distances of a set."""
 
@@ -181,7 +185,7 @@ def core_distances(sets: DataFrame, by: list[str], metric: str, samples: int) ->
             parts.append(part.groupby(["g", "distance"], as_index=False)["n"].sum())
         return pd.concat(parts)
 
-    near = over(sets, by, made, "g long, distance double, n long", bucket_width(sets, by)).groupBy(*by, "g", "distance").agg(F.sum("n").alias("n"))
+    near = over(sets, by, made, "g long, distance double, n long", bucket_width(sets, by) if width is None else width).groupBy(*by, "g", "distance").agg(F.sum("n").alias("n"))
     own = sets.select(*by, "g", F.lit(0.0).alias("distance"), F.col("member_count").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*by, "g").orderBy("distance"))
     ranked = near.unionByName(own).withColumn("upto", upto)
